@@ -1,6 +1,7 @@
 """The queries of this subpackage, by name, and their SQL where SQL expresses them."""
 
 from .bpe import op4_byte_bpe
+from .simhash import op8_simhash_groups
 
-QUERIES = {"op4_byte_bpe": op4_byte_bpe}
+QUERIES = {"op4_byte_bpe": op4_byte_bpe, "op8_simhash_groups": op8_simhash_groups}
 ORACLE_SQL: dict[str, str] = {}
