@@ -1,7 +1,21 @@
 """The queries of this subpackage, by name, and their SQL where SQL expresses them."""
 
 from .bpe import op4_byte_bpe
+from .chunking import op1_chunk_fingerprints
+from .decontaminate import op5_decontamination
+from .pii import op2_pii_spans
+from .quality import op10_quality_neighbours
+from .shards import op6_tiered_shards
 from .simhash import op8_simhash_groups
+from .toxicity import op3_toxicity_trees
+from .urls import op9_url_filter
+from .warc import op7_warc_archive
 
-QUERIES = {"op4_byte_bpe": op4_byte_bpe, "op8_simhash_groups": op8_simhash_groups}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_chunk_fingerprints, op2_pii_spans, op3_toxicity_trees, op4_byte_bpe, op5_decontamination,
+        op6_tiered_shards, op7_warc_archive, op8_simhash_groups, op9_url_filter, op10_quality_neighbours,
+    )
+}
 ORACLE_SQL: dict[str, str] = {}
