@@ -1,10 +1,29 @@
-"""Queries by name, with the SQL that gives the same rows."""
+"""Queries by name, with the SQL that gives the same rows where SQL can."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
+def query(sql: str | None = None):
+    """Register a function (spark, sf_dir) under its own name."""
+
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql.strip()
+        return f
+
+    return add
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_returnflag").count()
+    return QUERIES["tiles_to_confusion_metrics"](spark, sf_dir)
+
+
+from glasspane.plans import curve_queries, score_queries, split_queries, table_queries, tile_queries  # noqa: E402, F401  these fill QUERIES
