@@ -59,7 +59,7 @@ def in_ranges(number: Column, ranges: Column) -> Column:
 def list_items(cell: Column, trim: bool = True) -> Column:
     """Items of a comma-separated cell."""
     items = F.split(cell, ",")
-    return F.transform(items, F.trim) if trim else items
+    return F.transform(items, lambda x: F.trim(x)) if trim else items
 
 
 def number_cell_items(cell: Column) -> Column:

@@ -61,17 +61,18 @@ def parse_case_table(annotations: DataFrame, index: str = "Biopsy_No") -> DataFr
 def metadata_from_ranges(slides: DataFrame, annotations: DataFrame) -> DataFrame:
     """Metadata of slides named <patient>-24-<number>-HE.czi from a parsed case table.
 
-    A slide of another name or in no range is skipped; one in ranges of two cases raises.
+    A slide of another name or in no range is skipped; one in ranges of two cases raises. The
+    list of positive slides is searched for the number as it is written in the name.
     slides: slide_path. annotations: see parse_case_table.
     """
     from glasspane.operators.joins import range_join
 
     name = text.file_name(F.col("slide_path"))
-    named = slides.select("slide_path", text.group_or_null(name, text.CZI_NAME, 1).cast("int").alias("patient_no"), text.group_or_null(name, text.CZI_NAME, 2).cast("int").alias("slide_no"))
+    named = slides.select("slide_path", text.group_or_null(name, text.CZI_NAME, 1).cast("int").alias("patient_no"), text.group_or_null(name, text.CZI_NAME, 2).alias("slide_text"))
     cases = annotations.withColumnRenamed("ISUP_grade_ group", "ISUP_grade")
-    rows = range_join(named.where("patient_no is not null"), cases, "patient_no", "slide_no", "slide_path")
+    rows = range_join(named.where("patient_no is not null").withColumn("slide_no", F.col("slide_text").cast("int")), cases, "patient_no", "slide_no", "slide_path")
     case_positive = is_yes(F.col("Cancer_in_case"))
-    label = slide_label(case_positive, F.col("Cancer_in_slides").cast("string"), F.col("slide_no"))
+    label = slide_label(case_positive, F.col("Cancer_in_slides").cast("string"), F.col("slide_text"))
     extra = case_columns(label, F.col("Perineural_invasion"), F.col("ISUP_grade"), F.col("Gleason_score"))
     return rows.select("slide_path", label.alias("carcinoma"), F.col("Biopsy_No").alias("case_id"), F.col("patient_no").alias("patient_id"), case_positive.alias("case_carcinoma"), *(c.alias(n) for n, c in extra.items()))
 

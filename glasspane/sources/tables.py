@@ -14,11 +14,10 @@ from pyspark.sql.types import StructType
 from glasspane.functions.text import last_token
 from glasspane.operators.statistics import union_by_name
 
-SLIDES = StructType.fromDDL(
-    "id string, path string, extent_x int, extent_y int, tile_extent_x int, tile_extent_y int, stride_x int, stride_y int, mpp_x double, mpp_y double, level int, downsample double, carcinoma boolean"
-)
-TILES = StructType.fromDDL("slide_id string, x int, y int")
-METADATA = StructType.fromDDL("slide_path string, carcinoma boolean, case_id string, patient_id string, isup_grade double, gleason_score string, case_carcinoma boolean, perineural_invasions boolean")
+#: Schemas of the core tables.
+SLIDES = "id string, path string, extent_x int, extent_y int, tile_extent_x int, tile_extent_y int, stride_x int, stride_y int, mpp_x double, mpp_y double, level int, downsample double, carcinoma boolean"
+TILES = "slide_id string, x int, y int"
+METADATA = "slide_path string, carcinoma boolean, case_id string, patient_id string, isup_grade double, gleason_score string, case_carcinoma boolean, perineural_invasions boolean"
 #: Rows that write_json_split takes to the driver, at most: such files hold small result tables.
 MAX_JSON_ROWS = 1_000_000
 
