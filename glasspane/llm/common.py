@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  pa.compute
@@ -15,6 +17,15 @@ from pyspark.sql import functions as F
 BLOCK_ROWS, BLOCK_CHARS = 2_000, 2_000_000
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once a Spark context, so that their Python workers
+    find it wherever they start. Where it was itself sent as an archive there is nothing to do."""
+    context, package = spark.sparkContext, Path(__file__).resolve().parents[1]
+    if package.is_dir() and not getattr(context, "_glasspane_shipped", False):
+        context.addPyFile(shutil.make_archive(f"{tempfile.mkdtemp(prefix='glasspane-')}/{package.name}", "zip", package.parent, package.name))
+        context._glasspane_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -67,6 +78,7 @@ def per_block(df: DataFrame, column: str, make: Callable[[], Callable[[dict], di
     make runs once a task, so that tables it builds are built there.
     """
     spark = df.sparkSession
+    ship(spark)
     target = spark.createDataFrame([], schema).schema
     from pyspark.sql.pandas.types import to_arrow_schema
 

@@ -24,7 +24,7 @@ import ahocorasick
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import per_block, table, utf8
+from .common import per_block, ship, table, utf8
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "account")
@@ -216,9 +216,9 @@ def redact(text: str, found: list[Span]) -> str:
 def redacted(docs: DataFrame) -> DataFrame:
     """The documents with personal data replaced in text (null stays null) and n_chars, where
     there is one, counted anew. One narrow pass; all other columns as they are."""
-    from pyspark.sql.functions import pandas_udf
+    ship(docs.sparkSession)
 
-    @pandas_udf("string")
+    @F.pandas_udf("string")
     def clean(texts):
         machine = automaton()
         return texts.map(lambda t: None if t is None else redact(t, find(t, machine)))

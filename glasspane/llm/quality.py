@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import per_block, table, utf8
+from .common import per_block, ship, table, utf8
 
 #: Labelled rows that are learned from, at most: those with the smallest hashes of doc_id.
 SAMPLE = 6_000
@@ -134,6 +134,7 @@ def fit(docs: DataFrame, labels: DataFrame, training: Column, label: str = "qual
 
 
 def score_column(spark: SparkSession, model: Neighbours, text: str = "text") -> Column:
+    ship(spark)
     sent = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
@@ -155,7 +156,6 @@ def accepted(docs: DataFrame, labels: DataFrame, training: Column) -> DataFrame:
     return docs.where(score_column(docs.sparkSession, model) >= 0.5)
 
 
-
 def op10_quality_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = scores(docs, fit(docs, table(spark, sf_dir, "labels"), remainder(3) != 1))

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import per_block, stored, table, utf8
+from .common import per_block, ship, stored, table, utf8
 from .components import components
 
 WIDTH, SEED, MAX_BITS = 3, 42, 3
@@ -227,6 +227,7 @@ def links(fps: DataFrame) -> DataFrame:
                 lists = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(c)]).astype(np.int32)), pa.array(v)) for v, c in ((one.ravel(), np.full(len(one), 3)), (many, n))]
                 yield pa.RecordBatch.from_arrays([fp, *lists], names=["fp", "one", "many"])
 
+    ship(fps.sparkSession)
     keyed = fps.mapInArrow(keys, "fp bigint, one array<bigint>, many array<bigint>")
     one = keyed.select(F.explode("one").alias("key"), "fp")
     full = stored(one.groupBy("key").count().where(F.col("count") > CHUNK).select("key", F.ceil(F.col("count") / CHUNK).cast("int").alias("parts")))

@@ -1,0 +1,96 @@
+import zlib
+
+import numpy as np
+import pytest
+
+from glasspane.llm import quality, toxicity
+
+D = "/root/testdata/sf0.1"
+
+
+def auc(score, truth):
+    order = np.argsort(score, kind="stable")
+    ranks = np.empty(len(score))
+    s = np.asarray(score)[order]
+    first = np.searchsorted(s, s, "left")
+    last = np.searchsorted(s, s, "right")
+    ranks[order] = (first + last + 1) / 2
+    p = np.asarray(truth) == 1
+    return (ranks[p].sum() - p.sum() * (p.sum() + 1) / 2) / (p.sum() * (~p).sum())
+
+
+@pytest.mark.parametrize("query, label, modulus, held, floor", [(quality.op10_quality_neighbours, "quality", 3, 1, 0.97), (toxicity.op3_toxicity_trees, "toxic", 5, 0, 0.96)])
+def test_held_out_rows(spark, query, label, modulus, held, floor):
+    got = {r.doc_id: r for r in query(spark, D).collect()}
+    assert len(got) == spark.read.parquet(f"{D}/documents.parquet").count()
+    assert all(r.held_out == (zlib.crc32(str(i).encode()) % modulus == held) for i, r in got.items())
+    assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in got.values())
+    truth = [(got[r.doc_id].score, r[label]) for r in spark.read.parquet(f"{D}/labels.parquet").collect() if got[r.doc_id].held_out]
+    assert len(truth) > 300
+    assert auc(*zip(*truth, strict=True)) > floor
+    assert np.mean([(s >= 0.5) == (t == 1) for s, t in truth]) > 0.96
+
+
+def test_cosine_votes_equal_brute_force():
+    texts = [f"Some calm words, {'and more ' * i}here." for i in range(30)] + [f"BUY$$$ NOW!!! {'### ' * i}" for i in range(30)]
+    counts = [quality.term_counts(t.encode()) for t in texts]
+    ids = [np.flatnonzero(c).tolist() for c in counts]
+    model = quality.Neighbours(ids, [c[i].tolist() for c, i in zip(counts, ids, strict=True)], [1] * 30 + [0] * 30)
+    got = model.scores([t.encode() for t in texts])
+    for t, s in zip(texts, got, strict=True):
+        v = np.sqrt(quality.term_counts(t.encode()) / max(1, quality.term_counts(t.encode()).sum())) @ model.projection
+        near = model.vectors @ (v / np.linalg.norm(v))
+        best = np.argsort(-near)[: quality.NEIGHBOURS]
+        w = np.maximum(near[best], 0) ** quality.SHARPNESS
+        assert abs(s - (w * model.labels[best]).sum() / w.sum()) < 0.02
+    assert (got[:30] > 0.5).all() and (got[30:] < 0.5).all()
+    assert model.scores([b""]) == [0.5]
+
+
+DOC = "doc_id long, text string, label int, score double, dense string"
+LABEL = "doc_id long, quality int, toxic int, text string"
+
+
+def tables(spark, n=60):
+    docs = [(i, "a calm text about gardens and rivers " * 3 if i % 2 else "YOU ARE TRASH, you idiot!!! $$$ ### " * 3, 7, 0.5, "d") for i in range(n)]
+    docs += [(None, "x", 1, 0.1, "d"), (1000, None, 1, 0.1, "d"), (1001, "", 1, 0.1, "d"), (1, docs[1][1], 7, 0.5, "d"), (1002, "long " * 60_000, 0, 0.0, "d")]
+    labels = [(i, i % 2, 1 - i % 2, "t") for i in range(n)] + [(None, 1, 1, "t"), (0, None, None, "t"), (1, 1, 0, "t"), (5000, 1, 1, "t")]
+    return spark.createDataFrame(docs, DOC), spark.createDataFrame(labels, LABEL)
+
+
+@pytest.mark.parametrize("module, label", [(quality, "quality"), (toxicity, "toxic")])
+def test_odd_rows(spark, module, label):
+    docs, labels = tables(spark)
+    everything = quality.remainder(3) >= 0
+    got = module.scores(docs, module.fit(docs, labels, everything, label)).collect()
+    assert len(got) == docs.count() and all(0 <= r.score <= 1 for r in got)
+    good = {r.doc_id: r.score for r in got if r.doc_id is not None and r.doc_id < 60}
+    assert all((s >= 0.5) == (i % 2 == (1 if label == "quality" else 0)) for i, s in good.items())
+    none = labels.where("false")
+    constant = {r.score for r in module.scores(docs, module.fit(docs, none, everything, label)).collect()}
+    assert constant == ({0.5} if label == "quality" else {0.0})
+    one_class = labels.where(f"{label} = 1")
+    assert all(r.score >= 0.5 for r in module.scores(docs, module.fit(docs, one_class, everything, label)).collect())
+    assert module.scores(docs.where("false"), module.fit(docs, labels, everything, label)).collect() == []
+
+
+def test_sample_is_bounded_and_training_rows_only(spark):
+    docs, labels = tables(spark)
+    held = quality.remainder(3) != 1
+    rows = quality.labelled_sample(docs, labels, "quality", held, 10).collect()
+    assert len(rows) == 10 and all(zlib.crc32(str(r.doc_id).encode()) % 3 != 1 for r in rows)
+
+
+def test_accepted_keeps_columns(spark):
+    docs, labels = tables(spark)
+    kept = quality.accepted(docs, labels, quality.remainder(3) >= 0)
+    assert kept.columns == docs.columns
+    assert {r.doc_id for r in kept.collect() if r.doc_id is not None and r.doc_id < 60} == set(range(1, 60, 2))
+
+
+def test_toxicity_features():
+    read = toxicity.Reader({"réêou": 2.0}).features
+    plain, direct = read(b"the idiot went home"), read(b"you are an idiot")
+    assert plain[0] > 0 and plain[5] == 0 and direct[5] == 1
+    assert read("un réêou ici".encode())[2] == 2.0 and read(b"idiotic")[0] == 0 and read(b"")[0] == 0
+    assert read(b"what an 1d10t")[11] == 1 and read(b"an i.d.i.o.t here")[12] == 1
