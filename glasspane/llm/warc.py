@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
-from .common import blocks, shared_dir, stored, table, utf8
+from .common import blocks, shared_dir, ship, stored, table, utf8
 
 TARGET_BYTES, MIN_BYTES, LEVEL = 64 << 20, 0, 4
 #: The date in every header: records must not depend on when they are written.
@@ -87,7 +87,7 @@ class Roller:
         if self.out is None:
             self.name = f"part-{self.part:06d}-{self.n:04d}.warc.gz"
             self.temp = f"{self.root}/.tmp-{self.attempt}-{self.name}"
-            self.out = self.store.open_output_stream(self.temp)
+            self.out = self.store.open_output_stream(self.temp, compression=None)
             self.sha, self.size, self.records, self.first = hashlib.sha256(), 0, 0, page_id
         self.out.write(member)
         self.sha.update(member)
@@ -121,6 +121,7 @@ def write(pages: DataFrame, where: str, target_bytes: int = TARGET_BYTES, min_by
     """Write pages (page_id, url, html) as an archive in the folder where, a URI that all
     executors reach. An archive that is there already is an error."""
     spark = pages.sparkSession
+    ship(spark)
     store, root = fs.FileSystem.from_uri(where)
     if store.get_file_info(f"{root}/MANIFEST").type != fs.FileType.NotFound:
         raise FileExistsError(f"{where} holds an archive")
@@ -169,6 +170,7 @@ def read(spark: SparkSession, where: str, payloads: bool = True) -> DataFrame:
     """The records of a committed archive; one task reads whole files, whose size the writer
     bounds. Digests are checked: a record that doesn't match its headers is an error. The
     payload of a revisit is null."""
+    ship(spark)
     store, root = fs.FileSystem.from_uri(where)
     with store.open_input_stream(f"{root}/MANIFEST") as manifest:
         listed = json.loads(manifest.read())["list"]
@@ -179,7 +181,7 @@ def read(spark: SparkSession, where: str, payloads: bool = True) -> DataFrame:
 
     def rows(name: str):
         store, root = fs.FileSystem.from_uri(where)
-        with store.open_input_stream(f"{root}/{name}") as raw, gzip.GzipFile(fileobj=io.BufferedReader(raw)) as data:
+        with store.open_input_stream(f"{root}/{name}", compression=None) as raw, gzip.GzipFile(fileobj=io.BufferedReader(raw)) as data:
             while line := data.readline():
                 if line != b"WARC/1.1\r\n":
                     raise ValueError(f"{name}: not a record")
