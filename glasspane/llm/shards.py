@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import json
 import math
+import uuid
 from contextlib import contextmanager
 
 from pyarrow import fs
@@ -58,7 +59,15 @@ class Store:
         version = self.version() if version is None else version
         if not version:
             return self.spark.createDataFrame([], ENTRY)
-        return self.spark.read.schema(ENTRY).parquet(f"{self.where}/manifest/v{version:08d}")
+        return self.spark.read.schema(ENTRY).parquet(f"{self.where}/manifest/{self._marker(version)['entries']}")
+
+    def _marker(self, version: int) -> dict:
+        with self.files.open_input_stream(f"{self.root}/manifest/v{version:08d}.json") as marker:
+            return json.loads(marker.read())
+
+    def _folder(self, name: str) -> str:
+        """A data folder that no other writer, dead or alive, writes to."""
+        return f"{self.where}/data/{name}-{uuid.uuid4().hex[:12]}"
 
     def _entries(self, folder: str, schema, version: int) -> DataFrame:
         shards = self.spark.read.schema(schema).parquet(folder)
@@ -67,20 +76,21 @@ class Store:
 
     def _commit(self, entries: DataFrame, schema, version: int) -> int:
         """The entries are written first; the rename of the marker is the commit."""
-        entries.write.mode("overwrite").parquet(f"{self.where}/manifest/v{version:08d}")
+        name = f"e{version:08d}-{uuid.uuid4().hex[:12]}"
+        entries.write.parquet(f"{self.where}/manifest/{name}")
         marker = f"{self.root}/manifest/v{version:08d}.json"
         if self.files.get_file_info(marker).type != fs.FileType.NotFound:
             raise FileExistsError(f"version {version} was committed by another writer")
         with self.files.open_output_stream(f"{marker}.tmp") as out:
-            out.write(json.dumps({"version": version, "schema": schema.jsonValue()}).encode())
+            out.write(json.dumps({"version": version, "entries": name, "schema": schema.jsonValue()}).encode())
         self.files.move(f"{marker}.tmp", marker)
         return version
 
     def append(self, rows: DataFrame, max_rows: int = 20_000) -> int:
         """Commit an arrival as small shards (one or more a task); the new version."""
         version = self.version() + 1
-        folder = f"{self.where}/data/a{version:08d}"
-        rows.write.mode("overwrite").option("compression", "zstd").option("maxRecordsPerFile", max_rows).parquet(folder)
+        folder = self._folder(f"a{version:08d}")
+        rows.write.option("compression", "zstd").option("maxRecordsPerFile", max_rows).parquet(folder)
         return self._commit(self.manifest(version - 1).union(self._entries(folder, rows.schema, version)), rows.schema, version)
 
     def compact(self, target: int = TARGET_BYTES, fanout: int = FANOUT) -> int:
@@ -99,9 +109,9 @@ class Store:
             added = None
             gone = [p for paths in merges.values() for p in paths]
             for t, paths in sorted(merges.items()):
-                folder = f"{self.where}/data/c{version + 1:08d}-t{t}"
+                folder = self._folder(f"c{version + 1:08d}-t{t}")
                 with _settings(self.spark, **{"spark.sql.files.maxPartitionBytes": str(target), "spark.sql.files.openCostInBytes": "0", "spark.sql.files.minPartitionNum": "1"}):
-                    self.spark.read.schema(schema).parquet(*paths).write.mode("overwrite").option("compression", "zstd").parquet(folder)
+                    self.spark.read.schema(schema).parquet(*paths).write.option("compression", "zstd").parquet(folder)
                 entries = self._entries(folder, schema, version + 1)
                 added = entries if added is None else added.union(entries)
             merged = self.spark.createDataFrame([(p,) for p in gone], "path string")
@@ -113,8 +123,7 @@ class Store:
     def schema(self, version: int):
         from pyspark.sql.types import StructType
 
-        with self.files.open_input_stream(f"{self.root}/manifest/v{version:08d}.json") as marker:
-            return StructType.fromJson(json.loads(marker.read())["schema"])
+        return StructType.fromJson(self._marker(version)["schema"])
 
     def read(self, version: int | None = None) -> DataFrame:
         """All rows of a version; _metadata tells their shards."""
@@ -148,5 +157,6 @@ def op6_tiered_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     store.compact()
     store.expire()
     rows = store.read()
-    shard = F.regexp_extract("_metadata.file_path", r"/data/([^/]+/part-\d+)", 1)
+    name = r"/data/([ac]\d+(?:-t\d+)?)-[0-9a-f]+/part-(\d+)"
+    shard = F.concat_ws("/", *(F.regexp_extract("_metadata.file_path", name, i) for i in (1, 2)))
     return rows.select("doc_id", F.char_length("text").cast("bigint").alias("n_chars"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"), shard.alias("shard"))
