@@ -8,6 +8,7 @@ allowed. It learns from hosts whose words hold one of the seed words against all
 
 Null urls and urls without "://" have an empty host and path, and no rule; like any url without a
 known token they get the verdict of the prior, which is allow unless most urls are blocked.
+Where no host, or every host, holds a seed word, all get the verdict of the prior.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import per_block, stored, table, utf8
+from .common import per_block, ship, stored, table, utf8
 
 #: Words that mark a host as blocked for training (fixed values).
 SEEDS = ("spam", "pills", "casino", "bets", "adult", "porn", "xxx", "viagra", "warez", "malware", "phish", "phishing", "ads", "lottery", "jackpot")
@@ -83,6 +84,7 @@ def best_split(part: str, known: dict[tuple[int, int], float], unknown: float) -
 
 def segmented(parts: DataFrame, counts: DataFrame) -> DataFrame:
     """part (distinct, not null) and words, its likeliest split by the unigram counts."""
+    ship(parts.sparkSession)
     total = float(counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n) + 1
     n = F.length("part")
     cuts = parts.select("part", F.explode(F.sequence(F.lit(1), n)).alias("start")).where(n > 0)
@@ -128,7 +130,8 @@ def url_scores(pages: DataFrame, seeds: tuple[str, ...] = SEEDS) -> DataFrame:
     urls = marked.agg(amount(True).alias("bad"), amount(False).alias("good")).first()
     prior = math.log((urls.bad + 1) / (urls.good + 1))
     v = max(1, sums.v)
-    weights = counts.select("token", (F.log((F.col("bad") + 1) / F.lit(float(sums.bad + v))) - F.log((F.col("good") + 1) / F.lit(float(sums.good + v)))).alias("w"))
+    w = F.log((F.col("bad") + 1) / F.lit(float(sums.bad + v))) - F.log((F.col("good") + 1) / F.lit(float(sums.good + v)))
+    weights = counts.select("token", (w if urls.bad and urls.good else F.lit(0.0)).alias("w"))
     total = F.coalesce(F.sum("w"), F.lit(0.0))
     by_host = stored(_with_weights(marked.select("host", F.explode_outer("tokens").alias("token")), weights, sums.v).groupBy("host").agg(total.alias("of_host")))
     by_pair = _with_weights(pairs.select("host", "path", F.explode_outer(path_tokens(F.col("path"))).alias("token")), weights, sums.v).groupBy("host", "path").agg(total.alias("of_path"))
