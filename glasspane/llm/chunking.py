@@ -22,7 +22,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, per_block, table, utf8
+from .common import blocks, per_block, ship, table, utf8
 
 WINDOW, SHORTEST, NORMAL, LONGEST = 32, 16, 64, 256
 EARLY, LATE = np.uint32(0xFE000000), np.uint32(0xF8000000)
@@ -128,7 +128,7 @@ def in_order(docs: DataFrame) -> DataFrame:
     places = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     ids = docs.select(F.col("doc_id").cast("double").alias("at"))
     cuts = ids.approxQuantile("at", [i / places for i in range(1, places)], 0.2 / places)
-    splits = [-float("inf"), *sorted(set(cuts)), float("inf")]
+    splits = [-float("inf"), *sorted({*cuts, 0.0}), float("inf")]
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), utf8().alias("text"), F.col("doc_id").cast("double").alias("at"))
     rows = Bucketizer(splits=splits, inputCol="at", outputCol="bucket", handleInvalid="keep").transform(rows)
     rows = rows.select("doc_id", "text", F.when(F.col("doc_id").isNull(), len(splits)).otherwise(len(splits) - 2 - F.col("bucket")).cast("int").alias("place"))
@@ -181,6 +181,7 @@ def edited_likeness(docs: DataFrame) -> DataFrame:
     """Each row's fingerprint, that of its text with the last third replaced by the start of
     the next document (descending doc_id), and how much of it these two and the next
     document's fingerprint hold. A single row is its own next; no rows give none."""
+    ship(docs.sparkSession)
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = in_order(docs).repartition(n, "place").sortWithinPartitions("place", "carried", F.col("doc_id").desc_nulls_last(), "text")
     return rows.mapInArrow(_with_next, SCHEMA)
