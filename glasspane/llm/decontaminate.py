@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import per_block, table, utf8
+from .common import per_block, stored, table, utf8
 
 WIDTH, CONTAINMENT, HASHES, BASE = 5, 0.8, 64, 8
 #: Test items that go to the tasks at once (about 40 MB of index), and bits of the first lookup.
@@ -213,9 +213,10 @@ def matches(docs: DataFrame, items: DataFrame, containment: float = CONTAINMENT,
 def clean(docs: DataFrame, items: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
     """The documents that no item contaminates, all their columns; null doc_id stays.
 
-    The check runs on a row's own text, in place: nothing is shuffled but the few ids found.
+    The ids found are stored first, so that Spark knows how few they are and needn't shuffle
+    the documents.
     """
-    found = matches(docs, items, containment).select("doc_id").where("doc_id is not null").distinct()
+    found = stored(matches(docs, items, containment).select("doc_id").where("doc_id is not null").distinct())
     return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
 
 
