@@ -33,8 +33,8 @@ ITEM_BLOCK, TABLE_BITS = 40_000, 20
 WORD = re.compile(r"[^\W_]+")
 
 _seed = np.random.Generator(np.random.PCG64(20_240_501))
-MULTIPLY = _seed.integers(1, 2**63, HASHES, np.uint64) * np.uint64(2) + np.uint64(1)
-ADD = _seed.integers(0, 2**63, HASHES, np.uint64)
+MULTIPLY = _seed.integers(0, 2**31, HASHES, np.uint32) * np.uint32(2) + np.uint32(1)
+ADD = _seed.integers(0, 2**32, HASHES, np.uint32)
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -61,19 +61,25 @@ class WordHash:
 
 
 def shingles(hashes: np.ndarray, width: int) -> np.ndarray:
-    """A number for every run of width words."""
+    """A 32-bit number for every run of width words."""
     n = len(hashes) - width + 1
     if n <= 0:
-        return np.zeros(0, np.uint64)
+        return np.zeros(0, np.uint32)
     out = hashes[:n].copy()
     for k in range(1, width):
-        out = (out ^ (out >> np.uint64(29))) * STEP + hashes[k : k + n]
-    return out ^ (out >> np.uint64(32))
+        out ^= out >> np.uint64(29)
+        out *= STEP
+        out += hashes[k : k + n]
+    out ^= out >> np.uint64(29)
+    out *= STEP
+    return (out >> np.uint64(32)).astype(np.uint32)
 
 
-def _mixed(values: np.ndarray, k: int) -> np.ndarray:
-    """The k-th hash function, cut to 32 bits so that minima take little room."""
-    return ((values * MULTIPLY[k] + ADD[k]) >> np.uint64(32)).astype(np.uint32)
+def _mixed(values: np.ndarray, k: int, out: np.ndarray | None = None) -> np.ndarray:
+    """The k-th hash function: a linear permutation of 32-bit numbers."""
+    out = np.multiply(values, MULTIPLY[k], out=out)
+    out += ADD[k]
+    return out
 
 
 class Index:
@@ -81,24 +87,22 @@ class Index:
 
     def __init__(self, items: list[tuple[int, str]]):
         hasher = WordHash()
-        self.items: list[tuple[int, list[tuple[str, ...]]]] = []
+        self.items: list[tuple[int, str, int]] = []  # id, words, shingle width
         self.classes: dict[int, dict[int, list[int]]] = {}
         for item_id, text in items:
             words = words_of(text)
             if not words:
                 continue
             width = min(WIDTH, len(words))
-            distinct = sorted({tuple(words[i : i + width]) for i in range(len(words) - width + 1)})
             u = max(BASE, 1 << (len(words) - width).bit_length())
             self.classes.setdefault(width, {}).setdefault(u, []).append(len(self.items))
-            self.items.append((item_id, distinct))
+            self.items.append((item_id, " ".join(words), width))
         self.tables: dict[tuple[int, int], tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]] = {}
         for width, by_size in self.classes.items():
             for u, members in by_size.items():
                 minima = np.zeros((HASHES, len(members)), np.uint32)
                 for at, i in enumerate(members):
-                    flat = hasher([w for s in self.items[i][1] for w in s])
-                    values = shingles(flat, width)[::width]
+                    values = shingles(hasher(self.items[i][1].split(" ")), width)
                     for k in range(HASHES):
                         minima[k, at] = _mixed(values, k).min()
                 seen = np.zeros((HASHES, 1 << TABLE_BITS >> 3), np.uint8)
@@ -110,37 +114,43 @@ class Index:
                     exact.append((minima[k][order], np.array(members)[order]))
                 self.tables[width, u] = seen, exact
 
+    def distinct(self, i: int) -> set[tuple[str, ...]]:
+        """The shingles of an item."""
+        words, width = self.items[i][1].split(" "), self.items[i][2]
+        return set(zip(*(words[k:] for k in range(width)), strict=False))
+
     def candidates(self, hashes: np.ndarray, bounds: np.ndarray, width: int) -> set[tuple[int, int]]:
         """(document, item) places that share a minimum in some window. hashes: of all words of
         a block of documents; bounds: where each document begins, and the end."""
-        firsts, sizes, owner, values = [], [], [], []
-        at = 0
-        for d in range(len(bounds) - 1):
-            v = shingles(hashes[bounds[d] : bounds[d + 1]], width)
-            if len(v):
-                starts = np.arange(0, len(v), BASE)
-                firsts.append(starts + at)
-                sizes.append(len(starts))
-                owner.append(d)
-                values.append(v)
-                at += len(v)
-        if not values:
+        n = np.maximum(np.diff(bounds) - width + 1, 0)
+        owner = np.flatnonzero(n)
+        if not len(owner):
             return set()
-        values, firsts, sizes, owner = np.concatenate(values), np.concatenate(firsts), np.array(sizes), np.array(owner)
+        values = shingles(hashes, width)
+        sizes = -(-n[owner] // BASE)
         doc_of = np.repeat(owner, sizes)
         begin = np.repeat(np.cumsum(sizes) - sizes, sizes)
         last = np.repeat(np.cumsum(sizes) - 1, sizes)
-        own = np.arange(len(firsts))
+        own = np.arange(len(doc_of))
+        # base blocks of a document end with its last shingle; what lies between two documents
+        # (shingles across their border) is cut off as a block of its own
+        first = bounds[:-1][doc_of] + (own - begin) * BASE
+        stop = np.minimum(first + BASE, (bounds[:-1] + n)[doc_of])
+        cuts = np.stack([first, stop], 1).ravel()
+        cuts = cuts[:-1] if cuts[-1] >= len(values) else cuts
+        room = np.empty_like(values)
         found: set[tuple[int, int]] = set()
         wanted = sorted(u for w, u in self.tables if w == width)
+        starts = {u: np.flatnonzero((own - begin) % max(1, u // BASE) == 0) for u in wanted}
+        ahead = {s: np.minimum(own + s, last) for s in (1 << i for i in range((2 * wanted[-1] // BASE).bit_length()))}
         for k in range(HASHES):
-            low = np.minimum.reduceat(_mixed(values, k), firsts)
+            low = np.minimum.reduceat(_mixed(values, k, room), cuts)[::2]
             span = 1
             for u in wanted:
                 while span < 2 * u // BASE:
-                    low = np.minimum(low, low[np.minimum(own + span, last)])
+                    low = np.minimum(low, low[ahead[span]])
                     span *= 2
-                at = np.flatnonzero((own - begin) % max(1, u // BASE) == 0)
+                at = starts[u]
                 m = low[at]
                 bits = m & np.uint32((1 << TABLE_BITS) - 1)
                 seen, exact = self.tables[width, u]
@@ -194,7 +204,7 @@ def matches(docs: DataFrame, items: DataFrame, containment: float = CONTAINMENT,
                         if d not in own:
                             t = texts[d]
                             own = {d: set(zip(*(t[k:] for k in range(width)), strict=False))}
-                        item_id, distinct = index.items[i]
+                        item_id, distinct = index.items[i][0], index.distinct(i)
                         shared = sum(s in own[d] for s in distinct)
                         if shared >= containment * len(distinct):
                             out.append((batch["doc_id"][d], item_id, shared, len(distinct), shared / len(distinct)))
