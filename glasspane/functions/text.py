@@ -11,6 +11,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Forms of names and case indices (fixed values).
 #: <patient>-24-<slide>-HE.czi
 CZI_NAME = r"^(\d+)-24-(\d+)-HE\.czi$"
 #: <year>[_-]<request>-<slide>.mrxs

@@ -82,7 +82,7 @@ def bootstrap_auc_differences(df: DataFrame, key: str, target: str, base: str, o
     """replicate and delta = AUC(other) - AUC(base) over resamples with replacement; resamples
     with a single class are left out.
 
-    Draw i of replicate r takes the row whose place (by hash) is a seeded hash of (r, i): all
+    Each of n_boot x n draws takes the row whose place (by hash) is a seeded hash of the draw: all
     replicates are one join and one grouped AUC, and give the same result on every run. df must
     be unique in key.
     """
@@ -90,9 +90,8 @@ def bootstrap_auc_differences(df: DataFrame, key: str, target: str, base: str, o
 
     spark = df.sparkSession
     rows = hash_rank(df.select(key, F.col(target).cast("int").alias("target"), base, other).withColumn("__all", F.lit(0)), ["__all"], [key], seed, "place")
-    n = rows.agg(F.count("*").alias("n"))
-    draws = spark.range(n_boot).withColumnRenamed("id", "replicate").crossJoin(n).withColumn("i", F.explode(F.sequence(F.lit(1), F.col("n"))))
-    draws = draws.select("replicate", (F.pmod(F.xxhash64(F.lit(seed), "replicate", "i"), F.col("n")) + 1).alias("place"))
+    n = df.count()
+    draws = spark.range(n_boot * n).select(F.floor(F.col("id") / max(n, 1)).alias("replicate"), (F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(max(n, 1))) + 1).alias("place"))
     entries = F.explode(F.array(F.struct(F.lit("base").alias("side"), F.col(base).alias("score")), F.struct(F.lit("other").alias("side"), F.col(other).alias("score"))))
     drawn = draws.join(rows, "place").select("replicate", "target", entries.alias("e")).select("replicate", "target", "e.side", "e.score")
     aucs = roc_auc(drawn, "score", "target", ["replicate", "side"])
@@ -110,6 +109,18 @@ def non_inferiority(deltas: DataFrame, margin: float = 0.02, by: list[str] | Non
     return out.select(*(by or []), "n", "mean_delta", *(F.col("q")[i].alias(c) for i, c in enumerate(names)), (F.col("q")[2] < margin).alias("non_inferior"))
 
 
+def non_inferiority_table(master: DataFrame, models: list[str], methods: list[str], n_boot: int, margin: float = 0.02, base: str = "max", key: str = "slide_name", target: str = "target", seed: int = 42) -> DataFrame:
+    """model, method and the columns of non_inferiority for every model (columns
+    <model>__<method>), its base method against each other one."""
+    parts = None
+    for model in models:
+        for method in methods:
+            rows = master.select(key, target, F.col(f"`{model}__{base}`").alias("__base"), F.col(f"`{model}__{method}`").alias("__other"))
+            one = bootstrap_auc_differences(rows, key, target, "__base", "__other", n_boot, seed).select(F.lit(model).alias("model"), F.lit(method).alias("method"), "delta")
+            parts = one if parts is None else parts.union(one)
+    return non_inferiority(parts, margin, ["model", "method"])
+
+
 def difference(one: DataFrame, other: DataFrame) -> DataFrame:
     return one.subtract(other)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from glasspane.operators import checks, splits, statistics
+from glasspane.operators import checks, splits, statistics, tiling
 from glasspane.plans.frames import digits, labelled, table
 from glasspane.plans.registry import query
 
@@ -58,6 +58,27 @@ def bootstrap_ni(spark, sf_dir):
     return statistics.non_inferiority(statistics.bootstrap_auc_differences(rows, "doc_id", "quality", "base", "other", 200))
 
 
+@query()
+def ni_table(spark, sf_dir):
+    n = F.col("n_chars").cast("double")
+    scores = {"a__max": n, "a__mpm": n % 977, "a__topk": n % 10, "b__max": -n, "b__mpm": n % 7, "b__topk": n}
+    rows = labelled(spark, sf_dir).select(F.col("doc_id").alias("slide_name"), F.col("quality").alias("target"), *(c.alias(k) for k, c in scores.items()))
+    return statistics.non_inferiority_table(rows, ["a", "b"], ["mpm", "topk"], 50)
+
+
+@query("SELECT 'row' AS what, count(*) AS n FROM orders UNION ALL SELECT 'leak', 0 UNION ALL SELECT 'fold', 5")
+def kfold_pipeline_invariants(spark, sf_dir):
+    """Orders as slides, grouped by customer: every slide has one of five folds, no group two."""
+    orders = table(spark, sf_dir, "orders")
+    path = F.concat(F.lit("/d/"), F.col("o_orderkey").cast("string"), F.lit(".mrxs"))
+    slides = orders.select("o_orderkey", path.alias("path"), (F.col("o_orderstatus") == "F").alias("carcinoma"))
+    metadata = orders.select(path.alias("slide_path"), F.col("o_custkey").alias("patient_id"))
+    folds = tiling.with_group_folds(slides, metadata, "carcinoma", "patient_id", 5)
+    leaks = checks.leaking_groups(folds.join(orders, "o_orderkey"), "o_custkey").agg(F.count("*").alias("n"))
+    n = lambda what, count: count.select(F.lit(what).alias("what"), F.col("n").cast("bigint").alias("n"))
+    return n("row", folds.agg(F.count("*").alias("n"))).union(n("leak", leaks)).union(n("fold", folds.agg(F.count_distinct("fold").alias("n"))))
+
+
 @query("SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels")
 def set_difference(spark, sf_dir):
     return statistics.difference(table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels").select("doc_id"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from glasspane.functions import overlap, vectors
-from glasspane.operators import curves, filters, grid, joins, labels
+from glasspane.operators import curves, filters, grid, joins, labels, tiling
 from glasspane.plans.frames import FILTER_SQL, SCORED_SQL, THRESHOLDS, TILES_SQL, digits, scored_tiles, table, tiles
 from glasspane.plans.registry import query
 
@@ -118,6 +118,28 @@ def mask_foreground(spark, sf_dir):
     return found.select("slide_id", "x", "y", F.round(overlap.foreground(F.col("overlap")), 9).alias("foreground"))
 
 
+_PIXELS_SQL = "SELECT user_id AS slide_id, CAST(day(ts) AS INT) AS mx, CAST(hour(ts) AS INT) AS my, event_type = 'click' AS a0, value < 250 AS b0 FROM events"
+
+
+@query(f"""
+WITH t AS (SELECT p_partkey AS slide_id, CAST(x AS INT) AS x, CAST(y AS INT) AS y FROM part, range(0, 50, 5) a(x), range(0, 50, 5) b(y) WHERE x <= p_size - 10 AND y <= p_size - 10),
+m AS ({_PIXELS_SQL}),
+a AS (SELECT t.slide_id, x, y, count(*) FILTER (a0) / CAST(count(*) AS DOUBLE) AS z FROM t JOIN m ON t.slide_id = m.slide_id AND mx >= x AND mx < x + 10 AND my >= y AND my < y + 10 GROUP BY 1, 2, 3),
+b AS (SELECT t.slide_id, x, y, count(*) FILTER (b0) / CAST(count(*) AS DOUBLE) AS z FROM t JOIN m ON t.slide_id = m.slide_id AND mx >= x + 2 AND mx < x + 7 AND my >= y + 2 AND my < y + 7 GROUP BY 1, 2, 3)
+SELECT slide_id, x, y, round(1 - coalesce(b.z, 0), 9) AS blur_percentage, round(1 - coalesce(a.z, 0), 9) AS tissue_roi_percentage
+FROM t LEFT JOIN a USING (slide_id, x, y) LEFT JOIN b USING (slide_id, x, y) WHERE 1 - coalesce(a.z, 0) > 0
+""")
+def tiling_pipeline(spark, sf_dir):
+    size, tile, stride = F.col("p_size"), F.lit(10), F.lit(5)
+    slides = table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("id"), size.alias("extent_x"), size.alias("extent_y"), tile.alias("tile_extent_x"), tile.alias("tile_extent_y"), stride.alias("stride_x"), stride.alias("stride_y")
+    )
+    events = table(spark, sf_dir, "events").select(F.col("user_id").alias("slide_id"), F.dayofmonth("ts").alias("mx"), F.hour("ts").alias("my"), "event_type", "value")
+    pixels = lambda zero: events.select("slide_id", "mx", "my", F.when(zero, "0").otherwise("255").alias("cls"))
+    masks = [tiling.Mask("blur", pixels(F.col("value") < 250), centre=True), tiling.Mask("tissue_roi", pixels(F.col("event_type") == "click"))]
+    return digits(tiling.tile_table(slides, masks, 10), "blur_percentage", "tissue_roi_percentage", n=9)
+
+
 @query("""SELECT l_orderkey, l_linenumber, l_partkey, round(1 - l_tax, 9) AS tissue_roi_percentage, round(l_discount + CASE WHEN l_quantity > 25 THEN l_tax ELSE 0 END, 9) AS carcinoma_roi_percentage FROM lineitem""")
 def hybrid_mask(spark, sf_dir):
     m = F.map_filter(F.create_map(F.lit(0), F.col("l_tax"), F.lit(3), F.col("l_discount"), F.lit(4), F.when(F.col("l_quantity") > 25, F.col("l_tax"))), lambda k, v: v.isNotNull())
