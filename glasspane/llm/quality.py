@@ -1,7 +1,8 @@
 """Quality by nearest-neighbour voting in a latent-semantic space.
 
 Terms are runs of three character kinds (lower case, capital, digit, space, marks of several
-sorts, ...): 16 kinds make 4,096 terms, whatever the language. Square roots of term shares,
+sorts, ...): 16 kinds make 4,096 terms, whatever the language; two more count words that repeat
+the word before them and lines that repeat a line of the text. Square roots of term shares,
 weighted by inverse document frequency and of unit length, are projected on the leading
 singular directions of a labelled sample. The sample's vectors (at most SAMPLE rows of RANK
 numbers, so at most 1.2 MB) go to every task; there exact cosine products with all of them, in
@@ -14,6 +15,7 @@ scores the sample's mean label. Without training labels every score is 0.5.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from operator import eq
 
 import numpy as np
 import pandas as pd
@@ -25,7 +27,10 @@ from .common import per_block, ship, table, utf8
 #: Labelled rows that are learned from, at most: those with the smallest hashes of doc_id.
 SAMPLE = 6_000
 RANK, NEIGHBOURS, SHARPNESS, BLOCK = 48, 15, 4.0, 256
-TERMS = 4_096
+TRIGRAMS = 4_096
+TERMS = TRIGRAMS + 2
+#: A repeated word or line counts as so many terms, about as many as its letters make.
+REPEAT_WEIGHT = 8
 
 
 def _kinds() -> bytes:
@@ -42,10 +47,15 @@ KINDS = _kinds()
 
 
 def term_counts(text: bytes) -> np.ndarray:
+    """How often each term occurs; all 0 for a text of less than three bytes."""
     k = np.frombuffer(text.translate(KINDS), np.uint8).astype(np.int32)
     if len(k) < 3:
         return np.zeros(TERMS, np.int64)
-    return np.bincount((k[:-2] << 8) + (k[1:-1] << 4) + k[2:], minlength=TERMS)
+    counts = np.bincount((k[:-2] << 8) + (k[1:-1] << 4) + k[2:], minlength=TERMS)
+    words, lines = text.split(), text.split(b"\n")
+    counts[TRIGRAMS] = REPEAT_WEIGHT * sum(map(eq, words, words[1:]))
+    counts[TRIGRAMS + 1] = REPEAT_WEIGHT * (len(lines) - len(set(lines)))
+    return counts
 
 
 def _shares(counts: np.ndarray) -> np.ndarray:
