@@ -150,13 +150,13 @@ def value_share(spark, sf_dir):
     return digits(statistics.value_shares(table(spark, sf_dir, "customer"), "c_mktsegment"), "share", n=9)
 
 
-_PARTS = "'low' AS source, c_nationkey AS value FROM customer WHERE c_custkey % 50 < 10"
-_OTHER = "'high' AS source, c_nationkey AS value FROM customer WHERE c_custkey % 50 >= 35"
+_PARTS = "'low' AS source, c_nationkey AS value FROM customer WHERE c_acctbal < 2000"
+_OTHER = "'high' AS source, c_nationkey AS value FROM customer WHERE c_acctbal >= 6000"
 
 
 def _two(spark, sf_dir):
     customers = table(spark, sf_dir, "customer")
-    return {"low": customers.where("c_custkey % 50 < 10"), "high": customers.where("c_custkey % 50 >= 35")}
+    return {"low": customers.where("c_acctbal < 2000"), "high": customers.where("c_acctbal >= 6000")}
 
 
 _SHARES = f"""l AS (SELECT {_PARTS} UNION ALL SELECT {_OTHER}), s AS (SELECT source, value, count(*) / CAST(sum(count(*)) OVER (PARTITION BY source) AS DOUBLE) AS share FROM l GROUP BY 1, 2)"""

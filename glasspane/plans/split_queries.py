@@ -90,10 +90,10 @@ def set_union(spark, sf_dir):
     return statistics.union_distinct(*(events.where(F.col("event_type") == t).select("user_id") for t in ("click", "view")))
 
 
-@query("SELECT NOT EXISTS (SELECT doc_id FROM documents WHERE doc_id % 2 = 0 INTERSECT SELECT doc_id FROM documents WHERE doc_id % 2 = 1) AS is_empty")
+@query("SELECT NOT EXISTS (SELECT doc_id FROM documents WHERE lang = 'en' INTERSECT SELECT doc_id FROM documents WHERE lang <> 'en') AS is_empty")
 def set_intersect_empty(spark, sf_dir):
-    ids = table(spark, sf_dir, "documents").select("doc_id")
-    both = ids.where("doc_id % 2 = 0").intersect(ids.where("doc_id % 2 = 1"))
+    docs = table(spark, sf_dir, "documents")
+    both = docs.where("lang = 'en'").select("doc_id").intersect(docs.where("lang <> 'en'").select("doc_id"))
     return both.agg((F.count("*") == 0).alias("is_empty"))
 
 

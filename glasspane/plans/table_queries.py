@@ -33,17 +33,18 @@ def regex_parse(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", text.group_or_null(name, pattern, 1).alias("kind"), text.without_leading_zeros(text.group_or_null(name, pattern, 2)).alias("number"))
 
 
-@query("SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_linenumber IN (1, 2, 5) THEN 'a' ELSE 'b' END AS case_id FROM lineitem WHERE l_suppkey % 2 = 0 AND l_linenumber IN (1, 2, 5, 3, 6)")
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_returnflag = 'A' THEN 'c' WHEN l_linenumber IN (1, 2, 5) THEN 'a' ELSE 'b' END AS case_id FROM lineitem
+WHERE l_returnflag = 'R' AND l_linenumber IN (1, 2, 5, 3, 6) OR l_returnflag = 'A' AND l_linenumber BETWEEN 2 AND 9""")
 def range_join(spark, sf_dir):
-    lines = table(spark, sf_dir, "lineitem").where("l_suppkey % 2 = 0").select("l_orderkey", "l_linenumber", "l_partkey", (F.col("l_suppkey") % 2).alias("patient_no"), F.monotonically_increasing_id().alias("line"))
-    cases = spark.createDataFrame([("a", 0, "1-2,5"), ("b", 0, "3,6,6"), ("c", 1, "1-9")], "case_id string, patient_no long, listed string")
-    found = joins.range_join(lines, cases.select("case_id", "patient_no", text.parsed_ranges(F.col("listed")).alias("ranges")), "patient_no", "l_linenumber", "line")
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag", F.monotonically_increasing_id().alias("line"))
+    cases = spark.createDataFrame([("a", "R", "1-2,5"), ("b", "R", "3,6,6"), ("c", "A", "2-9")], "case_id string, l_returnflag string, listed string")
+    found = joins.range_join(lines, cases.select("case_id", "l_returnflag", text.parsed_ranges(F.col("listed")).alias("ranges")), "l_returnflag", "l_linenumber", "line")
     return found.select("l_orderkey", "l_linenumber", "l_partkey", "case_id")
 
 
-@query("SELECT l_orderkey, l_linenumber, l_partkey, n_name FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey WHERE l_quantity = 50")
+@query("SELECT l_orderkey, l_linenumber, l_partkey, n_name FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey")
 def case_lookup(spark, sf_dir):
-    lines = table(spark, sf_dir, "lineitem").where("l_quantity = 50").select("l_orderkey", "l_linenumber", "l_partkey", F.col("l_suppkey").alias("s_suppkey"))
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.col("l_suppkey").alias("s_suppkey"))
     with_nation = joins.lookup(lines, table(spark, sf_dir, "supplier"), "s_suppkey", ["s_nationkey"]).withColumnRenamed("s_nationkey", "n_nationkey")
     return joins.lookup(with_nation, table(spark, sf_dir, "nation"), "n_nationkey", ["n_name"]).select("l_orderkey", "l_linenumber", "l_partkey", "n_name")
 
@@ -55,19 +56,19 @@ def first_label(spark, sf_dir):
     return joins.lookup(table(spark, sf_dir, "customer").select("c_custkey"), first, "c_custkey", ["o_orderstatus"], strict=False)
 
 
-@query("""SELECT p_partkey, p_size <> 0 AND p_size <> 7 AS carcinoma, p_brand FROM (SELECT p_partkey, p_brand, CASE WHEN p_size = 7 THEN 0 ELSE p_size END AS p_size FROM part) WHERE p_partkey % 2 = 0""")
+@query("SELECT p_partkey, p_size <> 17 AS carcinoma, p_brand FROM part WHERE p_size > 10")
 def graded_metadata(spark, sf_dir):
     size = F.col("p_size")
     rows = table(spark, sf_dir, "part").select(
-        "p_partkey", "p_brand", (F.col("p_partkey") % 2 == 0).alias("has_annotation"), F.lit(True).alias("has_segmentation"), F.lit("s").alias("segmentation_id"), F.when(size != 7, size).otherwise(0).alias("isup_grade")
+        "p_partkey", "p_brand", (size > 10).alias("has_annotation"), F.lit(True).alias("has_segmentation"), F.lit("s").alias("segmentation_id"), F.when(size != 17, size).otherwise(0).alias("isup_grade")
     )
     return labels.graded_metadata(rows).select("p_partkey", "carcinoma", "p_brand")
 
 
-@query("""SELECT doc_id AS slide_name, CAST(quality AS INT) AS target, CAST(n_chars AS DOUBLE) AS a__max, CAST(n_chars % 10 AS DOUBLE) AS a__topk FROM documents JOIN labels USING (doc_id) WHERE doc_id % 3 <> 0""")
+@query("""SELECT doc_id AS slide_name, CAST(quality AS INT) AS target, CAST(n_chars AS DOUBLE) AS a__max, CAST(n_chars % 10 AS DOUBLE) AS a__topk FROM documents JOIN labels USING (doc_id) WHERE toxic = 0""")
 def master_table(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").select(F.col("doc_id").alias("slide_name"), F.col("n_chars").alias("prediction"), F.col("quality").alias("target"))
-    return joins.master_table({"a__max": rows, "a__topk": rows.where("slide_name % 3 <> 0").withColumn("prediction", F.col("prediction") % 10)})
+    rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").select(F.col("doc_id").alias("slide_name"), F.col("n_chars").alias("prediction"), F.col("quality").alias("target"), "toxic")
+    return joins.master_table({"a__max": rows, "a__topk": rows.where("toxic = 0").withColumn("prediction", F.col("prediction") % 10)})
 
 
 @query("""SELECT doc_id AS slide_name, quality AS target, CAST(n_chars AS DOUBLE) AS a_pred_score, CAST(n_chars % 10 AS DOUBLE) AS b_pred_score, n_chars % 10 >= 5 AS b_pred_binary FROM documents JOIN labels USING (doc_id)""")

@@ -168,11 +168,11 @@ def embedding_attach(spark, sf_dir):
     return found.select("slide_id", "pos", "vec_id", F.round(F.col("embedding")[0].cast("double"), 6).alias("first_value"))
 
 
-@query("""WITH p AS (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS pos FROM embeddings)
-SELECT label AS slide_id, pos, vec_id FROM p WHERE vec_id % 3 = 0""")
+@query("""WITH p AS (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS pos, embedding[1] AS first_value FROM embeddings)
+SELECT label AS slide_id, pos, vec_id FROM p WHERE first_value > 0""")
 def embedding_filter(spark, sf_dir):
     numbered = joins.positions(table(spark, sf_dir, "embeddings").withColumnRenamed("label", "slide_id"), "slide_id", ["vec_id"])
-    return joins.surviving_embeddings(numbered.select("slide_id", "pos", "vec_id"), numbered.where("vec_id % 3 = 0"))
+    return joins.surviving_embeddings(numbered.select("slide_id", "pos", "vec_id"), numbered.where("embedding[0] > 0"))
 
 
 @query("SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))) / 64, 6) AS mean_value, round(CAST(list_max(embedding) AS DOUBLE), 6) AS largest, 66 AS padded_size FROM embeddings")
