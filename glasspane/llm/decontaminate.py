@@ -28,8 +28,9 @@ from pyspark.sql import functions as F
 from .common import per_block, stored, table, utf8
 
 WIDTH, CONTAINMENT, HASHES, BASE = 5, 0.8, 64, 8
-#: Test items that go to the tasks at once (about 40 MB of index), and bits of the first lookup.
-ITEM_BLOCK, TABLE_BITS = 40_000, 20
+#: Test items, and their characters, that go to the tasks at once: an index of about 60 MB at most.
+#: A single longer item is a block of its own.
+ITEM_BLOCK, ITEM_CHARS = 40_000, 20_000_000
 WORD = re.compile(r"[^\W_]+")
 
 _seed = np.random.Generator(np.random.PCG64(20_240_501))
@@ -105,10 +106,12 @@ class Index:
                     values = shingles(hasher(self.items[i][1].split(" ")), width)
                     for k in range(HASHES):
                         minima[k, at] = _mixed(values, k).min()
-                seen = np.zeros((HASHES, 1 << TABLE_BITS >> 3), np.uint8)
+                # a first lookup of 16 to 32 bits an item
+                mask = (1 << max(12, (16 * len(members)).bit_length())) - 1
+                seen = np.zeros((HASHES, (mask + 1) >> 3), np.uint8)
                 exact = []
                 for k in range(HASHES):
-                    low = minima[k] & np.uint32((1 << TABLE_BITS) - 1)
+                    low = minima[k] & np.uint32(mask)
                     np.bitwise_or.at(seen[k], low >> np.uint32(3), np.uint8(1) << (low & np.uint32(7)).astype(np.uint8))
                     order = np.argsort(minima[k], kind="stable")
                     exact.append((minima[k][order], np.array(members)[order]))
@@ -152,8 +155,8 @@ class Index:
                     span *= 2
                 at = starts[u]
                 m = low[at]
-                bits = m & np.uint32((1 << TABLE_BITS) - 1)
                 seen, exact = self.tables[width, u]
+                bits = m & np.uint32(8 * seen.shape[1] - 1)
                 hit = np.flatnonzero(seen[k][bits >> np.uint32(3)] >> (bits & np.uint32(7)).astype(np.uint8) & 1)
                 if len(hit):
                     keys, items = exact[k]
@@ -164,13 +167,16 @@ class Index:
 
 
 def _item_blocks(items: DataFrame, size: int) -> Iterator[list[tuple[int, str]]]:
-    """The items, size at a time; a row with null id or text is left out."""
+    """The items, at most so many and ITEM_CHARS characters at a time; a row with null id or
+    text is left out."""
     block: list[tuple[int, str]] = []
+    chars = 0
     for row in items.where("item_id is not null and text is not null").select("item_id", "text").toLocalIterator():
-        block.append((row.item_id, row.text))
-        if len(block) == size:
+        if block and (len(block) == size or chars + len(row.text) > ITEM_CHARS):
             yield block
-            block = []
+            block, chars = [], 0
+        block.append((row.item_id, row.text))
+        chars += len(row.text)
     if block:
         yield block
 
