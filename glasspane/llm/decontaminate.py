@@ -4,12 +4,10 @@ Words are lower-cased runs of letters and digits; a shingle is five words in a r
 of fewer words is one shingle of its own width). A document is contaminated by an item if it
 holds at least 80 % of the item's distinct shingles.
 
-MinHash containment search, partitioned by size: a class takes the items of more than u/2 and at
-most u shingles. For it a document is cut into windows of 2u shingles, one starting every u
-shingles, so that a passage of u shingles lies whole in some window, however long the document
-is; at 80 % containment its Jaccard likeness with that window is at least 0.19. A window and an
-item are compared where any of 64 hash functions has the same minimum in both, which at 0.19
-misses 1 passage in 700,000. What that finds is verified: shingles of the whole document,
+The search misses nothing. A document may lack at most d - ceil(0.8 d) of an item's d distinct
+shingles, so of any d - ceil(0.8 d) + 1 of them it holds one. So many of each item, those that the
+fewest other items have, are its probes; the document's shingles, wherever they lie, are looked up
+among all probes, as 32-bit numbers. What that finds is verified: shingles of the whole document,
 compared as words, are counted.
 
 Items are a query set: they go to the tasks in blocks of bounded size, one pass over the
@@ -18,6 +16,7 @@ documents for each block; documents are never shuffled.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -27,15 +26,12 @@ from pyspark.sql import functions as F
 
 from .common import per_block, stored, table, utf8
 
-WIDTH, CONTAINMENT, HASHES, BASE = 5, 0.8, 64, 8
+WIDTH, CONTAINMENT = 5, 0.8
 #: Test items, and their characters, that go to the tasks at once: an index of about 60 MB at most.
 #: A single longer item is a block of its own.
 ITEM_BLOCK, ITEM_CHARS = 40_000, 20_000_000
 WORD = re.compile(r"[^\W_]+")
 
-_seed = np.random.Generator(np.random.PCG64(20_240_501))
-MULTIPLY = _seed.integers(0, 2**31, HASHES, np.uint32) * np.uint32(2) + np.uint32(1)
-ADD = _seed.integers(0, 2**32, HASHES, np.uint32)
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -76,46 +72,39 @@ def shingles(hashes: np.ndarray, width: int) -> np.ndarray:
     return (out >> np.uint64(32)).astype(np.uint32)
 
 
-def _mixed(values: np.ndarray, k: int, out: np.ndarray | None = None) -> np.ndarray:
-    """The k-th hash function: a linear permutation of 32-bit numbers."""
-    out = np.multiply(values, MULTIPLY[k], out=out)
-    out += ADD[k]
-    return out
-
-
 class Index:
-    """Minima of the items of one block, by shingle width and size class."""
+    """Probes of the items of one block, by shingle width."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], containment: float):
         hasher = WordHash()
         self.items: list[tuple[int, str, int]] = []  # id, words, shingle width
-        self.classes: dict[int, dict[int, list[int]]] = {}
+        members: dict[int, list[int]] = {}
         for item_id, text in items:
             words = words_of(text)
             if not words:
                 continue
             width = min(WIDTH, len(words))
-            u = max(BASE, 1 << (len(words) - width).bit_length())
-            self.classes.setdefault(width, {}).setdefault(u, []).append(len(self.items))
+            members.setdefault(width, []).append(len(self.items))
             self.items.append((item_id, " ".join(words), width))
-        self.tables: dict[tuple[int, int], tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]] = {}
-        for width, by_size in self.classes.items():
-            for u, members in by_size.items():
-                minima = np.zeros((HASHES, len(members)), np.uint32)
-                for at, i in enumerate(members):
-                    values = shingles(hasher(self.items[i][1].split(" ")), width)
-                    for k in range(HASHES):
-                        minima[k, at] = _mixed(values, k).min()
-                # a first lookup of 16 to 32 bits an item
-                mask = (1 << max(12, (16 * len(members)).bit_length())) - 1
-                seen = np.zeros((HASHES, (mask + 1) >> 3), np.uint8)
-                exact = []
-                for k in range(HASHES):
-                    low = minima[k] & np.uint32(mask)
-                    np.bitwise_or.at(seen[k], low >> np.uint32(3), np.uint8(1) << (low & np.uint32(7)).astype(np.uint8))
-                    order = np.argsort(minima[k], kind="stable")
-                    exact.append((minima[k][order], np.array(members)[order]))
-                self.tables[width, u] = seen, exact
+        #: By width: a first lookup of 16 to 32 bits a probe, the probes in order, and their items.
+        self.tables: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for width, places in members.items():
+            own = [np.unique(shingles(hasher(self.items[i][1].split(" ")), width)) for i in places]
+            every, holders = np.unique(np.concatenate(own), return_counts=True)
+            probes = []
+            for i, values in zip(places, own, strict=True):
+                d = len(self.distinct(i))
+                most = d - max(1, math.ceil(containment * d)) + 1
+                rare = np.argsort(holders[np.searchsorted(every, values)], kind="stable")
+                probes.append(values[rare[:most]])
+            keys = np.concatenate(probes)
+            owners = np.repeat(np.array(places), [len(x) for x in probes])
+            order = np.argsort(keys, kind="stable")
+            mask = (1 << max(12, (16 * len(keys)).bit_length())) - 1
+            seen = np.zeros((mask + 1) >> 3, np.uint8)
+            low = keys & np.uint32(mask & 0xFFFFFFFF)
+            np.bitwise_or.at(seen, low >> np.uint32(3), np.uint8(1) << (low & np.uint32(7)).astype(np.uint8))
+            self.tables[width] = seen, keys[order], owners[order]
 
     def distinct(self, i: int) -> set[tuple[str, ...]]:
         """The shingles of an item."""
@@ -123,46 +112,20 @@ class Index:
         return set(zip(*(words[k:] for k in range(width)), strict=False))
 
     def candidates(self, hashes: np.ndarray, bounds: np.ndarray, width: int) -> set[tuple[int, int]]:
-        """(document, item) places that share a minimum in some window. hashes: of all words of
-        a block of documents; bounds: where each document begins, and the end."""
-        n = np.maximum(np.diff(bounds) - width + 1, 0)
-        owner = np.flatnonzero(n)
-        if not len(owner):
-            return set()
+        """(document, item) places where the document holds a probe of the item. hashes: of all
+        words of a block of documents; bounds: where each document begins, and the end."""
+        seen, keys, owners = self.tables[width]
         values = shingles(hashes, width)
-        sizes = -(-n[owner] // BASE)
-        doc_of = np.repeat(owner, sizes)
-        begin = np.repeat(np.cumsum(sizes) - sizes, sizes)
-        last = np.repeat(np.cumsum(sizes) - 1, sizes)
-        own = np.arange(len(doc_of))
-        # base blocks of a document end with its last shingle; what lies between two documents
-        # (shingles across their border) is cut off as a block of its own
-        first = bounds[:-1][doc_of] + (own - begin) * BASE
-        stop = np.minimum(first + BASE, (bounds[:-1] + n)[doc_of])
-        cuts = np.stack([first, stop], 1).ravel()
-        cuts = cuts[:-1] if cuts[-1] >= len(values) else cuts
-        room = np.empty_like(values)
+        bits = values & np.uint32(min(8 * len(seen) - 1, 0xFFFFFFFF))
+        hit = np.flatnonzero(seen[bits >> np.uint32(3)] >> (bits & np.uint32(7)).astype(np.uint8) & 1)
+        doc = np.searchsorted(bounds, hit, "right") - 1
+        inside = hit + width <= bounds[doc + 1]  # not across the border of two documents
+        pairs = np.unique(doc[inside].astype(np.uint64) << np.uint64(32) | values[hit[inside]])
+        probes = (pairs & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        left, right = np.searchsorted(keys, probes, "left"), np.searchsorted(keys, probes, "right")
         found: set[tuple[int, int]] = set()
-        wanted = sorted(u for w, u in self.tables if w == width)
-        starts = {u: np.flatnonzero((own - begin) % max(1, u // BASE) == 0) for u in wanted}
-        ahead = {s: np.minimum(own + s, last) for s in (1 << i for i in range((2 * wanted[-1] // BASE).bit_length()))}
-        for k in range(HASHES):
-            low = np.minimum.reduceat(_mixed(values, k, room), cuts)[::2]
-            span = 1
-            for u in wanted:
-                while span < 2 * u // BASE:
-                    low = np.minimum(low, low[ahead[span]])
-                    span *= 2
-                at = starts[u]
-                m = low[at]
-                seen, exact = self.tables[width, u]
-                bits = m & np.uint32(8 * seen.shape[1] - 1)
-                hit = np.flatnonzero(seen[k][bits >> np.uint32(3)] >> (bits & np.uint32(7)).astype(np.uint8) & 1)
-                if len(hit):
-                    keys, items = exact[k]
-                    left, right = np.searchsorted(keys, m[hit], "left"), np.searchsorted(keys, m[hit], "right")
-                    for h, a, b in zip(doc_of[at[hit]].tolist(), left.tolist(), right.tolist(), strict=True):
-                        found.update((h, int(i)) for i in items[a:b])
+        for d, a, b in zip((pairs >> np.uint64(32)).tolist(), left.tolist(), right.tolist(), strict=True):
+            found.update((d, i) for i in owners[a:b].tolist())
         return found
 
 
@@ -192,7 +155,7 @@ def matches(docs: DataFrame, items: DataFrame, containment: float = CONTAINMENT,
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), utf8().alias("text"))
 
     def part(members: list[tuple[int, str]]) -> DataFrame:
-        index = Index(members)
+        index = Index(members, containment)
         sent = docs.sparkSession.sparkContext.broadcast(index)
 
         def make():
@@ -204,7 +167,7 @@ def matches(docs: DataFrame, items: DataFrame, containment: float = CONTAINMENT,
                 bounds = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
                 hashes = hasher([w for t in texts for w in t])
                 out = []
-                for width in index.classes:
+                for width in index.tables:
                     own: dict[int, set] = {}
                     for d, i in sorted(index.candidates(hashes, bounds, width)):
                         if d not in own:

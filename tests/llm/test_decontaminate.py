@@ -73,3 +73,26 @@ def test_query_over_a_whole_table(spark):
     sf = "/root/testdata/sf0.001"
     read = lambda t, k: [(r[k], r.text) for r in spark.read.parquet(f"{sf}/{t}.parquet").collect()]
     assert sorted(map(tuple, d.op5_decontamination(spark, sf).collect()), key=str) == brute(read("documents", "doc_id"), read("benchmark", "item_id"))
+
+
+def test_short_and_repetitive_items_in_long_documents(spark):
+    """Items of one shingle and items whose shingles repeat, at 80 % and just below, also dealt out
+    over a document; all of them in many long documents."""
+    r = random.Random(5)
+    own = lambda n: [f"x{r.randrange(10**6)}" for _ in range(n)]
+    items = [own(n) for n in (1, 2, 4, 5, 5, 5)] + [own(1) * 40, own(5) * 12, own(5) * 25, own(7) * 6, own(3) * 30, own(60), own(104)]
+    docs = []
+    for i in range(120):
+        body = [r.choice(VOCABULARY) for _ in range(r.choice([400, 2500]))]
+        for part in r.sample(items, 4):
+            cut = r.choice([len(part), len(part), max(1, len(part) // 4)])
+            for piece in (part[cut:], part[:cut]):
+                at = r.randrange(len(body) + 1)
+                body[at:at] = piece
+        docs.append((i, " ".join(body)))
+    named = [(i, " ".join(w)) for i, w in enumerate(items)]
+    want = brute(docs, named)
+    assert len(want) > 200
+    assert sorted(map(tuple, d.matches(*frames(spark, docs, named)).collect()), key=str) == want
+    for limit in (0.05, 0.5, 1.0):
+        assert sorted(map(tuple, d.matches(*frames(spark, docs, named), containment=limit).collect()), key=str) == brute(docs, named, limit)
