@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glasspane.operators.curves import roc_auc
+#: Rows whose places, and rows times scores whose values, are sent to every task; with more, Spark
+#: chooses how to join.
+SENT_ROWS, SENT_SCORES = 500_000, 1_000_000
+#: Draws that a task is dealt (one replicate at least), and that it lists at a time.
+TASK_DRAWS, CHUNK = 4_000_000, 16_384
 
 
 def value_shares(df: DataFrame, column: str) -> DataFrame:
@@ -78,25 +82,50 @@ def quality_sweep(df: DataFrame, limits: dict[str, float]) -> DataFrame:
     return long.groupBy("measure").agg(F.count_if(~F.isnan("x") & (F.col("x") >= F.col("limit"))).alias("n"))
 
 
-def bootstrap_auc_differences(df: DataFrame, key: str, target: str, base: str, other: str, n_boot: int, seed: int = 42) -> DataFrame:
-    """replicate and delta = AUC(other) - AUC(base) over resamples with replacement; resamples
-    with a single class are left out.
+def resampled_aucs(df: DataFrame, key: str, target: str, scores: list[str], n_boot: int, seed: int = 42) -> DataFrame:
+    """replicate and the auc of each score column (under its place in scores, "0", "1", ...) over
+    resamples with replacement; null where a class is absent. df must be unique in key.
 
-    Each of n_boot x n draws takes the row whose place (by hash) is a seeded hash of the draw: all
-    replicates are one join and one grouped AUC, and give the same result on every run. df must
-    be unique in key.
+    Each of n_boot x n draws takes the row whose place (by hash) is a seeded hash of the draw, so
+    every run gives the same result, and all scores share the draws. A replicate is drawn, counted
+    by kind of row (target and scores) and summed in the task that its number is dealt to: draws
+    are never shuffled while the places can be sent to the tasks.
     """
+    from pyspark.sql import Window as W
+
     from glasspane.operators.ranks import hash_rank
 
     spark = df.sparkSession
-    rows = hash_rank(df.select(key, F.col(target).cast("int").alias("target"), base, other).withColumn("__all", F.lit(0)), ["__all"], [key], seed, "place")
-    n = df.count()
-    draws = spark.range(n_boot * n).select(F.floor(F.col("id") / max(n, 1)).alias("replicate"), (F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(max(n, 1))) + 1).alias("place"))
-    entries = F.explode(F.array(F.struct(F.lit("base").alias("side"), F.col(base).alias("score")), F.struct(F.lit("other").alias("side"), F.col(other).alias("score"))))
-    drawn = draws.join(rows, "place").select("replicate", "target", entries.alias("e")).select("replicate", "target", "e.side", "e.score")
-    aucs = roc_auc(drawn, "score", "target", ["replicate", "side"])
-    wide = aucs.groupBy("replicate").agg(F.max(F.when(F.col("side") == "other", F.col("auc"))).alias("o"), F.max(F.when(F.col("side") == "base", F.col("auc"))).alias("b"))
-    return wide.where("o is not null and b is not null").select("replicate", (F.col("o") - F.col("b")).alias("delta"))
+    sides = [f"__s{i}" for i in range(len(scores))]
+    plain = df.select(key, F.col(target).cast("int").alias("__t"), *(F.col(f"`{c}`").cast("double").alias(s) for s, c in zip(sides, scores, strict=True)))
+    rows = hash_rank(plain.withColumn("__all", F.lit(0)), ["__all"], [key], seed, "place").select("place", "__t", *sides)
+    n = max(df.count(), 1)
+    sent = lambda x, fits: F.broadcast(x) if fits else x
+    kinds = rows.groupBy("__t", *sides).agg(F.min("place").alias("kind"))
+    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"k.{c}")) for c in ("__t", *sides)]
+    places = rows.alias("r").join(kinds.alias("k"), same).select("place", "kind")
+
+    tasks = min(n_boot, max(4 * spark.sparkContext.defaultParallelism, n_boot * n // TASK_DRAWS))
+    drawn = spark.range(n_boot).select(F.col("id").alias("replicate")).repartition(max(tasks, 1), "replicate")
+    first = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"), F.lit(CHUNK).cast("bigint")))
+    drawn = drawn.select("replicate", first.alias("first"))
+    drawn = drawn.select("replicate", F.explode(F.sequence("first", F.least(F.col("first") + (CHUNK - 1), F.lit(n - 1).cast("bigint")))).alias("draw"))
+    drawn = drawn.select("replicate", (F.pmod(F.xxhash64(F.lit(seed), F.col("replicate") * n + F.col("draw")), F.lit(n)) + 1).alias("place"))
+    counts = drawn.join(sent(places, n <= SENT_ROWS), "place").groupBy("replicate", "kind").agg(F.count("*").alias("n"))
+    entries = F.explode(F.array(*(F.struct(F.lit(i).alias("side"), F.col(s).alias("score")) for i, s in enumerate(sides))))
+    known = kinds.where("__t is not null").select("kind", "__t", entries.alias("e")).select("kind", "__t", "e.side", "e.score")
+    known = known.where("not isnan(score) and abs(score) < double('infinity')")
+    points = counts.join(sent(known, n * len(scores) <= SENT_SCORES), "kind").groupBy("replicate", "side", "score").agg(F.sum(F.col("n") * F.col("__t")).alias("tp"), F.sum(F.col("n") * (1 - F.col("__t"))).alias("fp"))
+    below = F.sum("fp").over(W.partitionBy("replicate", "side").orderBy("score").rowsBetween(W.unboundedPreceding, 0))
+    area = F.sum(F.col("tp") * (F.col("below") - F.col("fp") / 2.0))
+    aucs = points.withColumn("below", below).groupBy("replicate", "side").agg(F.try_divide(area, F.sum("tp") * F.sum("fp").cast("double")).alias("auc"))
+    return aucs.groupBy("replicate").agg(*(F.max(F.when(F.col("side") == i, F.col("auc"))).alias(str(i)) for i in range(len(scores))))
+
+
+def bootstrap_auc_differences(df: DataFrame, key: str, target: str, base: str, other: str, n_boot: int, seed: int = 42) -> DataFrame:
+    """replicate and delta = AUC(other) - AUC(base) over resamples with replacement (see
+    resampled_aucs); resamples with a single class are left out."""
+    return resampled_aucs(df, key, target, [base, other], n_boot, seed).select("replicate", (F.col("1") - F.col("0")).alias("delta")).where("delta is not null")
 
 
 def non_inferiority(deltas: DataFrame, margin: float = 0.02, by: list[str] | None = None) -> DataFrame:
@@ -111,14 +140,12 @@ def non_inferiority(deltas: DataFrame, margin: float = 0.02, by: list[str] | Non
 
 def non_inferiority_table(master: DataFrame, models: list[str], methods: list[str], n_boot: int, margin: float = 0.02, base: str = "max", key: str = "slide_name", target: str = "target", seed: int = 42) -> DataFrame:
     """model, method and the columns of non_inferiority for every model (columns
-    <model>__<method>), its base method against each other one."""
-    parts = None
-    for model in models:
-        for method in methods:
-            rows = master.select(key, target, F.col(f"`{model}__{base}`").alias("__base"), F.col(f"`{model}__{method}`").alias("__other"))
-            one = bootstrap_auc_differences(rows, key, target, "__base", "__other", n_boot, seed).select(F.lit(model).alias("model"), F.lit(method).alias("method"), "delta")
-            parts = one if parts is None else parts.union(one)
-    return non_inferiority(parts, margin, ["model", "method"])
+    <model>__<method>), its base method against each other one; all share the draws."""
+    columns = {f"{model}__{method}": None for model in models for method in (base, *methods)}
+    at = {c: F.col(str(i)) for i, c in enumerate(columns)}
+    pairs = [F.struct(F.lit(model).alias("model"), F.lit(method).alias("method"), (at[f"{model}__{method}"] - at[f"{model}__{base}"]).alias("delta")) for model in models for method in methods]
+    deltas = resampled_aucs(master, key, target, list(columns), n_boot, seed).select(F.explode(F.array(*pairs)).alias("d")).select("d.*").where("delta is not null")
+    return non_inferiority(deltas, margin, ["model", "method"])
 
 
 def difference(one: DataFrame, other: DataFrame) -> DataFrame:

@@ -8,6 +8,9 @@ from glasspane.operators import checks, splits, statistics, tiling
 from glasspane.plans.frames import digits, labelled, table
 from glasspane.plans.registry import query
 
+#: Resamples of a comparison, as in the reference.
+REPLICATES = 10_000
+
 
 @query("SELECT o_custkey AS grp, count(DISTINCT o_orderkey % 5) AS n_folds FROM orders GROUP BY 1 HAVING count(DISTINCT o_orderkey % 5) > 1")
 def group_leak_check(spark, sf_dir):
@@ -55,7 +58,7 @@ def weighted_sample(spark, sf_dir):
 @query()
 def bootstrap_ni(spark, sf_dir):
     rows = labelled(spark, sf_dir).select("doc_id", "quality", F.col("n_chars").cast("double").alias("base"), (F.col("n_chars") % 977).cast("double").alias("other"))
-    return statistics.non_inferiority(statistics.bootstrap_auc_differences(rows, "doc_id", "quality", "base", "other", 200))
+    return statistics.non_inferiority(statistics.bootstrap_auc_differences(rows, "doc_id", "quality", "base", "other", REPLICATES))
 
 
 @query()
@@ -63,7 +66,7 @@ def ni_table(spark, sf_dir):
     n = F.col("n_chars").cast("double")
     scores = {"a__max": n, "a__mpm": n % 977, "a__topk": n % 10, "b__max": -n, "b__mpm": n % 7, "b__topk": n}
     rows = labelled(spark, sf_dir).select(F.col("doc_id").alias("slide_name"), F.col("quality").alias("target"), *(c.alias(k) for k, c in scores.items()))
-    return statistics.non_inferiority_table(rows, ["a", "b"], ["mpm", "topk"], 50)
+    return statistics.non_inferiority_table(rows, ["a", "b"], ["mpm", "topk"], REPLICATES)
 
 
 @query("SELECT 'row' AS what, count(*) AS n FROM orders UNION ALL SELECT 'leak', 0 UNION ALL SELECT 'fold', 5")

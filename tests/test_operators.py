@@ -416,6 +416,41 @@ def test_bootstrap(spark):
     assert all(r.delta == 0 for r in statistics.bootstrap_auc_differences(df, "k", "t", "base", "base", 5).collect())
 
 
+def test_resampled_table_equals_brute_force(spark):
+    """The draws, taken one by one in Python: ties, missing scores and targets, all models at once."""
+    from glasspane.operators.ranks import hash_rank
+
+    r, n, boot = random.Random(3), 37, 60
+    odd = lambda v: r.choice([v, v, v, v, v, None, NAN, float("inf")])
+    rows = [(i, r.choice([0, 1, 1, None]), *(odd(float(r.randrange(m))) for m in (4, 50, 9, 50))) for i in range(n)]
+    df = spark.createDataFrame(rows, "slide_name int, target int, a__max double, a__mpm double, b__max double, b__mpm double")
+    place = {x.place: x.slide_name for x in hash_rank(df.withColumn("all", F.lit(0)), ["all"], ["slide_name"], 42, "place").collect()}
+    draws = [place[x.p] for x in spark.range(n * boot).select("id", (F.pmod(F.xxhash64(F.lit(42), "id"), F.lit(n)) + 1).alias("p")).orderBy("id").collect()]
+
+    def auc(some, column):
+        seen = [(x[1], x[column]) for x in some if x[1] is not None and x[column] is not None and abs(x[column]) < float("inf")]
+        pos, neg = [s for t, s in seen if t], [s for t, s in seen if not t]
+        return sum((p > q) + (p == q) / 2 for p in pos for q in neg) / (len(pos) * len(neg)) if pos and neg else None
+
+    want = {}
+    for model, base in (("a", 2), ("b", 4)):
+        pairs = [(auc(some, base), auc(some, base + 1)) for k in range(boot) for some in [[rows[i] for i in draws[k * n : k * n + n]]]]
+        want[model] = [o - b for b, o in pairs if b is not None and o is not None]
+    got = {x.model: x for x in statistics.non_inferiority_table(df, ["a", "b"], ["mpm"], boot).collect()}
+    for model, deltas in want.items():
+        assert got[model].n == len(deltas) and got[model].mean_delta == pytest.approx(sum(deltas) / len(deltas))
+    deltas = statistics.bootstrap_auc_differences(df, "slide_name", "target", "a__max", "a__mpm", boot)
+    assert sorted(x.delta for x in deltas.collect()) == pytest.approx(sorted(want["a"]))
+    assert statistics.bootstrap_auc_differences(df.where("false"), "slide_name", "target", "a__max", "a__mpm", 5).collect() == []
+
+
+@pytest.mark.parametrize("name", ["bootstrap_ni", "ni_table"])
+def test_registered_comparisons_draw_as_often_as_the_reference(spark, name):
+    from glasspane.plans import registry
+
+    assert {x.n for x in registry.QUERIES[name](spark, "/root/testdata/sf0.001").collect()} == {10_000}
+
+
 def test_partitions(spark):
     ids = spark.range(10)
     checks.assert_partition(ids, [ids.where("id < 4"), ids.where("id >= 4")], "id")
