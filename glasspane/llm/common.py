@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import shutil
 import tempfile
 import uuid
@@ -10,7 +11,8 @@ from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  pa.compute
-from pyspark.sql import DataFrame, SparkSession
+from pyarrow import fs
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows and characters that one task holds in Python at a time.
@@ -30,15 +32,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_local_bases: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir, which driver and executors share.
 
-    Only where the cluster names none (as in tests, on one machine) it is a local folder.
+    Where the session names none, a temporary folder on a single machine (as in tests); on a
+    cluster that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="glasspane-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        context = spark.sparkContext
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        if context.applicationId not in _local_bases:
+            _local_bases[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="glasspane-")
+        base = _local_bases[context.applicationId]
     return f"{base.rstrip('/')}/glasspane-{uuid.uuid4().hex}"
 
 
@@ -48,7 +58,23 @@ def stored(df: DataFrame, where: str | None = None) -> DataFrame:
     spark = df.sparkSession
     where = where or shared_dir(spark)
     df.write.mode("overwrite").parquet(where)
-    return spark.read.schema(df.schema).parquet(where)
+    found = spark.read.schema(df.schema).parquet(where)
+    found._glasspane_folder = where
+    return found
+
+
+def release(*frames: DataFrame) -> None:
+    """Delete what stored() wrote for frames that nothing reads any more."""
+    for df in frames:
+        if where := getattr(df, "_glasspane_folder", None):
+            store, path = fs.FileSystem.from_uri(where)
+            store.delete_dir(path)
+
+
+def row_key(text: str = "text") -> Column:
+    """20 bytes that tell rows apart, also those that share a doc_id or have none: the SHA-1 of
+    doc_id and text (null text as empty)."""
+    return F.unhex(F.sha1(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit("\n"), F.coalesce(F.col(text).cast("string"), F.lit("")))))
 
 
 def utf8(column: str = "text"):

@@ -1,16 +1,19 @@
 """Near-duplicates by 64-bit SimHash, found through the binary Golay code (23, 12).
 
-A fingerprint is cut into three segments of at most 22 bits. Two fingerprints that differ in at
-most 3 bits agree up to one bit in at least two of the segments. A 23-bit word u has one
-codeword within 3 bits, D(u), and K(u) = the codewords within 4 bits: one of them or, where
-D(u) is 3 away, six. If u and v differ in at most one bit then D(u) is in K(v): D(u) is at most
-3 from u, so at most 4 from v. So every pair to find shares, for one of the three pairs of
-segments, a key (D, D) of one with a key of K x K of the other: 3 keys a fingerprint on one side
-and 3 to 108 on the other join, and XOR verifies.
+A fingerprint is cut into three segments of at most 22 bits. If two fingerprints differ in at
+most 3 bits then either one segment is equal and another agrees up to one bit, or all three agree
+up to one bit. A 23-bit word u has one codeword within 3 bits, D(u), and K(u) = the codewords
+within 4 bits: one of them or, where D(u) is 3 away, six. If u and v differ in at most one bit
+then D(u) is in K(v), and D(v) in K(u): D(u) is at most 3 from u, so at most 4 from v. So every
+pair to find shares one of seven kinds of key: a whole segment with D of another on one side and
+with each of K on the other, or a codeword of each segment, (D, K, D) on one side and (K, D, K) on
+the other. That is about 11 keys of 34 to 36 bits for a fingerprint on one side and 60 on the
+other, which join; XOR verifies.
 
 Only distinct fingerprints take part. Within a key, links of a group need not be listed as
 pairs: a task finds what is connected and passes on one link for each fingerprint but the
-smallest. Keys with many fingerprints are split over tasks.
+smallest. Of a key with many fingerprints the first side is split over tasks, past which the
+second streams.
 """
 
 from __future__ import annotations
@@ -23,16 +26,17 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import per_block, ship, stored, table, utf8
+from .common import per_block, release, row_key, ship, stored, table, utf8
 from .components import components
 
 WIDTH, SEED, MAX_BITS = 3, 42, 3
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
-PAIRS = ((0, 1), (0, 2), (1, 2))
+#: Which segment is whole in a key and which gives a codeword.
+WHOLE_AND_NEAR = ((0, 1), (0, 2), (1, 0), (1, 2), (2, 0), (2, 1))
 #: Generator polynomial of the code: x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1 (fixed value).
 GENERATOR = 0xC75
-#: Fingerprints of the smaller side of a key that one task compares with the other side.
-CHUNK = 4_096
+#: Fingerprints of a key's first side that one task holds, about; the other side's it holds at a time.
+CHUNK = 16_384
 
 
 def _syndromes(words: np.ndarray) -> np.ndarray:
@@ -74,13 +78,24 @@ class Golay:
         return d, k, np.concatenate([np.ones((len(words), 1), bool), np.repeat(self.has_far[s][:, None], 5, 1)], 1)
 
 
-def key_lists(fps: np.ndarray, code: Golay) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The 3 keys of one side; all keys of the other side, flat, and how many each has."""
-    d, k, ok = zip(*(code.near_and_all((fps >> np.uint64(at)).astype(np.int64) & ((1 << n) - 1)) for at, n in SEGMENTS), strict=True)
-    one = np.stack([p << 24 | d[i] << 12 | d[j] for p, (i, j) in enumerate(PAIRS)], 1)
-    many = np.stack([p << 24 | k[i][:, :, None] << 12 | k[j][:, None, :] for p, (i, j) in enumerate(PAIRS)], 1).reshape(len(fps), -1)
-    keep = np.stack([ok[i][:, :, None] & ok[j][:, None, :] for i, j in PAIRS], 1).reshape(len(fps), -1)
-    return one, many[keep], keep.sum(1)
+def key_lists(fps: np.ndarray, code: Golay) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For either side all keys, flat, and how many each fingerprint has."""
+    words = [(fps >> np.uint64(at)).astype(np.int64) & ((1 << n) - 1) for at, n in SEGMENTS]
+    d, k, ok = zip(*map(code.near_and_all, words), strict=True)
+    n, always = len(fps), np.ones((len(fps), 1), bool)
+    first, second = [], []
+    for kind, (i, j) in enumerate(WHOLE_AND_NEAR):
+        top = (kind << 40 | words[i] << 12)[:, None]
+        first.append((top | d[j][:, None], always))
+        second.append((top | k[j], ok[j]))
+    top = len(WHOLE_AND_NEAR) << 40
+    first.append((top | d[0][:, None] << 24 | k[1] << 12 | d[2][:, None], ok[1]))
+    second.append(((top | k[0][:, :, None] << 24 | d[1][:, None, None] << 12 | k[2][:, None, :]).reshape(n, -1), (ok[0][:, :, None] & ok[2][:, None, :]).reshape(n, -1)))
+    out = []
+    for side in (first, second):
+        keys, keep = (np.concatenate(x, 1) for x in zip(*side, strict=True))
+        out.append((keys[keep], keep.sum(1)))
+    return out
 
 
 def fingerprint(text: bytes) -> int:
@@ -104,16 +119,20 @@ def fingerprint(text: bytes) -> int:
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp (the 64 bits as a signed number); null text counts as empty."""
+def fingerprints(docs: DataFrame, with_key: bool = False) -> DataFrame:
+    """doc_id and fp (the 64 bits as a signed number), and row_key() as key if asked for; null
+    text counts as empty."""
 
     def make():
         def work(block):
-            return {"doc_id": block["doc_id"], "fp": np.array([fingerprint(t) for t in block["text"]], np.uint64).view(np.int64)}
+            return {**{c: block[c] for c in kept}, "fp": np.array([fingerprint(t) for t in block["text"]], np.uint64).view(np.int64)}
 
         return work
 
-    return per_block(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), utf8().alias("text")), "text", make, "doc_id bigint, fp bigint")
+    kept = ["doc_id", "key"] if with_key else ["doc_id"]
+    key = [row_key().alias("key")] if with_key else []
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), utf8().alias("text"), *key)
+    return per_block(rows, "text", make, "doc_id bigint" + ", key binary" * with_key + ", fp bigint")
 
 
 def _labels(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -167,6 +186,8 @@ def _links_of_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     kept: list[tuple[np.ndarray, ...]] = []
 
     def solve(key, part, many, fp):
+        if not len(key):
+            return
         new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (part[1:] != part[:-1])]))
         size = np.diff(np.append(new, len(key)))
         run = np.repeat(np.arange(len(new)), size)
@@ -211,6 +232,11 @@ def _links_of_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             ready = [*kept[:-1], tuple(x[:cut] for x in kept[-1])]
             kept = [tuple(x[cut:] for x in kept[-1])]
             yield from solve(*(np.concatenate(x) for x in zip(*ready, strict=True)))
+        if sum(x[2].sum() for x in kept) > CHUNK:  # of a long run only the first side stays
+            run = tuple(np.concatenate(x) for x in zip(*kept, strict=True))
+            goes_on = (run[0] == run[0][-1]) & (run[1] == run[1][-1])
+            yield from solve(*run)
+            kept = [tuple(x[goes_on & ~run[2]] for x in run)]
     if kept:
         yield from solve(*(np.concatenate(x) for x in zip(*kept, strict=True)))
 
@@ -223,8 +249,8 @@ def links(fps: DataFrame) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 10_000):
                 fp = batch.column(0).slice(at, 10_000)
-                one, many, n = key_lists(fp.to_numpy().view(np.uint64), code)
-                lists = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(c)]).astype(np.int32)), pa.array(v)) for v, c in ((one.ravel(), np.full(len(one), 3)), (many, n))]
+                sides = key_lists(fp.to_numpy().view(np.uint64), code)
+                lists = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(v)) for v, n in sides]
                 yield pa.RecordBatch.from_arrays([fp, *lists], names=["fp", "one", "many"])
 
     ship(fps.sparkSession)
@@ -240,7 +266,15 @@ def links(fps: DataFrame) -> DataFrame:
         one_part = F.array(F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
         rows = rows.select("key", F.explode(F.when(F.col("many"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(one_part)).alias("part"), "many", "fp")
     n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(n, "key", "part").sortWithinPartitions("key", "part").mapInArrow(_links_of_runs, "a bigint, b bigint")
+    return rows.repartition(n, "key", "part").sortWithinPartitions("key", "part", "many").mapInArrow(_links_of_runs, "a bigint, b bigint")
+
+
+def _with_roots(first: DataFrame) -> DataFrame:
+    """first (fp and other columns, a row for each fp) with root, the least fp that links reach."""
+    tree = components(links(first.select("fp")))
+    out = stored(first.join(tree.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")))
+    release(tree)
+    return out
 
 
 def groups(docs: DataFrame) -> DataFrame:
@@ -251,21 +285,32 @@ def groups(docs: DataFrame) -> DataFrame:
     """
     marked = stored(fingerprints(docs))
     first = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    tree = components(links(first.select("fp")))
-    tree = stored(tree.union(tree.select(F.col("root").alias("node"), "root").distinct()))
-    roots = stored(tree.join(first, tree["node"] == first["fp"]).groupBy("root").agg(F.min("first_id").alias("component_id")))
-    reached = tree.join(roots, "root").select(F.col("node").alias("fp"), "component_id")
-    final = stored(first.join(reached, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id")))
+    rooted = _with_roots(first)
+    ids = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    final = stored(rooted.join(ids, "root").select("fp", "component_id"))
+    release(first, rooted)
     return marked.join(final, "fp").select("doc_id", "fp", "component_id")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """One document of each group, with its columns: the one with the smallest doc_id. Of
-    rows that repeat that doc_id one stays; rows without doc_id stay as they are."""
-    known = docs.where("doc_id is not null")
-    keep = stored(groups(known).where("doc_id = component_id").select("doc_id").distinct())
-    kept = known.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return kept.union(docs.where("doc_id is null"))
+    """One row of each group, with its columns: the one with the smallest doc_id (none counts as
+    the largest), of those that share it the one with the least row_key(). Rows with one doc_id
+    and unlike texts are different rows; of rows with the same doc_id and text one stays.
+
+    What goes is stored first, so that Spark knows how little it is: the texts are shuffled only
+    where it is too much to broadcast.
+    """
+    marked = stored(fingerprints(docs, with_key=True))
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")
+    rooted = _with_roots(stored(marked.groupBy("fp").agg(F.min(row).alias("least"))))
+    kept = stored(rooted.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.key").alias("key")))
+    gone = stored(marked.select("key").join(kept, "key", "left_anti").distinct().withColumnRenamed("key", "__key"))
+    repeated = stored(marked.join(kept, "key", "left_semi").groupBy("key").count().where("count > 1").select(F.col("key").alias("__key")))
+    rows = docs.withColumn("__key", row_key()).join(gone, "__key", "left_anti")
+    if not repeated.isEmpty():
+        rows = rows.join(repeated, "__key", "left_anti").union(rows.join(repeated, "__key", "left_semi").dropDuplicates(["__key"]))
+    release(marked, rooted, kept)
+    return rows.select(*docs.columns)
 
 
 def op8_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,3 +1,4 @@
+import hashlib
 import random
 import re
 
@@ -41,10 +42,12 @@ def test_every_pair_within_three_bits_shares_a_key():
     code = simhash.Golay()
     base = [rng.getrandbits(64) for _ in range(4000)]
     near = [x ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 3))) for x in base]
-    one, _, _ = simhash.key_lists(np.array(base, np.uint64), code)
-    _, many, n = simhash.key_lists(np.array(near, np.uint64), code)
-    at = np.concatenate([[0], np.cumsum(n)])
-    assert all(set(one[i].tolist()) & set(many[at[i] : at[i + 1]].tolist()) for i in range(len(base)))
+    sides = [simhash.key_lists(np.array(x, np.uint64), code) for x in (base, near)]
+    of = lambda side, i: set(side[0][sum(side[1][:i]) : sum(side[1][: i + 1])].tolist())
+    for i in random.Random(4).sample(range(len(base)), 300):
+        assert of(sides[0][0], i) & of(sides[1][1], i) and of(sides[1][0], i) & of(sides[0][1], i)
+    for _, n in sides[0]:
+        assert n.min() >= 7 and n.max() <= 72
 
 
 def planted(n, rng):
@@ -94,10 +97,45 @@ def test_rows(spark):
     assert want[5] == 3 and want[7] == 4
     kept = simhash.deduplicated(docs)
     assert kept.columns == docs.columns
-    assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted([3, 4, 8, None], key=str)
+    assert sorted(r.doc_id for r in kept.collect()) == [3, 4, 8]
     assert simhash.groups(docs.where("false")).collect() == []
 
 
+def brute_kept(rows):
+    """Places of the rows that stay: the first of each component by (no id, id, digest)."""
+    label = brute_components({i: brute_fingerprint(t) for i, (_, t) in enumerate(rows)})
+    digest = lambda r: hashlib.sha1(f"{'null' if r[0] is None else r[0]}\n{r[1] or ''}".encode()).digest()
+    best = {}
+    for i, r in enumerate(rows):
+        key = (r[0] is None, r[0] or 0, digest(r))
+        best[label[i]] = min(best.get(label[i], (key, r)), (key, r), key=lambda x: x[0])
+    return sorted(((r[0], r[1] or "") for _, r in best.values()), key=str)
+
+
+def test_unlike_texts_of_one_id_stay(spark):
+    rng = random.Random(8)
+    words = ["w%d" % i for i in range(3000)]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    long = text(20_000)
+    near = long.replace(long.split()[300], "other", 1)
+    rows = [(5, text(50)), (5, text(50)), (7, text(50)), (5, long), (6, near), (6, near), (None, long), (None, text(50)), (None, text(50)), (8, None), (8, ""), (9, "")]
+    rows += [(2, text(30))] * 5 + [(None, text(30))] * 3
+    docs = spark.createDataFrame([(i, t, n, "k") for n, (i, t) in enumerate(rows)], "doc_id long, text string, fp int, key string")
+    got = simhash.deduplicated(docs)
+    assert got.columns == docs.columns
+    assert sorted(((r.doc_id, r.text or "") for r in got.collect()), key=str) == brute_kept(rows)
+    assert simhash.deduplicated(docs.where("false")).collect() == []
+
+
+def test_full_keys_are_streamed(spark, monkeypatch):
+    """Fingerprints that share a whole segment, in many small chunks."""
+    monkeypatch.setattr(simhash, "CHUNK", 4)
+    rng = random.Random(6)
+    fps = [(x & 0x1FFFFF) << 22 | 0x15555 for x in planted(150, rng)]
+    want = brute_components({int(np.uint64(x).astype(np.int64)): x for x in set(fps)})
+    assert run_components(spark, fps) == want and len(set(want.values())) > 1
+
+
 def test_query_over_a_whole_table(spark):
     d = "/root/testdata/sf0.001"
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
