@@ -4,32 +4,41 @@ Words are lower-cased runs of letters and digits; a shingle is five words in a r
 of fewer words is one shingle of its own width). A document is contaminated by an item if it
 holds at least 80 % of the item's distinct shingles.
 
-The search misses nothing. A document may lack at most d - ceil(0.8 d) of an item's d distinct
-shingles, so of any d - ceil(0.8 d) + 1 of them it holds one. So many of each item, those that the
-fewest other items have, are its probes; the document's shingles, wherever they lie, are looked up
-among all probes, as 32-bit numbers. What that finds is verified: shingles of the whole document,
-compared as words, are counted.
-
-Items are a query set: they go to the tasks in blocks of bounded size, one pass over the
-documents for each block; documents are never shuffled.
+The search is MinHash for containment: only the small side, the item, is sketched, by its least
+hashes (bottom-k), and these are looked up among the hashes of the whole document. Likeness of two
+sketches would go to zero as documents grow; this doesn't. Items are partitioned by size, powers
+of two of their distinct shingles d, and a partition has one sketch size k, over 20 % of its
+largest d. A document may lack at most m = d - ceil(0.8 d) of an item's shingles, so it holds at
+least k - m >= 1 hashes of the sketch: items that reach this are candidates, and nothing is missed,
+whatever the length, form or place. The least hashes are taken in an order that puts shingles
+first that few items of the block have, so that a common phrase makes no candidates where an item
+has others. Candidates are verified: shingles of the whole document, compared as words, are counted.
+
+Items are a query set: tasks normalise them and write them to the shared folder in blocks of
+bounded size; a task that searches documents loads one block after another and keeps the last few
+sketched. The driver sees only names of blocks; documents are read once and never shuffled.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections import OrderedDict
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.parquet as pq
+from pyarrow import fs
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import per_block, stored, table, utf8
+from .common import per_block, release, row_key, shared_dir, stored, table, utf8
 
 WIDTH, CONTAINMENT = 5, 0.8
-#: Test items, and their characters, that go to the tasks at once: an index of about 60 MB at most.
-#: A single longer item is a block of its own.
+#: Test items, and their characters, of a block, about: a sketched block takes 60 MB at most.
 ITEM_BLOCK, ITEM_CHARS = 40_000, 20_000_000
+#: Sketched blocks that a Python worker keeps; bytes of documents that meet each block together,
+#: where all blocks are kept and where they must be loaded again.
+KEPT_BLOCKS, DOC_BYTES, MORE_DOC_BYTES = 2, 1_500_000, 12_000_000
 WORD = re.compile(r"[^\W_]+")
 
 STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -72,76 +81,161 @@ def shingles(hashes: np.ndarray, width: int) -> np.ndarray:
     return (out >> np.uint64(32)).astype(np.uint32)
 
 
+def _lacking(d: int, containment: float) -> int:
+    """How many of d shingles a document may lack; it must hold one at least."""
+    return d - max(1, math.ceil(containment * d))
+
+
+class Partition:
+    """Sketches of items of like size: their hashes in order, with the items that have them, and
+    how many an item's sketch must share with a document."""
+
+    def __init__(self, keys: np.ndarray, owners: np.ndarray):
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.owners = keys[order], owners[order]
+
+    def candidates(self, doc: np.ndarray, values: np.ndarray, need: np.ndarray) -> list[tuple[int, int]]:
+        """(document, item) from distinct (document, hash); need: by item."""
+        left, right = np.searchsorted(self.keys, values, "left"), np.searchsorted(self.keys, values, "right")
+        n = right - left
+        if not n.any():
+            return []
+        at = np.repeat(left - np.cumsum(n) + n, n) + np.arange(n.sum())
+        pairs, shared = np.unique(np.repeat(doc, n).astype(np.int64) << 32 | self.owners[at], return_counts=True)
+        pairs = pairs[shared >= need[pairs & 0xFFFFFFFF]]
+        return list(zip((pairs >> 32).tolist(), (pairs & 0xFFFFFFFF).tolist(), strict=True))
+
+
 class Index:
-    """Probes of the items of one block, by shingle width."""
+    """Sketches of the items (id, words, shingle width) of one block, by width and size."""
 
-    def __init__(self, items: list[tuple[int, str]], containment: float):
+    def __init__(self, items: list[tuple[int, str, int]], containment: float):
+        self.items, self.need = items, np.ones(len(items), np.int64)
+        self._sets: dict[int, set[tuple[str, ...]]] = {}
         hasher = WordHash()
-        self.items: list[tuple[int, str, int]] = []  # id, words, shingle width
-        members: dict[int, list[int]] = {}
-        for item_id, text in items:
-            words = words_of(text)
-            if not words:
-                continue
-            width = min(WIDTH, len(words))
-            members.setdefault(width, []).append(len(self.items))
-            self.items.append((item_id, " ".join(words), width))
-        #: By width: a first lookup of 16 to 32 bits a probe, the probes in order, and their items.
-        self.tables: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-        for width, places in members.items():
-            own = [np.unique(shingles(hasher(self.items[i][1].split(" ")), width)) for i in places]
+        #: By width: a first lookup of 16 to 32 bits a hash, and the partitions by size.
+        self.tables: dict[int, tuple[np.ndarray, list[Partition]]] = {}
+        for width in sorted({w for _, _, w in items}):
+            places = [i for i, item in enumerate(items) if item[2] == width]
+            own = [np.unique(shingles(hasher(items[i][1].split(" ")), width)) for i in places]
             every, holders = np.unique(np.concatenate(own), return_counts=True)
-            probes = []
+            sketches: dict[int, list[tuple[int, np.ndarray]]] = {}
             for i, values in zip(places, own, strict=True):
                 d = len(self.distinct(i))
-                most = d - max(1, math.ceil(containment * d)) + 1
-                rare = np.argsort(holders[np.searchsorted(every, values)], kind="stable")
-                probes.append(values[rare[:most]])
-            keys = np.concatenate(probes)
-            owners = np.repeat(np.array(places), [len(x) for x in probes])
-            order = np.argsort(keys, kind="stable")
-            mask = (1 << max(12, (16 * len(keys)).bit_length())) - 1
+                size = d.bit_length()
+                k = _lacking((1 << size) - 1, containment) + 1
+                least = values[np.lexsort((values, holders[np.searchsorted(every, values)]))[:k]]
+                self.need[i] = max(1, len(least) - _lacking(d, containment))
+                sketches.setdefault(size, []).append((i, least))
+            parts = [Partition(np.concatenate([v for _, v in x]), np.repeat([i for i, _ in x], [len(v) for _, v in x])) for x in sketches.values()]
+            n = sum(len(p.keys) for p in parts)
+            mask = (1 << max(12, (16 * n).bit_length())) - 1
             seen = np.zeros((mask + 1) >> 3, np.uint8)
-            low = keys & np.uint32(mask & 0xFFFFFFFF)
-            np.bitwise_or.at(seen, low >> np.uint32(3), np.uint8(1) << (low & np.uint32(7)).astype(np.uint8))
-            self.tables[width] = seen, keys[order], owners[order]
+            for p in parts:
+                low = p.keys & np.uint32(mask & 0xFFFFFFFF)
+                np.bitwise_or.at(seen, low >> np.uint32(3), np.uint8(1) << (low & np.uint32(7)).astype(np.uint8))
+            self.tables[width] = seen, parts
 
     def distinct(self, i: int) -> set[tuple[str, ...]]:
         """The shingles of an item."""
-        words, width = self.items[i][1].split(" "), self.items[i][2]
-        return set(zip(*(words[k:] for k in range(width)), strict=False))
-
-    def candidates(self, hashes: np.ndarray, bounds: np.ndarray, width: int) -> set[tuple[int, int]]:
-        """(document, item) places where the document holds a probe of the item. hashes: of all
-        words of a block of documents; bounds: where each document begins, and the end."""
-        seen, keys, owners = self.tables[width]
+        if i not in self._sets:
+            if len(self._sets) > 2_000:
+                self._sets.clear()
+            words, width = self.items[i][1].split(" "), self.items[i][2]
+            self._sets[i] = set(zip(*(words[k:] for k in range(width)), strict=False))
+        return self._sets[i]
+
+    def candidates(self, hashes: np.ndarray, bounds: np.ndarray, width: int) -> list[tuple[int, int]]:
+        """(document, item) places, in order, where the document shares enough of the item's
+        sketch. hashes: of all words of some documents; bounds: where each begins, and the end."""
+        seen, parts = self.tables[width]
         values = shingles(hashes, width)
         bits = values & np.uint32(min(8 * len(seen) - 1, 0xFFFFFFFF))
         hit = np.flatnonzero(seen[bits >> np.uint32(3)] >> (bits & np.uint32(7)).astype(np.uint8) & 1)
         doc = np.searchsorted(bounds, hit, "right") - 1
         inside = hit + width <= bounds[doc + 1]  # not across the border of two documents
         pairs = np.unique(doc[inside].astype(np.uint64) << np.uint64(32) | values[hit[inside]])
-        probes = (pairs & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-        left, right = np.searchsorted(keys, probes, "left"), np.searchsorted(keys, probes, "right")
-        found: set[tuple[int, int]] = set()
-        for d, a, b in zip((pairs >> np.uint64(32)).tolist(), left.tolist(), right.tolist(), strict=True):
-            found.update((d, i) for i in owners[a:b].tolist())
-        return found
-
-
-def _item_blocks(items: DataFrame, size: int) -> Iterator[list[tuple[int, str]]]:
-    """The items, at most so many and ITEM_CHARS characters at a time; a row with null id or
-    text is left out."""
-    block: list[tuple[int, str]] = []
-    chars = 0
-    for row in items.where("item_id is not null and text is not null").select("item_id", "text").toLocalIterator():
-        if block and (len(block) == size or chars + len(row.text) > ITEM_CHARS):
-            yield block
-            block, chars = [], 0
-        block.append((row.item_id, row.text))
-        chars += len(row.text)
-    if block:
-        yield block
+        docs, probes = (pairs >> np.uint64(32)).astype(np.int64), (pairs & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        return sorted(x for p in parts for x in p.candidates(docs, probes, self.need))
+
+
+def item_blocks(items: DataFrame, size: int = ITEM_BLOCK) -> DataFrame:
+    """item_id, words and width of the items that have words, stored in files of about `size`
+    items and ITEM_CHARS characters. Null ids and texts are left out; repeated items stay."""
+
+    def make():
+        def work(block):
+            words = [words_of(t.decode("utf-8", "replace")) for t in block["text"]]
+            return {"item_id": block["item_id"], "words": [" ".join(w) for w in words], "width": [min(WIDTH, len(w)) for w in words]}
+
+        return work
+
+    known = items.where("item_id is not null and text is not null").select(F.col("item_id").cast("bigint").alias("item_id"), utf8().alias("text"))
+    plain = stored(per_block(known, "text", make, "item_id bigint, words string, width int").where("width > 0"))
+    sizes = plain.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("words")), F.lit(0)).alias("chars")).first()
+    n = max(1, math.ceil(sizes.n / size), math.ceil(sizes.chars / ITEM_CHARS))
+    out = stored(plain.repartition(n))
+    release(plain)
+    return out
+
+
+_LOADED: OrderedDict[tuple[str, float], list[Index]] = OrderedDict()
+
+
+def loaded(path: str, containment: float) -> list[Index]:
+    """The sketches of a stored block, a part of at most ITEM_CHARS characters (or one item) each;
+    the last few blocks are kept by the worker."""
+    if (path, containment) not in _LOADED:
+        while len(_LOADED) >= KEPT_BLOCKS:
+            _LOADED.popitem(last=False)
+        store, where = fs.FileSystem.from_uri(path)
+        parts, chars = [[]], 0
+        with store.open_input_file(where) as data:
+            for batch in pq.ParquetFile(data).iter_batches(2_000):
+                for item in zip(*(batch[c].to_pylist() for c in ("item_id", "words", "width")), strict=True):
+                    if parts[-1] and chars + len(item[1]) > ITEM_CHARS:
+                        parts.append([])
+                        chars = 0
+                    parts[-1].append(item)
+                    chars += len(item[1])
+        _LOADED[path, containment] = [Index(p, containment) for p in parts if p]
+    _LOADED.move_to_end((path, containment))
+    return _LOADED[path, containment]
+
+
+def _search(docs: DataFrame, own: Column, kind: str, items: DataFrame, containment: float, block: int) -> DataFrame:
+    """own (of SQL type kind) of the document rows, and what matches() returns."""
+    blocks = item_blocks(items, block)
+    folder = blocks._glasspane_folder
+    store, root = fs.FileSystem.from_uri(folder)
+    paths = sorted(f"{folder}/{x.base_name}" for x in store.get_file_info(fs.FileSelector(root)) if x.base_name.endswith(".parquet"))
+    columns = ("own", "item_id", "shared", "item_shingles", "containment")
+
+    def make():
+        hasher = WordHash()
+
+        def work(batch):
+            texts = [words_of(t.decode("utf-8", "replace")) for t in batch["text"]]
+            bounds = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+            hashes = hasher([w for t in texts for w in t])
+            out = []
+            for index in (index for path in paths for index in loaded(path, containment)):
+                for width in index.tables:
+                    held: dict[int, set] = {}
+                    for d, i in index.candidates(hashes, bounds, width):
+                        if d not in held:
+                            t = texts[d]
+                            held = {d: set(zip(*(t[k:] for k in range(width)), strict=False))}
+                        distinct = index.distinct(i)
+                        shared = len(held[d] & distinct)
+                        if shared >= containment * len(distinct):
+                            out.append((batch["own"][d], index.items[i][0], shared, len(distinct), shared / len(distinct)))
+            return dict(zip(columns, zip(*out, strict=True) if out else ([],) * 5, strict=True))
+
+        return work
+
+    rows = docs.select(own.alias("own"), utf8().alias("text"))
+    return per_block(rows, "text", make, f"own {kind}, item_id bigint, shared int, item_shingles int, containment double", max_bytes=DOC_BYTES if len(paths) <= KEPT_BLOCKS else MORE_DOC_BYTES)
 
 
 def matches(docs: DataFrame, items: DataFrame, containment: float = CONTAINMENT, block: int = ITEM_BLOCK) -> DataFrame:
@@ -151,52 +245,18 @@ def matches(docs: DataFrame, items: DataFrame, containment: float = CONTAINMENT,
     Null or empty texts and items without words match nothing; repeated rows give repeated
     matches; no items or no documents give no rows.
     """
-    schema = "doc_id bigint, item_id bigint, shared int, item_shingles int, containment double"
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), utf8().alias("text"))
-
-    def part(members: list[tuple[int, str]]) -> DataFrame:
-        index = Index(members, containment)
-        sent = docs.sparkSession.sparkContext.broadcast(index)
-
-        def make():
-            hasher = WordHash()
-
-            def work(batch):
-                index = sent.value
-                texts = [words_of(t.decode("utf-8", "replace")) for t in batch["text"]]
-                bounds = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
-                hashes = hasher([w for t in texts for w in t])
-                out = []
-                for width in index.tables:
-                    own: dict[int, set] = {}
-                    for d, i in sorted(index.candidates(hashes, bounds, width)):
-                        if d not in own:
-                            t = texts[d]
-                            own = {d: set(zip(*(t[k:] for k in range(width)), strict=False))}
-                        item_id, distinct = index.items[i][0], index.distinct(i)
-                        shared = sum(s in own[d] for s in distinct)
-                        if shared >= containment * len(distinct):
-                            out.append((batch["doc_id"][d], item_id, shared, len(distinct), shared / len(distinct)))
-                return dict(zip(("doc_id", "item_id", "shared", "item_shingles", "containment"), zip(*out, strict=True) if out else ([],) * 5, strict=True))
-
-            return work
-
-        return per_block(rows, "text", make, schema, max_bytes=1_500_000)
-
-    found = None
-    for members in _item_blocks(items, block):
-        found = part(members) if found is None else found.union(part(members))
-    return found if found is not None else docs.sparkSession.createDataFrame([], schema)
+    return _search(docs, F.col("doc_id").cast("bigint"), "bigint", items, containment, block).withColumnRenamed("own", "doc_id")
 
 
 def clean(docs: DataFrame, items: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
-    """The documents that no item contaminates, all their columns; null doc_id stays.
+    """The rows that no item contaminates, all their columns. Of rows that share a doc_id, or
+    have none, only those whose own text is contaminated go.
 
-    The ids found are stored first, so that Spark knows how few they are and needn't shuffle
-    the documents.
+    What goes is stored first, so that Spark knows how little it is: the texts are shuffled only
+    where it is too much to broadcast.
     """
-    found = stored(matches(docs, items, containment).select("doc_id").where("doc_id is not null").distinct())
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    found = stored(_search(docs, row_key(), "binary", items, containment, ITEM_BLOCK).select(F.col("own").alias("__key")).distinct())
+    return docs.withColumn("__key", row_key()).join(found, "__key", "left_anti").select(*docs.columns)
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

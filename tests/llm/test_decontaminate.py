@@ -57,6 +57,30 @@ def test_equal_to_brute_force_in_any_block_size(spark):
         assert got == want
 
 
+def test_blocks_are_bounded_and_loaded_in_turn(spark, monkeypatch):
+    """More blocks than a worker keeps; the driver has only their names."""
+    docs, items = planted()
+    blocks = d.item_blocks(frames(spark, docs, items)[1], 4)
+    files = [r.f for r in blocks.selectExpr("_metadata.file_path f").distinct().collect()]
+    assert len(files) == 3 and blocks.count() == len(items)
+    for f in files:
+        assert sum(len(i.items) for i in d.loaded(f, 0.8)) == 4
+    assert len(d._LOADED) == d.KEPT_BLOCKS
+    monkeypatch.setattr(d, "ITEM_CHARS", 100)
+    d._LOADED.clear()
+    parts = [i for f in files for i in d.loaded(f, 0.8)]
+    assert len(parts) > 3 and all(len(i.items) == 1 or sum(len(x[1]) for x in i.items) <= 100 for i in parts)
+
+
+def test_sketch_sizes(spark):
+    """k of a partition, and how many of its hashes a document at 80 % has at least."""
+    texts = [" ".join(words(n + 4)) for n in (1, 4, 5, 9, 10, 31, 32, 63, 100)]
+    index = d.Index([(i, t, 5) for i, t in enumerate(texts)], 0.8)
+    for i, n in enumerate([1, 4, 5, 9, 10, 31, 32, 63, 100]):
+        top = (1 << n.bit_length()) - 1
+        assert index.need[i] == min(n, top // 5 + 1) - n // 5 >= 1
+
+
 def test_odd_rows(spark):
     items = [(1, "a b c d e f"), (1, "a b c d e f"), (2, None), (3, ""), (4, "?!"), (None, "a b c d e"), (5, "one")]
     docs = [(1, None), (2, ""), (3, "A, b. c D e f"), (3, "A, b. c D e f"), (None, "x a b c d e f"), (4, "one " * 40_000)]
@@ -64,7 +88,10 @@ def test_odd_rows(spark):
     assert got == brute(docs, items)
     a, b = frames(spark, docs, items)
     kept = d.clean(a, b)
-    assert kept.columns == a.columns and sorted((r.doc_id for r in kept.collect()), key=str) == [1, 2, None]
+    assert kept.columns == a.columns and sorted((r.doc_id for r in kept.collect()), key=str) == [1, 2]
+    mixed = [(7, "a b c d e f"), (7, "another text"), (None, "a b c d e f"), (None, "another text"), (None, "another text")]
+    left = [(r.doc_id, r.text) for r in d.clean(frames(spark, mixed, items)[0], b).collect()]
+    assert sorted(left, key=str) == [(7, "another text"), (None, "another text"), (None, "another text")]
     assert d.matches(a.where("false"), b).collect() == [] and d.matches(a, b.where("false")).collect() == []
     assert d.clean(a, b.where("false")).count() == len(docs)
 
