@@ -66,10 +66,55 @@ def test_files_are_rolled_sorted_deterministic_and_listed(spark, tmp_path):
     assert not [f for f in os.listdir(tmp_path / "a") if f.startswith(".tmp")]
 
 
+def listed(spark, where):
+    return sorted(map(tuple, spark.read.parquet(f"{where}/files").collect()))
+
+
+def test_same_files_whatever_the_partitions(spark, tmp_path):
+    """All of sf0.1, in several ranges, from other partitions and with other settings."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    found = []
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for name, n, df in (("a", 4, pages), ("b", 11, pages.repartition(7, "url")), ("c", 2, pages.repartition(23))):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            warc.write(df, archive(tmp_path, name), target_bytes=300_000, range_bytes=1 << 20)
+            found.append(listed(spark, archive(tmp_path, name)))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert found[0] == found[1] == found[2]
+    assert len({f[0].rsplit("-", 1)[0] for f in found[0]}) > 3 and sum(f[1] for f in found[0]) == pages.count()
+    in_order = [(f[4], f[5]) for f in found[0]]
+    assert all(a[1] <= b[0] for a, b in zip(in_order, in_order[1:], strict=False))
+
+
+def test_a_hot_id_has_ranges_of_its_own(spark, tmp_path):
+    """A third of the rows share an id, a third have none; every record has an id of its own."""
+    rows = [([7, None, i][i % 3], f"http://x/{i}", f"page {i // 6} " * 40) for i in range(600)]
+    where = archive(tmp_path, "a")
+    warc.write(spark.createDataFrame([(*r, "d", 7) for r in rows], SCHEMA), where, range_bytes=20_000)
+    files = listed(spark, where)
+    for i in (7, None):
+        own = [f for f in files if f[4] == i and f[5] == i]
+        assert len(own) > 2 and sum(f[1] for f in own) == 200
+    ids = []
+    for f in files:
+        data = gzip.decompress((tmp_path / "a" / f[0]).read_bytes())
+        ids += [line for line in data.split(b"\r\n") if line.startswith(b"WARC-Record-ID")]
+    assert len(ids) == 600 == len(set(ids))
+    got = warc.read(spark, where).collect()
+    best = {}
+    for i, _, t in rows:
+        best[t] = max(best.get(t, -1), -1 if i is None else i)
+    assert sorted((r.page_id or -1, r.payload_bytes) for r in got) == sorted((-1 if i is None else i, len(t)) for i, _, t in rows)
+    assert sum(r.record_type == "response" for r in got) == len(best)
+    assert all(r.refers_to in best.values() for r in got if r.record_type == "revisit" and r.refers_to is not None)
+
+
 def test_headers(spark, tmp_path):
     record = warc.record(7, "http://x/", b"body", "revisit", "D", 4, 9)
     parsed = warc.parse(record)
-    assert parsed["headers"]["warc-refers-to"] == "<urn:x-page:9>" and parsed["payload"] == b"" and "Content-Length: 4" in parsed["http"]
+    assert parsed["headers"]["warc-refers-to"] == "<urn:x-page:9:D:0>" and parsed["headers"]["warc-record-id"] == "<urn:x-page:7:D:0>" and parsed["payload"] == b"" and "Content-Length: 4" in parsed["http"]
     block = base64.b32encode(hashlib.sha1(parsed["block"]).digest()).decode()
     assert parsed["headers"]["warc-block-digest"] == f"sha1:{block}"
 
