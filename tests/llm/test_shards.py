@@ -1,8 +1,9 @@
 import os
+import random
 
 import pytest
 
-from glasspane.llm.shards import Store, op6_tiered_shards
+from glasspane.llm.shards import ARRIVALS, SMALLEST, Store, op6_tiered_shards
 
 
 def rows(spark, ids):
@@ -61,7 +62,81 @@ def test_what_was_not_committed_is_not_there(spark, tmp_path):
     s.append(rows(spark, range(10, 20)))
     assert content(s.read()) == content(rows(spark, range(20)))
     with pytest.raises(FileExistsError):
-        s._commit(s.manifest(), rows(spark, []).schema, 2)
+        s._commit([], rows(spark, []).schema, 2)
+    assert not [f for f in os.listdir(tmp_path / "s" / "manifest") if f.startswith(".new")]
+
+
+def test_two_writers_race(spark, tmp_path):
+    """Both look before either commits: the loser commits after the winner, no row is lost."""
+    s, other = store(spark, tmp_path), store(spark, tmp_path)
+    commit, calls = s._commit, []
+
+    def late(*args):
+        if not calls:
+            calls.append(other.append(rows(spark, range(10, 20))))
+        return commit(*args)
+
+    s._commit = late
+    assert s.append(rows(spark, range(10))) == 2 and calls == [1]
+    assert content(s.read()) == content(rows(spark, range(20)))
+
+
+def test_an_append_while_tiers_merge_and_versions_expire(spark, tmp_path):
+    s, other = store(spark, tmp_path), store(spark, tmp_path)
+    for i in range(4):
+        s.append(rows(spark, range(i * 10, i * 10 + 10)).coalesce(1))
+    commit, calls = s._commit, []
+
+    def late(*args):
+        if not calls:
+            calls.append(other.append(rows(spark, range(40, 50)).coalesce(1)))
+        return commit(*args)
+
+    s._commit = late
+    s.compact()
+    assert calls == [5] and content(s.read()) == content(rows(spark, range(50)))
+    data = tmp_path / "s" / "data"
+    held = {r.path.rsplit("/", 2)[1] for r in s.manifest().collect()}
+    assert {f for f in os.listdir(data) if f.startswith("c")} <= held  # what the lost race merged is gone
+
+    slow, seen = store(spark, tmp_path), []
+    listing = slow._list
+
+    def expiring(entries):
+        if not seen:
+            seen.append(True)
+            s.append(rows(spark, range(60, 70)))
+            s.expire()
+        return listing(entries)
+
+    slow._list = expiring
+    slow.append(rows(spark, range(50, 60)))
+    assert content(slow.read()) == content(rows(spark, range(70)))
+    slow.expire()
+    assert content(slow.read()) == content(rows(spark, range(70))) and len(slow.versions()) == 1
+    lists = [f for f in os.listdir(tmp_path / "s" / "manifest") if f.startswith("list-")]
+    assert sorted(lists) == sorted(slow._marker(slow.version())["lists"])
+
+
+def test_tiers_equal_a_brute_force_plan(spark, tmp_path):
+    s = store(spark, tmp_path)
+    r = random.Random(3)
+    for fanout in (2, 3, 4):
+        target = 64 * SMALLEST
+        sizes = [r.choice([0, 1, SMALLEST - 1, SMALLEST, fanout * SMALLEST - 1, fanout * SMALLEST, fanout**2 * SMALLEST, r.randrange(target)]) for _ in range(40)]
+
+        def number(size, fanout=fanout):
+            n = 0
+            while size >= SMALLEST * fanout ** (n + 1):
+                n += 1
+            return n
+
+        want = {}
+        for i, size in enumerate(sizes):
+            if size < target // 2:
+                want.setdefault(number(size), []).append(f"p{i:02d}")
+        manifest = spark.createDataFrame([(f"p{i:02d}", size, 1) for i, size in enumerate(sizes)], "path string, bytes long, rows long")
+        assert s.due(manifest, target, fanout) == {t: sorted(p) for t, p in want.items() if len(p) >= fanout}
 
 
 def test_empty_and_repeated_rows(spark, tmp_path):
@@ -75,12 +150,15 @@ def test_empty_and_repeated_rows(spark, tmp_path):
     assert content(s.read()) == content(rows(spark, [1, 1, 1]))
 
 
-def test_query_over_a_whole_table(spark):
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
+def test_query_over_a_whole_table(spark, sf):
     import hashlib
 
-    d = "/root/testdata/sf0.01"
+    d = f"/root/testdata/{sf}"
     got = op6_tiered_shards(spark, d).collect()
     docs = spark.read.parquet(f"{d}/documents.parquet").collect()
     want = sorted((r.doc_id, len(r.text), hashlib.sha256(r.text.encode()).hexdigest()) for r in docs)
     assert sorted((r.doc_id, r.n_chars, r.text_sha256) for r in got) == want
     assert all(r.shard.startswith(("a0", "c0")) and "/0" in r.shard for r in got)
+    merged = {r.shard for r in got if r.shard.startswith("c0")}
+    assert merged and len({r.shard for r in got}) < ARRIVALS
