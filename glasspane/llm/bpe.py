@@ -4,7 +4,8 @@ A text is cut into units (a run of non-space with the one space before it, or th
 run of space); no match of the split pattern crosses a unit, so each distinct unit of a block
 is encoded once. The distinct pattern matches go into padded matrices by length; in each round
 every row merges its leftmost pair of minimum rank, found by a hashed pair lookup, and the
-matrix closes the gap (compaction) and drops rows that are done.
+matrix closes the gap (compaction) and drops rows that are done. A match longer than LONGEST_ROW
+bytes is folded into a matrix of slices of its own, so that a merge closes the gap in one slice.
 
 Null text is empty: no tokens, the digests of nothing. Special tokens are ordinary text.
 """
@@ -13,7 +14,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 from itertools import chain
 
 import numpy as np
@@ -26,8 +26,8 @@ from .common import per_block, table, utf8
 NONE = np.int32(2**31 - 1)
 #: Units kept between blocks; beyond that a task forgets and fills anew (results stay the same).
 CACHE_UNITS = 250_000
-#: Matches with more bytes merge by a heap: a matrix row would take a round per merge over all of it.
-LONGEST_ROW = 2_048
+#: Matches with more bytes are folded into slices: as one row, each round would go over all of it.
+LONGEST_ROW, SLICE = 2_048, 512
 UNIT = r"\s?\S+|\s+(?!\S)|\s+"
 
 
@@ -114,25 +114,38 @@ class Tokenizer:
                     ranks[r[ok], side[ok]] = self.pairs.find(toks[r[ok], side[ok]], toks[r[ok], side[ok] + 1])
         return done
 
-    def _heap(self, word: bytes) -> list[int]:
-        ids = [int(self.byte_id[b]) for b in word]
-        following, before = list(range(1, len(ids) + 1)), list(range(-1, len(ids) - 1))
+    def _folded(self, word: bytes) -> list[int]:
+        """Ids of one long match, as rows of SLICE tokens; each round merges its leftmost pair of
+        minimum rank, which may reach into the next row, and closes the gap in one row."""
+        ids, n = self.byte_id[np.frombuffer(word, np.uint8)], len(word)
+        height = -(-n // SLICE)
+        toks, ranks = np.full((height, SLICE), -1, np.int32), np.full((height, SLICE), NONE, np.int32)
+        toks.reshape(-1)[:n] = ids
+        ranks.reshape(-1)[: n - 1] = self.pairs.find(ids[:-1], ids[1:])
+        size, least = [min(SLICE, n - SLICE * r) for r in range(height)], ranks.min(1)
+        after, before = list(range(1, height + 1)), list(range(-1, height - 1))  # rows that hold tokens
         get, names = self.ranks.get, self.bytes_of
-        heap = [(r, i, ids[i], ids[i + 1]) for i in range(len(ids) - 1) if (r := get(names[ids[i]] + names[ids[i + 1]])) is not None]
-        heapq.heapify(heap)
-        while heap:
-            rank, i, a, b = heapq.heappop(heap)
-            j = following[i]
-            if ids[i] != a or j >= len(ids) or ids[j] != b:
-                continue
-            ids[i], ids[j] = rank, -1
-            following[i] = following[j]
-            if following[j] < len(ids):
-                before[following[j]] = i
-            for k in (before[i], i):
-                if k >= 0 and (n := following[k]) < len(ids) and (r := get(names[ids[k]] + names[ids[n]])) is not None:
-                    heapq.heappush(heap, (r, k, ids[k], ids[n]))
-        return [x for x in ids if x >= 0]
+        rank = lambda a, b: get(names[a] + names[b], NONE)
+        while (best := least[r := int(least.argmin())]) != NONE:
+            at = int(ranks[r].argmin())
+            row, gap = (r, at + 1) if at + 1 < size[r] else (after[r], 0)
+            toks[r, at] = best
+            m = size[row] = size[row] - 1
+            for matrix, empty in ((toks, -1), (ranks, NONE)):
+                matrix[row, gap:m] = matrix[row, gap + 1 : m + 1]
+                matrix[row, m] = empty
+            if not m:
+                after[r] = after[row]
+                if after[r] < height:
+                    before[after[r]] = r
+            right = toks[r, at + 1] if at + 1 < size[r] else toks[after[r], 0] if after[r] < height else -1
+            ranks[r, at] = rank(best, right) if right >= 0 else NONE
+            if at or before[r] >= 0:
+                p, q = (r, at - 1) if at else (before[r], size[before[r]] - 1)
+                ranks[p, q] = rank(toks[p, q], best)
+                least[p] = ranks[p].min()
+            least[r], least[row] = ranks[r].min(), ranks[row].min()
+        return toks[toks >= 0].tolist()
 
     def encode_words(self, words: list[bytes]) -> list[list[int]]:
         """Ids of pattern matches, each merged by itself, in buckets of like length."""
@@ -142,7 +155,7 @@ class Tokenizer:
             if (whole := self.ranks.get(w)) is not None:
                 out[i] = [whole]
             elif len(w) > LONGEST_ROW:
-                out[i] = self._heap(w)
+                out[i] = self._folded(w)
             elif w:
                 buckets.setdefault(1 << (len(w) - 1).bit_length() if len(w) < 8 else -(-len(w) // 4) * 4 if len(w) < 64 else 1 << (len(w) - 1).bit_length(), []).append(i)
         for width, members in buckets.items():

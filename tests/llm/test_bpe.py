@@ -29,6 +29,17 @@ def test_same_ids_as_the_public_library(brute):
     assert [tok.decode(ids).decode() for ids in tok.encode(texts())] == texts()
 
 
+def test_long_matches_are_folded(brute, monkeypatch):
+    """Slices that empty, merges across their borders, at slices of 2 to 512 tokens."""
+    r = random.Random(5)
+    long = ["a" * 40, "the" * 900, "".join(r.choice("etaoinshr") for _ in range(3000)), "".join(r.choice("abé🙂") for _ in range(1500)), "=" * 4099, "q" * 2049]
+    for width in (2, 3, 7, 64, 512):
+        monkeypatch.setattr(bpe, "SLICE", width)
+        monkeypatch.setattr(bpe, "LONGEST_ROW", 8)
+        tok = bpe.Tokenizer(PATH, P.PATTERN)
+        assert [tok.encode([t])[0] for t in long] == [brute.encode_ordinary(t) for t in long]
+
+
 def test_forgetting_changes_nothing(brute, monkeypatch):
     monkeypatch.setattr(bpe, "CACHE_UNITS", 3)
     tok = bpe.Tokenizer(PATH, P.PATTERN)
