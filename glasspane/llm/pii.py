@@ -35,9 +35,9 @@ SCHEMES = ("http://", "https://", "ftp://")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-VALUE = re.compile(r"[\"']?[ \t]{0,3}[:=][ \t]{0,3}[\"']?([A-Za-z0-9+/_-]{8,})")
-IBAN = re.compile(r"[ \t]{0,3}[:=]?[ \t]{0,3}([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{1,4}){3,8})(?![A-Za-z0-9])")
-LOGIN = re.compile(r"[A-Za-z0-9._%+-]+:[^\s/@:]{1,256}(?=@)")
+VALUE = re.compile(r"[\"']?[ \t]*[:=][ \t]*[\"']?([A-Za-z0-9+/_-]{8,})")
+IBAN = re.compile(r"[ \t]*(?:[:=][ \t]*)?([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{1,4}){3,8})(?![A-Za-z0-9])")
+LOGIN = re.compile(r"[A-Za-z0-9._%+-]+:[^\s/@:]+(?=@)")
 
 Span = tuple[str, int, int]
 

@@ -56,6 +56,20 @@ def test_accounts():
     assert one("see https://joe:s3cret@example.com/x") == [("account", 12, 22)] and one("https://example.com/a:b@c") == []
 
 
+def test_accounts_of_any_length_and_in_linear_time():
+    import time
+
+    machine = pii.automaton()
+    one = lambda t: [s for s in pii.find(t, machine) if s[0] == "account"]
+    gap = " " * 5000
+    assert one(f"token{gap}={gap}abcd1234") == [("account", 10_006, 10_014)] and one(f"iban{gap}DE89370400440532013000") == [("account", 5004, 5026)]
+    assert one("http://joe:" + "x" * 9000 + "@a.b") == [("account", 7, 9011)]
+    began = time.perf_counter()
+    for part in ("http://a:b", "token = ", "token" + " " * 50, "iban ", "iban DE89 ", "http://" + "a" * 50, "secret=1 "):
+        one(part * (1_000_000 // len(part)))
+    assert time.perf_counter() - began < 60
+
+
 def test_redaction():
     text = 'mail a.b@c.org or +1 (389) 555-5010, token = "9b0b3c6a43eb78aa99cb"'
     assert pii.redact(text, pii.find(text, pii.automaton())) == 'mail <EMAIL> or <PHONE>, token = "<ACCOUNT>"'
