@@ -1,6 +1,9 @@
 import itertools
 import math
 import random
+import re
+
+import pytest
 
 from glasspane.llm import urls
 
@@ -39,7 +42,7 @@ def test_hosts_paths_and_rules(spark):
         host, path = split_url(u)
         rule, says = brute_rule(host, path)
         assert (got[i].host, got[i].path, got[i].rule) == (host, path, rule), u
-        assert got[i].verdict == (says or ("block" if got[i].score > 0 else "allow"))
+        assert got[i].verdict == (says or ("block" if got[i].score > 0 else "allow"))  # no seed word in these
 
 
 def test_best_split_equals_all_splits():
@@ -82,6 +85,86 @@ def test_verdicts(spark):
     got = {r.page_id: r for r in urls.judged(spark.createDataFrame(training_pages(), SCHEMA)).collect()}
     assert all((got[i].verdict == "block") == (i % 4 == 0) for i in range(400))
     assert got[400].score > got[401].score and got[402].verdict == "block"
+    assert got[0].score > 0 and got[1].score < 0  # without the seed words
+
+
+def test_held_out_hosts_without_their_seed_words(spark):
+    """Learned from some hosts, the others' scores (no seed word is a feature) tell them apart."""
+    from pyspark.sql import functions as F
+
+    good, bad = ["garden", "book", "city", "river", "music"], ["cheap", "win", "free", "fast", "best"]
+    pages = []
+    for i in range(400):
+        r = random.Random(i)
+        name = r.choice(bad) + r.choice(["pills", "casino", "bets"]) if i % 4 == 0 else r.choice(good) + r.choice(["world", "news", "lovers"])
+        pages.append((i, f"http://{name}{'www'[: i % 3]}.net/{r.choice(['offer', 'bonus']) if i % 4 == 0 else r.choice(['story', 'page'])}/{i}", " ".join([*good, *bad, "pills casino bets world news lovers"]), "h", 1))
+    frame = spark.createDataFrame(pages, SCHEMA)
+    out = F.crc32(F.col("host").cast("binary")) % 3 == 0
+    found = urls.url_scores(frame, training=~out).where(out).collect()
+    assert len({r.host for r in found}) > 5 and {r.marked for r in found} == {True, False}
+    assert sum((r.score > 0) == r.marked for r in found) >= 0.98 * len(found)
+
+
+def brute_verdicts(rows, seeds=urls.SEEDS):
+    """page_id to (score, marked): word counts, best splits and naive Bayes with plain loops."""
+    counts = {}
+    for _, _, html in rows:
+        text = re.sub(r"(?is)<script\b.*?</script|<style\b.*?</style|<!--.*?-->", " ", html or "")
+        for w in re.findall(r"[^\W\d_]+", re.sub(r"<[^<>]*>|&#?\w+;", " ", text).lower()):
+            counts[w] = counts.get(w, 0) + 1
+    total = sum(counts.values()) + 1
+    splits = {}
+
+    def split(part):
+        if part not in splits:
+            known = {(a, b - a): math.log(counts[part[a:b]] / total) for a in range(len(part)) for b in range(a + 1, len(part) + 1) if part[a:b] in counts}
+            splits[part] = urls.best_split(part, known, -math.log(total))
+        return splits[part]
+
+    places = {i: split_url(u) for i, u, _ in rows}
+    words = {h: [w for p in re.findall(r"[^\W\d_]+", h.lower()) for w in split(p)] for h, _ in places.values()}
+    of_path = lambda p: ["p:" + (f"#{len(t)}" if t[0].isdigit() else t) for t in re.findall("[a-z]+|[0-9]+", p.lower())]
+    features, marked = {}, {}
+    for i, (h, p) in places.items():
+        marked[i] = any(w in seeds for w in words[h])
+        features[i] = ["h:" + w for w in words[h] if w not in seeds] + of_path(p)
+    table = {}
+    for i, tokens in features.items():
+        for t in tokens:
+            table.setdefault(t, [0, 0])[marked[i]] += 1
+    good, bad = (sum(x[k] for x in table.values()) for k in (0, 1))
+    n = sum(marked.values())
+    prior = math.log((n + 1) / (len(rows) - n + 1))
+    weight = {t: math.log((b + 1) / (bad + len(table))) - math.log((g + 1) / (good + len(table))) if 0 < n < len(rows) else 0.0 for t, (g, b) in table.items()}
+    return {i: (prior + sum(weight[t] for t in tokens), marked[i]) for i, tokens in features.items()}
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.1"])
+def test_scores_and_verdicts_equal_brute_force(spark, sf):
+    pages = spark.read.parquet(f"/root/testdata/{sf}/pages.parquet")
+    rows = [(r.page_id, r.url, r.html) for r in pages.collect()]
+    want = brute_verdicts(rows)
+    got = {r.page_id: r for r in urls.judged(pages).collect()}
+    assert got.keys() == want.keys()
+    for i, (score, bad) in want.items():
+        assert abs(got[i].score - score) < 1e-6
+        says = brute_rule(got[i].host, got[i].path)[1]
+        assert got[i].verdict == (says or ("block" if bad or score > 0 else "allow"))
+
+
+def test_markup():
+    html = "<p class='x'>One<b>two</b> &amp; &#233;<script>var no = '<p>';</SCRIPT> three<!-- no <b> --> four < five <style>no"
+    assert urls.TEXT_WORD.findall(urls.without_markup(html)) == ["One", "two", "three", "four", "five"]
+    assert urls.without_markup("<" * 100_000 + "a") .endswith("a") and urls.without_markup("<script>" * 50_000).strip() == ""
+    assert urls.without_markup("<!-- " * 50_000).strip() == "" and urls.without_markup("") == ""
+
+
+def test_words_of_any_length_and_script(spark):
+    long = "abcdefghijklmnopqrstuvwxyz" * 3
+    counts = spark.createDataFrame([(long, 5), ("x", 9), ("gärten", 4), ("книга", 3), ("мир", 8)], "word string, n long")
+    parts = spark.createDataFrame([(long + "x",), ("gärtenx",), ("мирмиркнига",), ("q" * 3000,)], "part string")
+    got = {r.part: r.words for r in urls.segmented(parts, counts).collect()}
+    assert got == {long + "x": [long, "x"], "gärtenx": ["gärten", "x"], "мирмиркнига": ["мир", "мир", "книга"], "q" * 3000: ["q" * 3000]}
 
 
 def test_large_vocabularies_are_joined_by_a_shuffle(spark, monkeypatch):
