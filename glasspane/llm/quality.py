@@ -1,14 +1,18 @@
 """Quality by nearest-neighbour voting in a latent-semantic space.
 
-Terms are runs of three character kinds (lower case, capital, digit, space, marks of several
-sorts, ...): 16 kinds make 4,096 terms, whatever the language; two more count words that repeat
-the word before them and lines that repeat a line of the text. Square roots of term shares,
-weighted by inverse document frequency and of unit length, are projected on the leading
-singular directions of a labelled sample. The sample's vectors (at most SAMPLE rows of RANK
-numbers, so at most 1.2 MB) go to every task; there exact cosine products with all of them, in
-blocks, give the nearest neighbours of each document, whose labels vote by similarity.
-
-Only labels of the training part are learned from. Null text is empty; a text without terms
+Terms are words, hashed into WORDS buckets (a long run without blanks, as of a script that has
+none, counts in pieces), and the form of the text: runs of three character kinds (lower case,
+capital, digit, space, marks of several sorts, ...), 16 kinds making 4,096 terms, and two for words
+that repeat the word before them and lines that repeat a line of the text. Square roots of
+the shares of words and of forms, weighted by inverse document frequency and of unit length, are
+projected on the leading singular directions of a labelled sample, found by subspace iteration. The
+sample's vectors (at most SAMPLE rows of RANK numbers) and the projection go to every task, 3 MB at
+most; there exact cosine products with all of them, in blocks of one shape, give the nearest
+neighbours of each document, whose labels vote by similarity. Similarities count to five digits;
+of equal ones the sample row with the smaller doc_id is nearer.
+
+Only labels of the training part are learned from; of a doc_id with several labels the largest
+counts, of several texts the one with the least SHA-1. Null text is empty; a text without terms
 scores the sample's mean label. Without training labels every score is 0.5.
 """
 
@@ -16,6 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from operator import eq
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -27,8 +32,13 @@ from .common import per_block, ship, table, utf8
 #: Labelled rows that are learned from, at most: those with the smallest hashes of doc_id.
 SAMPLE = 6_000
 RANK, NEIGHBOURS, SHARPNESS, BLOCK = 48, 15, 4.0, 256
-TRIGRAMS = 4_096
-TERMS = TRIGRAMS + 2
+TRIGRAMS, WORDS = 4_096, 4_096
+FORMS = TRIGRAMS + 2
+TERMS = FORMS + WORDS
+#: Words weigh so much next to forms; words longer than LONG bytes count in pieces of PIECE bytes.
+WORD_WEIGHT, LONG, PIECE = 0.5, 24, 6
+#: Directions beyond RANK, and rounds, of the subspace iteration; digits of a similarity that count.
+SPARE, ROUNDS, DIGITS = 16, 8, 1e5
 #: A repeated word or line counts as so many terms, about as many as its letters make.
 REPEAT_WEIGHT = 8
 
@@ -47,20 +57,29 @@ KINDS = _kinds()
 
 
 def term_counts(text: bytes) -> np.ndarray:
-    """How often each term occurs; all 0 for a text of less than three bytes."""
+    """How often each term occurs: forms, then words."""
+    counts = np.zeros(TERMS, np.int64)
     k = np.frombuffer(text.translate(KINDS), np.uint8).astype(np.int32)
-    if len(k) < 3:
-        return np.zeros(TERMS, np.int64)
-    counts = np.bincount((k[:-2] << 8) + (k[1:-1] << 4) + k[2:], minlength=TERMS)
+    if len(k) >= 3:
+        counts[:TRIGRAMS] = np.bincount((k[:-2] << 8) + (k[1:-1] << 4) + k[2:], minlength=TRIGRAMS)
     words, lines = text.split(), text.split(b"\n")
     counts[TRIGRAMS] = REPEAT_WEIGHT * sum(map(eq, words, words[1:]))
     counts[TRIGRAMS + 1] = REPEAT_WEIGHT * (len(lines) - len(set(lines)))
+    low = text.lower().split()
+    if low and max(map(len, low)) > LONG:
+        low = [p for w in low for p in ([w] if len(w) <= LONG else [w[i : i + PIECE] for i in range(0, len(w), PIECE)])]
+    if low:
+        counts[FORMS:] = np.bincount(np.fromiter(map(crc32, low), np.int64, len(low)) % WORDS, minlength=WORDS)
     return counts
 
 
 def _shares(counts: np.ndarray) -> np.ndarray:
-    total = counts.sum(-1, keepdims=True)
-    return np.sqrt(counts / np.maximum(total, 1)).astype(np.float32)
+    """Square roots of the shares of forms and of words."""
+    out = np.empty(counts.shape, np.float32)
+    for part, weight in ((slice(0, FORMS), 1.0), (slice(FORMS, TERMS), WORD_WEIGHT)):
+        own = counts[..., part]
+        out[..., part] = weight * np.sqrt(own / np.maximum(own.sum(-1, keepdims=True), 1))
+    return out
 
 
 def _unit(rows: np.ndarray) -> np.ndarray:
@@ -68,8 +87,20 @@ def _unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.where(size > 0, size, 1)
 
 
+def leading_directions(rows: np.ndarray, rank: int) -> np.ndarray:
+    """The leading right singular vectors of rows, as columns, by subspace iteration from a fixed
+    start."""
+    width = min(rank + SPARE, *rows.shape)
+    space = np.random.default_rng(1).standard_normal((rows.shape[1], width)).astype(np.float32)
+    for _ in range(ROUNDS):
+        space = np.linalg.qr(rows.T @ (rows @ space))[0]
+    image = rows @ space
+    values, turn = np.linalg.eigh((image.T @ image).astype(np.float64))
+    return space @ turn[:, np.argsort(-values)[:rank]].astype(np.float32)
+
+
 class Neighbours:
-    """What a task needs: the projection, and the sample's vectors and labels."""
+    """What a task needs: the projection, and the sample's vectors and labels, by doc_id."""
 
     def __init__(self, ids: list[list[int]], counts: list[list[int]], labels: list[int]):
         self.labels = np.array(labels, np.float32)
@@ -79,17 +110,18 @@ class Neighbours:
         for i in ids:
             seen[i] += 1
         used = np.flatnonzero(seen >= 2)
-        place = np.full(TERMS, -1)
-        place[used] = np.arange(len(used))
+        self.projection, self.vectors = np.zeros((TERMS, 0), np.float32), np.zeros((n, 0), np.float32)
+        if not len(used):
+            return
         rows = np.zeros((n, len(used)), np.float32)
+        one = np.zeros(TERMS, np.int64)
         for r, (i, c) in enumerate(zip(ids, counts, strict=True)):
-            share = np.sqrt(np.array(c, np.float32) / max(1, sum(c)))
-            at = place[np.array(i, np.int64)] if i else np.zeros(0, np.int64)
-            rows[r, at[at >= 0]] = share[at >= 0]
+            one[i] = c
+            rows[r] = _shares(one)[used]
+            one[i] = 0
         idf = np.log((1 + n) / (1 + seen[used])).astype(np.float32) + 1
         rows = _unit(rows * idf)
-        values, directions = np.linalg.eigh((rows.T @ rows).astype(np.float64)) if len(used) else (np.zeros(0), np.zeros((0, 0)))
-        lead = directions[:, np.argsort(-values)[:RANK]].astype(np.float32)
+        lead = leading_directions(rows, RANK)
         # the length of the whole vector has no part in a cosine, so it needn't be known
         self.projection = np.zeros((TERMS, lead.shape[1]), np.float32)
         self.projection[used] = idf[:, None] * lead
@@ -97,14 +129,20 @@ class Neighbours:
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
         out = np.full(len(texts), self.mean)
-        if not len(self.labels):
+        n = len(self.labels)
+        if not self.vectors.size:
             return out
-        k = min(NEIGHBOURS, len(self.labels))
+        k = min(NEIGHBOURS, n)
+        counts = np.zeros((BLOCK, TERMS), np.int64)  # always as large, so that equal texts have equal products
         for at in range(0, len(texts), BLOCK):
-            counts = np.stack([term_counts(t) for t in texts[at : at + BLOCK]])
-            near = _unit(_shares(counts) @ self.projection) @ self.vectors.T
-            best = np.argpartition(-near, k - 1, axis=1)[:, :k] if k < near.shape[1] else np.broadcast_to(np.arange(k), near.shape)
-            weight = np.maximum(np.take_along_axis(near, best, 1), 0) ** SHARPNESS
+            part = texts[at : at + BLOCK]
+            for i, t in enumerate(part):
+                counts[i] = term_counts(t)
+            counts[len(part) :] = 0
+            near = np.rint(_unit(_shares(counts) @ self.projection) @ self.vectors.T * DIGITS).astype(np.int64)[: len(part)]
+            rank = near * n - np.arange(n)  # no two alike
+            best = np.argpartition(-rank, k - 1, axis=1)[:, :k] if k < n else np.broadcast_to(np.arange(k), near.shape)
+            weight = np.maximum(np.take_along_axis(near, best, 1) / DIGITS, 0) ** SHARPNESS
             total = weight.sum(1)
             vote = (weight * self.labels[best]).sum(1) / np.where(total > 0, total, 1)
             out[at : at + BLOCK] = np.where(total > 1e-9, vote, self.mean)
@@ -118,12 +156,14 @@ def remainder(modulus: int, column: str = "doc_id") -> Column:
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, training: Column, most: int) -> DataFrame:
     """doc_id, text as UTF-8 and label of the training rows with the smallest hashes of doc_id,
-    at most `most` of them (the bound that allows the broadcast); of repeated ids one row."""
+    at most `most` of them (the bound that allows the broadcast); of repeated ids the text with the
+    least SHA-1 and the largest label."""
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & training)
     known = known.groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.max(label).cast("int").alias("label"))
     drawn = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), utf8().alias("text"))
-    return rows.join(F.broadcast(drawn), "doc_id").dropDuplicates(["doc_id"])
+    rows = rows.join(F.broadcast(drawn), "doc_id").groupBy("doc_id", "label")
+    return rows.agg(F.min_by("text", F.sha1("text")).alias("text")).select("doc_id", "text", "label")
 
 
 def fit(docs: DataFrame, labels: DataFrame, training: Column, label: str = "quality", most: int = SAMPLE) -> Neighbours:

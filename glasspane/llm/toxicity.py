@@ -1,11 +1,12 @@
 """Toxicity by gradient-boosted trees over dense features, with isotonic calibration.
 
-Features of a text: how dense terms of a seed lexicon and of a learned lexicon are (and how many
-different ones occur), how many of them stand near the second person, the share of capitals,
-marks and symbols, and how often terms appear only once disguises are undone (digits and signs
-for letters, letters spaced out). The learned lexicon is the words that set apart the toxic texts
-of the training sample, of which near-copies count once. Trees are fitted on most of the sample;
-the rest calibrates their probability (isotonic regression).
+Features of a text are densities and rates, so that length alone changes none: terms of a seed
+lexicon and of a learned lexicon in a hundred words (also weighted, and different ones only), the
+most that a stretch of PEAK bytes holds, those that stand near the second person, the second
+person, the shares of capitals, marks and symbols, and how often terms appear only once disguises
+are undone (digits and signs for letters, letters spaced out). The learned lexicon is the words
+that set apart the toxic texts of the training sample, of which near-copies count once. Trees are
+fitted on most of the sample; the rest calibrates their probability (isotonic regression).
 
 Labels outside the training part, lang, source and ids have no part in a score. Null text is
 empty and is scored like any other. Without both labels in the sample every score is the
@@ -32,7 +33,8 @@ from .quality import labelled_sample, remainder
 SAMPLE, CALIBRATION = 16_000, 0.3
 #: Learned terms, at most; the share of toxic texts that must hold one; least ratio of shares.
 LEARNED, SUPPORT, RATIO = 200, 0.02, 8.0
-NEAR = 40
+#: Bytes between a term and a second person near it; bytes of the stretch that a peak is taken in.
+NEAR, PEAK = 40, 200
 #: Insults of general English (fixed values).
 SEEDS = (
     "idiot", "idiots", "moron", "morons", "stupid", "dumb", "fool", "loser", "losers", "trash", "garbage", "scum", "pathetic", "worthless", "disgusting", "clown",
@@ -98,26 +100,35 @@ class Reader:
             near += at < len(second) and second[at] <= h[1] + NEAR
         kinds = np.bincount(np.frombuffer(raw, np.uint8), minlength=256) if raw else np.zeros(256, np.int64)
         capitals, small = int(kinds[65:91].sum()), int(kinds[97:123].sum()) + int(kinds[128:].sum())
-        words = max(1, int(kinds[[32, 9, 10, 13]].sum()) + 1)
+        per_words = 100 / max(1, int(kinds[[32, 9, 10, 13]].sum()) + 1)
         size = max(1, len(raw))
         return [
-            100 * sum(h[2][2] for h in terms) / words,
-            100 * sum(h[2][3] > 0 for h in terms) / words,
-            float(sum(h[2][3] for h in terms)),
-            float(len({h[2][0] for h in terms if h[2][2]})),
-            float(len({h[2][0] for h in terms if h[2][3]})),
-            float(near),
+            sum(h[2][2] for h in terms) * per_words,
+            sum(h[2][3] > 0 for h in terms) * per_words,
+            sum(h[2][3] for h in terms) * per_words,
+            len({h[2][0] for h in terms if h[2][2]}) * per_words,
+            len({h[2][0] for h in terms if h[2][3]}) * per_words,
+            near * per_words,
             near / max(1, len(terms)),
-            100 * len(second) / words,
+            len(second) * per_words,
             capitals / max(1, capitals + small),
             100 * int(kinds[[33, 63]].sum()) / size,
             100 * int(kinds[[35, 36, 37, 38, 42, 64, 94]].sum()) / size,
-            float(masked),
-            float(spaced),
-            float(np.log1p(words)),
+            masked * per_words,
+            spaced * per_words,
+            100 * _most_in_a_stretch([h[0] for h in terms]) / PEAK,
         ]
 
 
+def _most_in_a_stretch(starts: list[int]) -> int:
+    most = first = 0
+    for i, at in enumerate(starts):
+        while at - starts[first] >= PEAK:
+            first += 1
+        most = max(most, i + 1 - first)
+    return most
+
+
 def _near_copy_key(words: list[str]) -> int:
     """Least hash of the 3-word shingles; near-copies mostly share it."""
     grams = [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))]

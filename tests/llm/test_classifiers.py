@@ -1,3 +1,4 @@
+import re
 import zlib
 
 import numpy as np
@@ -47,6 +48,110 @@ def test_cosine_votes_equal_brute_force():
     assert model.scores([b""]) == [0.5]
 
 
+def plain_counts(text):
+    """Terms of a text as a dictionary, with plain loops."""
+    out = {}
+    kinds = [quality.KINDS[b] for b in text]
+    for a, b, c in zip(kinds, kinds[1:], kinds[2:]):
+        out[a * 256 + b * 16 + c] = out.get(a * 256 + b * 16 + c, 0) + 1
+    words, lines = text.split(), text.split(b"\n")
+    for place, n in ((4096, sum(a == b for a, b in zip(words, words[1:]))), (4097, len(lines) - len(set(lines)))):
+        if n:
+            out[place] = 8 * n
+    for w in text.lower().split():
+        for p in [w] if len(w) <= 24 else [w[i : i + 6] for i in range(0, len(w), 6)]:
+            at = 4098 + zlib.crc32(p) % 4096
+            out[at] = out.get(at, 0) + 1
+    return out
+
+
+def test_quality_query_equals_brute_force(spark):
+    """All of sf0.001: terms and votes with plain loops, directions by an exact decomposition."""
+    d = "/root/testdata/sf0.001"
+    docs = {r.doc_id: r.text.encode() for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{d}/labels.parquet").collect() if r.doc_id in docs and zlib.crc32(str(r.doc_id).encode()) % 3 != 1}
+    order = sorted(labels)
+
+    def row(counts):
+        out = np.zeros(4098 + 4096)
+        for part, weight in ((range(4098), 1.0), (range(4098, 8194), 0.5)):
+            total = sum(n for t, n in counts.items() if t in part)
+            for t, n in counts.items():
+                if t in part:
+                    out[t] = weight * np.sqrt(n / total)
+        return out
+
+    rows = {i: row(plain_counts(t)) for i, t in docs.items()}
+    seen = sum((rows[i] > 0).astype(int) for i in order)
+    idf = np.where(seen >= 2, np.log((1 + len(order)) / (1 + seen)) + 1, 0)
+    unit = lambda v: v / (np.linalg.norm(v) or 1)
+    directions = np.linalg.svd(np.stack([unit(rows[i] * idf) for i in order]), full_matrices=False)[2][:48]
+    sample = [(i, unit(directions @ unit(rows[i] * idf)), labels[i]) for i in order]
+    got = {r.doc_id: r for r in quality.op10_quality_neighbours(spark, d).collect()}
+    assert got.keys() == docs.keys()
+    apart = []
+    for i in docs:
+        v = unit(directions @ (rows[i] * idf))
+        near = sorted(((round(float(v @ u) * 1e5), -j, label) for j, u, label in sample), reverse=True)[:15]
+        weights = [max(s / 1e5, 0) ** 4 for s, _, _ in near]
+        apart.append(abs(got[i].score - sum(w * x[2] for w, x in zip(weights, near)) / sum(weights)))
+    assert np.mean(np.array(apart) < 1e-3) > 0.97 and max(apart) < 0.15  # the last neighbour may change with the sixth digit
+
+
+def test_equal_texts_score_alike_wherever_they_stand():
+    r = np.random.default_rng(3)
+    texts = [" ".join("w%d" % w for w in r.integers(0, 300, r.integers(3, 80))).encode() for _ in range(700)]
+    counts = [quality.term_counts(t) for t in texts]
+    ids = [np.flatnonzero(c) for c in counts]
+    model = quality.Neighbours([i.tolist() for i in ids], [c[i].tolist() for c, i in zip(counts, ids, strict=True)], [int(x) for x in r.integers(0, 2, 700)])
+    whole = model.scores(texts)
+    assert (model.scores(texts[::-1])[::-1] == whole).all() and all(model.scores([t])[0] == s for t, s in zip(texts[:50], whole))
+
+
+def plain_features(text, learned):
+    """The toxicity features with regular expressions over bytes as characters."""
+    low = text.lower().decode("latin-1")
+    form = lambda w: w.encode().decode("latin-1")
+    edge = r"0-9a-z\x80-\xff"
+    find = lambda w, t: [m.start() for m in re.finditer(rf"(?<![{edge}]){re.escape(form(w))}(?![{edge}])", t)]
+    weights = {w: 0.0 for w in toxicity.SEEDS} | learned
+    hits = lambda t: sorted((at, w) for w, v in weights.items() if w in toxicity.SEEDS or v for at in find(w, t))
+    terms, second = hits(low), sorted(at for w in set(toxicity.SECOND) for at in find(w, low))
+    bare = low.translate(str.maketrans("0134578@$!|", "oieastbasil"))
+    places = {at for at, _ in terms}
+    masked = sum(len(form(w)) > 3 and at not in places for at, w in hits(bare)) if bare != low else 0
+    spaced = sum(bool(hits(re.sub(r"[.\-*_ ]", "", m[0]))) for m in re.finditer(r"(?<![a-z\x80-\xff])[a-z](?:[.\-*_ ][a-z]){3,}(?![a-z\x80-\xff])", low))
+    near = sum(any(at - 40 <= s <= at + len(form(w)) + 40 for s in second) for at, w in terms)
+    per = 100 / (1 + sum(b in b" \t\n\r" for b in text))
+    upper, lower = sum(65 <= b < 91 for b in text), sum(97 <= b < 123 or b > 127 for b in text)
+    share = lambda marks: 100 * sum(b in marks for b in text) / max(1, len(text))
+    seed, own = [w for _, w in terms if w in toxicity.SEEDS], [w for _, w in terms if learned.get(w, 0) > 0]
+    peak = max([sum(at <= b < at + 200 for b, _ in terms) for at, _ in terms], default=0)
+    return [
+        len(seed) * per, len(own) * per, sum(learned.get(w, 0) for _, w in terms) * per, len(set(seed)) * per, len(set(own)) * per, near * per, near / max(1, len(terms)), len(second) * per,
+        upper / max(1, upper + lower), share(b"!?"), share(b"#$%&*@^"), masked * per, spaced * per, 100 * peak / 200,
+    ]
+
+
+def test_toxicity_query_equals_brute_force(spark):
+    """All of sf0.001: features with plain expressions, through the fitted trees and calibration."""
+    d = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    model = toxicity.fit(docs, spark.read.parquet(f"{d}/labels.parquet"), toxicity.remainder(5) != 0)
+    assert model.learned and model.trees is not None
+    found = [(r.doc_id, plain_features(r.text.encode(), model.learned)) for r in docs.collect()]
+    read = toxicity.Reader(model.learned).features
+    for (_, want), r in zip(found, docs.collect(), strict=True):
+        assert np.allclose(read(r.text.encode()), want, atol=1e-9), r.doc_id
+    walk = lambda node, x: node.prediction() if node.subtreeDepth() == 0 else walk(node.leftChild() if x[node.split().featureIndex()] <= node.split().threshold() else node.rightChild(), x)
+    weights, trees = model.trees.treeWeights, [t._call_java("rootNode") for t in model.trees.trees]
+    bounds, values = model.isotonic.boundaries.toArray(), model.isotonic.predictions.toArray()
+    got = {r.doc_id: r.score for r in toxicity.op3_toxicity_trees(spark, d).collect()}
+    for i, x in found:
+        p = 1 / (1 + np.exp(-2 * sum(w * walk(t, x) for w, t in zip(weights, trees, strict=True))))
+        assert abs(got[i] - (np.interp(p, bounds, values) * 0.999 + p * 0.001)) < 1e-6
+
+
 DOC = "doc_id long, text string, label int, score double, dense string"
 LABEL = "doc_id long, quality int, toxic int, text string"
 
@@ -91,6 +196,6 @@ def test_accepted_keeps_columns(spark):
 def test_toxicity_features():
     read = toxicity.Reader({"réêou": 2.0}).features
     plain, direct = read(b"the idiot went home"), read(b"you are an idiot")
-    assert plain[0] > 0 and plain[5] == 0 and direct[5] == 1
-    assert read("un réêou ici".encode())[2] == 2.0 and read(b"idiotic")[0] == 0 and read(b"")[0] == 0
-    assert read(b"what an 1d10t")[11] == 1 and read(b"an i.d.i.o.t here")[12] == 1
+    assert plain[0] > 0 and plain[5] == 0 and direct[5] == 25.0
+    assert abs(read("un réêou ici".encode())[2] - 200 / 3) < 1e-9 and read(b"idiotic")[0] == 0 and read(b"")[0] == 0
+    assert read(b"what an 1d10t")[11] > 0 and read(b"an i.d.i.o.t here")[12] > 0
