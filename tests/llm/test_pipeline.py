@@ -79,3 +79,63 @@ def test_tokens(steps):
 def test_run_equals_the_stages(spark, steps):
     got = {r.doc_id: r.ids_sha256 for r in corpus_pipeline.run(spark, D).collect()}
     assert got == {i: r.ids_sha256 for i, r in by_id(steps[5]).items()}
+
+
+@pytest.fixture()
+def odd_tables(spark, tmp_path):
+    """Null and repeated ids and texts, unlike texts of one id, a very long text, extra columns."""
+    good = spark.read.parquet(f"{D}/labels.parquet").where("quality = 1 and toxic = 0").select("doc_id")
+    docs = spark.read.parquet(f"{D}/documents.parquet")
+    some = [r.text for r in docs.join(good, "doc_id").orderBy("doc_id").limit(40).collect()]
+    items = [r.text for r in spark.read.parquet(f"{D}/benchmark.parquet").limit(5).collect()]
+    texts = list(dict.fromkeys(some))
+    rows = [(i, t) for i, t in enumerate(texts)]
+    rows += [(0, texts[0]), (0, texts[0]), (1, texts[2]), (None, texts[3]), (None, None), (500, None), (501, ""), (502, texts[4] * 200)]
+    rows += [(600, texts[5] + " " + items[0]), (2, texts[6] + " " + items[1]), (None, texts[7] + " " + items[2]), (601, texts[8] + " write to ann@example.org")]
+    data = [(i, t, "en", "s", len(t or ""), 1, "k") for i, t in rows]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, fp int, __own string"
+    spark.createDataFrame(data, schema).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{D}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
+    # the classifier learns from labelled documents of the same table
+    docs.selectExpr("doc_id + 10000 doc_id", "text", "lang", "source", "cast(n_chars as long) n_chars", "2 fp", "'k' __own").write.mode("append").parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{D}/labels.parquet").selectExpr("doc_id + 10000 doc_id", "quality", "toxic").write.parquet(f"{tmp_path}/labels.parquet")
+    return str(tmp_path), rows
+
+
+def test_odd_tables_from_end_to_end(spark, odd_tables):
+    from test_decontaminate import brute
+    from test_simhash import brute_kept
+
+    from glasspane.llm import pii
+    from glasspane.llm.common import stored
+
+    where, _ = odd_tables
+    docs = spark.read.parquet(f"{where}/documents.parquet")
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before = [(r.doc_id, r.text) for r in docs.collect()]
+        docs = stored(stage(spark, docs, where))
+        assert docs.columns == columns, name
+        after = [(r.doc_id, r.text) for r in docs.collect()]
+        if name == "simhash_near_dedup":
+            assert sorted(((i, t or "") for i, t in after), key=str) == brute_kept(before)
+        if name == "benchmark_decontamination":
+            items = [(r.item_id, r.text) for r in spark.read.parquet(f"{where}/benchmark.parquet").collect()]
+            hit = {place for place, *_ in brute(list(enumerate(t for _, t in before)), items)}
+            assert hit and sorted(after, key=str) == sorted((r for n, r in enumerate(before) if n not in hit), key=str)
+        if name == "pii_redaction":
+            machine = pii.automaton()
+            assert sorted(after, key=str) == sorted(((i, t if t is None else pii.redact(t, pii.find(t, machine))) for i, t in before), key=str)
+        if name != "pii_redaction":
+            assert not set(after) - set(before)
+    got = [(r.doc_id, r.n_tokens) for r in corpus_pipeline.run(spark, where).collect()]
+    assert sorted((i for i, _ in got), key=str) == sorted((i for i, _ in after), key=str) and len(got) > 20
+
+
+def test_no_documents_no_rows(spark, odd_tables, tmp_path):
+    where, _ = odd_tables
+    import shutil
+
+    shutil.copytree(where, tmp_path / "none", ignore=shutil.ignore_patterns("documents.parquet", "none"))
+    spark.read.parquet(f"{where}/documents.parquet").where("false").write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").collect() == []
