@@ -6,11 +6,14 @@ mean. Dropout has no part in scoring.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
+from collections.abc import Callable
+
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glasspane.functions.vectors import dot, present, sigmoid
+from glasspane.operators.ranks import join_groups
 
 
 def linear_scores(rows: DataFrame, weights: list[float], bias: float, embedding: str = "embedding", name: str = "prediction") -> DataFrame:
@@ -18,18 +21,19 @@ def linear_scores(rows: DataFrame, weights: list[float], bias: float, embedding:
     return rows.withColumn(name, sigmoid(dot(F.col(embedding), weights, bias)))
 
 
-def softmax(value: str, by: list[str]) -> Column:
-    """Weights of the rows of a group, stable for large values."""
-    w = W.partitionBy(*by)
-    e = F.exp(F.col(value) - F.max(value).over(w))
-    return e / F.sum(e).over(w)
+def softmax(rows: DataFrame, value: str, by: list[str], name: str = "weight") -> DataFrame:
+    """rows with the softmax of a value over their group, stable for large values. What a group
+    needs is aggregated and joined back, so that a group may be split over tasks."""
+    top = join_groups(rows, rows.groupBy(*by).agg(F.max(value).alias("__top")), by)
+    raised = top.withColumn("__e", F.exp(F.col(value) - F.col("__top")))
+    sums = raised.groupBy(*by).agg(F.sum("__e").alias("__sum"))
+    return join_groups(raised, sums, by).withColumn(name, F.col("__e") / F.col("__sum")).drop("__top", "__e", "__sum")
 
 
-def min_max(value: str, by: list[str]) -> Column:
-    """(x - min) / (max - min) within a group; null where all are equal."""
-    w = W.partitionBy(*by)
-    lo = F.min(value).over(w)
-    return F.try_divide(F.col(value) - lo, F.max(value).over(w) - lo)
+def min_max(rows: DataFrame, value: str, by: list[str], name: str) -> DataFrame:
+    """rows with (x - min) / (max - min) over their group; null where all are equal."""
+    ends = rows.groupBy(*by).agg(F.min(value).alias("__lo"), F.max(value).alias("__hi"))
+    return join_groups(rows, ends, by).withColumn(name, F.try_divide(F.col(value) - F.col("__lo"), F.col("__hi") - F.col("__lo"))).drop("__lo", "__hi")
 
 
 def attended(rows: DataFrame, bag: str, attention: tuple[list[float], float], classifier: tuple[list[float], float], embedding: str = "embedding") -> DataFrame:
@@ -37,7 +41,7 @@ def attended(rows: DataFrame, bag: str, attention: tuple[list[float], float], cl
     the bag)."""
     e = F.col(embedding)
     scored = rows.where(present(e)).withColumns({"__a": dot(e, *attention), "logit": dot(e, *classifier)})
-    return scored.withColumn("weight", softmax("__a", [bag])).drop("__a")
+    return softmax(scored, "__a", [bag]).drop("__a")
 
 
 def bag_scores(rows: DataFrame, bag: str, attention: tuple[list[float], float], classifier: tuple[list[float], float], embedding: str = "embedding") -> DataFrame:
@@ -62,3 +66,9 @@ def bags(rows: DataFrame, bag: str, order: str, embedding: str = "embedding") ->
     """One array of embeddings for each bag, in the order of a column: for export of small bags."""
     item = F.struct(F.col(order).alias("o"), F.col(embedding).alias("e"))
     return rows.groupBy(bag).agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["e"]).alias("embeddings"))
+
+
+def map_bags(rows: DataFrame, bag: str, call: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """The rows that a function gives for all rows of each bag at once, for what no aggregate
+    expresses. A bag must fit in a task: it is one slide's tiles."""
+    return rows.groupBy(bag).applyInPandas(call, schema)

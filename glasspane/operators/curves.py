@@ -28,25 +28,21 @@ def distinct_scores(df: DataFrame, score: str, target: str, by: list[str]) -> Da
 
 
 def counts_at(df: DataFrame, score: str, target: str, by: list[str] | None = None) -> DataFrame:
-    """For each distinct score: tp and fp at it, cum_tp and cum_fp at or above it, and the totals
-    positives and negatives of the group."""
+    """For each distinct score: tp and fp at it, next_tp and next_fp at the next lower one, cum_tp and
+    cum_fp at or above it, whether it is the first, and the totals positives and negatives of the
+    group. The scores are collapsed once; what is summed of them reads that again."""
     by = by or []
-    points = distinct_scores(df, score, target, by)
-    totals = points.groupBy(*by).agg(F.sum("tp").alias("positives"), F.sum("fp").alias("negatives"))
-    cums = running_sums(points, by, "threshold", ["tp", "fp"])
-    return cums.join(totals, by) if by else cums.crossJoin(totals)
+    at = running_sums(distinct_scores(df, score, target, by), by, "threshold", ["tp", "fp"])
+    return at.withColumnsRenamed({"all_tp": "positives", "all_fp": "negatives"})
 
 
 def roc_points(df: DataFrame, score: str, target: str, by: list[str] | None = None, drop_intermediate: bool = False) -> DataFrame:
     """threshold, fpr, tpr; the first point is (0, 0) at threshold infinity. Rates are null where
-    a class is absent. drop_intermediate leaves out points on a straight line between others
-    (it looks at each point's neighbours: one window over the group's distinct scores)."""
+    a class is absent. drop_intermediate leaves out points on a straight line between others."""
     by = by or []
     at = counts_at(df, score, target, by)
     if drop_intermediate:
-        w = W.partitionBy(*by).orderBy(F.col("threshold").desc())
-        ahead = F.lead("fp").over(w), F.lead("tp").over(w)
-        at = at.withColumn("__keep", (F.row_number().over(w) == 1) | ahead[0].isNull() | (ahead[0] != F.col("fp")) | (ahead[1] != F.col("tp"))).where("__keep")
+        at = at.where(F.col("first") | F.col("next_fp").isNull() | (F.col("next_fp") != F.col("fp")) | (F.col("next_tp") != F.col("tp")))
     rate = lambda a, b: F.try_divide(F.col(a).cast("double"), F.col(b).cast("double"))
     found = at.select(*by, "threshold", rate("cum_fp", "negatives").alias("fpr"), rate("cum_tp", "positives").alias("tpr"))
     first = distinct_scores(df, score, target, by).select(*by).distinct() if by else df.sparkSession.range(1).select()

@@ -87,7 +87,7 @@ def mispredictions(df: DataFrame, prediction: str = "prediction", target: str =
     return df.where(~F.col(prediction).eqNullSafe(F.col(target)))
 
 
-def of_slide(tiles: DataFrame, slide_id: str) -> DataFrame:
+def of_slide(tiles: DataFrame, slide_id: str | int) -> DataFrame:
     return tiles.where(F.col("slide_id") == slide_id)
 
 

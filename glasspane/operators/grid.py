@@ -133,6 +133,30 @@ def sweep_top_k(cells: DataFrame, kernels: list[int], tops: list[int]) -> DataFr
     return parts
 
 
+def sweep_mean_pool_max(cells: DataFrame, kernels: list[int]) -> DataFrame:
+    """slide_id, kernel_size, prediction: the largest pooled score for each kernel."""
+    parts = None
+    for kernel in kernels:
+        one = slide_mean_pool_max(cells, kernel).select("slide_id", F.lit(kernel).alias("kernel_size"), "prediction")
+        parts = one if parts is None else parts.union(one)
+    return parts
+
+
+def sweep_span(cells: DataFrame, lengths: list[int], thresholds: list[float]) -> DataFrame:
+    """slide_id, k, threshold, prediction: whether k cells in line reach the threshold, for all pairs
+    of parameters. Of each k the best run's least score is found once, and compared with every
+    threshold."""
+
+    def weakest(line: str, along: str, k: int) -> Column:
+        w = W.partitionBy("slide_id", line).orderBy(along).rangeBetween(0, k - 1)
+        return F.when(F.count("*").over(w) == k, F.min("score").over(w))
+
+    runs = cells.select("slide_id", *(F.greatest(weakest("gy", "gx", k), weakest("gx", "gy", k)).alias(f"k{k}") for k in lengths))
+    best = runs.groupBy("slide_id").agg(*(F.max(f"k{k}").alias(f"k{k}") for k in lengths))
+    pairs = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.lit(float(t)).alias("threshold"), F.coalesce(F.col(f"k{k}") >= F.lit(float(t)), F.lit(False)).alias("prediction")) for k in lengths for t in thresholds)))
+    return best.select("slide_id", pairs.alias("p")).select("slide_id", "p.*")
+
+
 def sweep_wide(long: DataFrame, parameters: list[str], values: list[str]) -> DataFrame:
     """One pred_<a>=<v>_<b>=<w> column for each listed combination."""
     key = F.concat(F.lit("pred_"), F.concat_ws("_", *(F.concat(F.lit(f"{p}="), F.col(p).cast("string")) for p in parameters)))

@@ -8,24 +8,29 @@ from __future__ import annotations
 from collections.abc import Mapping
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from glasspane.functions.text import parameter_key, stem
-from glasspane.operators.checks import assert_no_nulls, assert_unique, require_columns
+from glasspane.functions.text import in_ranges, parameter_key, stem
+from glasspane.operators.checks import require_columns
+from glasspane.operators.ranks import file_rank, ordered_rank
 
 
 def join_one_to_one(left: DataFrame, right: DataFrame, left_key: str, right_key: str, columns: list[str], required: bool = True) -> DataFrame:
-    """LEFT join that adds columns of right; both keys must be unique and, if required, no
-    added value may be missing."""
-    assert_unique(left, left_key)
-    assert_unique(right, right_key)
-    added = right.select(F.col(right_key).alias("__key"), *columns)
-    out = left.join(added, F.col(left_key) == F.col("__key"), "left").drop("__key")
-    for c in columns if required else ():
-        assert_no_nulls(out, c, f"missing {c} after the join")
-    return out
+    """LEFT join that adds columns of right. A key that repeats on either side and, if required, a
+    missing added value raise when the row is read."""
+    right_rows = right.groupBy(F.col(right_key).alias("__key")).agg(F.count("*").alias("__of_right"), F.any_value(F.struct(*columns)).alias("__added"))
+    left_rows = left.groupBy(F.col(left_key).alias("__own")).agg(F.count("*").alias("__of_left"))
+    out = left.join(right_rows, F.col(left_key) == F.col("__key"), "left").join(left_rows, F.col(left_key) == F.col("__own"), "left")
+    repeated = F.raise_error(F.concat(F.lit(f"{left_key} isn't unique, e.g. "), F.col(left_key).cast("string")))
+    once = (F.coalesce("__of_left", F.lit(1)) == 1) & (F.coalesce("__of_right", F.lit(1)) == 1)
+    for c in columns:
+        value, kind = F.col("__added")[c], right.schema[c].dataType
+        if required:
+            value = F.when(value.isNotNull(), value).otherwise(F.raise_error(F.lit(f"missing {c} after the join")).cast(kind))
+        out = out.withColumn(c, F.when(once, value).otherwise(repeated.cast(kind)))
+    return out.drop("__key", "__own", "__of_left", "__of_right", "__added")
 
 
 def relabel(rows: DataFrame, source: DataFrame, key: str, label: str = "carcinoma") -> DataFrame:
@@ -54,15 +59,27 @@ def with_slide_label(tiles: DataFrame, slides: DataFrame, label: str = "carcinom
     return joined.withColumn(name, checked).drop("__known")
 
 
-def positions(rows: DataFrame, partition: str, order: list[str | Column], name: str = "pos") -> DataFrame:
-    """Place of each row in its partition, from 1, by an explicit order."""
-    return rows.withColumn(name, F.row_number().over(W.partitionBy(partition).orderBy(*order)))
+def positions(rows: DataFrame, partition: str, order: list[str], name: str = "pos") -> DataFrame:
+    """Place of each row in its partition, from 1, by an explicit order whose first column is a
+    number."""
+    return ordered_rank(rows, [partition], order, name)
 
 
 def stored_positions(path_rows: DataFrame, partition: str, name: str = "pos") -> DataFrame:
-    """Places in stored order, for a frame just read from files."""
-    rows = path_rows.withColumns({"__file": F.col("_metadata.file_path"), "__row": F.col("_metadata.row_index")})
-    return positions(rows, partition, ["__file", "__row"], name).drop("__file", "__row")
+    """Places in stored order (by file, then row), for a frame just read from files."""
+    rows = path_rows.withColumns({"__bucket": F.col("_metadata.file_path"), "__at": F.col("_metadata.row_index")})
+    return file_rank(rows, [partition], name)
+
+
+def in_input_order(rows: DataFrame, file: str = "__file", row: str = "__row") -> DataFrame:
+    """Rows in the order in which they were read (see with_input_order), without those columns."""
+    return rows.orderBy(file, row).drop(file, row)
+
+
+def with_input_order(path_rows: DataFrame) -> DataFrame:
+    """A frame just read from files with __file and __row, by which in_input_order restores its order
+    after joins."""
+    return path_rows.withColumns({"__file": F.col("_metadata.file_path"), "__row": F.col("_metadata.row_index")})
 
 
 def attach_embeddings(tiles: DataFrame, embeddings: DataFrame, key: str = "slide_id", pos: str = "pos") -> DataFrame:
@@ -83,18 +100,17 @@ def surviving_embeddings(embeddings: DataFrame, tiles: DataFrame, key: str = "sl
 
 def range_join(rows: DataFrame, cases: DataFrame, group: str, number: str, key: str, ranges: str = "ranges", exactly_one: bool = True) -> DataFrame:
     """INNER join of rows to the case of their group one of whose ranges (inclusive) holds their
-    number; overlapping ranges of one case count once. With exactly_one a row in ranges of two
-    cases raises when it is read."""
-    ids = cases.withColumn("__case", F.sha2(F.to_json(F.struct(*cases.columns)), 256))
-    spans = ids.select(F.col(group).alias("__group"), "__case", F.explode(ranges).alias("__r"))
-    hit = (F.col(group) == F.col("__group")) & F.col(number).between(F.col("__r.start"), F.col("__r.end"))
-    pairs = rows.join(spans, hit).select(*(rows[c] for c in rows.columns), "__case").distinct()
-    if exactly_one:
-        n = F.count("*").over(W.partitionBy(key))
-        one = F.when(n == 1, F.col("__case")).otherwise(F.raise_error(F.concat(F.lit("more than one case for "), F.col(key).cast("string"))))
-        pairs = pairs.withColumn("__case", one)
+    number; overlapping ranges of one case count once, as do repeated cases. With exactly_one a row
+    in ranges of two cases raises when it is read. The cases of a group (a few) come as one array,
+    so rows are joined once and none is compared with another."""
     extra = [c for c in cases.columns if c not in rows.columns and c != ranges]
-    return pairs.join(ids.dropDuplicates(["__case"]).select("__case", *extra), "__case").drop("__case")
+    of_group = cases.groupBy(F.col(group).alias("__group")).agg(F.collect_set(F.struct(F.col(ranges).alias("__ranges"), *extra)).alias("__cases"))
+    hits = F.filter("__cases", lambda c: in_ranges(F.col(number), c["__ranges"]))
+    found = rows.join(of_group, F.col(group) == F.col("__group")).withColumn("__hits", hits).where(F.size("__hits") > 0)
+    if exactly_one:
+        two = F.raise_error(F.concat(F.lit("more than one case for "), F.col(key).cast("string")))
+        found = found.withColumn("__hits", F.when(F.size("__hits") > 1, two.cast(found.schema["__hits"].dataType)).otherwise(F.col("__hits")))
+    return found.select(*rows.columns, F.explode("__hits").alias("__case")).select(*rows.columns, *(F.col("__case")[c].alias(c) for c in extra))
 
 
 def lookup(rows: DataFrame, table: DataFrame, key: str, columns: list[str], strict: bool = True) -> DataFrame:
@@ -114,17 +130,16 @@ def first_match(table: DataFrame, key: str, order: str) -> DataFrame:
 
 def merged_predictions(tables: Mapping[str, DataFrame], score: str = "prediction", key: str = "slide_name") -> DataFrame:
     """Columns <model>_pred_score (and <model>_pred_binary where there is bin_prediction) of
-    several prediction tables side by side. Joined by key, which must be unique in each, not by
-    row order, so that tables in different orders don't mix."""
+    several prediction tables side by side. Joined by key, not by row order, so that tables in
+    different orders don't mix; a key that repeats in a table raises when it is read."""
     merged = None
     for model, df in tables.items():
-        assert_unique(require_columns(df, key, score), key)
+        require_columns(df, key, score)
         own = {score: f"{model}_pred_score"} | ({"bin_prediction": f"{model}_pred_binary"} if "bin_prediction" in df.columns else {})
-        added = df.select(key, *(F.col(a).alias(b) for a, b in own.items()))
         if merged is None:
             kept = [c for c in df.columns if c not in ("is_fp", score, "bin_prediction")]
             merged = df.select(*kept)
-        merged = merged.join(added, key, "left")
+        merged = join_one_to_one(merged, df.select(F.col(key).alias("__of"), *(F.col(a).alias(b) for a, b in own.items())), key, "__of", list(own.values()), required=False)
     return merged
 
 

@@ -1,7 +1,12 @@
 """Ranks and running sums in two levels, so that no partition key gathers in one task.
 
 Rows are cut into buckets that keep the order; ranks or sums run inside a bucket, and the small
-table of bucket totals gives what comes before each bucket.
+table of bucket totals gives what comes before each bucket. Buckets end at approximate quantiles of
+each group's keys, so they are alike in rows however keys are spread; only rows with the very same
+key can't be parted.
+
+Hashes and draws are ones that other engines have too: md5 for keys, and for the numbered draws of
+a resample a power map modulo two primes (fixed values), which costs less.
 """
 
 from __future__ import annotations
@@ -10,6 +15,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+BUCKETS = 64
+#: The largest primes below 2^31; x^5 is one to one modulo either.
+PRIMES = (2147483647, 2147483629)
+
+
+def join_groups(df: DataFrame, groups: DataFrame, by: list[str]) -> DataFrame:
+    """Add to every row the columns of its group; null keys are a group like any other."""
+    if not by:
+        return df.crossJoin(groups)
+    renamed = groups.withColumnsRenamed({c: f"__by_{c}" for c in by})
+    same = [F.col(c).eqNullSafe(F.col(f"__by_{c}")) for c in by]
+    return df.join(renamed, same).drop(*(f"__by_{c}" for c in by))
+
+
+def bucketed(df: DataFrame, by: list[str], key: str, values: list[str] = (), buckets: int = BUCKETS) -> DataFrame:
+    """df with __bucket, whose numbers rise with the key (null and NaN apart), and __all_<value>,
+    the sum over the group, for each value."""
+    bounds = F.percentile_approx(key, [i / buckets for i in range(1, buckets)], 10_000)
+    groups = df.groupBy(*by).agg(F.array_distinct(bounds).alias("__bounds"), *(F.sum(v).alias(f"__all_{v}") for v in values))
+    below = F.size(F.filter("__bounds", lambda b: b < F.col(key)))
+    return join_groups(df, groups, by).withColumn("__bucket", F.coalesce(below, F.lit(0))).drop("__bounds")
+
 
 def _before(totals: DataFrame, by: list[str], value: str, descending: bool = False) -> DataFrame:
     """by, __bucket and the sum of value over the buckets before it."""
@@ -18,27 +45,82 @@ def _before(totals: DataFrame, by: list[str], value: str, descending: bool = Fal
     return totals.withColumn(f"__before_{value}", F.coalesce(F.sum(value).over(w), F.lit(0)))
 
 
+def hashed(seed: int, *keys: str | Column) -> Column:
+    """60 bits of the md5 of seed and keys as text, as a number."""
+    text = F.concat_ws("|", F.lit(str(seed)), *((F.col(k) if isinstance(k, str) else k).cast("string") for k in keys))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("bigint")
+
+
 def hash_rank(df: DataFrame, by: list[str], keys: list[str], seed: int, name: str = "rank", bits: int = 6) -> DataFrame:
     """A rank from 1 in the order of a seeded hash of the keys, by group: a shuffled order that
     is the same on every run. 2**bits buckets share the work of each group."""
-    df = df.withColumn("__h", F.xxhash64(F.lit(seed), *keys)).withColumn("__bucket", F.shiftright("__h", 64 - bits))
+    df = df.withColumn("__h", hashed(seed, *keys)).withColumn("__bucket", F.shiftright("__h", 60 - bits).cast("int"))
+    return _ranked(df, by, ["__h", *keys], name).drop("__h")
+
+
+def ordered_rank(df: DataFrame, by: list[str], order: list[str], name: str = "rank") -> DataFrame:
+    """A rank from 1 in ascending order, by group; the first column of the order is a number."""
+    return _ranked(bucketed(df, by, order[0]), by, order, name)
+
+
+def file_rank(df: DataFrame, by: list[str], name: str = "rank") -> DataFrame:
+    """A rank from 1, by group, of rows that have __bucket (their file) and __at (place in it)."""
+    return _ranked(df, by, ["__at"], name).drop("__at")
+
+
+def _ranked(df: DataFrame, by: list[str], order: list[str], name: str) -> DataFrame:
     totals = _before(df.groupBy(*by, "__bucket").agg(F.count("*").alias("n")), by, "n").select(*by, "__bucket", "__before_n")
-    local = df.withColumn("__r", F.row_number().over(W.partitionBy(*by, "__bucket").orderBy("__h", *keys)))
-    return local.join(totals, [*by, "__bucket"]).withColumn(name, (F.col("__r") + F.col("__before_n")).cast("bigint")).drop("__h", "__bucket", "__r", "__before_n")
-
-
-def running_sums(df: DataFrame, by: list[str], key: str, values: list[str], buckets: int = 64) -> DataFrame:
-    """cum_<value> for each value: its sum over rows with a key at least as large, by group.
-    key must be finite and unique in its group."""
-    ends = df.groupBy(*by).agg(F.min(key).alias("__lo"), F.max(key).alias("__hi"))
-    df = df.join(ends, by) if by else df.crossJoin(ends)
-    share = (F.col(key) - F.col("__lo")) / (F.col("__hi") - F.col("__lo"))
-    df = df.withColumn("__bucket", F.when(F.col("__hi") > F.col("__lo"), F.floor(share * buckets)).otherwise(F.lit(0)).cast("int"))
-    totals = df.groupBy(*by, "__bucket").agg(*(F.sum(v).alias(v) for v in values))
+    local = df.withColumn("__r", F.row_number().over(W.partitionBy(*by, "__bucket").orderBy(*order)))
+    return join_groups(local, totals, [*by, "__bucket"]).withColumn(name, (F.col("__r") + F.col("__before_n")).cast("bigint")).drop("__bucket", "__r", "__before_n")
+
+
+def running_sums(df: DataFrame, by: list[str], key: str, values: list[str], buckets: int = BUCKETS) -> DataFrame:
+    """Over rows in descending order of key, by group, for each value v: cum_<v>, the sum up to and
+    with the row, all_<v>, the sum over the group, and next_<v>, that of the row after it (null for
+    the last); and first, whether none comes before. key must be finite and unique in its group."""
+    df = bucketed(df, by, key, values, buckets)
+    head = F.max_by(F.struct(*values), key)
+    totals = df.groupBy(*by, "__bucket").agg(head.alias("__head"), *(F.sum(v).alias(v) for v in values))
     for v in values:
         totals = _before(totals, by, v, descending=True)
-    totals = totals.select(*by, "__bucket", *(f"__before_{v}" for v in values))
-    w = W.partitionBy(*by, "__bucket").orderBy(F.col(key).desc()).rowsBetween(W.unboundedPreceding, 0)
-    local = df.withColumns({f"__own_{v}": F.sum(v).over(w) for v in values}).join(totals, [*by, "__bucket"])
-    cums: dict[str, Column] = {f"cum_{v}": F.col(f"__own_{v}") + F.col(f"__before_{v}") for v in values}
-    return local.withColumns(cums).drop("__lo", "__hi", "__bucket", *(f"__own_{v}" for v in values), *(f"__before_{v}" for v in values))
+    order = W.partitionBy(*by).orderBy(F.col("__bucket").desc())
+    totals = totals.withColumns({"__after": F.lead("__head").over(order), "__top": F.row_number().over(order) == 1})
+    totals = totals.select(*by, "__bucket", "__after", "__top", *(f"__before_{v}" for v in values))
+    near = W.partitionBy(*by, "__bucket").orderBy(F.col(key).desc())
+    upto = near.rowsBetween(W.unboundedPreceding, 0)
+    own = {f"__own_{v}": F.sum(v).over(upto) for v in values} | {"__next": F.lead(F.struct(*values)).over(near), "__n": F.row_number().over(near)}
+    local = join_groups(df.withColumns(own), totals, [*by, "__bucket"])
+    found: dict[str, Column] = {"first": F.col("__top") & (F.col("__n") == 1)}
+    for v in values:
+        found |= {f"cum_{v}": F.col(f"__own_{v}") + F.col(f"__before_{v}"), f"all_{v}": F.col(f"__all_{v}"), f"next_{v}": F.coalesce("__next", "__after")[v]}
+    return local.select(*(c for c in df.columns if not c.startswith("__")), *(c.alias(n) for n, c in found.items()))
+
+
+def draws(df: DataFrame, number: Column, n: Column, name: str, seed: int) -> DataFrame:
+    """df with a draw from 0 to n-1 for a number (not negative): for each prime p the steps
+    u = number + seed, u^5, 7919 u + 104729, u^5, all modulo p, put together as one number
+    modulo n."""
+    steps = [f"__u{i}" for i in range(len(PRIMES))]
+
+    def fifth(df: DataFrame) -> DataFrame:
+        for power in (2, 4):
+            df = df.withColumns({f"{s}_{power}": (F.col(s if power == 2 else f"{s}_2") * F.col(s if power == 2 else f"{s}_2")) % p for s, p in zip(steps, PRIMES, strict=True)})
+        return df.withColumns({s: (F.col(f"{s}_4") * F.col(s)) % p for s, p in zip(steps, PRIMES, strict=True)})
+
+    df = fifth(df.withColumns({s: (number % p + seed) % p for s, p in zip(steps, PRIMES, strict=True)}))
+    df = fifth(df.withColumns({s: (F.col(s) * 7919 + 104729) % p for s, p in zip(steps, PRIMES, strict=True)}))
+    df = df.withColumn(name, (F.col(steps[0]) * (1 << 31) + F.col(steps[1])) % n)
+    return df.drop(*steps, *(f"{s}_{power}" for s in steps for power in (2, 4)))
+
+
+def draws_sql(number: str, n: str, seed: int) -> str:
+    """The same draw as an SQL expression."""
+    found = []
+    for p in PRIMES:
+        u = f"(CAST({number} AS BIGINT) % {p} + {seed}) % {p}"
+        for last in (False, True):
+            u = f"list_transform([{u}], lambda u: (((u * u % {p}) * (u * u % {p}) % {p}) * u) % {p})[1]"
+            if not last:
+                u = f"(({u}) * 7919 + 104729) % {p}"
+        found.append(u)
+    return f"(({found[0]}) * 2147483648 + ({found[1]})) % ({n})"

@@ -13,10 +13,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from glasspane.operators.ranks import hash_rank
+from glasspane.operators.ranks import draws, hash_rank, hashed
 
 SEED = 42
-#: Different vectors of class counts that the fold assignment takes to the driver, at most.
+#: Different vectors of class counts that are dealt in the driver; with more, Spark deals them.
 MAX_KINDS = 200_000
 
 
@@ -45,7 +45,7 @@ def _deal(kinds: np.ndarray, sizes: np.ndarray, k: int) -> np.ndarray:
     quota = np.repeat((sizes // k)[:, None], k, 1)
     total = np.maximum((kinds * sizes[:, None]).sum(0), 1)
     folds = (quota[:, :, None] * kinds[:, None, :]).sum(0).astype(float)
-    for i in np.argsort(-kinds.std(1), kind="stable"):
+    for i in np.argsort(-kinds.std(1).round(9), kind="stable"):
         for _ in range(int(sizes[i] % k)):
             trial = np.repeat(folds[None], k, 0)
             trial[np.arange(k), np.arange(k)] += kinds[i]
@@ -61,7 +61,8 @@ def group_folds(df: DataFrame, label: str, group: str, k: int, seed: int = SEED)
 
     Groups with the same class counts are alike, so only the different vectors of counts, and
     how many groups have each, come to the driver; which groups of a kind go where is a ranked
-    hash. More than MAX_KINDS vectors are an error. Null groups and labels are left out.
+    hash. With more than MAX_KINDS vectors groups are dealt in turn among those that have the same
+    largest class and number of rows, which is less even. Null groups and labels are left out.
     """
     if k < 2:
         raise ValueError("there must be at least two folds")
@@ -70,7 +71,9 @@ def group_folds(df: DataFrame, label: str, group: str, k: int, seed: int = SEED)
     counts = rows.groupBy(group).agg(F.array(*(F.count_if(F.col(label) == c).cast("int") for c in classes)).alias("kind"))
     kinds = counts.groupBy("kind").agg(F.count("*").alias("n")).orderBy("kind").limit(MAX_KINDS + 1).collect()
     if len(kinds) > MAX_KINDS:
-        raise ValueError(f"more than {MAX_KINDS} different class counts")
+        alike = counts.select(group, F.array_position("kind", F.array_max("kind")).alias("__most"), F.aggregate("kind", F.lit(0), lambda a, x: a + x).alias("__rows"))
+        turn = F.pmod(F.col("__rank") + hashed(seed, "__most", "__rows"), F.lit(k)).cast("int")
+        return hash_rank(alike, ["__most", "__rows"], [group], seed, "__rank").select(group, turn.alias("fold"))
     if not kinds:
         return counts.select(group, F.lit(0).alias("fold"))
     quota = _deal(np.array([r.kind for r in kinds], float), np.array([r.n for r in kinds]), k)
@@ -124,9 +127,8 @@ def weighted_sample(df: DataFrame, label: str, keys: list[str], n: int, seed: in
     order = W.partitionBy(F.lit(0)).orderBy(label)  # one row for each class
     classes = counts.withColumns({"__class": F.row_number().over(order) - 1, "__k": F.count("*").over(W.partitionBy(F.lit(0)))})
     k = classes.agg(F.max("__k").alias("k"))
-    draws = spark.range(n).withColumnRenamed("id", "draw").crossJoin(k)
-    pick = lambda what, m: F.pmod(F.xxhash64(F.lit(seed), F.lit(what), "draw"), m)
-    draws = draws.withColumn("__class", pick("class", F.col("k"))).join(classes.select(F.col(label).alias("__label"), "__class", "__n"), "__class")
-    draws = draws.select("draw", "__label", (pick("row", F.col("__n")) + 1).alias("__rank"))
+    drawn = draws(spark.range(n).withColumnRenamed("id", "draw").crossJoin(k), F.col("draw") * 2, F.col("k"), "__class", seed)
+    drawn = drawn.join(classes.select(F.col(label).alias("__label"), "__class", "__n"), "__class")
+    drawn = draws(drawn, F.col("draw") * 2 + 1, F.col("__n"), "__place", seed).select("draw", "__label", (F.col("__place") + 1).alias("__rank"))
     ranked = hash_rank(df, [label], keys, seed, "__rank")
-    return draws.join(ranked, (F.col("__label") == F.col(label)) & (draws["__rank"] == ranked["__rank"])).select(*df.columns, "draw")
+    return drawn.join(ranked, (F.col("__label") == F.col(label)) & (drawn["__rank"] == ranked["__rank"])).select(*df.columns, "draw")

@@ -86,14 +86,14 @@ def resampled_aucs(df: DataFrame, key: str, target: str, scores: list[str], n_bo
     """replicate and the auc of each score column (under its place in scores, "0", "1", ...) over
     resamples with replacement; null where a class is absent. df must be unique in key.
 
-    Each of n_boot x n draws takes the row whose place (by hash) is a seeded hash of the draw, so
+    Each of n_boot x n draws takes the row whose place (by hash) comes from the draw's number, so
     every run gives the same result, and all scores share the draws. A replicate is drawn, counted
     by kind of row (target and scores) and summed in the task that its number is dealt to: draws
     are never shuffled while the places can be sent to the tasks.
     """
     from pyspark.sql import Window as W
 
-    from glasspane.operators.ranks import hash_rank
+    from glasspane.operators.ranks import draws, hash_rank
 
     spark = df.sparkSession
     sides = [f"__s{i}" for i in range(len(scores))]
@@ -110,7 +110,7 @@ def resampled_aucs(df: DataFrame, key: str, target: str, scores: list[str], n_bo
     first = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"), F.lit(CHUNK).cast("bigint")))
     drawn = drawn.select("replicate", first.alias("first"))
     drawn = drawn.select("replicate", F.explode(F.sequence("first", F.least(F.col("first") + (CHUNK - 1), F.lit(n - 1).cast("bigint")))).alias("draw"))
-    drawn = drawn.select("replicate", (F.pmod(F.xxhash64(F.lit(seed), F.col("replicate") * n + F.col("draw")), F.lit(n)) + 1).alias("place"))
+    drawn = draws(drawn, F.col("replicate") * n + F.col("draw"), F.lit(n), "place", seed).select("replicate", (F.col("place") + 1).alias("place"))
     counts = drawn.join(sent(places, n <= SENT_ROWS), "place").groupBy("replicate", "kind").agg(F.count("*").alias("n"))
     entries = F.explode(F.array(*(F.struct(F.lit(i).alias("side"), F.col(s).alias("score")) for i, s in enumerate(sides))))
     known = kinds.where("__t is not null").select("kind", "__t", entries.alias("e")).select("kind", "__t", "e.side", "e.score")

@@ -7,7 +7,7 @@ applied tissue first, and tiles without tissue go before the other masks are joi
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -20,7 +20,8 @@ from glasspane.operators import checks, filters, grid, joins, splits
 @dataclass(frozen=True)
 class Mask:
     """name: prefix of the percentage column. kind: "foreground" (1 less class 0), "marked" (class
-    255) or "hybrid" (tissue and carcinoma from classes 0 to 5). centre: only the tile's middle."""
+    255), "hybrid" (tissue and carcinoma from classes 0 to 5) or one registered with kind_of_mask.
+    centre: only the tile's middle."""
 
     name: str
     pixels: DataFrame
@@ -28,13 +29,47 @@ class Mask:
     centre: bool = False
 
     def columns(self) -> dict[str, Column]:
-        m = F.col("overlap")
-        if self.kind == "hybrid":
-            by_number = F.transform_keys(m, lambda k, _: k.cast("int"))
-            return overlap.hybrid_percentages(by_number)
-        if self.kind not in ("foreground", "marked"):
-            raise ValueError(f"no such kind of mask: {self.kind}")
-        return {f"{self.name}_percentage": overlap.foreground(m) if self.kind == "foreground" else overlap.fraction(m, "255")}
+        if self.kind not in KINDS:
+            raise ValueError(f"no such kind of mask: {self.kind}; there are {', '.join(sorted(KINDS))}")
+        return KINDS[self.kind](self.name, F.col("overlap"))
+
+
+#: How the columns of a mask come from its overlap, by the name that a configuration gives.
+KINDS: dict[str, Callable[[str, Column], dict[str, Column]]] = {}
+
+
+def kind_of_mask(name: str):
+    """Register a function (mask name, overlap) to columns as a kind of mask."""
+
+    def add(f: Callable[[str, Column], dict[str, Column]]):
+        KINDS[name] = f
+        return f
+
+    return add
+
+
+@kind_of_mask("foreground")
+def _foreground(name: str, m: Column) -> dict[str, Column]:
+    return {f"{name}_percentage": overlap.foreground(m)}
+
+
+@kind_of_mask("marked")
+def _marked(name: str, m: Column) -> dict[str, Column]:
+    return {f"{name}_percentage": overlap.fraction(m, "255")}
+
+
+@kind_of_mask("hybrid")
+def _hybrid(name: str, m: Column) -> dict[str, Column]:
+    return overlap.hybrid_percentages(F.transform_keys(m, lambda k, _: k.cast("int")))
+
+
+def configured(specifications: Sequence[Mapping[str, object]], pixels: Mapping[str, DataFrame]) -> list[Mask]:
+    """Masks from configuration entries (name, kind, centre) and the pixels of each name; an unknown
+    kind or field is an error here, not when tiles are read."""
+    masks = [Mask(pixels=pixels[str(s["name"])], **s) for s in specifications]
+    for m in masks:
+        m.columns()
+    return masks
 
 
 def with_mask(tiles: DataFrame, mask: Mask, extent: int) -> DataFrame:
@@ -60,9 +95,8 @@ def tile_table(slides: DataFrame, masks: Sequence[Mask], extent: int) -> DataFra
 
 def with_group_folds(slides: DataFrame, metadata: DataFrame, label: str, group: str, k: int, path: str = "path", metadata_path: str = "slide_path") -> DataFrame:
     """slides with a fold by group: the group is looked up one to one in the metadata, missing
-    groups and groups in two folds are errors."""
+    groups and groups in two folds raise when the row is read."""
     grouped = joins.join_one_to_one(slides, metadata, path, metadata_path, [group])
     folds = splits.with_folds(grouped, label, group, k)
-    checks.assert_no_leak(folds, group)
-    checks.assert_no_nulls(folds, "fold", "no fold for some slides")
-    return folds.select(*slides.columns, "fold")
+    checked = checks.without_leak(folds, group)
+    return checked.select(*slides.columns, F.when(F.col("fold").isNotNull(), F.col("fold")).otherwise(F.raise_error(F.lit("no fold for a slide")).cast("int")).alias("fold"))

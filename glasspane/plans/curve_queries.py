@@ -151,12 +151,12 @@ def value_share(spark, sf_dir):
 
 
 _PARTS = "'low' AS source, c_nationkey AS value FROM customer WHERE c_acctbal < 2000"
-_OTHER = "'high' AS source, c_nationkey AS value FROM customer WHERE c_acctbal >= 6000"
+_OTHER = "'high' AS source, c_nationkey AS value FROM customer WHERE c_acctbal >= 2000"
 
 
 def _two(spark, sf_dir):
     customers = table(spark, sf_dir, "customer")
-    return {"low": customers.where("c_acctbal < 2000"), "high": customers.where("c_acctbal >= 6000")}
+    return {"low": customers.where("c_acctbal < 2000"), "high": customers.where("c_acctbal >= 2000")}
 
 
 _SHARES = f"""l AS (SELECT {_PARTS} UNION ALL SELECT {_OTHER}), s AS (SELECT source, value, count(*) / CAST(sum(count(*)) OVER (PARTITION BY source) AS DOUBLE) AS share FROM l GROUP BY 1, 2)"""

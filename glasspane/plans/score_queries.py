@@ -78,6 +78,21 @@ def sweep_topk_wide(spark, sf_dir):
     return grid.sweep_wide(long, ["kernel_size", "k"], [f"pred_kernel_size={a}_k={b}" for a in (1, 2) for b in (1, 3)])
 
 
+@query(f"""WITH {POOLED_SQL} SELECT slide_id, 1 AS kernel_size, round(max(score), 9) AS prediction FROM cells GROUP BY 1
+UNION ALL SELECT slide_id, 2, round(max(score), 9) FROM pooled GROUP BY 1""")
+def sweep_mean_pool_max(spark, sf_dir):
+    return digits(grid.sweep_mean_pool_max(_cells(spark, sf_dir), [1, 2]), "prediction", n=9)
+
+
+@query(f"""WITH cells AS ({CELLS_SQL}),
+r AS (SELECT slide_id, score AS s1, CASE WHEN count(*) OVER a = 2 THEN min(score) OVER a END AS a2, CASE WHEN count(*) OVER b = 2 THEN min(score) OVER b END AS b2 FROM cells
+ WINDOW a AS (PARTITION BY slide_id, gy ORDER BY gx RANGE BETWEEN CURRENT ROW AND 1 FOLLOWING), b AS (PARTITION BY slide_id, gx ORDER BY gy RANGE BETWEEN CURRENT ROW AND 1 FOLLOWING))
+SELECT slide_id, k, threshold, coalesce(bool_or(CASE WHEN k = 1 THEN s1 >= threshold ELSE a2 >= threshold OR b2 >= threshold END), false) AS prediction
+FROM r, (VALUES (1), (2)) p(k), (VALUES (CAST(0.05 AS DOUBLE)), (CAST(0.3 AS DOUBLE))) t(threshold) GROUP BY 1, 2, 3""")
+def sweep_span(spark, sf_dir):
+    return grid.sweep_span(_cells(spark, sf_dir), [1, 2], [0.05, 0.3])
+
+
 @query("SELECT CAST(kernel_size AS BIGINT) AS kernel_size, CAST(k AS BIGINT) AS k, 'kernel_size=' || kernel_size || '_k=' || k AS key FROM (VALUES (1), (2)) a(kernel_size), (VALUES (1), (3), (5)) b(k)")
 def parameter_grid(spark, sf_dir):
     return joins.parameter_grid(spark, {"kernel_size": [1, 2], "k": [1, 3, 5]})
@@ -110,14 +125,15 @@ def attention_weights(spark, sf_dir):
 @query("""WITH m AS (SELECT user_id, min(value) AS lo, max(value) AS hi FROM events GROUP BY 1)
 SELECT event_id, round((value - lo) / nullif(hi - lo, 0), 6) AS scaled FROM events JOIN m USING (user_id)""")
 def minmax_norm(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id", F.round(attention.min_max("value", ["user_id"]), 6).alias("scaled"))
+    found = attention.min_max(table(spark, sf_dir, "events").select("event_id", "user_id", "value"), "value", ["user_id"], "scaled")
+    return digits(found.select("event_id", "scaled"), "scaled")
 
 
 @query("""WITH v AS (SELECT event_id, user_id, value / CAST(500 AS DOUBLE) AS v FROM events), m AS (SELECT user_id, max(v) AS m FROM v GROUP BY 1), z AS (SELECT user_id, sum(exp(v - m)) AS z FROM v JOIN m USING (user_id) GROUP BY 1)
 SELECT event_id, round(exp(v - m) / z, 9) AS weight FROM v JOIN m USING (user_id) JOIN z USING (user_id)""")
 def softmax_weights(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select("event_id", "user_id", (F.col("value") / 500.0).alias("v"))
-    return rows.select("event_id", F.round(attention.softmax("v", ["user_id"]), 9).alias("weight"))
+    return digits(attention.softmax(rows, "v", ["user_id"]).select("event_id", "weight"), "weight", n=9)
 
 
 @query("""WITH e AS (SELECT user_id, value / CAST(500 AS DOUBLE) AS z, CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END AS t, value > 100 AS m FROM events),
@@ -128,6 +144,18 @@ def masked_loss(spark, sf_dir):
     return digits(attention.masked_bag_loss(rows, "user_id", "loss", "m"), "loss")
 
 
+@query("""SELECT vec_id, round(CAST(embedding[1] AS DOUBLE), 6) AS cls, round(list_sum(list_transform(embedding[6:64], lambda x: CAST(x AS DOUBLE))) / 59, 6) AS rest, round(CAST(embedding[1] AS DOUBLE), 6) AS first_token,
+ round((CAST(embedding[1] AS DOUBLE) - CAST(0.5 AS DOUBLE)) / CAST(0.25 AS DOUBLE), 6) AS red, round((CAST(embedding[2] AS DOUBLE) + CAST(1 AS DOUBLE)) / CAST(2 AS DOUBLE), 6) AS green FROM embeddings""")
+def token_and_channels(spark, sf_dir):
+    """Numbers of an embedding as tokens of one: the first with the mean from the sixth on; and as
+    channels, normalised."""
+    vec = table(spark, sf_dir, "embeddings")
+    tokens = F.transform("embedding", lambda x: F.array(x.cast("double")))
+    both, scaled = vectors.cls_and_mean(tokens), vectors.normalised(F.transform(F.slice("embedding", 1, 2), lambda x: x.cast("double")), [0.5, -1.0], [0.25, 2.0])
+    found = vec.select("vec_id", both[0].alias("cls"), both[1].alias("rest"), vectors.cls_token(tokens)[0].alias("first_token"), scaled[0].alias("red"), scaled[1].alias("green"))
+    return digits(found, "cls", "rest", "first_token", "red", "green")
+
+
 @query(f"SELECT x, y, CAST(floor(255 / (1 + exp(-sum(score) / count(*)))) AS INT) AS pixel FROM ({SCORED_SQL}) GROUP BY 1, 2")
 def cam_pixels(spark, sf_dir):
     return scored_tiles(spark, sf_dir).groupBy("x", "y").agg(vectors.cam_pixel(F.sum("score"), F.count("*")).alias("pixel"))

@@ -5,13 +5,20 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from glasspane.operators import checks, splits, statistics, tiling
-from glasspane.plans.frames import digits, labelled, table
+from glasspane.operators.ranks import draws_sql
+from glasspane.operators.splits import SEED
+from glasspane.plans.frames import LABELLED_SQL, digits, labelled, table
 from glasspane.plans.registry import query
 
 #: Resamples of a comparison, as in the reference.
 REPLICATES = 10_000
 
 
+def _hash_sql(*keys: str) -> str:
+    """ranks.hashed in SQL."""
+    return f"CAST('0x' || substr(md5(concat_ws('|', '{SEED}', {', '.join(keys)})), 1, 15) AS BIGINT)"
+
+
 @query("SELECT o_custkey AS grp, count(DISTINCT o_orderkey % 5) AS n_folds FROM orders GROUP BY 1 HAVING count(DISTINCT o_orderkey % 5) > 1")
 def group_leak_check(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("grp"), (F.col("o_orderkey") % 5).alias("fold"))
@@ -40,33 +47,85 @@ def group_fold_invariants(spark, sf_dir):
     return n("row", rows.agg(F.count("*").alias("n"))).union(n("group", rows.agg(F.count_distinct("c_nationkey").alias("n")))).union(n("leak", leaks)).union(n("fold", rows.agg(F.count_distinct("fold").alias("n"))))
 
 
-@query()
+def _folds_sql(k: int) -> str:
+    """Common tables up to folds(c_nationkey, fold): whole rounds of each vector of class counts are
+    dealt evenly, the rest one after another to the fold that stays most even (see splits._deal)."""
+    after = f"list_transform(range(1, len(total) + 1), lambda c: list_stddev_pop(list_transform(range(1, {k} + 1), lambda f: (state[f][c] + CASE WHEN f = x.f THEN kind[c] ELSE 0 END) / greatest(total[c], 1))))"
+    return f"""WITH RECURSIVE m AS (SELECT DISTINCT c_mktsegment FROM customer), n AS (SELECT DISTINCT c_nationkey FROM customer),
+g AS (SELECT c_nationkey, list(CAST(n AS DOUBLE) ORDER BY c_mktsegment) AS kind FROM (SELECT n.c_nationkey, m.c_mktsegment, count(c_custkey) AS n FROM n CROSS JOIN m LEFT JOIN customer c ON c.c_nationkey = n.c_nationkey AND c.c_mktsegment = m.c_mktsegment GROUP BY 1, 2) GROUP BY 1),
+h AS (SELECT kind, count(*) AS n FROM g GROUP BY 1),
+e AS (SELECT c, sum(kind[c] * n) AS total, sum(kind[c] * (n // {k})) AS base FROM h, range(1, (SELECT count(*) FROM m) + 1) t(c) GROUP BY 1),
+tot AS (SELECT list(total ORDER BY c) AS total, list(base ORDER BY c) AS base FROM e),
+item AS (SELECT kind, row_number() OVER (ORDER BY round(list_stddev_pop(kind), 9) DESC, kind, i) AS step FROM h, range({k}) t(i) WHERE i < n % {k}),
+deal AS (SELECT CAST(0 AS BIGINT) AS step, list_transform(range({k}), lambda f: base) AS state, CAST(-1 AS BIGINT) AS fold FROM tot
+ UNION ALL SELECT * FROM (SELECT item.step, list_transform(range(1, {k} + 1), lambda f: CASE WHEN f = x.f THEN list_transform(range(1, len(kind) + 1), lambda c: state[f][c] + kind[c]) ELSE state[f] END) AS state, x.f - 1 AS fold
+  FROM deal JOIN item ON item.step = deal.step + 1, tot, range(1, {k} + 1) x(f) ORDER BY round(list_avg({after}), 12), list_sum(state[x.f]), x.f LIMIT 1)),
+quota AS (SELECT h.kind, f AS fold, n // {k} + count(deal.step) AS q FROM h CROSS JOIN range({k}) t(f) LEFT JOIN item ON item.kind = h.kind LEFT JOIN deal ON deal.step = item.step AND deal.fold = f GROUP BY h.kind, f, n),
+ends AS (SELECT kind, fold, q, sum(q) OVER (PARTITION BY kind ORDER BY fold) AS upto FROM quota),
+ranked AS (SELECT c_nationkey, kind, row_number() OVER (PARTITION BY kind ORDER BY {_hash_sql("c_nationkey")}, c_nationkey) AS rank FROM g),
+folds AS (SELECT c_nationkey, CAST(fold AS INT) AS fold FROM ranked JOIN ends USING (kind) WHERE rank > upto - q AND rank <= upto)"""
+
+
+@query(_folds_sql(5) + " SELECT c_nationkey, fold FROM folds")
 def stratified_group_fold(spark, sf_dir):
     return splits.group_folds(table(spark, sf_dir, "customer"), "c_mktsegment", "c_nationkey", 5)
 
 
-@query()
+@query(_folds_sql(5) + """, f AS (SELECT fold, c_mktsegment, count(*) AS n FROM customer JOIN folds USING (c_nationkey) GROUP BY 1, 2),
+w AS (SELECT c_mktsegment, sum(n) / CAST(sum(sum(n)) OVER () AS DOUBLE) AS share FROM f GROUP BY 1),
+s AS (SELECT fold, c_mktsegment, n / CAST(sum(n) OVER (PARTITION BY fold) AS DOUBLE) AS share FROM f),
+d AS (SELECT s.fold, CASE WHEN count(*) < (SELECT count(*) FROM w) THEN CAST('Infinity' AS DOUBLE) ELSE round(sum(abs(s.share - w.share)), 12) END AS gap FROM s JOIN w USING (c_mktsegment) GROUP BY 1),
+b AS (SELECT fold AS best FROM d ORDER BY gap, fold LIMIT 1)
+SELECT c_custkey, c_nationkey, c_mktsegment, CASE WHEN fold = best THEN 'test' ELSE 'train' END AS split FROM customer JOIN folds USING (c_nationkey), b""")
 def group_split(spark, sf_dir):
     return splits.group_split(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment"), "c_mktsegment", "c_nationkey", 0.2)
 
 
-@query()
+@query(f"""WITH c AS (SELECT c_mktsegment, count(*) AS n, row_number() OVER (ORDER BY c_mktsegment) - 1 AS class, count(*) OVER () AS k FROM customer GROUP BY 1),
+r AS (SELECT c_custkey, c_mktsegment, row_number() OVER (PARTITION BY c_mktsegment ORDER BY {_hash_sql("c_custkey")}, c_custkey) AS rank FROM customer),
+d AS (SELECT i AS draw, {draws_sql("2 * i", "(SELECT max(k) FROM c)", SEED)} AS class FROM range(1000) t(i)),
+e AS (SELECT draw, c_mktsegment, {draws_sql("2 * draw + 1", "n", SEED)} + 1 AS rank FROM d JOIN c USING (class))
+SELECT c_custkey, c_mktsegment, draw FROM e JOIN r USING (c_mktsegment, rank)""")
 def weighted_sample(spark, sf_dir):
     return splits.weighted_sample(table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment"), "c_mktsegment", ["c_custkey"], 1000)
 
 
-@query()
+def _resampled_sql(scores: dict[str, str]) -> str:
+    """Common tables up to a(replicate, side, auc): draws by number, counts by kind of row, areas."""
+    sides = ", ".join(f"CAST({sql} AS DOUBLE) AS s{i}" for i, sql in enumerate(scores.values()))
+    names = ", ".join(f"s{i}" for i in range(len(scores)))
+    long = " UNION ALL ".join(f"SELECT replicate, {i} AS side, s{i} AS score, t, n FROM c" for i in range(len(scores)))
+    return f"""WITH l AS (SELECT doc_id, CAST(quality AS INT) AS t, {sides} FROM ({LABELLED_SQL})),
+o AS (SELECT *, row_number() OVER (ORDER BY {_hash_sql("doc_id")}, doc_id) - 1 AS place, count(*) OVER () AS size FROM l),
+d AS (SELECT r AS replicate, {draws_sql("r * size + i", "size", SEED)} AS place FROM (SELECT max(size) AS size FROM o), range({REPLICATES}) t(r), range((SELECT count(*) FROM l)) u(i)),
+c AS (SELECT replicate, t, {names}, count(*) AS n FROM d JOIN o USING (place) GROUP BY ALL),
+p AS (SELECT replicate, side, score, CAST(sum(n * t) AS DOUBLE) AS tp, CAST(sum(n * (1 - t)) AS DOUBLE) AS fp FROM ({long}) GROUP BY 1, 2, 3),
+q AS (SELECT *, sum(fp) OVER (PARTITION BY replicate, side ORDER BY score ROWS UNBOUNDED PRECEDING) AS below FROM p),
+a AS (SELECT replicate, side, sum(tp * (below - fp / 2)) / nullif(sum(tp) * sum(fp), 0) AS auc FROM q GROUP BY 1, 2)"""
+
+
+_NI_SQL = """count(*) AS n, round(avg(delta), 9) AS mean_delta, round(quantile_cont(delta, CAST(0.025 AS DOUBLE)), 9) AS ci_95_lower, round(quantile_cont(delta, CAST(0.975 AS DOUBLE)), 9) AS ci_95_upper,
+ round(quantile_cont(delta, CAST(0.95 AS DOUBLE)), 9) AS upper_95, quantile_cont(delta, CAST(0.95 AS DOUBLE)) < CAST(0.02 AS DOUBLE) AS non_inferior"""
+_NI_DIGITS = ("mean_delta", "ci_95_lower", "ci_95_upper", "upper_95")
+
+
+@query(_resampled_sql({"base": "n_chars", "other": "n_chars % 977"}) + f""", v AS (SELECT o.auc - b.auc AS delta FROM a b JOIN a o USING (replicate) WHERE b.side = 0 AND o.side = 1 AND o.auc - b.auc IS NOT NULL)
+SELECT {_NI_SQL} FROM v""")
 def bootstrap_ni(spark, sf_dir):
     rows = labelled(spark, sf_dir).select("doc_id", "quality", F.col("n_chars").cast("double").alias("base"), (F.col("n_chars") % 977).cast("double").alias("other"))
-    return statistics.non_inferiority(statistics.bootstrap_auc_differences(rows, "doc_id", "quality", "base", "other", REPLICATES))
+    return digits(statistics.non_inferiority(statistics.bootstrap_auc_differences(rows, "doc_id", "quality", "base", "other", REPLICATES)), *_NI_DIGITS, n=9)
+
+
+_SCORES = {"a__max": "n_chars", "a__mpm": "n_chars % 977", "a__topk": "n_chars % 10", "a__span": "n_chars % 3", "b__max": "-n_chars", "b__mpm": "n_chars % 7", "b__topk": "n_chars", "b__span": "n_chars % 2"}
+_PAIRS = ", ".join(f"('{m}', '{x}', {list(_SCORES).index(f'{m}__max')}, {list(_SCORES).index(f'{m}__{x}')})" for m in "ab" for x in ("mpm", "topk", "span"))
 
 
-@query()
+@query(_resampled_sql(_SCORES) + f""", v AS (SELECT model, method, o.auc - b.auc AS delta FROM (VALUES {_PAIRS}) x(model, method, i, j) JOIN a b ON b.side = i JOIN a o ON o.side = j AND o.replicate = b.replicate WHERE o.auc - b.auc IS NOT NULL)
+SELECT model, method, {_NI_SQL} FROM v GROUP BY 1, 2""")
 def ni_table(spark, sf_dir):
-    n = F.col("n_chars").cast("double")
-    scores = {"a__max": n, "a__mpm": n % 977, "a__topk": n % 10, "b__max": -n, "b__mpm": n % 7, "b__topk": n}
-    rows = labelled(spark, sf_dir).select(F.col("doc_id").alias("slide_name"), F.col("quality").alias("target"), *(c.alias(k) for k, c in scores.items()))
-    return statistics.non_inferiority_table(rows, ["a", "b"], ["mpm", "topk"], REPLICATES)
+    """Two models, each with its maximum against mean-pool-max, top-k and span."""
+    rows = labelled(spark, sf_dir).select(F.col("doc_id").alias("slide_name"), F.col("quality").alias("target"), *(F.expr(c).cast("double").alias(k) for k, c in _SCORES.items()))
+    return digits(statistics.non_inferiority_table(rows, ["a", "b"], ["mpm", "topk", "span"], REPLICATES), *_NI_DIGITS, n=9)
 
 
 @query("SELECT 'row' AS what, count(*) AS n FROM orders UNION ALL SELECT 'leak', 0 UNION ALL SELECT 'fold', 5")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from glasspane.functions import text
-from glasspane.operators import filters, joins, labels
+from glasspane.operators import checks, filters, joins, labels, splits
 from glasspane.plans.frames import table
 from glasspane.plans.registry import query
 
@@ -36,9 +36,9 @@ def regex_parse(spark, sf_dir):
 @query("""SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_returnflag = 'A' THEN 'c' WHEN l_linenumber IN (1, 2, 5) THEN 'a' ELSE 'b' END AS case_id FROM lineitem
 WHERE l_returnflag = 'R' AND l_linenumber IN (1, 2, 5, 3, 6) OR l_returnflag = 'A' AND l_linenumber BETWEEN 2 AND 9""")
 def range_join(spark, sf_dir):
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag", F.monotonically_increasing_id().alias("line"))
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag")
     cases = spark.createDataFrame([("a", "R", "1-2,5"), ("b", "R", "3,6,6"), ("c", "A", "2-9")], "case_id string, l_returnflag string, listed string")
-    found = joins.range_join(lines, cases.select("case_id", "l_returnflag", text.parsed_ranges(F.col("listed")).alias("ranges")), "l_returnflag", "l_linenumber", "line")
+    found = joins.range_join(lines, cases.select("case_id", "l_returnflag", text.parsed_ranges(F.col("listed")).alias("ranges")), "l_returnflag", "l_linenumber", "l_orderkey")
     return found.select("l_orderkey", "l_linenumber", "l_partkey", "case_id")
 
 
@@ -100,3 +100,102 @@ def organised_files(spark, sf_dir):
 
     pages = table(spark, sf_dir, "pages").select("page_id", F.col("url").alias("path"))
     return pages.join(organised(pages.select("path").distinct(), {"1": "tiles"}), "path").select("page_id", "target")
+
+
+@query("""WITH s AS (SELECT o_custkey, 1 + o_orderkey % 9 AS n FROM orders), c AS (SELECT c_custkey, c_mktsegment <> 'MACHINERY' AS positive, c_acctbal > 0 AS invaded FROM customer),
+r AS (SELECT *, positive AND n IN (2, 3, 6) AS l FROM s JOIN c ON o_custkey = c_custkey WHERE n BETWEEN 1 AND 4 OR n = 6)
+SELECT '/d/' || o_custkey || '-24-' || n || '-HE.czi' AS slide_path, l AS carcinoma, c_custkey || '/24 - 1-4, 6' AS case_id, CAST(c_custkey AS INT) AS patient_id, positive AS case_carcinoma,
+ l AND invaded AS perineural_invasions, CASE WHEN l THEN CAST(2 AS DOUBLE) END AS isup_grade, CASE WHEN l THEN '3+4' END AS gleason_score FROM r""")
+def metadata_from_ranges(spark, sf_dir):
+    """Orders as slides <patient>-24-<number>-HE.czi, customers as cases with the ranges 1-4 and 6."""
+    orders, customer = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+    path = F.concat(F.lit("/d/"), F.col("o_custkey").cast("string"), F.lit("-24-"), (1 + F.col("o_orderkey") % 9).cast("string"), F.lit("-HE.czi"))
+    slides = orders.select(path.alias("slide_path")).union(orders.select(F.concat(F.lit("/d/other-"), F.col("o_orderkey").cast("string"))))
+    cases = customer.select(
+        F.concat(F.col("c_custkey").cast("string"), F.lit("/24 - 1-4, 6")).alias("Biopsy_No"), F.when(F.col("c_mktsegment") != "MACHINERY", "Yes").otherwise("no").alias("Cancer_in_case"), F.lit("2, 3,6").alias("Cancer_in_slides"),
+        F.when(F.col("c_acctbal") > 0, "yes").otherwise("no").alias("Perineural_invasion"), F.lit(2).alias("ISUP_grade_ group"), F.lit(" 3+4 ").alias("Gleason_score"),
+    )
+    return labels.metadata_from_ranges(slides, labels.parse_case_table(cases))
+
+
+@query("""SELECT '/d/2021_0' || c_custkey || '-0' || n || '.mrxs' AS slide_path, p AND n IN (1, 2) AS carcinoma, '21/' || c_custkey AS case_id, 'p' || c_custkey AS patient_id, p AS case_carcinoma,
+ p AND n IN (1, 2) AS perineural_invasions, CASE WHEN p AND n IN (1, 2) THEN CAST(1 AS DOUBLE) END AS isup_grade, CASE WHEN p AND n IN (1, 2) THEN '3+3' END AS gleason_score
+FROM (SELECT c_custkey + 1 AS c_custkey, c_nationkey > 10 AS p FROM customer), (VALUES (1), (2), (3)) t(n)""")
+def metadata_from_index(spark, sf_dir):
+    """Three slides <year>_<request>-<number>.mrxs of each customer, looked up as yy/request; the list
+    of positive slides was read as the number 1.2."""
+    customer = table(spark, sf_dir, "customer")
+    own = (F.col("c_custkey") + 1).cast("string")
+    name = F.concat(F.lit("/d/2021_0"), own, F.lit("-0"), F.col("n").cast("string"), F.lit(".mrxs"))
+    slides = customer.withColumn("n", F.explode(F.array(*map(F.lit, (1, 2, 3))))).select(name.alias("slide_path"))
+    cases = customer.select(
+        F.concat(F.lit(" 21/"), own).alias("Biopsy_No"), F.concat(F.lit("p"), own).alias("Patient_ID"), F.when(F.col("c_nationkey") > 10, "yes").alias("Cancer_in_case"),
+        F.lit(1.2).alias("Cancer_in_slides"), F.lit("yes").alias("Perineural_invasion"), F.lit(1).alias("ISUP_grade_ group"), F.lit("3+3").alias("Gleason_score"),
+    )
+    return labels.metadata_from_index(slides, cases)
+
+
+@query("SELECT count(*) AS in_whole, count(*) AS in_parts, 0 AS shared_keys, true AS complete FROM customer")
+def partition_completeness(spark, sf_dir):
+    customer = table(spark, sf_dir, "customer")
+    split = splits.stratified_split(customer, "c_mktsegment", ["c_custkey"], 0.2)
+    return checks.partition_counts(customer, list(filters.split_by(split, "split", ["train", "test"]).values()), "c_custkey")
+
+
+@query("SELECT count(*) AS in_whole, count(*) + count(*) FILTER (c_nationkey < 5) AS in_parts, count(*) FILTER (c_nationkey < 5) AS shared_keys, count(*) FILTER (c_nationkey < 5) = 0 AS complete FROM customer")
+def partition_overlap(spark, sf_dir):
+    customer = table(spark, sf_dir, "customer")
+    return checks.partition_counts(customer, [customer, customer.where("c_nationkey < 5")], "c_custkey")
+
+
+@query("SELECT doc_id, 'new/' || doc_id || '.tiff' AS path FROM documents")
+def repathed(spark, sf_dir):
+    path = lambda top: F.concat(F.lit(top), F.col("doc_id").cast("string"), F.lit(".tiff")).alias("path")
+    docs = table(spark, sf_dir, "documents")
+    return joins.repathed(docs.select("doc_id", path("old/deep/")), docs.select(path("new/")))
+
+
+@query("SELECT c_mktsegment AS provider, count(*) AS n FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') GROUP BY 1")
+def split_by_provider(spark, sf_dir):
+    parts = filters.split_by(table(spark, sf_dir, "customer"), "c_mktsegment", ["BUILDING", "MACHINERY"])
+    counts = [df.agg(F.lit(name).alias("provider"), F.count("*").alias("n")) for name, df in parts.items()]
+    return counts[0].union(counts[1])
+
+
+@query("SELECT n_nationkey, n_name FROM nation WHERE n_name NOT IN (SELECT min(n_name) FROM nation UNION ALL SELECT max(n_name) FROM nation)")
+def not_listed(spark, sf_dir):
+    nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    ends = nation.agg(F.min("n_name").alias("a"), F.max("n_name").alias("b")).first()
+    return filters.not_listed(nation, "n_name", [ends.a, ends.b])
+
+
+@query(r"SELECT page_id, url FROM pages WHERE regexp_matches(url, '/\d+\.html$')")
+def matching_names(spark, sf_dir):
+    return filters.matching(table(spark, sf_dir, "pages").select("page_id", "url"), "url", r"/\d+\.html$")
+
+
+@query("SELECT 'slide_' || c_custkey || '_' || c_nationkey % 2 AS stem, c_nationkey % 2 = 1 AS label FROM customer")
+def last_digit_labels(spark, sf_dir):
+    stem = F.concat(F.lit("slide_"), F.col("c_custkey").cast("string"), F.lit("_"), (F.col("c_nationkey") % 2).cast("string"))
+    return table(spark, sf_dir, "customer").select(stem.alias("stem")).select("stem", filters.last_digit_label(F.col("stem")).alias("label"))
+
+
+@query("SELECT 'd/' || doc_id || '.svs' AS slide_path, quality = 1 AS carcinoma FROM labels WHERE doc_id NOT IN (1, 2, 3)")
+def labelled_listing(spark, sf_dir):
+    rows = table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("stem"), F.col("quality").cast("double").alias("value"))
+    return labels.labelled_listing(rows.select(F.concat(F.lit("d/"), "stem", F.lit(".svs")).alias("slide_path")), rows, ["1", "2", "3"])
+
+
+@query("""SELECT c_custkey, sha256('{"c_custkey":' || c_custkey || ',"c_name":"' || c_name || '"}') AS id, c_acctbal < 0 AS lost FROM customer""")
+def row_ids(spark, sf_dir):
+    """A digest of each row; and the null test of a floating column (negative balances as NaN)."""
+    balance = F.when(F.col("c_acctbal") < 0, float("nan")).otherwise(F.col("c_acctbal"))
+    return table(spark, sf_dir, "customer").select("c_custkey", text.row_id("c_custkey", "c_name").alias("id"), text.missing(balance, floating=True).alias("lost"))
+
+
+@query("""SELECT doc_id, trim(lang) || '+' || trim(source) AS items, ' ' || source AS last, 'a/' || source || '.tiff' AS path, lower(source) AS source FROM documents""")
+def cell_items(spark, sf_dir):
+    """Items of a comma-separated cell, its last token, and a path with another suffix."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.concat("lang", F.lit(", "), "source").alias("l"), F.concat(F.lit("a/"), "source", F.lit(".svs")).alias("p"))
+    items = F.concat_ws("+", text.list_items(F.col("l")))
+    return docs.select("doc_id", items.alias("items"), text.last_token(F.col("l"), ",").alias("last"), text.with_suffix(F.col("p"), ".tiff").alias("path"), F.lower("source").alias("source"))

@@ -8,6 +8,7 @@ from glasspane.functions import overlap, vectors
 from glasspane.operators import curves, filters, grid, joins, labels, tiling
 from glasspane.plans.frames import FILTER_SQL, SCORED_SQL, THRESHOLDS, TILES_SQL, digits, scored_tiles, table, tiles
 from glasspane.plans.registry import query
+from glasspane.sources.scratch import shared_dir
 
 ORDERS_LABEL = "o_orderstatus = 'F'"
 
@@ -180,3 +181,36 @@ def token_pooling(spark, sf_dir):
     vec = table(spark, sf_dir, "embeddings")
     tokens = F.transform("embedding", lambda x: F.array(x.cast("double")))
     return vec.select("vec_id", F.round(vectors.mean_vector(tokens)[0], 6).alias("mean_value"), F.round(vectors.max_pooled(F.array("embedding"))[0].cast("double"), 6).alias("largest"), F.size(vectors.padded(tokens, 66, 1)).alias("padded_size"))
+
+
+@query(f"""WITH m AS ({_PIXELS_SQL}), t AS (SELECT DISTINCT slide_id, CAST(mx - mx % 4 AS INT) AS x, CAST(my - my % 4 AS INT) AS y FROM m)
+SELECT t.slide_id, x, y, round(count(*) FILTER (a0) / CAST(count(*) AS DOUBLE), 9) AS fold_percentage FROM t JOIN m ON t.slide_id = m.slide_id AND mx >= x AND mx < x + 4 AND my >= y AND my < y + 4 GROUP BY 1, 2, 3""")
+def marked_foreground(spark, sf_dir):
+    """The first form of a foreground: the share of class 255, from a configured mask."""
+    events = table(spark, sf_dir, "events").select(F.col("user_id").alias("slide_id"), F.dayofmonth("ts").alias("mx"), F.hour("ts").alias("my"), "event_type")
+    pixels = events.select("slide_id", "mx", "my", F.when(F.col("event_type") == "click", "255").otherwise("0").alias("cls"))
+    (mask,) = tiling.configured([{"name": "fold", "kind": "marked"}], {"fold": pixels})
+    cells = events.select("slide_id", (F.col("mx") - F.col("mx") % 4).alias("x"), (F.col("my") - F.col("my") % 4).alias("y")).distinct()
+    return digits(tiling.with_mask(cells, mask, 4), "fold_percentage", n=9)
+
+
+@query(f"""WITH t AS (SELECT DISTINCT slide_id, x, y FROM ({SCORED_SQL})) SELECT slide_id, x + a AS x0, y + b AS y0, x + c AS x1, y + d AS y1
+FROM t, (VALUES (0, 0, 4, 0), (4, 0, 4, 4), (4, 4, 0, 4), (0, 4, 0, 0)) e(a, b, c, d)""")
+def tile_outlines(spark, sf_dir):
+    return grid.outlines(scored_tiles(spark, sf_dir).select("slide_id", "x", "y").distinct(), 4)
+
+
+@query("SELECT vec_id, label AS slide_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS pos, row_number() OVER (ORDER BY vec_id) AS place FROM embeddings")
+def input_order(spark, sf_dir):
+    """Places in stored order by slide, joined by slide, and the input's order (by vec_id) restored."""
+    where = shared_dir(spark)
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("label").alias("slide_id"))
+    rows.repartition(1).sortWithinPartitions("vec_id").write.parquet(where)
+    numbered = joins.stored_positions(joins.with_input_order(spark.read.parquet(where)), "slide_id")
+    joined = numbered.join(numbered.groupBy("slide_id").agg(F.count("*").alias("n")), "slide_id").withColumn("place", F.col("__row") + 1)
+    return joins.in_input_order(joined).select("vec_id", "slide_id", "pos", "place")
+
+
+@query(f"SELECT slide_id, x, y, tissue_roi_percentage FROM ({TILES_SQL}) WHERE slide_id = 7")
+def tiles_of_slide(spark, sf_dir):
+    return filters.of_slide(tiles(spark, sf_dir), 7).select("slide_id", "x", "y", "tissue_roi_percentage")

@@ -68,16 +68,19 @@ def read_json_split(spark: SparkSession, path: str, types: dict[str, str] | None
 
 
 def write_json_split(df: DataFrame, path: str) -> None:
+    """A folder with one such file, on any file system that Spark writes to."""
     rows = df.limit(MAX_JSON_ROWS + 1).collect()
     if len(rows) > MAX_JSON_ROWS:
         raise ValueError(f"more than {MAX_JSON_ROWS} rows: write Parquet")
-    with open(path, "w") as out:
-        json.dump({"columns": df.columns, "index": list(range(len(rows))), "data": [list(r) for r in rows]}, out)
+    text = json.dumps({"columns": df.columns, "index": list(range(len(rows))), "data": [list(r) for r in rows]})
+    df.sparkSession.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
 
-def list_files(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
-    """path and length of the files that match; their contents aren't read."""
-    return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select("path", "length")
+def list_files(spark: SparkSession, folder: str, pattern: str, nested: bool = False) -> DataFrame:
+    """path and length of the files that match, also of folders below if nested; their contents
+    aren't read."""
+    reader = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", nested)
+    return reader.load(folder).select("path", "length")
 
 
 def read_annotations(spark: SparkSession, path: str, group: str | None = None) -> DataFrame:

@@ -150,10 +150,26 @@ def test_prediction_table_order(spark):
 def test_one_to_one(spark):
     a, b = spark.createDataFrame([(1,), (2,)], "k int"), spark.createDataFrame([(1, "x"), (2, "y")], "j int, g string")
     assert sorted(map(tuple, joins.join_one_to_one(a, b, "k", "j", ["g"]).collect())) == [(1, "x"), (2, "y")]
-    with pytest.raises(ValueError, match="missing g"):
-        joins.join_one_to_one(a.union(spark.createDataFrame([(3,)], "k int")), b, "k", "j", ["g"])
-    with pytest.raises(ValueError, match="isn't unique"):
-        joins.join_one_to_one(a, b.union(b), "k", "j", ["g"])
+    more = a.union(spark.createDataFrame([(3,)], "k int"))
+    with pytest.raises(Exception, match="missing g"):
+        joins.join_one_to_one(more, b, "k", "j", ["g"]).collect()
+    assert sorted(map(tuple, joins.join_one_to_one(more, b, "k", "j", ["g"], required=False).collect()))[2] == (3, None)
+    for left, right in ((a, b.union(b)), (a.union(a), b)):
+        with pytest.raises(Exception, match="isn't unique"):
+            joins.join_one_to_one(left, right, "k", "j", ["g"]).collect()
+
+
+def test_range_join(spark):
+    rows = spark.createDataFrame([("g", 1, "a"), ("g", 1, "a"), ("g", 4, "b"), ("g", 9, "c"), ("h", 1, "d"), (None, 1, "e")], "g string, n int, k string")
+    cases = spark.createDataFrame([("g", [(1, 2), (2, 3)], "one"), ("g", [(1, 2), (2, 3)], "one"), ("g", [(4, 5)], "two"), ("g", [(20, 30)], "three")], "g string, ranges array<struct<start: int, end: int>>, case_id string")
+    got = joins.range_join(rows, cases, "g", "n", "k")
+    assert got.columns == ["g", "n", "k", "case_id"]
+    assert sorted(map(tuple, got.collect())) == [("g", 1, "a", "one"), ("g", 1, "a", "one"), ("g", 4, "b", "two")]
+    both = cases.union(spark.createDataFrame([("g", [(4, 4)], "also")], cases.schema))
+    with pytest.raises(Exception, match="more than one case for b"):
+        joins.range_join(rows, both, "g", "n", "k").collect()
+    assert sorted(r.case_id for r in joins.range_join(rows, both, "g", "n", "k", exactly_one=False).collect()) == ["also", "one", "one", "two"]
+    assert "Window" not in got._jdf.queryExecution().toString()
 
 
 def test_embeddings_by_place(spark):
@@ -177,6 +193,8 @@ def test_merge_ignores_row_order(spark):
     a = spark.createDataFrame([("x", 0.1, 1, True), ("y", 0.2, 0, False)], "slide_name string, prediction double, target int, is_fp boolean")
     got = joins.merged_predictions({"a": a, "b": a.orderBy(F.desc("slide_name"))}).collect()
     assert sorted(map(tuple, got)) == [("x", 1, 0.1, 0.1), ("y", 0, 0.2, 0.2)]
+    with pytest.raises(Exception, match="isn't unique"):
+        joins.merged_predictions({"a": a, "b": a.union(a)}).collect()
 
 
 def test_repath(spark):
@@ -343,7 +361,42 @@ def test_ranks_and_running_sums(spark):
     for g in "ab":
         assert sorted(r["rank"] for r in got if r.g == g) == list(range(1, sum(r.g == g for r in got) + 1))
     for r in ranks.running_sums(df, ["g"], "x", ["i"], buckets=7).collect():
-        assert r.cum_i == sum(y.i for y in got if y.g == r.g and y.x >= r.x)
+        above = sorted((y.x, y.i) for y in got if y.g == r.g)[::-1]
+        at = above.index((r.x, r.i))
+        assert r.cum_i == sum(i for _, i in above[: at + 1]) and r.all_i == sum(i for _, i in above)
+        assert r.first == (at == 0) and r.next_i == (above[at + 1][1] if at + 1 < len(above) else None)
+    for r in ranks.ordered_rank(df, ["g"], ["x"]).collect():
+        assert r["rank"] == sum(y.x <= r.x for y in got if y.g == r.g)
+
+
+def test_buckets_are_alike_however_keys_are_spread(spark):
+    """Keys below 0.02 and one of a billion; and keys close to 1."""
+    for keys in ([(i / 1e6,) for i in range(20_000)] + [(1e9,)], [(1 - 1 / (1 + i),) for i in range(20_000)]):
+        df = spark.createDataFrame(keys, "x double")
+        sizes = [r["count"] for r in ranks.bucketed(df, [], "x").groupBy("__bucket").count().collect()]
+        assert len(sizes) > 60 and max(sizes) < 2.5 * len(keys) / 64
+
+
+def test_ranks_of_null_groups(spark):
+    df = spark.createDataFrame([(None, 1), (None, 2), ("a", 3)], "g string, i int")
+    assert sorted((str(r.g), r.i, r["rank"]) for r in ranks.ordered_rank(df, ["g"], ["i"]).collect()) == [("None", 1, 1), ("None", 2, 2), ("a", 3, 1)]
+
+
+def test_draws_are_even_and_equal_to_plain_arithmetic(spark):
+    def plain(x, n, seed):
+        u = []
+        for p in ranks.PRIMES:
+            v = pow((x % p + seed) % p, 5, p)
+            u.append(pow((v * 7919 + 104729) % p, 5, p))
+        return (u[0] * 2**31 + u[1]) % n
+
+    got = ranks.draws(spark.range(0, 10**12, 10**7), F.col("id"), F.lit(97), "d", 42).collect()
+    assert all(r.d == plain(r.id, 97, 42) for r in got)
+    share = [0] * 97
+    for r in got:
+        share[r.d] += 1
+    expected = len(got) / 97
+    assert sum((s - expected) ** 2 / expected for s in share) < 160  # chi squared, 96 degrees: beyond 1 in 10,000
 
 
 def test_stratified_split_sizes(spark):
@@ -372,6 +425,24 @@ def test_group_folds(spark):
         checks.assert_no_leak(df.withColumn("fold", F.col("i") % 2), "g")
 
 
+def test_group_folds_beyond_the_driver(spark, monkeypatch):
+    """More different class counts than the driver deals: every group still has one fold."""
+    monkeypatch.setattr(splits, "MAX_KINDS", 5)
+    r = random.Random(3)
+    rows = [(g, int(r.random() < 0.3)) for g in range(400) for _ in range(r.randint(1, 6))]
+    df = spark.createDataFrame([(i, g, c) for i, (g, c) in enumerate(rows)], "i int, g int, c int")
+    got = splits.with_folds(df, "c", "g", 5).collect()
+    assert len(got) == len(rows) and len({(x.g, x.fold) for x in got}) == 400
+    share = sum(c for _, c in rows) / len(rows)
+    for f in range(5):
+        own = [x.c for x in got if x.fold == f]
+        assert abs(len(own) - len(rows) / 5) < 0.15 * len(rows) / 5 and abs(sum(own) / len(own) - share) < 0.08
+    leaking = df.withColumn("fold", F.col("i") % 2)
+    with pytest.raises(Exception, match="more than one fold"):
+        checks.without_leak(leaking, "g").collect()
+    assert checks.without_leak(splits.with_folds(df, "c", "g", 5), "g").count() == len(rows)
+
+
 def test_group_split(spark):
     df = spark.createDataFrame([(i, i // 4, i % 2) for i in range(200)], "i int, g int, c int")
     got = splits.group_split(df, "c", "g", 0.2).collect()
@@ -425,7 +496,7 @@ def test_resampled_table_equals_brute_force(spark):
     rows = [(i, r.choice([0, 1, 1, None]), *(odd(float(r.randrange(m))) for m in (4, 50, 9, 50))) for i in range(n)]
     df = spark.createDataFrame(rows, "slide_name int, target int, a__max double, a__mpm double, b__max double, b__mpm double")
     place = {x.place: x.slide_name for x in hash_rank(df.withColumn("all", F.lit(0)), ["all"], ["slide_name"], 42, "place").collect()}
-    draws = [place[x.p] for x in spark.range(n * boot).select("id", (F.pmod(F.xxhash64(F.lit(42), "id"), F.lit(n)) + 1).alias("p")).orderBy("id").collect()]
+    draws = [place[x.p + 1] for x in ranks.draws(spark.range(n * boot), F.col("id"), F.lit(n), "p", 42).orderBy("id").collect()]
 
     def auc(some, column):
         seen = [(x[1], x[column]) for x in some if x[1] is not None and x[column] is not None and abs(x[column]) < float("inf")]
@@ -499,7 +570,51 @@ def test_attention_ignores_padding(spark):
 
 def test_min_max_of_equal_values_is_null(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", 1.0), ("b", 1.0), ("b", 3.0)], "g string, x double")
-    assert sorted(map(str, one(df, attention.min_max("x", ["g"])))) == ["0.0", "1.0", "None", "None"]
+    assert sorted(map(str, one(attention.min_max(df, "x", ["g"], "s"), F.col("s")))) == ["0.0", "1.0", "None", "None"]
+
+
+def test_softmax_with_a_null_group(spark):
+    df = spark.createDataFrame([(None, 1.0), (None, 1.0), ("b", 800.0), ("b", -800.0)], "g string, x double")
+    got = attention.softmax(df, "x", ["g"], "w")
+    assert got.columns == ["g", "x", "w"] and sorted(r.w for r in got.collect()) == [0.0, 0.5, 0.5, 1.0]
+    assert "Window" not in got._jdf.queryExecution().toString()
+
+
+def test_functions_of_bags(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("b", 5.0)], "g string, x double")
+    got = attention.map_bags(df, "g", lambda bag: bag.assign(x=bag.x - bag.x.mean()), "g string, x double").collect()
+    assert sorted(map(tuple, got)) == [("a", -1.0), ("a", 1.0), ("b", 0.0)]
+
+
+def test_masks_by_name(spark):
+    from glasspane.operators import tiling
+
+    pixels = spark.createDataFrame([("s", 0, 0, "7"), ("s", 1, 0, "0")], "slide_id string, mx int, my int, cls string")
+    tiles = spark.createDataFrame([("s", 0, 0)], "slide_id string, x int, y int")
+
+    @tiling.kind_of_mask("sevens")
+    def _sevens(name, m):
+        return {f"{name}_percentage": overlap.fraction(m, "7")}
+
+    try:
+        (mask,) = tiling.configured([{"name": "seven", "kind": "sevens"}], {"seven": pixels})
+        assert tiling.with_mask(tiles, mask, 2).first().seven_percentage == 0.5
+    finally:
+        del tiling.KINDS["sevens"]
+    with pytest.raises(ValueError, match="no such kind of mask: sevens; there are foreground, hybrid, marked"):
+        tiling.configured([{"name": "seven", "kind": "sevens"}], {"seven": pixels})
+    with pytest.raises(TypeError):
+        tiling.configured([{"name": "seven", "form": "x"}], {"seven": pixels})
+
+
+def test_sweeps(spark):
+    cells = spark.createDataFrame([("s", x, 0, v) for x, v in enumerate([0.9, 0.8, 0.1, 0.7])] + [("t", 0, 0, 0.2)], "slide_id string, gx int, gy int, score double")
+    got = {(r.slide_id, r.k, r.threshold): r.prediction for r in grid.sweep_span(cells, [1, 2, 3], [0.05, 0.75]).collect()}
+    assert len(got) == 12
+    for (slide, k, t), hit in got.items():
+        assert hit == bool({r.slide_id: r.prediction for r in grid.slide_span(cells, k, t).collect()}[slide])
+    long = {(r.slide_id, r.kernel_size): r.prediction for r in grid.sweep_mean_pool_max(cells, [1, 2]).collect()}
+    assert long == {(r.slide_id, k): r.prediction for k in (1, 2) for r in grid.slide_mean_pool_max(cells, k).collect()}
 
 
 def test_bag_loss(spark):
