@@ -109,7 +109,8 @@ def draws(df: DataFrame, number: Column, n: Column, name: str, seed: int) -> Dat
 
     df = fifth(df.withColumns({s: (number % p + seed) % p for s, p in zip(steps, PRIMES, strict=True)}))
     df = fifth(df.withColumns({s: (F.col(s) * 7919 + 104729) % p for s, p in zip(steps, PRIMES, strict=True)}))
-    df = df.withColumn(name, (F.col(steps[0]) * (1 << 31) + F.col(steps[1])) % n)
+    # never null: else a join on it would test it for null below these steps, written out whole
+    df = df.withColumn(name, F.coalesce((F.col(steps[0]) * (1 << 31) + F.col(steps[1])) % n, F.lit(0).cast("bigint")))
     return df.drop(*steps, *(f"{s}_{power}" for s in steps for power in (2, 4)))
 
 
