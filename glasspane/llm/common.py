@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
-import re
 import shutil
 import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  pa.compute
+import pyarrow.parquet as pq
 from pyarrow import fs
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from glasspane.sources.scratch import shared_dir
+
 #: Rows and characters that one task holds in Python at a time.
 BLOCK_ROWS, BLOCK_CHARS = 2_000, 2_000_000
 
@@ -32,26 +35,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_local_bases: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which driver and executors share.
-
-    Where the session names none, a temporary folder on a single machine (as in tests); on a
-    cluster that is an error.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        context = spark.sparkContext
-        if not re.fullmatch(r"local(\[.*\])?", context.master):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        if context.applicationId not in _local_bases:
-            _local_bases[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="glasspane-")
-        base = _local_bases[context.applicationId]
-    return f"{base.rstrip('/')}/glasspane-{uuid.uuid4().hex}"
-
-
 def stored(df: DataFrame, where: str | None = None) -> DataFrame:
     """The rows of df, written to the shared folder and read again: lineage ends here and
     a lost executor loses nothing."""
@@ -71,10 +54,41 @@ def release(*frames: DataFrame) -> None:
             store.delete_dir(path)
 
 
-def row_key(text: str = "text") -> Column:
-    """20 bytes that tell rows apart, also those that share a doc_id or have none: the SHA-1 of
-    doc_id and text (null text as empty)."""
-    return F.unhex(F.sha1(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit("\n"), F.coalesce(F.col(text).cast("string"), F.lit("")))))
+def placed(docs: DataFrame) -> DataFrame:
+    """docs with __file and __row: a hash of the path of the file that a row is read from, and its
+    place there. What isn't just a table of files is stored first."""
+    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":
+        docs = stored(docs)
+    return docs.withColumns({"__file": F.xxhash64("_metadata.file_path"), "__row": F.col("_metadata.row_index")})
+
+
+def without(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """placed() rows but those that gone (file, row) lists, in a narrow pass: the list is stored by
+    file, and a task looks up that of the file it reads. So texts are never shuffled, however long
+    the list is."""
+    spark = rows.sparkSession
+    ship(spark)
+    where = shared_dir(spark)
+    gone.select("file", "row").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "file").write.partitionBy("file").parquet(where)
+
+    def listed(file: int) -> np.ndarray:
+        store, root = fs.FileSystem.from_uri(where)
+        found = store.get_file_info(fs.FileSelector(f"{root}/file={file}", allow_not_found=True))
+        parts = [pq.read_table(store.open_input_file(x.path), columns=["row"])["row"].to_numpy() for x in found if x.base_name.endswith(".parquet")]
+        return np.concatenate(parts) if parts else np.zeros(0, np.int64)
+
+    @F.pandas_udf("boolean")
+    def stays(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        now, gone = None, None
+        for file, row in batches:
+            keep = np.ones(len(file), bool)
+            for f in file.unique():
+                if f != now:
+                    now, gone = f, listed(f)
+                keep &= ~((file == f).to_numpy() & np.isin(row.to_numpy(), gone))
+            yield pd.Series(keep)
+
+    return rows.where(stays("__file", "__row")).drop("__file", "__row")
 
 
 def utf8(column: str = "text"):

@@ -31,7 +31,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import per_block, release, row_key, shared_dir, stored, table, utf8
+from .common import per_block, placed, release, stored, table, utf8, without
 
 WIDTH, CONTAINMENT = 5, 0.8
 #: Test items, and their characters, of a block, about: a sketched block takes 60 MB at most.
@@ -250,13 +250,10 @@ def matches(docs: DataFrame, items: DataFrame, containment: float = CONTAINMENT,
 
 def clean(docs: DataFrame, items: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
     """The rows that no item contaminates, all their columns. Of rows that share a doc_id, or
-    have none, only those whose own text is contaminated go.
-
-    What goes is stored first, so that Spark knows how little it is: the texts are shuffled only
-    where it is too much to broadcast.
-    """
-    found = stored(_search(docs, row_key(), "binary", items, containment, ITEM_BLOCK).select(F.col("own").alias("__key")).distinct())
-    return docs.withColumn("__key", row_key()).join(found, "__key", "left_anti").select(*docs.columns)
+    have none, only those whose own text is contaminated go."""
+    rows = placed(docs)
+    found = _search(rows, F.struct(F.col("__file").alias("file"), F.col("__row").alias("row")), "struct<file: bigint, row: bigint>", items, containment, ITEM_BLOCK)
+    return without(rows, found.select("own.file", "own.row").distinct()).select(*docs.columns)
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

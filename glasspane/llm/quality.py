@@ -102,7 +102,7 @@ def leading_directions(rows: np.ndarray, rank: int) -> np.ndarray:
 class Neighbours:
     """What a task needs: the projection, and the sample's vectors and labels, by doc_id."""
 
-    def __init__(self, ids: list[list[int]], counts: list[list[int]], labels: list[int]):
+    def __init__(self, ids: list[np.ndarray], counts: list[np.ndarray], labels: list[int]):
         self.labels = np.array(labels, np.float32)
         n = len(labels)
         self.mean = float(self.labels.mean()) if n else 0.5
@@ -120,7 +120,8 @@ class Neighbours:
             rows[r] = _shares(one)[used]
             one[i] = 0
         idf = np.log((1 + n) / (1 + seen[used])).astype(np.float32) + 1
-        rows = _unit(rows * idf)
+        rows *= idf
+        rows /= np.maximum(np.sqrt(np.einsum("ij,ij->i", rows, rows)), 1e-9)[:, None]
         lead = leading_directions(rows, RANK)
         # the length of the whole vector has no part in a cosine, so it needn't be known
         self.projection = np.zeros((TERMS, lead.shape[1]), np.float32)
@@ -173,14 +174,16 @@ def fit(docs: DataFrame, labels: DataFrame, training: Column, label: str = "qual
         def work(block):
             found = [term_counts(t) for t in block["text"]]
             ids = [np.flatnonzero(c) for c in found]
-            return {"doc_id": block["doc_id"], "label": block["label"], "ids": [i.tolist() for i in ids], "counts": [c[i].tolist() for c, i in zip(found, ids, strict=True)]}
+            packed = lambda x: x.astype(np.int32).tobytes()
+            return {"doc_id": block["doc_id"], "label": block["label"], "ids": [packed(i) for i in ids], "counts": [packed(c[i]) for c, i in zip(found, ids, strict=True)]}
 
         return work
 
     sample = labelled_sample(docs, labels, label, training, most)
-    rows = per_block(sample, "text", make, "doc_id bigint, label int, ids array<int>, counts array<int>").collect()
+    rows = per_block(sample, "text", make, "doc_id bigint, label int, ids binary, counts binary").collect()
     rows.sort(key=lambda r: r.doc_id)
-    return Neighbours([r.ids for r in rows], [r.counts for r in rows], [r.label for r in rows])
+    read = lambda x: np.frombuffer(x, np.int32)
+    return Neighbours([read(r.ids) for r in rows], [read(r.counts) for r in rows], [r.label for r in rows])
 
 
 def score_column(spark: SparkSession, model: Neighbours, text: str = "text") -> Column:

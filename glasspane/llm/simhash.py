@@ -23,10 +23,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import per_block, release, row_key, ship, stored, table, utf8
+from .common import per_block, placed, release, ship, stored, table, utf8, without
 from .components import components
 
 WIDTH, SEED, MAX_BITS = 3, 42, 3
@@ -119,8 +119,8 @@ def fingerprint(text: bytes) -> int:
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, with_key: bool = False) -> DataFrame:
-    """doc_id and fp (the 64 bits as a signed number), and row_key() as key if asked for; null
+def fingerprints(docs: DataFrame, more: str = "", **columns: Column) -> DataFrame:
+    """doc_id, fp (the 64 bits as a signed number), and other columns, whose schema is more; null
     text counts as empty."""
 
     def make():
@@ -129,10 +129,9 @@ def fingerprints(docs: DataFrame, with_key: bool = False) -> DataFrame:
 
         return work
 
-    kept = ["doc_id", "key"] if with_key else ["doc_id"]
-    key = [row_key().alias("key")] if with_key else []
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), utf8().alias("text"), *key)
-    return per_block(rows, "text", make, "doc_id bigint" + ", key binary" * with_key + ", fp bigint")
+    kept = ["doc_id", *columns]
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), utf8().alias("text"), *(c.alias(n) for n, c in columns.items()))
+    return per_block(rows, "text", make, "doc_id bigint, fp bigint" + (f", {more}" if more else ""))
 
 
 def _labels(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -294,23 +293,19 @@ def groups(docs: DataFrame) -> DataFrame:
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """One row of each group, with its columns: the one with the smallest doc_id (none counts as
-    the largest), of those that share it the one with the least row_key(). Rows with one doc_id
-    and unlike texts are different rows; of rows with the same doc_id and text one stays.
-
-    What goes is stored first, so that Spark knows how little it is: the texts are shuffled only
-    where it is too much to broadcast.
+    the largest), of those that share it the one whose text has the least SHA-1. Rows with one
+    doc_id and unlike texts are different rows; of rows with the same doc_id and text one stays.
     """
-    marked = stored(fingerprints(docs, with_key=True))
-    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")
-    rooted = _with_roots(stored(marked.groupBy("fp").agg(F.min(row).alias("least"))))
-    kept = stored(rooted.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.key").alias("key")))
-    gone = stored(marked.select("key").join(kept, "key", "left_anti").distinct().withColumnRenamed("key", "__key"))
-    repeated = stored(marked.join(kept, "key", "left_semi").groupBy("key").count().where("count > 1").select(F.col("key").alias("__key")))
-    rows = docs.withColumn("__key", row_key()).join(gone, "__key", "left_anti")
-    if not repeated.isEmpty():
-        rows = rows.join(repeated, "__key", "left_anti").union(rows.join(repeated, "__key", "left_semi").dropDuplicates(["__key"]))
-    release(marked, rooted, kept)
-    return rows.select(*docs.columns)
+    rows = placed(docs)
+    digest = F.unhex(F.sha1(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    marked = stored(fingerprints(rows, "digest binary, file bigint, row bigint", digest=digest, file=F.col("__file"), row=F.col("__row")))
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest", "file", "row")
+    first = stored(marked.groupBy("fp").agg(F.min(row).alias("least")))
+    rooted = _with_roots(first)
+    kept = stored(rooted.groupBy("root").agg(F.min("least").alias("least")).select("least.file", "least.row"))
+    out = without(rows, marked.join(kept, ["file", "row"], "left_anti"))
+    release(marked, first, rooted, kept)
+    return out.select(*docs.columns)
 
 
 def op8_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:

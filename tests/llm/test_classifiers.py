@@ -35,8 +35,8 @@ def test_held_out_rows(spark, query, label, modulus, held, floor):
 def test_cosine_votes_equal_brute_force():
     texts = [f"Some calm words, {'and more ' * i}here." for i in range(30)] + [f"BUY$$$ NOW!!! {'### ' * i}" for i in range(30)]
     counts = [quality.term_counts(t.encode()) for t in texts]
-    ids = [np.flatnonzero(c).tolist() for c in counts]
-    model = quality.Neighbours(ids, [c[i].tolist() for c, i in zip(counts, ids, strict=True)], [1] * 30 + [0] * 30)
+    ids = [np.flatnonzero(c) for c in counts]
+    model = quality.Neighbours(ids, [c[i] for c, i in zip(counts, ids, strict=True)], [1] * 30 + [0] * 30)
     got = model.scores([t.encode() for t in texts])
     for t, s in zip(texts, got, strict=True):
         v = np.sqrt(quality.term_counts(t.encode()) / max(1, quality.term_counts(t.encode()).sum())) @ model.projection
@@ -103,7 +103,7 @@ def test_equal_texts_score_alike_wherever_they_stand():
     texts = [" ".join("w%d" % w for w in r.integers(0, 300, r.integers(3, 80))).encode() for _ in range(700)]
     counts = [quality.term_counts(t) for t in texts]
     ids = [np.flatnonzero(c) for c in counts]
-    model = quality.Neighbours([i.tolist() for i in ids], [c[i].tolist() for c, i in zip(counts, ids, strict=True)], [int(x) for x in r.integers(0, 2, 700)])
+    model = quality.Neighbours(ids, [c[i] for c, i in zip(counts, ids, strict=True)], [int(x) for x in r.integers(0, 2, 700)])
     whole = model.scores(texts)
     assert (model.scores(texts[::-1])[::-1] == whole).all() and all(model.scores([t])[0] == s for t, s in zip(texts[:50], whole))
 

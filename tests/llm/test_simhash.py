@@ -104,7 +104,7 @@ def test_rows(spark):
 def brute_kept(rows):
     """Places of the rows that stay: the first of each component by (no id, id, digest)."""
     label = brute_components({i: brute_fingerprint(t) for i, (_, t) in enumerate(rows)})
-    digest = lambda r: hashlib.sha1(f"{'null' if r[0] is None else r[0]}\n{r[1] or ''}".encode()).digest()
+    digest = lambda r: hashlib.sha1((r[1] or "").encode()).digest()
     best = {}
     for i, r in enumerate(rows):
         key = (r[0] is None, r[0] or 0, digest(r))
