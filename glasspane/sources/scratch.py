@@ -20,7 +20,7 @@ def shared_dir(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         context = spark.sparkContext
-        if not re.fullmatch(r"local(\[.*\])?", context.master):
+        if not re.match(r"local(\[.*\])?$", context.master):
             raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         if context.applicationId not in _local:
             _local[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="glasspane-")
