@@ -130,6 +130,14 @@ def _iban_ok(value: str) -> bool:
     return 15 <= len(v) <= 34 and int("".join(str(int(c, 36)) for c in v[4:] + v[:4])) % 97 == 1
 
 
+def _iban(text: str, at: int) -> tuple[int, int] | None:
+    """The longest valid IBAN that starts after the cue; capitals that follow a blank may not be its own."""
+    value = m[1] if (m := IBAN.match(text, at)) else ""
+    while value and not _iban_ok(value):
+        value = value.rpartition(" ")[0]
+    return (m.start(1), m.start(1) + len(value)) if value else None
+
+
 def _accounts(text: str, cues: list[tuple[str, int, int]]) -> list[Span]:
     found, free = [], 0
     for kind, start, end in cues:
@@ -138,7 +146,7 @@ def _accounts(text: str, cues: list[tuple[str, int, int]]) -> list[Span]:
         if kind == "scheme":
             span = (m.start(), m.end()) if (m := LOGIN.match(text, end)) else None
         elif kind == "iban":
-            span = m.span(1) if (m := IBAN.match(text, end)) and _iban_ok(m[1]) else None
+            span = _iban(text, end)
         else:
             span = m.span(1) if (m := VALUE.match(text, end)) and any(c in "0123456789" for c in m[1]) else None
         if span and span[0] >= free:
