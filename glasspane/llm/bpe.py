@@ -1,8 +1,7 @@
 """Byte-level BPE encoding and decoding with numpy matrices.
 
-A text is cut into units (a run of non-space with the one space before it, or the rest of a
-run of space); no match of the split pattern crosses a unit, so each distinct unit of a block
-is encoded once. The distinct pattern matches go into padded matrices by length; in each round
+A text is cut into the matches of the split pattern, and each distinct match of a block is
+encoded once. Those not met before go into padded matrices by length; in each round
 every row merges its leftmost pair of minimum rank, found by a hashed pair lookup, and the
 matrix closes the gap (compaction) and drops rows that are done. A match longer than LONGEST_ROW
 bytes is folded into a matrix of slices of its own, so that a merge closes the gap in one slice.
@@ -24,11 +23,11 @@ from pyspark.sql import functions as F
 from .common import per_block, table, utf8
 
 NONE = np.int32(2**31 - 1)
-#: Units kept between blocks; beyond that a task forgets and fills anew (results stay the same).
-CACHE_UNITS = 250_000
+#: Matches, and their characters, kept between blocks; beyond that a task forgets and fills anew
+#: (results stay the same).
+CACHE_WORDS, CACHE_CHARS = 250_000, 4_000_000
 #: Matches with more bytes are folded into slices: as one row, each round would go over all of it.
 LONGEST_ROW, SLICE = 2_048, 512
-UNIT = r"\s?\S+|\s+(?!\S)|\s+"
 
 
 class PairTable:
@@ -82,9 +81,9 @@ class Tokenizer:
         self.byte_id = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         pairs = [(ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
         self.pairs = PairTable(*(np.array(x, np.int32) for x in zip(*pairs, strict=True)))
-        self.pattern, self.unit = regex.compile(pattern), regex.compile(UNIT)
-        self.cache: dict[str, tuple[int, ...]] = {}
+        self.pattern = regex.compile(pattern)
         self.words: dict[str, list[int]] = {}
+        self.held = 0  # characters of the words
 
     def _matrix(self, words: list[bytes], width: int) -> list[list[int]]:
         flat = np.frombuffer(b"".join(w.ljust(width, b"\0") for w in words), np.uint8).reshape(len(words), width)
@@ -167,23 +166,17 @@ class Tokenizer:
         return out
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        cut = [self.unit.findall(t) for t in texts]
-        cache = self.cache
-        new = {u for units in cut for u in units if u not in cache}
-        if len(cache) + len(new) > CACHE_UNITS:
-            cache.clear()
-            new = {u for units in cut for u in units}
+        ids, cut = self.words, [self.pattern.findall(t) for t in texts]
+        new = set(chain.from_iterable(cut)).difference(ids)
+        if len(ids) + len(new) > CACHE_WORDS or self.held > CACHE_CHARS:
+            ids.clear()
+            self.held = 0
+            new = set(chain.from_iterable(cut))
         if new:
-            order = list(new)
-            parts = [self.pattern.findall(u) for u in order]
-            ids = self.words
-            if len(ids) > CACHE_UNITS:
-                ids.clear()
-            words = [w for w in dict.fromkeys(chain.from_iterable(parts)) if w not in ids]
+            words = list(new)
             ids.update(zip(words, self.encode_words([w.encode() for w in words]), strict=True))
-            for u, found in zip(order, parts, strict=True):
-                cache[u] = tuple(ids[found[0]]) if len(found) == 1 else tuple(chain.from_iterable(map(ids.__getitem__, found)))
-        return [list(chain.from_iterable(map(cache.__getitem__, units))) for units in cut]
+            self.held += sum(map(len, words))
+        return [list(chain.from_iterable(map(ids.__getitem__, words))) for words in cut]
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))

@@ -40,8 +40,9 @@ def test_long_matches_are_folded(brute, monkeypatch):
         assert [tok.encode([t])[0] for t in long] == [brute.encode_ordinary(t) for t in long]
 
 
-def test_forgetting_changes_nothing(brute, monkeypatch):
-    monkeypatch.setattr(bpe, "CACHE_UNITS", 3)
+@pytest.mark.parametrize("limit", ["CACHE_WORDS", "CACHE_CHARS"])
+def test_forgetting_changes_nothing(brute, monkeypatch, limit):
+    monkeypatch.setattr(bpe, limit, 3)
     tok = bpe.Tokenizer(PATH, P.PATTERN)
     assert [tok.encode([t])[0] for t in texts()] == [brute.encode_ordinary(t) for t in texts()]
 
