@@ -3,6 +3,7 @@
 from .bpe import op4_byte_bpe
 from .chunking import op1_chunk_fingerprints
 from .decontaminate import op5_decontamination
+from .merkle import OP11_SQL, op11_merkle_manifest
 from .pii import op2_pii_spans
 from .quality import op10_quality_neighbours
 from .shards import op6_tiered_shards
@@ -16,6 +17,7 @@ QUERIES = {
     for f in (
         op1_chunk_fingerprints, op2_pii_spans, op3_toxicity_trees, op4_byte_bpe, op5_decontamination,
         op6_tiered_shards, op7_warc_archive, op8_simhash_groups, op9_url_filter, op10_quality_neighbours,
+        op11_merkle_manifest,
     )
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op11_merkle_manifest": OP11_SQL}
