@@ -67,21 +67,48 @@ def overlap_fractions(tiles: DataFrame, mask: DataFrame, extent: int) -> DataFra
     return keyed.join(maps, ["slide_id", "x", "y"], "left").withColumn("overlap", F.coalesce("overlap", F.create_map().cast("map<string,double>")))
 
 
-def pooled(cells: DataFrame, k: int) -> DataFrame:
-    """slide_id, wx, wy, score: means over k x k windows by their first cell. Each cell is added
-    to the windows that hold it, so holes in the grid need not be filled."""
-    if k == 1:
-        return cells.select("slide_id", F.col("gx").alias("wx"), F.col("gy").alias("wy"), "score")
+def pooled_sums(cells: DataFrame, kernels: list[int]) -> DataFrame:
+    """slide_id, kernel_size, wx, wy, score: means over windows of each size by their first cell, from
+    one pass along the rows of the heatmap and one along its columns.
+
+    The bounding grid of a slide is filled with its missing cells (0 in sum and number). A window's sum
+    along a line is the difference of two running sums, first along rows, then of those along columns;
+    so what is shuffled and sorted doesn't depend on the sizes. Single cells keep their scores as they
+    are. Windows without a cell have no row.
+    """
     ends = cells.groupBy("slide_id").agg(*(f("g" + a).alias(n + a) for a in "xy" for f, n in ((F.min, "lo_"), (F.max, "hi_"))))
-    rows = cells.join(ends, "slide_id")
+    line = cells.select("slide_id", "gy").distinct().join(ends, "slide_id")
+    # rows of the grid without a cell add nothing along x; they are filled in between the two passes
+    dense = line.select("slide_id", "gy", "lo_x", "hi_x", F.explode(F.sequence("lo_x", "hi_x")).alias("gx"))
+    dense = dense.join(cells, ["slide_id", "gx", "gy"], "left").select("slide_id", "gx", "gy", "lo_x", "hi_x", F.coalesce("score", F.lit(0.0)).alias("s"), F.when(F.col("score").isNull(), 0).otherwise(1).alias("n"))
+
+    def along(rows: DataFrame, axis: str, line_key: str, sums: dict[str, tuple[Column, int]], keep: list[str]) -> DataFrame:
+        """Window sums of each column over its size along an axis, where a window ends."""
+        order = W.partitionBy("slide_id", line_key).orderBy(axis)
+        run = rows.withColumns({c: F.sum(v).over(order.rowsBetween(W.unboundedPreceding, 0)) if k > 1 else v for c, (v, k) in sums.items()})
+        return run.select(*keep, *((F.col(c) - F.lag(c, k, 0).over(order) if k > 1 else F.col(c)).alias(c) for c, (_, k) in sums.items()))
+
+    def ends_here(axis: str, k: int) -> Column:
+        """Whether a window of the size ends at a place: inside the grid, or once at its end where it is shorter."""
+        place, lo, hi = F.col(f"g{axis}"), F.col(f"lo_{axis}"), F.col(f"hi_{axis}")
+        return (place - lo >= k - 1) | ((hi - lo < k - 1) & (place == hi))
+
+    across = along(dense, "gx", "gy", {f"{c}{k}": (F.col(c), k) for k in kernels for c in "sn"}, ["slide_id", "gx", "gy", "lo_x", "hi_x"])
+    rows = ends.select("slide_id", "lo_y", "hi_y", F.explode(F.sequence("lo_y", "hi_y")).alias("gy"), "lo_x", "hi_x")
+    places = rows.select("slide_id", "lo_y", "hi_y", "gy", F.explode(F.sequence("lo_x", "hi_x")).alias("gx"), "lo_x", "hi_x")
+    filled = places.join(across.drop("lo_x", "hi_x"), ["slide_id", "gx", "gy"], "left")
+    keep = ["slide_id", "gx", "gy", *(f"{e}_{a}" for a in "xy" for e in ("lo", "hi"))]
+    down = along(filled, "gy", "gx", {f"{c}{k}": (F.coalesce(f"{c}{k}", F.lit(0)), k) for k in kernels for c in "sn"}, keep)
+    windows = F.explode(F.array(*(F.struct(F.lit(k).alias("kernel_size"), F.when(ends_here("x", k) & ends_here("y", k) & (F.col(f"n{k}") > 0), F.col(f"s{k}") / float(k * k)).alias("score")) for k in kernels)))
+    first = lambda a: F.greatest(F.col(f"g{a}") - (F.col("w.kernel_size") - 1), F.col(f"lo_{a}")).alias(f"w{a}")
+    return down.select(*keep, windows.alias("w")).where("w.score is not null").select("slide_id", "w.kernel_size", first("x"), first("y"), "w.score")
 
-    def windows(a: str) -> Column:
-        g, lo, hi = F.col("g" + a), F.col("lo_" + a), F.col("hi_" + a)
-        last = F.greatest(hi - (k - 1), lo)
-        return F.sequence(F.greatest(g - (k - 1), lo), F.least(g, last))
 
-    rows = rows.select("slide_id", "score", F.explode(windows("x")).alias("wx"), windows("y").alias("wys")).select("slide_id", "score", "wx", F.explode("wys").alias("wy"))
-    return rows.groupBy("slide_id", "wx", "wy").agg((F.sum("score") / float(k * k)).alias("score"))
+def pooled(cells: DataFrame, k: int) -> DataFrame:
+    """slide_id, wx, wy, score: means over k x k windows by their first cell."""
+    if k == 1:
+        return cells.select("slide_id", F.col("gx").alias("wx"), F.col("gy").alias("wy"), "score")
+    return pooled_sums(cells, [k]).drop("kernel_size")
 
 
 def slide_max(cells: DataFrame) -> DataFrame:
@@ -122,24 +149,17 @@ def num_positive(tiles: DataFrame, slides: DataFrame, threshold: float, score: s
 
 
 def sweep_top_k(cells: DataFrame, kernels: list[int], tops: list[int]) -> DataFrame:
-    """slide_id, kernel_size, k, prediction for all pairs of parameters: one ranking for each
-    kernel serves every k."""
-    parts = None
-    for kernel in kernels:
-        ks = F.explode(F.array(*map(F.lit, tops)))
-        rows = ranked(cells, kernel, max(tops)).withColumn("k", ks).where("rank <= k")
-        one = rows.groupBy("slide_id", "k").agg(F.avg("score").alias("prediction")).select("slide_id", F.lit(kernel).alias("kernel_size"), "k", "prediction")
-        parts = one if parts is None else parts.union(one)
-    return parts
+    """slide_id, kernel_size, k, prediction for all pairs of parameters: one pooling serves all sizes,
+    one ranking for each of them every k."""
+    w = W.partitionBy("slide_id", "kernel_size").orderBy(F.desc("score"), "wx", "wy")
+    ranks = pooled_sums(cells, kernels).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= max(tops))
+    rows = ranks.withColumn("k", F.explode(F.array(*map(F.lit, tops)))).where("rank <= k")
+    return rows.groupBy("slide_id", "kernel_size", "k").agg(F.avg("score").alias("prediction"))
 
 
 def sweep_mean_pool_max(cells: DataFrame, kernels: list[int]) -> DataFrame:
     """slide_id, kernel_size, prediction: the largest pooled score for each kernel."""
-    parts = None
-    for kernel in kernels:
-        one = slide_mean_pool_max(cells, kernel).select("slide_id", F.lit(kernel).alias("kernel_size"), "prediction")
-        parts = one if parts is None else parts.union(one)
-    return parts
+    return pooled_sums(cells, kernels).groupBy("slide_id", "kernel_size").agg(F.max("score").alias("prediction"))
 
 
 def sweep_span(cells: DataFrame, lengths: list[int], thresholds: list[float]) -> DataFrame:

@@ -8,6 +8,8 @@ from glasspane.functions import vectors
 from glasspane.operators import attention, grid, joins
 from glasspane.plans.frames import CELLS_SQL, SCORED_SQL, digits, scored_tiles, table
 from glasspane.plans.registry import query
+from glasspane.sources.scratch import shared_dir
+from glasspane.streaming import aggregators
 from glasspane.streaming.scores import running_slide_scores, windowed_slide_scores
 
 #: Weights of a small example head over 64 inputs.
@@ -61,36 +63,38 @@ def span_any(spark, sf_dir):
     return grid.slide_span(_cells(spark, sf_dir), 3, 0.05)
 
 
-_SWEEP_SQL = f"""WITH {POOLED_SQL}, one AS (SELECT slide_id, gx AS wx, gy AS wy, score FROM cells),
-r AS (SELECT 1 AS kernel_size, slide_id, score, row_number() OVER (PARTITION BY slide_id ORDER BY score DESC, wx, wy) AS n FROM one
- UNION ALL SELECT 2, slide_id, score, row_number() OVER (PARTITION BY slide_id ORDER BY score DESC, wx, wy) FROM pooled)"""
+#: Kernels and counts that the published sweeps try.
+KERNELS, TOP_KERNELS, TOPS, RUNS = [1, 2, 3, 4, 5, 6, 7], [1, 2, 3, 4, 5], [2, 3, 4], [2, 3, 4, 5]
+_SWEEP_SQL = f"""WITH cells AS ({CELLS_SQL}), ker AS (SELECT unnest({KERNELS}) AS ks),
+ends AS (SELECT slide_id, ks, min(gx) AS lx, greatest(max(gx) - ks + 1, min(gx)) AS hx, min(gy) AS ly, greatest(max(gy) - ks + 1, min(gy)) AS hy FROM cells, ker GROUP BY 1, 2),
+pooled AS (SELECT slide_id, ks AS kernel_size, gx - dx AS wx, gy - dy AS wy, sum(score) / CAST(ks * ks AS DOUBLE) AS score FROM cells JOIN ends USING (slide_id), range(0, 7) a(dx), range(0, 7) b(dy)
+ WHERE dx < ks AND dy < ks AND gx - dx BETWEEN lx AND hx AND gy - dy BETWEEN ly AND hy GROUP BY 1, 2, 3, 4),
+r AS (SELECT *, row_number() OVER (PARTITION BY slide_id, kernel_size ORDER BY score DESC, wx, wy) AS n FROM pooled)"""
 
 
-@query(_SWEEP_SQL + " SELECT slide_id, kernel_size, k, round(avg(score), 6) AS prediction FROM r, (VALUES (1), (3), (5)) p(k) WHERE n <= k GROUP BY 1, 2, 3")
+@query(_SWEEP_SQL + f" SELECT slide_id, kernel_size, k, round(avg(score), 12) AS prediction FROM r, (SELECT unnest({TOPS}) AS k) WHERE kernel_size <= 5 AND n <= k GROUP BY 1, 2, 3")
 def sweep_topk_long(spark, sf_dir):
-    return digits(grid.sweep_top_k(_cells(spark, sf_dir), [1, 2], [1, 3, 5]), "prediction")
+    return digits(grid.sweep_top_k(_cells(spark, sf_dir), TOP_KERNELS, TOPS), "prediction", n=12)
 
 
-@query(_SWEEP_SQL + """ SELECT slide_id, round(avg(score) FILTER (kernel_size = 1 AND n <= 1), 6) AS "pred_kernel_size=1_k=1", round(avg(score) FILTER (kernel_size = 1 AND n <= 3), 6) AS "pred_kernel_size=1_k=3",
- round(avg(score) FILTER (kernel_size = 2 AND n <= 1), 6) AS "pred_kernel_size=2_k=1", round(avg(score) FILTER (kernel_size = 2 AND n <= 3), 6) AS "pred_kernel_size=2_k=3" FROM r GROUP BY 1""")
+@query(_SWEEP_SQL + " SELECT slide_id, " + ", ".join(f'round(avg(score) FILTER (kernel_size = {a} AND n <= {b}), 12) AS "pred_kernel_size={a}_k={b}"' for a in TOP_KERNELS for b in TOPS) + " FROM r GROUP BY 1")
 def sweep_topk_wide(spark, sf_dir):
-    long = digits(grid.sweep_top_k(_cells(spark, sf_dir), [1, 2], [1, 3]), "prediction")
-    return grid.sweep_wide(long, ["kernel_size", "k"], [f"pred_kernel_size={a}_k={b}" for a in (1, 2) for b in (1, 3)])
+    long = digits(grid.sweep_top_k(_cells(spark, sf_dir), TOP_KERNELS, TOPS), "prediction", n=12)
+    return grid.sweep_wide(long, ["kernel_size", "k"], [f"pred_kernel_size={a}_k={b}" for a in TOP_KERNELS for b in TOPS])
 
 
-@query(f"""WITH {POOLED_SQL} SELECT slide_id, 1 AS kernel_size, round(max(score), 9) AS prediction FROM cells GROUP BY 1
-UNION ALL SELECT slide_id, 2, round(max(score), 9) FROM pooled GROUP BY 1""")
+@query(_SWEEP_SQL + " SELECT slide_id, kernel_size, round(max(score), 9) AS prediction FROM pooled GROUP BY 1, 2")
 def sweep_mean_pool_max(spark, sf_dir):
-    return digits(grid.sweep_mean_pool_max(_cells(spark, sf_dir), [1, 2]), "prediction", n=9)
+    return digits(grid.sweep_mean_pool_max(_cells(spark, sf_dir), KERNELS), "prediction", n=9)
 
 
-@query(f"""WITH cells AS ({CELLS_SQL}),
-r AS (SELECT slide_id, score AS s1, CASE WHEN count(*) OVER a = 2 THEN min(score) OVER a END AS a2, CASE WHEN count(*) OVER b = 2 THEN min(score) OVER b END AS b2 FROM cells
- WINDOW a AS (PARTITION BY slide_id, gy ORDER BY gx RANGE BETWEEN CURRENT ROW AND 1 FOLLOWING), b AS (PARTITION BY slide_id, gx ORDER BY gy RANGE BETWEEN CURRENT ROW AND 1 FOLLOWING))
-SELECT slide_id, k, threshold, coalesce(bool_or(CASE WHEN k = 1 THEN s1 >= threshold ELSE a2 >= threshold OR b2 >= threshold END), false) AS prediction
-FROM r, (VALUES (1), (2)) p(k), (VALUES (CAST(0.05 AS DOUBLE)), (CAST(0.3 AS DOUBLE))) t(threshold) GROUP BY 1, 2, 3""")
+@query(f"""WITH cells AS ({CELLS_SQL}), k AS (SELECT unnest({RUNS}) AS k),
+a AS (SELECT x.slide_id, k, min(y.score) AS least FROM cells x, k JOIN cells y ON y.slide_id = x.slide_id AND y.gy = x.gy AND y.gx BETWEEN x.gx AND x.gx + k - 1 GROUP BY x.slide_id, x.gx, x.gy, k HAVING count(*) = k),
+b AS (SELECT x.slide_id, k, min(y.score) AS least FROM cells x, k JOIN cells y ON y.slide_id = x.slide_id AND y.gx = x.gx AND y.gy BETWEEN x.gy AND x.gy + k - 1 GROUP BY x.slide_id, x.gx, x.gy, k HAVING count(*) = k),
+m AS (SELECT slide_id, k, max(least) AS best FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY 1, 2)
+SELECT s.slide_id, k.k, threshold, coalesce(best >= threshold, false) AS prediction FROM (SELECT DISTINCT slide_id FROM cells) s CROSS JOIN k CROSS JOIN (VALUES (CAST(0.05 AS DOUBLE)), (CAST(0.3 AS DOUBLE))) t(threshold) LEFT JOIN m ON m.slide_id = s.slide_id AND m.k = k.k""")
 def sweep_span(spark, sf_dir):
-    return grid.sweep_span(_cells(spark, sf_dir), [1, 2], [0.05, 0.3])
+    return grid.sweep_span(_cells(spark, sf_dir), RUNS, [0.05, 0.3])
 
 
 @query("SELECT CAST(kernel_size AS BIGINT) AS kernel_size, CAST(k AS BIGINT) AS k, 'kernel_size=' || kernel_size || '_k=' || k AS key FROM (VALUES (1), (2)) a(kernel_size), (VALUES (1), (3), (5)) b(k)")
@@ -170,3 +174,22 @@ def running_scores(spark, sf_dir):
 def windowed_scores(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("slide_id"), "ts", F.col("value").alias("prediction"))
     return windowed_slide_scores(rows, "ts", "1 day", "1 hour")
+
+
+@query(f"""WITH {POOLED_SQL}, t AS (SELECT slide_id, score, row_number() OVER (PARTITION BY slide_id ORDER BY score DESC, gx, gy) AS n FROM cells),
+r AS (SELECT slide_id, (min(score) OVER a >= CAST(0.05 AS DOUBLE) AND count(*) OVER a = 3) OR (min(score) OVER b >= CAST(0.05 AS DOUBLE) AND count(*) OVER b = 3) AS hit FROM cells
+ WINDOW a AS (PARTITION BY slide_id, gy ORDER BY gx RANGE BETWEEN CURRENT ROW AND 2 FOLLOWING), b AS (PARTITION BY slide_id, gx ORDER BY gy RANGE BETWEEN CURRENT ROW AND 2 FOLLOWING))
+SELECT slide_id, span, round(top, 9) AS top, round(largest, 9) AS largest FROM (SELECT slide_id, bool_or(hit) AS span FROM r GROUP BY 1) JOIN (SELECT slide_id, avg(score) AS top FROM t WHERE n <= 3 GROUP BY 1) USING (slide_id)
+JOIN (SELECT slide_id, max(score) AS largest FROM pooled GROUP BY 1) USING (slide_id)""")
+def incremental_scores(spark, sf_dir):
+    """Events as a stream of three batches; the scores of slides from what the lines' states told."""
+    where = shared_dir(spark)
+    rows = scored_tiles(spark, sf_dir)
+    rows.withColumn("batch", F.pmod(F.hash("slide_id", "x", "y", "score"), F.lit(3))).repartition("batch").write.partitionBy("batch").parquet(f"{where}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{where}/in/*")
+    lines = aggregators.run_to_the_end(aggregators.line_scores(stream, 1, 1, 0.05, 3), f"{where}/out", f"{where}/checkpoint")
+    last = aggregators.last_told(lines)
+    span = aggregators.span_scores(last, 3).withColumnRenamed("prediction", "span")
+    top = aggregators.top_scores(last, 3).withColumnRenamed("prediction", "top")
+    largest = grid.slide_mean_pool_max(aggregators.cells_so_far(last), 2).withColumnRenamed("prediction", "largest")
+    return digits(span.join(top, "slide_id").join(largest, "slide_id"), "top", "largest", n=9)

@@ -240,6 +240,24 @@ def test_pooling(cells, k):
         assert math.isclose(got[s], best)
 
 
+def test_windows_of_all_sizes_equal_brute_force(spark):
+    g = random.Random(8)
+    held = {(s, gx, gy): g.random() for s, w, h in ((0, 9, 6), (1, 2, 12), (2, 1, 1), (3, 5, 5)) for gx in range(-1, w - 1) for gy in range(3, h + 3) if g.random() < 0.4 or (gx, gy) == (-1, 3)}
+    rows = spark.createDataFrame([(*k, v) for k, v in held.items()], "slide_id long, gx int, gy int, score double")
+    got = {(r.slide_id, r.kernel_size, r.wx, r.wy): r.score for r in grid.pooled_sums(rows, [1, 2, 3, 5, 7]).collect()}
+    want = {}
+    for s in range(4):
+        xs, ys = [x for i, x, _ in held if i == s], [y for i, _, y in held if i == s]
+        for k in (1, 2, 3, 5, 7):
+            for wx in range(min(xs), max(max(xs) - k + 1, min(xs)) + 1):
+                for wy in range(min(ys), max(max(ys) - k + 1, min(ys)) + 1):
+                    inside = [held[s, wx + i, wy + j] for i in range(k) for j in range(k) if (s, wx + i, wy + j) in held]
+                    if inside:
+                        want[s, k, wx, wy] = sum(inside) / k**2
+    assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], abs_tol=1e-12) for k in want)
+    assert {k[2:]: v for k, v in got.items() if k[:2] == (0, 1)} == {k[1:]: v for k, v in held.items() if k[0] == 0}
+
+
 def test_top_k_and_sweep(cells):
     grids, df = cells
     got = {r.slide_id: r.prediction for r in grid.slide_top_k(df, 1, 3).collect()}
