@@ -17,8 +17,8 @@ packed into one row for each unit and bin.
 3. Each unit looks up its windows; the words under those that are repeated go. Stretches of them
    are the maximal repeats that a document holds.
 
-Words are compared by 32-bit digests one by one and by a 64-bit digest of the window. Texts are
-never shuffled. Equal doc_ids don't repeat each other; a null doc_id counts as the largest. Null
+Words are compared by 16-bit digests one by one, which place a suffix in the tree, and all of a window
+by 64 bits more. Texts are never shuffled. Equal doc_ids don't repeat each other; a null doc_id counts as the largest. Null
 text has no words. No rows give none.
 """
 
@@ -42,10 +42,10 @@ from .common import blocks, placed, release, ship, stored, table, utf8
 
 WINDOW, GRAM = 13, 5
 DEPTHS, CELL_BITS, ROOM = (1, 2, 4, 8), 12, 250_000
-#: Rows of a unit, words that are held before they are passed on, bytes and windows of a bin or so.
-UNIT_ROWS, HELD_WORDS, BIN_BYTES, BIN_WINDOWS = 4096, 2_000_000, 1 << 24, 500_000
+#: Rows of a unit, digests that are held before they are passed on, bytes and windows of a bin or so.
+UNIT_ROWS, HELD, BIN_BYTES, BIN_WINDOWS = 8192, 600_000, 1 << 24, 500_000
 #: Words longer than this are digested one by one: the rolling digest is weak for long periodic ones.
-LONG_WORD, HASH_BYTES = 256, 1 << 21
+LONG_WORD, HASH_BYTES = 256, 1 << 18
 LAST_ID = 2**63 - 1
 
 _U = np.uint64
@@ -145,24 +145,37 @@ def _per_unit(batches: Iterator[pa.RecordBatch], part: Callable, passed_on: Call
     """part() of each run, collected for a unit and passed on when it ends or is large."""
     now, held, size = None, [], 0
     for unit, ids, texts, _ in _runs(batches):
-        if held and (unit != now or size > HELD_WORDS):
+        if held and (unit != now or size > HELD):
             yield from passed_on(now, held)
-            held, size = [], 0
+            size = 0
         words, counts = word_digests(texts)
         held.append(part(unit, ids, words, counts))
-        now, size = unit, size + len(words)
+        now, size = unit, size + len(held[-1][0])
     if held:
         yield from passed_on(now, held)
 
 
-def _by_bin(bins: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, list[bytes]]]:
-    """The bytes of the rows of each bin, in the order they have."""
+def _by_bin(bins: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """The rows of each bin, in the order they have."""
     order = np.argsort(bins, kind="stable")
     bins = bins[order]
     cuts = np.flatnonzero(np.diff(bins, prepend=-1, append=-1)) if len(bins) else np.zeros(1, int)
     columns = [c[order] for c in columns]
     for a, b in zip(cuts, cuts[1:], strict=False):
-        yield int(bins[a]), [c[a:b].tobytes() for c in columns]
+        yield int(bins[a]), [c[a:b] for c in columns]
+
+
+def packed(values: np.ndarray) -> bytes:
+    """Integers as the least of them and the differences from it in as few bytes as all need."""
+    low = values.min(keepdims=True)
+    over = values.view(_U) - low.view(_U)
+    width = next(w for w in (0, 1, 2, 4, 8) if int(over.max()) < 1 << 8 * w)
+    return low.tobytes() + (over.astype(f"u{width}").tobytes() if width else b"")
+
+
+def unpacked(data: bytes, n: int) -> np.ndarray:
+    low, width = np.frombuffer(data, np.int64, 1), (len(data) - 8) // n
+    return np.repeat(low, n) if not width else (low.view(_U) + np.frombuffer(data, f"u{width}", offset=8).astype(_U)).view(np.int64)
 
 
 def _batch(schema: pa.Schema, rows: list[tuple]) -> pa.RecordBatch:
@@ -189,6 +202,7 @@ def _anchors_met(bins: int) -> Callable:
         def passed_on(unit, held):
             sizes = np.cumsum([0] + [int(o[-1]) + 1 if len(o) else 0 for _, o in held])
             key, row = np.concatenate([k for k, _ in held]), np.concatenate([o + s for (_, o), s in zip(held, sizes, strict=False)])
+            held.clear()
             order = np.lexsort((row, key))
             key, row = key[order], row[order]
             new = np.ones(len(key), bool)
@@ -198,7 +212,7 @@ def _anchors_met(bins: int) -> Callable:
             starts = np.flatnonzero(new)
             many = (np.add.reduceat(other, starts) > 0) if len(starts) else new
             key = key[starts]
-            found = [(b, unit, k, m, None) for b, (k, m) in _by_bin((mixed(key) % _U(bins)).astype(np.int64), key, many)]
+            found = [(b, unit, k.tobytes(), m.tobytes(), None) for b, (k, m) in _by_bin((mixed(key) % _U(bins)).astype(np.int64), key, many)]
             if found:
                 yield _batch(_MET, found)
 
@@ -220,10 +234,10 @@ def _several(met: pd.DataFrame) -> pd.DataFrame:
     keep = np.repeat((size > 1) | np.logical_or.reduceat(many, starts), size)
     key, of = key[keep], of[keep]
     found = list(_by_bin(of, key))
-    return pd.DataFrame({"unit": [met["unit"].iat[i] for i, _ in found], "keys": [k for _, (k,) in found]})
+    return pd.DataFrame({"unit": [met["unit"].iat[i] for i, _ in found], "keys": [k.tobytes() for _, (k,) in found]})
 
 
-_SUFFIXES = pa.schema([("bin", pa.int64()), ("unit", pa.int64()), ("digest", pa.binary()), ("least", pa.binary()), ("most", pa.binary()), ("words", pa.binary())])
+_SUFFIXES = pa.schema([("bin", pa.int64()), ("unit", pa.int64()), ("digest", pa.binary()), ("least", pa.binary()), ("spread", pa.binary()), ("words", pa.binary())])
 
 
 def _suffixes(bins: int, counted: np.ndarray, several: Callable) -> Callable:
@@ -240,11 +254,12 @@ def _suffixes(bins: int, counted: np.ndarray, several: Callable) -> Callable:
             group = mixed(digest)
             for i, cell in reversed(list(enumerate(_cells(words, at)))):
                 group = np.where(counted[i][cell] <= ROOM, mixed(((i << CELL_BITS) + cell).astype(_U) + _U(1)), group)
-            labels = (words >> _U(32)).astype(np.uint32)
+            labels = (words >> _U(48)).astype(np.uint16)
             return digest, ids[owner], (group % _U(bins)).astype(np.int64), labels[at[:, None] + np.arange(WINDOW)]
 
         def passed_on(unit, held):
             digest, ids, to, labels = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
             order = np.argsort(digest, kind="stable")
             digest, ids = digest[order], ids[order]
             starts = np.flatnonzero(np.concatenate([[True], digest[1:] != digest[:-1]])) if len(digest) else np.zeros(0, int)
@@ -252,7 +267,7 @@ def _suffixes(bins: int, counted: np.ndarray, several: Callable) -> Callable:
                 return
             first = order[starts]
             rows = _by_bin(to[first], digest[starts], np.minimum.reduceat(ids, starts), np.maximum.reduceat(ids, starts), labels[first])
-            yield _batch(_SUFFIXES, [(b, unit, *columns) for b, columns in rows])
+            yield _batch(_SUFFIXES, [(b, unit, d.tobytes(), packed(low), packed(high - low), w.tobytes()) for b, (d, low, high, w) in rows])
 
         yield from _per_unit(batches, part, passed_on)
 
@@ -280,8 +295,9 @@ def _nodes(met: pd.DataFrame) -> pd.DataFrame:
     digests = [np.frombuffer(d, _U) for d in met["digest"]]
     of = np.repeat(np.arange(len(digests)), [len(d) for d in digests])
     digest = np.concatenate(digests)
-    least, most = (np.concatenate([np.frombuffer(v, np.int64) for v in met[c]]) for c in ("least", "most"))
-    words = np.concatenate([np.frombuffer(w, np.uint32).reshape(-1, WINDOW) for w in met["words"]])
+    least, spread = (np.concatenate([unpacked(v, len(d)) for v, d in zip(met[c], digests, strict=True)]) for c in ("least", "spread"))
+    most = least + spread
+    words = np.concatenate([np.frombuffer(w, np.uint16).reshape(-1, WINDOW) for w in met["words"]])
     order = np.lexsort((digest, *(words[:, j] for j in range(WINDOW - 1, -1, -1))))
     digest, of, least, most, words = digest[order], of[order], least[order], most[order], words[order]
     deep = common_depths(words) >= WINDOW
@@ -290,13 +306,13 @@ def _nodes(met: pd.DataFrame) -> pd.DataFrame:
     smallest = np.repeat(np.minimum.reduceat(least, starts), np.diff(np.append(starts, len(digest))))
     told = smallest < most
     found = list(_by_bin(of[told], digest[told], smallest[told]))
-    return pd.DataFrame({"unit": [met["unit"].iat[i] for i, _ in found], "keys": [k for _, (k, _) in found], "least": [v for _, (_, v) in found]})
+    return pd.DataFrame({"unit": [met["unit"].iat[i] for i, _ in found], "keys": [k.tobytes() for _, (k, _) in found], "least": [v.tobytes() for _, (_, v) in found]})
 
 
-def _by_unit(df: DataFrame) -> tuple[str, Callable[[int], dict[str, list]]]:
-    """Stores df by unit, in folders of many units; and a function that reads a unit's rows there."""
+def _by_unit(df: DataFrame, units: int) -> Callable[[int], dict[str, list]]:
+    """Stores df by unit, in folders of a few units each; a function that reads a unit's rows there."""
     spark = df.sparkSession
-    where, folders = shared_dir(spark), 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    where, folders = shared_dir(spark), min(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), units // 4 + 1)
     kept = df.withColumn("folder", F.expr(f"pmod(unit, {folders})").cast("int"))
     kept.repartition(folders, "folder").sortWithinPartitions("folder", "unit").write.partitionBy("folder").parquet(where)
     columns = [c for c in df.columns if c != "unit"]
@@ -311,7 +327,7 @@ def _by_unit(df: DataFrame) -> tuple[str, Callable[[int], dict[str, list]]]:
                     out[c] += values
         return out
 
-    return where, rows
+    return rows
 
 
 _KEPT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), ("kept", pa.string())])
@@ -366,16 +382,17 @@ def without_repeats(docs: DataFrame) -> DataFrame:
         F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("id"),
         utf8().alias("text"),
     )
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    size, n = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
+    units = n // UNIT_ROWS
     met = stored(rows.mapInArrow(_anchors_met(max(parts, size // BIN_BYTES)), "bin long, unit long, keys binary, many binary, cells array<long>"))
     counted = np.zeros(len(DEPTHS) << CELL_BITS, np.int64)
     for r in met.where("bin < 0").select(F.posexplode("cells").alias("at", "n")).groupBy("at").agg(F.sum("n").alias("n")).collect():
         counted[r["at"]] = r["n"]
     counted = counted.reshape(len(DEPTHS), -1)
-    _, several = _by_unit(met.where("bin >= 0").groupBy("bin").applyInPandas(_several, "unit long, keys binary"))
+    several = _by_unit(met.where("bin >= 0").groupBy("bin").applyInPandas(_several, "unit long, keys binary"), units)
     release(met)
-    suffixes = rows.mapInArrow(_suffixes(max(parts, int(counted[0].sum()) // BIN_WINDOWS), counted, several), "bin long, unit long, digest binary, least binary, most binary, words binary")
-    _, repeated = _by_unit(suffixes.groupBy("bin").applyInPandas(_nodes, "unit long, keys binary, least binary"))
+    suffixes = rows.mapInArrow(_suffixes(max(parts, int(counted[0].sum()) // BIN_WINDOWS), counted, several), "bin long, unit long, digest binary, least binary, spread binary, words binary")
+    repeated = _by_unit(suffixes.groupBy("bin").applyInPandas(_nodes, "unit long, keys binary, least binary"), units)
     return rows.mapInArrow(_removed(repeated), KEPT)
 
 

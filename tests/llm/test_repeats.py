@@ -69,7 +69,7 @@ def test_rows_equal_brute_force(spark, rows):
 
 @pytest.mark.parametrize("room", [0, 40])
 def test_small_units_bins_and_groups_give_the_same(spark, monkeypatch, room):
-    for name, value in (("UNIT_ROWS", 7), ("HELD_WORDS", 200), ("BIN_BYTES", 500), ("BIN_WINDOWS", 100), ("ROOM", room)):
+    for name, value in (("UNIT_ROWS", 7), ("HELD", 200), ("BIN_BYTES", 500), ("BIN_WINDOWS", 100), ("ROOM", room)):
         monkeypatch.setattr(r, name, value)
     rows = made(120, 5)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
@@ -91,6 +91,12 @@ def test_words_and_their_digests(monkeypatch):
     assert len(set(known.values())) == len(known)
 
 
+def test_packed_integers():
+    for values in ([5], [-3, -3], [2**63 - 1, -(2**63), 0], [10, 300, 7], [0, 70_000], list(range(-9, 2**33, 2**29))):
+        got = np.array(values, np.int64)
+        assert r.unpacked(r.packed(got), len(got)).tolist() == values
+
+
 def test_anchors_are_the_least_grams():
     words = np.random.default_rng(1).integers(0, 2**63, 60, dtype=np.uint64)
     low = r.grams(words, r.GRAM).tolist()
