@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from glasspane.functions import vectors
-from glasspane.operators import attention, grid, joins
+from glasspane.operators import attention, grid, joins, rasters
 from glasspane.plans.frames import CELLS_SQL, SCORED_SQL, digits, scored_tiles, table
 from glasspane.plans.registry import query
 from glasspane.sources.scratch import shared_dir
@@ -165,6 +165,16 @@ def cam_pixels(spark, sf_dir):
     return scored_tiles(spark, sf_dir).groupBy("x", "y").agg(vectors.cam_pixel(F.sum("score"), F.count("*")).alias("pixel"))
 
 
+@query("""WITH t AS (SELECT label AS slide_id, (vec_id * 3) % 40 AS x, (vec_id * 5) % 24 AS y, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings),
+p AS (SELECT slide_id, CAST(x + i % 8 AS INT) AS px, CAST(y + i // 8 AS INT) AS py, avg(CAST(v AS DOUBLE)) AS mean, CAST(count(*) AS INT) AS n FROM t GROUP BY 1, 2, 3)
+SELECT slide_id, px, py, round(mean, 9) AS mean, n, CAST(floor(255 / (1 + exp(-mean))) AS INT) AS pixels FROM p""")
+def cam_rasters(spark, sf_dir):
+    """Embeddings as activation maps of 8 x 8 pixels, added up where they overlap on their slide."""
+    tiles = table(spark, sf_dir, "embeddings").select(F.col("label").alias("slide_id"), (F.col("vec_id") * 3 % 40).alias("x"), (F.col("vec_id") * 5 % 24).alias("y"), F.col("embedding").alias("values"))
+    blocks = rasters.grey(rasters.raster_blocks(tiles, 8, 8, 16))
+    return digits(rasters.block_pixels(blocks, 16), "mean", n=9)
+
+
 @query(f"SELECT slide_id, max(score) AS prediction, count(*) FILTER (score > CAST(0.5 AS DOUBLE)) AS num_positive, count(*) AS n_tiles FROM ({SCORED_SQL}) GROUP BY 1")
 def running_scores(spark, sf_dir):
     return running_slide_scores(scored_tiles(spark, sf_dir), 0.5, "score")

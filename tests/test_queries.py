@@ -83,8 +83,9 @@ def test_filters_and_columns_reach_the_scan(spark):
     assert "PushedFilters" in scan and "l_comment" not in scan and "l_shipdate" not in scan
 
 
-#: Queries whose point is a Python function: remote calls, a matrix product a batch, a function of a bag.
-PYTHON = {"enriched_rows", "wide_layer", "bag_medians"}
+#: Queries whose point is a Python function: remote calls, a matrix product a batch, a function of a bag,
+#: arrays of pixels.
+PYTHON = {"enriched_rows", "wide_layer", "bag_medians", "cam_rasters"}
 
 
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - PYTHON))
