@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rows whose places, and rows times scores whose values, are sent to every task; with more, Spark
-#: chooses how to join.
-SENT_ROWS, SENT_SCORES = 500_000, 1_000_000
+#: Rows up to which a task holds what it drew as an array; with more, draws are joined and summed as rows.
+HELD_ROWS = 2_000_000
 #: Draws that a task is dealt (one replicate at least), and that it lists at a time.
 TASK_DRAWS, CHUNK = 4_000_000, 16_384
 
@@ -87,23 +86,28 @@ def resampled_aucs(df: DataFrame, key: str, target: str, scores: list[str], n_bo
     resamples with replacement; null where a class is absent. df must be unique in key.
 
     Each of n_boot x n draws takes the row whose place (by hash) comes from the draw's number, so
-    every run gives the same result, and all scores share the draws. A replicate is drawn, counted
-    by kind of row (target and scores) and summed in the task that its number is dealt to: draws
-    are never shuffled while the places can be sent to the tasks.
+    every run gives the same result, and all scores share the draws. Up to HELD_ROWS rows a replicate is
+    drawn and folded in one task (resampling.folded_aucs); of more rows than a task can hold the same draws
+    are counted and summed by joins.
     """
     from pyspark.sql import Window as W
 
     from glasspane.operators.ranks import draws, hash_rank
+    from glasspane.operators.resampling import folded_aucs
 
     spark = df.sparkSession
     sides = [f"__s{i}" for i in range(len(scores))]
     plain = df.select(key, F.col(target).cast("int").alias("__t"), *(F.col(f"`{c}`").cast("double").alias(s) for s, c in zip(sides, scores, strict=True)))
     rows = hash_rank(plain.withColumn("__all", F.lit(0)), ["__all"], [key], seed, "place").select("place", "__t", *sides)
     n = max(df.count(), 1)
-    sent = lambda x, fits: F.broadcast(x) if fits else x
     kinds = rows.groupBy("__t", *sides).agg(F.min("place").alias("kind"))
     same = [F.col(f"r.{c}").eqNullSafe(F.col(f"k.{c}")) for c in ("__t", *sides)]
     places = rows.alias("r").join(kinds.alias("k"), same).select("place", "kind")
+    entries = F.explode(F.array(*(F.struct(F.lit(i).alias("side"), F.col(s).alias("score")) for i, s in enumerate(sides))))
+    known = kinds.where("__t is not null").select("kind", "__t", entries.alias("e")).select("kind", "__t", "e.side", "e.score")
+    known = known.where("not isnan(score) and abs(score) < double('infinity')")
+    if n <= HELD_ROWS:
+        return folded_aucs(places, known.withColumnRenamed("__t", "target"), len(sides), n, n_boot, seed)
 
     tasks = min(n_boot, max(4 * spark.sparkContext.defaultParallelism, n_boot * n // TASK_DRAWS))
     drawn = spark.range(n_boot).select(F.col("id").alias("replicate")).repartition(max(tasks, 1), "replicate")
@@ -111,11 +115,8 @@ def resampled_aucs(df: DataFrame, key: str, target: str, scores: list[str], n_bo
     drawn = drawn.select("replicate", first.alias("first"))
     drawn = drawn.select("replicate", F.explode(F.sequence("first", F.least(F.col("first") + (CHUNK - 1), F.lit(n - 1).cast("bigint")))).alias("draw"))
     drawn = draws(drawn, F.col("replicate") * n + F.col("draw"), F.lit(n), "place", seed).select("replicate", (F.col("place") + 1).alias("place"))
-    counts = drawn.join(sent(places, n <= SENT_ROWS), "place").groupBy("replicate", "kind").agg(F.count("*").alias("n"))
-    entries = F.explode(F.array(*(F.struct(F.lit(i).alias("side"), F.col(s).alias("score")) for i, s in enumerate(sides))))
-    known = kinds.where("__t is not null").select("kind", "__t", entries.alias("e")).select("kind", "__t", "e.side", "e.score")
-    known = known.where("not isnan(score) and abs(score) < double('infinity')")
-    points = counts.join(sent(known, n * len(scores) <= SENT_SCORES), "kind").groupBy("replicate", "side", "score").agg(F.sum(F.col("n") * F.col("__t")).alias("tp"), F.sum(F.col("n") * (1 - F.col("__t"))).alias("fp"))
+    counts = drawn.join(places, "place").groupBy("replicate", "kind").agg(F.count("*").alias("n"))
+    points = counts.join(known, "kind").groupBy("replicate", "side", "score").agg(F.sum(F.col("n") * F.col("__t")).alias("tp"), F.sum(F.col("n") * (1 - F.col("__t"))).alias("fp"))
     below = F.sum("fp").over(W.partitionBy("replicate", "side").orderBy("score").rowsBetween(W.unboundedPreceding, 0))
     area = F.sum(F.col("tp") * (F.col("below") - F.col("fp") / 2.0))
     aucs = points.withColumn("below", below).groupBy("replicate", "side").agg(F.try_divide(area, F.sum("tp") * F.sum("fp").cast("double")).alias("auc"))

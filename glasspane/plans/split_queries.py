@@ -116,16 +116,18 @@ def bootstrap_ni(spark, sf_dir):
     return digits(statistics.non_inferiority(statistics.bootstrap_auc_differences(rows, "doc_id", "quality", "base", "other", REPLICATES)), *_NI_DIGITS, n=9)
 
 
-_SCORES = {"a__max": "n_chars", "a__mpm": "n_chars % 977", "a__topk": "n_chars % 10", "a__span": "n_chars % 3", "b__max": "-n_chars", "b__mpm": "n_chars % 7", "b__topk": "n_chars", "b__span": "n_chars % 2"}
-_PAIRS = ", ".join(f"('{m}', '{x}', {list(_SCORES).index(f'{m}__max')}, {list(_SCORES).index(f'{m}__{x}')})" for m in "ab" for x in ("mpm", "topk", "span"))
+#: Fourteen models, each with a score by maximum, mean-pool-max, top-k and span.
+MODELS, METHODS = [f"m{i:02d}" for i in range(14)], ["mpm", "topk", "span"]
+_SCORES = {f"{m}__{x}": f"n_chars % {(977, 7 + i, 10 + 13 * i, 2 + i % 3)[j]}" if j or i % 2 else f"{'-' if i % 4 else ''}n_chars" for i, m in enumerate(MODELS) for j, x in enumerate(["max", *METHODS])}
+_PAIRS = ", ".join(f"('{m}', '{x}', {list(_SCORES).index(f'{m}__max')}, {list(_SCORES).index(f'{m}__{x}')})" for m in MODELS for x in METHODS)
 
 
 @query(_resampled_sql(_SCORES) + f""", v AS (SELECT model, method, o.auc - b.auc AS delta FROM (VALUES {_PAIRS}) x(model, method, i, j) JOIN a b ON b.side = i JOIN a o ON o.side = j AND o.replicate = b.replicate WHERE o.auc - b.auc IS NOT NULL)
 SELECT model, method, {_NI_SQL} FROM v GROUP BY 1, 2""")
 def ni_table(spark, sf_dir):
-    """Two models, each with its maximum against mean-pool-max, top-k and span."""
+    """Fourteen models, each with its maximum against mean-pool-max, top-k and span."""
     rows = labelled(spark, sf_dir).select(F.col("doc_id").alias("slide_name"), F.col("quality").alias("target"), *(F.expr(c).cast("double").alias(k) for k, c in _SCORES.items()))
-    return digits(statistics.non_inferiority_table(rows, ["a", "b"], ["mpm", "topk", "span"], REPLICATES), *_NI_DIGITS, n=9)
+    return digits(statistics.non_inferiority_table(rows, MODELS, METHODS, REPLICATES), *_NI_DIGITS, n=9)
 
 
 @query("SELECT 'row' AS what, count(*) AS n FROM orders UNION ALL SELECT 'leak', 0 UNION ALL SELECT 'fold', 5")

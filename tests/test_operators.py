@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from glasspane.functions import overlap, text, vectors
-from glasspane.operators import attention, checks, curves, filters, grid, joins, labels, ranks, splits, statistics
+from glasspane.operators import attention, checks, curves, filters, grid, joins, labels, ranks, resampling, splits, statistics
 
 NAN = float("nan")
 
@@ -505,8 +505,11 @@ def test_bootstrap(spark):
     assert all(r.delta == 0 for r in statistics.bootstrap_auc_differences(df, "k", "t", "base", "base", 5).collect())
 
 
-def test_resampled_table_equals_brute_force(spark):
-    """The draws, taken one by one in Python: ties, missing scores and targets, all models at once."""
+@pytest.mark.parametrize("held", [0, 10**6])
+def test_resampled_table_equals_brute_force(spark, monkeypatch, held):
+    """The draws, taken one by one in Python: ties, missing scores and targets, all models at once;
+    folded as arrays, and by joins as for more rows than a task holds."""
+    monkeypatch.setattr(statistics, "HELD_ROWS", held)
     from glasspane.operators.ranks import hash_rank
 
     r, n, boot = random.Random(3), 37, 60
@@ -533,6 +536,28 @@ def test_resampled_table_equals_brute_force(spark):
     assert statistics.bootstrap_auc_differences(df.where("false"), "slide_name", "target", "a__max", "a__mpm", 5).collect() == []
 
 
+def test_draws_as_arrays_are_those_as_columns(spark):
+    for first, n in ((0, 1), (5, 37), (10**9 * 7, 99_991), (2**61, 12)):
+        want = [r.p for r in ranks.draws(spark.range(first, first + 50), F.col("id"), F.lit(n), "p", 42).orderBy("id").collect()]
+        assert resampling.drawn(first, 50, n, 42).tolist() == want
+
+
+def test_areas_along_an_order():
+    import pandas as pd
+
+    g = np.random.default_rng(4)
+    rows = pd.DataFrame({"side": 0, "kind": np.arange(40) * 3, "target": g.integers(0, 2, 40), "score": g.integers(0, 9, 40).astype(float)})
+    counts = g.integers(0, 4, (40, 7)).astype(float)
+    counts[rows["target"] == 1, 6] = 0
+    order = resampling.order_of_score(rows.sample(frac=1, random_state=1)).iloc[0]
+    at = {c: np.frombuffer(order[c], np.int64) for c in ("positive", "below", "upto", "negative")}
+    got = resampling.areas(counts, at["positive"] // 3, at["below"], at["upto"], at["negative"] // 3)
+    for j in range(6):
+        pairs = [(counts[a, j] * counts[b, j], rows["score"][a], rows["score"][b]) for a in range(40) for b in range(40) if rows["target"][a] and not rows["target"][b]]
+        assert math.isclose(got[j], sum(w * ((p > q) + (p == q) / 2) for w, p, q in pairs) / sum(w for w, _, _ in pairs))
+    assert math.isnan(got[6])
+
+
 @pytest.mark.parametrize("name", ["bootstrap_ni", "ni_table"])
 def test_registered_comparisons_draw_as_often_as_the_reference(spark, name):
     from glasspane.plans import registry
