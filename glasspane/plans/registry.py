@@ -26,4 +26,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["tiles_to_confusion_metrics"](spark, sf_dir)
 
 
-from glasspane.plans import curve_queries, mask_queries, score_queries, source_queries, split_queries, table_queries, tile_queries  # noqa: E402, F401  these fill QUERIES
+from glasspane.plans import curve_queries, file_queries, mask_queries, score_queries, source_queries, split_queries, table_queries, tile_queries  # noqa: E402, F401  these fill QUERIES

@@ -84,8 +84,8 @@ def test_filters_and_columns_reach_the_scan(spark):
 
 
 #: Queries whose point is a Python function: remote calls, a matrix product a batch, a function of a bag,
-#: arrays of pixels, arrays of counts.
-PYTHON = {"enriched_rows", "wide_layer", "bag_medians", "cam_rasters", "bootstrap_ni", "ni_table"}
+#: arrays of pixels, arrays of counts, files of other programs.
+PYTHON = {"slide_headers", "tiles_of_slide_files", "tensor_round_trip", "sheet_round_trip", "metadata_from_sheets", "enriched_rows", "wide_layer", "bag_medians", "cam_rasters", "bootstrap_ni", "ni_table"}
 
 
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - PYTHON))
