@@ -48,19 +48,44 @@ def filled_mask(tiles: DataFrame, extent: int, stride: int) -> DataFrame:
     return covered_cells(tiles, extent, stride).distinct().withColumn("value", F.lit(255))
 
 
+def prefix_counts(cells: DataFrame, ends: DataFrame) -> DataFrame:
+    """slide_id, cls, cx, cy, n: the pixels of a class in all cells up to and with a cell, along both axes,
+    for every cell of the slide's bounding box (ends: lo_x, hi_x, lo_y, hi_y) in which the class occurs.
+
+    Two passes of running sums, along rows that have the class, then along columns.
+    """
+    line = cells.select("slide_id", "cls", "cy").distinct().join(ends, "slide_id")
+    dense = line.select("slide_id", "cls", "cy", F.explode(F.sequence("lo_x", "hi_x")).alias("cx"))
+    upto = lambda by, axis: W.partitionBy("slide_id", "cls", by).orderBy(axis).rowsBetween(W.unboundedPreceding, 0)
+    rows = dense.join(cells, ["slide_id", "cls", "cx", "cy"], "left").select("slide_id", "cls", "cx", "cy", F.sum(F.coalesce("n", F.lit(0))).over(upto("cy", "cx")).alias("n"))
+    column = cells.select("slide_id", "cls").distinct().join(ends, "slide_id")
+    places = column.select("slide_id", "cls", "lo_y", "hi_y", F.explode(F.sequence("lo_x", "hi_x")).alias("cx")).select("slide_id", "cls", "cx", F.explode(F.sequence("lo_y", "hi_y")).alias("cy"))
+    return places.join(rows, ["slide_id", "cls", "cx", "cy"], "left").select("slide_id", "cls", "cx", "cy", F.sum(F.coalesce("n", F.lit(0))).over(upto("cx", "cy")).alias("n"))
+
+
 def overlap_fractions(tiles: DataFrame, mask: DataFrame, extent: int) -> DataFrame:
     """slide_id, x, y and overlap, a map of class to its share of the tile's mask pixels.
 
-    mask: slide_id, mx, my, cls in tile coordinates. Each pixel is joined by the integer cell it
-    lies in, of the size of a tile, and a tile by the cells it touches (at most four): an equi
-    join, with the exact bounds checked after it. Tiles without a pixel have an empty map.
+    mask: slide_id, mx, my, cls in tile coordinates. Pixels are counted once, in square cells whose side
+    is the greatest that divides every tile's place and size; what lies in a tile is then four sums of
+    all cells before its corners, however large it is and however many tiles lie over a pixel. Tiles without
+    a pixel have an empty map.
     """
-    touched = lambda at: F.array_distinct(F.array(*(F.floor((F.col(at) + d) / extent).cast("int") for d in (0, extent - 1))))
     keyed = tiles.select("slide_id", "x", "y").distinct()
-    cells = keyed.select("slide_id", "x", "y", F.explode(touched("x")).alias("cx"), touched("y").alias("cys")).select("slide_id", "x", "y", "cx", F.explode("cys").alias("cy"))
-    pixels = mask.select("slide_id", "mx", "my", "cls", F.floor(F.col("mx") / extent).cast("int").alias("cx"), F.floor(F.col("my") / extent).cast("int").alias("cy"))
-    inside = (F.col("mx") >= F.col("x")) & (F.col("mx") < F.col("x") + extent) & (F.col("my") >= F.col("y")) & (F.col("my") < F.col("y") + extent)
-    counts = cells.join(pixels, ["slide_id", "cx", "cy"]).where(inside).groupBy("slide_id", "x", "y", "cls").agg(F.count("*").alias("n"))
+    fits = (F.when(F.bool_and((F.col("x") % d == 0) & (F.col("y") % d == 0)), d) for d in range(1, extent + 1) if extent % d == 0)
+    grain = keyed.agg(F.greatest(F.lit(1), *fits).alias("grain"))
+    cell = lambda at: F.floor(F.col(at) / F.col("grain")).cast("int")
+    pixels = mask.join(keyed.select("slide_id").distinct(), "slide_id", "left_semi").crossJoin(grain)
+    cells = pixels.groupBy("slide_id", "cls", cell("mx").alias("cx"), cell("my").alias("cy")).agg(F.count("*").alias("n"))
+    ends = cells.groupBy("slide_id").agg(*(f("c" + a).alias(n + a) for a in "xy" for f, n in ((F.min, "lo_"), (F.max, "hi_"))))
+
+    # the last cells before a tile's left and upper side, and inside its right and lower side
+    before, last = (lambda at: cell(at) - 1), (lambda at: (F.floor((F.col(at) + extent) / F.col("grain")) - 1).cast("int"))
+    corner = lambda sign, cx, cy: F.struct(F.lit(sign).alias("sign"), cx.alias("cx"), cy.alias("cy"))
+    corners = F.array(corner(1, last("x"), last("y")), corner(-1, before("x"), last("y")), corner(-1, last("x"), before("y")), corner(1, before("x"), before("y")))
+    rows = keyed.crossJoin(grain).select("slide_id", "x", "y", F.explode(corners).alias("c")).select("slide_id", "x", "y", "c.*").join(ends, "slide_id").where("cx >= lo_x and cy >= lo_y")
+    rows = rows.select("slide_id", "x", "y", "sign", F.least("cx", "hi_x").alias("cx"), F.least("cy", "hi_y").alias("cy"))
+    counts = rows.join(prefix_counts(cells, ends), ["slide_id", "cx", "cy"]).groupBy("slide_id", "x", "y", "cls").agg(F.sum(F.col("sign") * F.col("n")).alias("n")).where("n > 0")
     entry = F.struct(F.col("cls").cast("string").alias("key"), F.col("n").cast("double").alias("n"))
     maps = counts.groupBy("slide_id", "x", "y").agg(F.collect_list(entry).alias("e"), F.sum("n").alias("total"))
     maps = maps.select("slide_id", "x", "y", F.map_from_entries(F.transform("e", lambda p: F.struct(p["key"], p["n"] / F.col("total")))).alias("overlap"))

@@ -240,6 +240,25 @@ def test_pooling(cells, k):
         assert math.isclose(got[s], best)
 
 
+@pytest.mark.parametrize(("extent", "stride"), [(4, 1), (8, 4), (5, 3), (16, 16)])
+def test_overlaps_of_any_size_equal_brute_force(spark, extent, stride):
+    g = random.Random(extent)
+    pixels = [(s, g.randint(-5, 40), g.randint(3, 30), g.choice("01a")) for s in range(3) for _ in range(150)] + [(9, 0, 0, "0")]
+    places = [(s, x, y) for s in (0, 1, 5) for x in range(-8, 44, stride) for y in range(0, 36, stride)]
+    found = grid.overlap_fractions(spark.createDataFrame(places * 2, "slide_id long, x int, y int"), spark.createDataFrame(pixels, "slide_id long, mx int, my int, cls string"), extent)
+    got = {(r.slide_id, r.x, r.y): r.overlap for r in found.collect()}
+    assert got.keys() == set(places)
+    for s, x, y in places:
+        inside = [c for t, mx, my, c in pixels if t == s and x <= mx < x + extent and y <= my < y + extent]
+        assert got[s, x, y] == {c: inside.count(c) / len(inside) for c in set(inside)}
+
+
+def test_overlaps_without_tiles_or_mask(spark):
+    tiles, mask = "slide_id long, x int, y int", "slide_id long, mx int, my int, cls string"
+    assert grid.overlap_fractions(spark.createDataFrame([], tiles), spark.createDataFrame([(1, 2, 3, "a")], mask), 4).collect() == []
+    assert [r.overlap for r in grid.overlap_fractions(spark.createDataFrame([(1, 2, 3)], tiles), spark.createDataFrame([], mask), 4).collect()] == [{}]
+
+
 def test_windows_of_all_sizes_equal_brute_force(spark):
     g = random.Random(8)
     held = {(s, gx, gy): g.random() for s, w, h in ((0, 9, 6), (1, 2, 12), (2, 1, 1), (3, 5, 5)) for gx in range(-1, w - 1) for gy in range(3, h + 3) if g.random() < 0.4 or (gx, gy) == (-1, 3)}
