@@ -9,15 +9,15 @@ import math
 import warnings
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from glasspane.operators.ranks import draws, hash_rank, hashed
+from glasspane.operators.ranks import draws, hash_rank
 
 SEED = 42
-#: Different vectors of class counts that are dealt in the driver; with more, Spark deals them.
-MAX_KINDS = 200_000
+#: Leading bits that a class count is told apart by: those below 16 are exact, larger ones within an eighth.
+KIND_BITS = 4
 
 
 def stratified_split(df: DataFrame, label: str, keys: list[str], test_size: float, names: tuple[str, str] = ("train", "test"), seed: int = SEED) -> DataFrame:
@@ -38,8 +38,8 @@ def stratified_split(df: DataFrame, label: str, keys: list[str], test_size: floa
 
 
 def _deal(kinds: np.ndarray, sizes: np.ndarray, k: int) -> np.ndarray:
-    """How many groups of each kind go to each fold. kinds: class counts of one group of the
-    kind; sizes: how many such groups. Whole rounds are dealt evenly; what is left goes, largest
+    """How many groups of each kind go to each fold. kinds: class counts of a group of the
+    kind (their mean); sizes: how many such groups. Whole rounds are dealt evenly; what is left goes, largest
     spread of counts first, to the fold that keeps class shares most even, then to the one with
     the fewest rows."""
     quota = np.repeat((sizes // k)[:, None], k, 1)
@@ -56,30 +56,32 @@ def _deal(kinds: np.ndarray, sizes: np.ndarray, k: int) -> np.ndarray:
     return quota
 
 
+def _kind(count: Column) -> Column:
+    """A count with its leading bits alone."""
+    step = F.pow(F.lit(2), F.greatest(F.length(F.bin(count)) - KIND_BITS, F.lit(0)))
+    return (F.floor(count / step) * step).cast("bigint")
+
+
 def group_folds(df: DataFrame, label: str, group: str, k: int, seed: int = SEED) -> DataFrame:
     """group and fold (0 to k-1): no group is in two folds, classes are spread evenly.
 
-    Groups with the same class counts are alike, so only the different vectors of counts, and
-    how many groups have each, come to the driver; which groups of a kind go where is a ranked
-    hash. With more than MAX_KINDS vectors groups are dealt in turn among those that have the same
-    largest class and number of rows, which is less even. Null groups and labels are left out.
+    Groups are dealt by kind: the class counts' leading bits. Of each kind only the mean counts and how many
+    groups it has come to the driver, and there are as many kinds as octaves, not as groups: a few hundred
+    for two classes. Which groups of a kind go where is a ranked hash. Null groups and labels are left out.
     """
     if k < 2:
         raise ValueError("there must be at least two folds")
     rows = df.where(F.col(group).isNotNull() & F.col(label).isNotNull())
     classes = [r[0] for r in rows.select(label).distinct().orderBy(label).collect()]
-    counts = rows.groupBy(group).agg(F.array(*(F.count_if(F.col(label) == c).cast("int") for c in classes)).alias("kind"))
-    kinds = counts.groupBy("kind").agg(F.count("*").alias("n")).orderBy("kind").limit(MAX_KINDS + 1).collect()
-    if len(kinds) > MAX_KINDS:
-        alike = counts.select(group, F.array_position("kind", F.array_max("kind")).alias("__most"), F.aggregate("kind", F.lit(0), lambda a, x: a + x).alias("__rows"))
-        turn = F.pmod(F.col("__rank") + hashed(seed, "__most", "__rows"), F.lit(k)).cast("int")
-        return hash_rank(alike, ["__most", "__rows"], [group], seed, "__rank").select(group, turn.alias("fold"))
+    counts = rows.groupBy(group).agg(F.array(*(F.count_if(F.col(label) == c) for c in classes)).alias("__counts")).withColumn("kind", F.transform("__counts", _kind))
+    mean = F.array(*(F.avg(F.col("__counts")[i]) for i in range(len(classes))))
+    kinds = counts.groupBy("kind").agg(F.count("*").alias("n"), mean.alias("mean")).orderBy("kind").collect()
     if not kinds:
         return counts.select(group, F.lit(0).alias("fold"))
-    quota = _deal(np.array([r.kind for r in kinds], float), np.array([r.n for r in kinds]), k)
+    quota = _deal(np.array([r.mean for r in kinds], float), np.array([r.n for r in kinds]), k)
     ends = np.cumsum(quota, 1)
     bounds = [(r.kind, f, int(ends[i, f] - quota[i, f]), int(ends[i, f])) for i, r in enumerate(kinds) for f in range(k) if quota[i, f]]
-    table = df.sparkSession.createDataFrame(bounds, "kind array<int>, fold int, after long, upto long")
+    table = df.sparkSession.createDataFrame(bounds, "kind array<bigint>, fold int, after long, upto long")
     ranked = hash_rank(counts, ["kind"], [group], seed, "__rank")
     return ranked.join(table, "kind").where("__rank > after and __rank <= upto").select(group, "fold")
 
@@ -119,15 +121,19 @@ def inverse_class_weights(df: DataFrame, label: str) -> DataFrame:
     return df.join(counts, label).select(*df.columns, "weight")
 
 
-def weighted_sample(df: DataFrame, label: str, keys: list[str], n: int, seed: int = SEED) -> DataFrame:
-    """n rows drawn with replacement, each with the probability of its inverse class weight:
+def weighted_sample(df: DataFrame, label: str, keys: list[str], n: int | None = None, seed: int = SEED) -> DataFrame:
+    """n rows (as many as df has, if none is said) drawn with replacement, each with the probability of its inverse class weight:
     a draw picks a class, all alike, and then a row of it by rank. Adds draw, 0 to n-1."""
     spark = df.sparkSession
     counts = df.groupBy(label).agg(F.count("*").alias("__n"))
     order = W.partitionBy(F.lit(0)).orderBy(label)  # one row for each class
     classes = counts.withColumns({"__class": F.row_number().over(order) - 1, "__k": F.count("*").over(W.partitionBy(F.lit(0)))})
     k = classes.agg(F.max("__k").alias("k"))
-    drawn = draws(spark.range(n).withColumnRenamed("id", "draw").crossJoin(k), F.col("draw") * 2, F.col("k"), "__class", seed)
+    if n is None:  # each row gives the number of a draw
+        numbers = hash_rank(df.select(*keys).withColumn("__all", F.lit(0)), ["__all"], keys, seed, "__draw").select((F.col("__draw") - 1).alias("draw"))
+    else:
+        numbers = spark.range(n).withColumnRenamed("id", "draw")
+    drawn = draws(numbers.crossJoin(k), F.col("draw") * 2, F.col("k"), "__class", seed)
     drawn = drawn.join(classes.select(F.col(label).alias("__label"), "__class", "__n"), "__class")
     drawn = draws(drawn, F.col("draw") * 2 + 1, F.col("__n"), "__place", seed).select("draw", "__label", (F.col("__place") + 1).alias("__rank"))
     ranked = hash_rank(df, [label], keys, seed, "__rank")

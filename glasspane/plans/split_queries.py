@@ -48,22 +48,23 @@ def group_fold_invariants(spark, sf_dir):
 
 
 def _folds_sql(k: int) -> str:
-    """Common tables up to folds(c_nationkey, fold): whole rounds of each vector of class counts are
-    dealt evenly, the rest one after another to the fold that stays most even (see splits._deal)."""
+    """Common tables up to folds(c_nationkey, fold): whole rounds of each kind (the class counts' four
+    leading bits, with the mean counts of its groups) are dealt evenly, the rest one after another to the fold that stays most even (see splits._deal)."""
     after = f"list_transform(range(1, len(total) + 1), lambda c: list_stddev_pop(list_transform(range(1, {k} + 1), lambda f: (state[f][c] + CASE WHEN f = x.f THEN kind[c] ELSE 0 END) / greatest(total[c], 1))))"
     return f"""WITH RECURSIVE m AS (SELECT DISTINCT c_mktsegment FROM customer), n AS (SELECT DISTINCT c_nationkey FROM customer),
 g AS (SELECT c_nationkey, list(CAST(n AS DOUBLE) ORDER BY c_mktsegment) AS kind FROM (SELECT n.c_nationkey, m.c_mktsegment, count(c_custkey) AS n FROM n CROSS JOIN m LEFT JOIN customer c ON c.c_nationkey = n.c_nationkey AND c.c_mktsegment = m.c_mktsegment GROUP BY 1, 2) GROUP BY 1),
-h AS (SELECT kind, count(*) AS n FROM g GROUP BY 1),
+gq AS (SELECT c_nationkey, kind AS counts, list_transform(kind, lambda v: CAST(floor(v / (1 << greatest(length(bin(CAST(v AS BIGINT))) - 4, 0))) * (1 << greatest(length(bin(CAST(v AS BIGINT))) - 4, 0)) AS BIGINT)) AS cell FROM g),
+h AS (SELECT cell, list(a ORDER BY c) AS kind, any_value(n) AS n FROM (SELECT cell, c, avg(counts[c]) AS a, count(*) AS n FROM gq, range(1, (SELECT count(*) FROM m) + 1) t(c) GROUP BY 1, 2) GROUP BY 1),
 e AS (SELECT c, sum(kind[c] * n) AS total, sum(kind[c] * (n // {k})) AS base FROM h, range(1, (SELECT count(*) FROM m) + 1) t(c) GROUP BY 1),
 tot AS (SELECT list(total ORDER BY c) AS total, list(base ORDER BY c) AS base FROM e),
-item AS (SELECT kind, row_number() OVER (ORDER BY round(list_stddev_pop(kind), 9) DESC, kind, i) AS step FROM h, range({k}) t(i) WHERE i < n % {k}),
+item AS (SELECT cell, kind, row_number() OVER (ORDER BY round(list_stddev_pop(kind), 9) DESC, cell, i) AS step FROM h, range({k}) t(i) WHERE i < n % {k}),
 deal AS (SELECT CAST(0 AS BIGINT) AS step, list_transform(range({k}), lambda f: base) AS state, CAST(-1 AS BIGINT) AS fold FROM tot
  UNION ALL SELECT * FROM (SELECT item.step, list_transform(range(1, {k} + 1), lambda f: CASE WHEN f = x.f THEN list_transform(range(1, len(kind) + 1), lambda c: state[f][c] + kind[c]) ELSE state[f] END) AS state, x.f - 1 AS fold
   FROM deal JOIN item ON item.step = deal.step + 1, tot, range(1, {k} + 1) x(f) ORDER BY round(list_avg({after}), 12), list_sum(state[x.f]), x.f LIMIT 1)),
-quota AS (SELECT h.kind, f AS fold, n // {k} + count(deal.step) AS q FROM h CROSS JOIN range({k}) t(f) LEFT JOIN item ON item.kind = h.kind LEFT JOIN deal ON deal.step = item.step AND deal.fold = f GROUP BY h.kind, f, n),
-ends AS (SELECT kind, fold, q, sum(q) OVER (PARTITION BY kind ORDER BY fold) AS upto FROM quota),
-ranked AS (SELECT c_nationkey, kind, row_number() OVER (PARTITION BY kind ORDER BY {_hash_sql("c_nationkey")}, c_nationkey) AS rank FROM g),
-folds AS (SELECT c_nationkey, CAST(fold AS INT) AS fold FROM ranked JOIN ends USING (kind) WHERE rank > upto - q AND rank <= upto)"""
+quota AS (SELECT h.cell, f AS fold, n // {k} + count(deal.step) AS q FROM h CROSS JOIN range({k}) t(f) LEFT JOIN item ON item.cell = h.cell LEFT JOIN deal ON deal.step = item.step AND deal.fold = f GROUP BY h.cell, f, n),
+ends AS (SELECT cell, fold, q, sum(q) OVER (PARTITION BY cell ORDER BY fold) AS upto FROM quota),
+ranked AS (SELECT c_nationkey, cell, row_number() OVER (PARTITION BY cell ORDER BY {_hash_sql("c_nationkey")}, c_nationkey) AS rank FROM gq),
+folds AS (SELECT c_nationkey, CAST(fold AS INT) AS fold FROM ranked JOIN ends USING (cell) WHERE rank > upto - q AND rank <= upto)"""
 
 
 @query(_folds_sql(5) + " SELECT c_nationkey, fold FROM folds")
@@ -83,11 +84,11 @@ def group_split(spark, sf_dir):
 
 @query(f"""WITH c AS (SELECT c_mktsegment, count(*) AS n, row_number() OVER (ORDER BY c_mktsegment) - 1 AS class, count(*) OVER () AS k FROM customer GROUP BY 1),
 r AS (SELECT c_custkey, c_mktsegment, row_number() OVER (PARTITION BY c_mktsegment ORDER BY {_hash_sql("c_custkey")}, c_custkey) AS rank FROM customer),
-d AS (SELECT i AS draw, {draws_sql("2 * i", "(SELECT max(k) FROM c)", SEED)} AS class FROM range(1000) t(i)),
+d AS (SELECT i AS draw, {draws_sql("2 * i", "(SELECT max(k) FROM c)", SEED)} AS class FROM range((SELECT count(*) FROM customer)) t(i)),
 e AS (SELECT draw, c_mktsegment, {draws_sql("2 * draw + 1", "n", SEED)} + 1 AS rank FROM d JOIN c USING (class))
 SELECT c_custkey, c_mktsegment, draw FROM e JOIN r USING (c_mktsegment, rank)""")
 def weighted_sample(spark, sf_dir):
-    return splits.weighted_sample(table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment"), "c_mktsegment", ["c_custkey"], 1000)
+    return splits.weighted_sample(table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment"), "c_mktsegment", ["c_custkey"])
 
 
 def _resampled_sql(scores: dict[str, str]) -> str:

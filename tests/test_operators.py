@@ -462,22 +462,35 @@ def test_group_folds(spark):
         checks.assert_no_leak(df.withColumn("fold", F.col("i") % 2), "g")
 
 
-def test_group_folds_beyond_the_driver(spark, monkeypatch):
-    """More different class counts than the driver deals: every group still has one fold."""
-    monkeypatch.setattr(splits, "MAX_KINDS", 5)
-    r = random.Random(3)
-    rows = [(g, int(r.random() < 0.3)) for g in range(400) for _ in range(r.randint(1, 6))]
-    df = spark.createDataFrame([(i, g, c) for i, (g, c) in enumerate(rows)], "i int, g int, c int")
-    got = splits.with_folds(df, "c", "g", 5).collect()
-    assert len(got) == len(rows) and len({(x.g, x.fold) for x in got}) == 400
-    share = sum(c for _, c in rows) / len(rows)
-    for f in range(5):
-        own = [x.c for x in got if x.fold == f]
-        assert abs(len(own) - len(rows) / 5) < 0.15 * len(rows) / 5 and abs(sum(own) / len(own) - share) < 0.08
-    leaking = df.withColumn("fold", F.col("i") % 2)
-    with pytest.raises(Exception, match="more than one fold"):
-        checks.without_leak(leaking, "g").collect()
-    assert checks.without_leak(splits.with_folds(df, "c", "g", 5), "g").count() == len(rows)
+@pytest.mark.parametrize("spread", [1.5, 4.0, 7.0])
+def test_folds_by_kinds_are_about_as_even_as_one_by_one(spark, spread):
+    """Many groups of very unlike sizes, hardly two alike in their counts: few kinds, and class shares
+    by fold nearly as even as when every group is dealt by itself."""
+    r = random.Random(11)
+    sizes = [(max(0, int(r.lognormvariate(2, spread / 2))) % 3000, max(0, int(r.lognormvariate(1, spread / 2))) % 2000) for _ in range(600)]
+    rows = [(g, c, n) for g, own in enumerate(sizes) for c, n in enumerate(own) if n]
+    df = spark.createDataFrame(rows, "g int, c int, n int").select("g", "c", F.explode(F.sequence(F.lit(1), "n")).alias("i"))
+    fold = {x.g: x.fold for x in splits.group_folds(df, "c", "g", 5).collect()}
+    used = [g for g, own in enumerate(sizes) if sum(own)]
+    assert sorted(fold) == used
+
+    def worst(found):
+        total = np.array([[sum(sizes[g][c] for g in used if found[g] == f) for c in (0, 1)] for f in range(5)], float)
+        return np.abs(total / total.sum(0) - 0.2).max()
+
+    exact = sorted({sizes[g] for g in used})
+    quota = splits._deal(np.array(exact, float), np.array([sum(sizes[g] == e for g in used) for e in exact]), 5)
+    order = {e: [f for f in range(5) for _ in range(quota[i, f])] for i, e in enumerate(exact)}
+    single = worst({g: order[sizes[g]].pop() for g in used})
+    assert worst(fold) < max(2.5 * single, 0.015), (worst(fold), single)
+    again = splits.group_folds(df.repartition(7), "c", "g", 5).collect()
+    assert {x.g: x.fold for x in again} == fold
+
+
+def test_counts_keep_their_leading_bits(spark):
+    values = [0, 1, 15, 16, 17, 31, 32, 35, 1000, 2**40 + 12345]
+    got = one(spark.createDataFrame([(v,) for v in values], "v bigint"), splits._kind(F.col("v")))
+    assert got == [v >> max(v.bit_length() - 4, 0) << max(v.bit_length() - 4, 0) for v in values]
 
 
 def test_group_split(spark):
