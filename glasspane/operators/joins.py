@@ -65,10 +65,10 @@ def positions(rows: DataFrame, partition: str, order: list[str], name: str = "po
     return ordered_rank(rows, [partition], order, name)
 
 
-def stored_positions(path_rows: DataFrame, partition: str, name: str = "pos") -> DataFrame:
-    """Places in stored order (by file, then row), for a frame just read from files."""
+def stored_positions(path_rows: DataFrame, partition: str | None, name: str = "pos") -> DataFrame:
+    """Places in stored order (by file, then row), by partition or over all, for a frame just read from files."""
     rows = path_rows.withColumns({"__bucket": F.col("_metadata.file_path"), "__at": F.col("_metadata.row_index")})
-    return file_rank(rows, [partition], name)
+    return file_rank(rows, [partition] if partition else [], name)
 
 
 def in_input_order(rows: DataFrame, file: str = "__file", row: str = "__row") -> DataFrame:
@@ -83,14 +83,14 @@ def with_input_order(path_rows: DataFrame) -> DataFrame:
 
 
 def attach_embeddings(tiles: DataFrame, embeddings: DataFrame, key: str = "slide_id", pos: str = "pos") -> DataFrame:
-    """Tiles with the embedding at their place; a slide whose counts differ raises. Both have
-    (key, pos)."""
+    """Tiles with the embedding at their place; a slide whose counts differ raises when rows are read. Both
+    have (key, pos)."""
     a = tiles.groupBy(key).agg(F.count("*").alias("n_tiles"))
     b = embeddings.groupBy(key).agg(F.count("*").alias("n_embeddings"))
-    unequal = a.join(b, key, "full").where(~F.col("n_tiles").eqNullSafe(F.col("n_embeddings")))
-    if rows := unequal.limit(5).collect():
-        raise ValueError(f"tiles and embeddings differ in number for {[r[key] for r in rows]}")
-    return tiles.join(embeddings.select(key, pos, "embedding"), [key, pos])
+    unequal = F.raise_error(F.concat(F.lit("tiles and embeddings differ in number for "), F.coalesce(F.col(key).cast("string"), F.lit("null"))))
+    alike = F.when(F.col("n_tiles").eqNullSafe(F.col("n_embeddings")), F.lit(True)).otherwise(unequal.cast("boolean"))
+    counted = a.join(b, key, "full").where(alike).select(key)
+    return tiles.join(embeddings.select(key, pos, "embedding"), [key, pos]).join(counted, key, "left_semi")
 
 
 def surviving_embeddings(embeddings: DataFrame, tiles: DataFrame, key: str = "slide_id", pos: str = "pos") -> DataFrame:

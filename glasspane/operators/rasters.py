@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from glasspane.functions.vectors import sigmoid
+from glasspane.sources.workers import ship
 
 #: Side of a block, and blocks that a task holds.
 BLOCK, HELD_BLOCKS = 256, 64
@@ -112,6 +113,7 @@ def raster_blocks(tiles: DataFrame, height: int, width: int, block: int = BLOCK)
     """slide_id, bx, by, mean (array of double) and n (array of int): the blocks of every slide's raster, row by
     row of pixels. tiles: slide_id, x, y and values, an array of height x width numbers, row by row."""
     spark = tiles.sparkSession
+    ship(spark)
     slide = dict(tiles.dtypes)["slide_id"]
     key = f"slide_id {slide}, bx int, by int"
     arrow = lambda ddl: to_arrow_schema(spark.createDataFrame([], ddl).schema)

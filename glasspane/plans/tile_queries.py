@@ -202,12 +202,14 @@ def tile_outlines(spark, sf_dir):
 
 @query("SELECT vec_id, label AS slide_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS pos, row_number() OVER (ORDER BY vec_id) AS place FROM embeddings")
 def input_order(spark, sf_dir):
-    """Places in stored order by slide, joined by slide, and the input's order (by vec_id) restored."""
+    """Places in stored order over several files, by slide and over all, joined by slide, and the input's
+    order (by vec_id) restored."""
     where = shared_dir(spark)
     rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("label").alias("slide_id"))
-    rows.repartition(1).sortWithinPartitions("vec_id").write.parquet(where)
-    numbered = joins.stored_positions(joins.with_input_order(spark.read.parquet(where)), "slide_id")
-    joined = numbered.join(numbered.groupBy("slide_id").agg(F.count("*").alias("n")), "slide_id").withColumn("place", F.col("__row") + 1)
+    rows.repartitionByRange(5, "vec_id").sortWithinPartitions("vec_id").write.parquet(where)
+    stored = spark.read.parquet(where)
+    numbered = joins.stored_positions(joins.with_input_order(stored), "slide_id").join(joins.stored_positions(stored, None, "place").select("vec_id", "place"), "vec_id")
+    joined = numbered.join(numbered.groupBy("slide_id").agg(F.count("*").alias("n")), "slide_id")
     return joins.in_input_order(joined).select("vec_id", "slide_id", "pos", "place")
 
 

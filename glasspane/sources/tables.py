@@ -28,8 +28,8 @@ def read_csv(spark: SparkSession, path: str | list[str], schema: StructType | st
     return (reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(path)
 
 
-def write_csv(df: DataFrame, path: str, one_file: bool = True) -> None:
-    """A folder with one file (small tables) or a file a task."""
+def write_csv(df: DataFrame, path: str, one_file: bool = False) -> None:
+    """A folder with a file a task, or with one (small tables)."""
     (df.coalesce(1) if one_file else df).write.mode("overwrite").option("header", True).csv(path)
 
 

@@ -1,11 +1,11 @@
-"""Slide scores from heatmaps that grow: keyed state for each line of a slide's cells.
+"""Slide scores from heatmaps that grow: keyed state for each band of lines of a slide's cells.
 
-The state of a line (a row or a column of cells) is a sparse heatmap: places, and the sum and number of
-the scores at each. States merge by adding, so any split of the tiles into batches, in any order,
-leads to the same one. A line that changed tells its longest run of cells that reach a threshold, its
-largest cells, and its cells; of what lines have told, the last of each merges into the scores of a
-slide: the longest run of any line, the largest cells of all rows, or the whole heatmap for pooling. No key holds
-more than a line, so tiles of one slide spread over all tasks.
+The state of a band (BAND rows, or BAND columns, of cells) is a sparse heatmap: places, and the sum and
+number of the scores at each. States merge by adding, so any split of the tiles into batches, in any
+order, leads to the same one. A band that changed tells its longest run of cells that reach a
+threshold, its largest cells, and its cells; of what bands have told, the last of each merges into the scores of
+a slide: the longest run of any band, the largest cells of all rows, or the whole heatmap for
+pooling. No key holds more than a band, so tiles of one slide spread over all tasks.
 
 Cells are what grid.heatmap makes of all tiles so far: means of the tiles over them, and rows whose
 score is null or NaN take no part.
@@ -17,15 +17,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from glasspane.operators.grid import covered_cells
-
-STATE = "version long, places array<int>, totals array<double>, counts array<long>"
-TOLD = "slide_id {slide}, axis string, line int, version long, longest int, top array<struct<place: int, score: double>>, cells array<struct<place: int, score: double>>"
+from glasspane.sources.workers import ship
+
+STATE = "version long, places array<long>, totals array<double>, counts array<long>"
+_CELLS = "array<struct<gx: int, gy: int, score: double>>"
+TOLD = f"axis string, band int, version long, longest int, top {_CELLS}, cells {_CELLS}"
+#: Lines of a key. A cell's place is its line times 2^32 and, from 2^31 on, its place in the line, so that
+#: neighbours of a line differ by one and those of two lines never do.
+BAND, LINE, ZERO = 16, 1 << 32, 1 << 31
 #: State that Spark keeps on disk, with checkpoints; transformWithState needs it.
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -33,7 +38,7 @@ Heat = tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
 def merged(one: Heat, other: Heat) -> Heat:
-    """Two sparse lines (places ascending, sums, counts) added up."""
+    """Two sparse heatmaps (places ascending, sums, counts) added up."""
     places, back = np.unique(np.concatenate([one[0], other[0]]), return_inverse=True)
     totals, counts = np.zeros(len(places)), np.zeros(len(places), np.int64)
     np.add.at(totals, back, np.concatenate([one[1], other[1]]))
@@ -49,14 +54,14 @@ def longest_run(places: np.ndarray) -> int:
     return int(np.diff(np.concatenate([[-1], ends, [len(places) - 1]])).max())
 
 
-class Lines(StatefulProcessor):
-    """Keeps the cells of a line; tells what they come to when tiles have changed them."""
+class Bands(StatefulProcessor):
+    """Keeps the cells of a band; tells what they come to when tiles have changed them."""
 
     def __init__(self, threshold: float, top: int) -> None:
         self.threshold, self.top = threshold, top
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("line", STATE)
+        self.state = handle.getValueState("band", STATE)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         version, heat = 0, (np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))
@@ -69,59 +74,67 @@ class Lines(StatefulProcessor):
         places, totals, counts = heat
         self.state.update((version, places.tolist(), totals.tolist(), counts.tolist()))
         scores = totals / counts
-        cells = [{"place": p, "score": s} for p, s in zip(places.tolist(), scores.tolist(), strict=True)]
-        best = sorted(cells, key=lambda c: (-c["score"], c["place"]))[: self.top]
-        slide, axis, line = key
-        yield pd.DataFrame({"slide_id": [slide], "axis": [axis], "line": [line], "version": [version], "longest": [longest_run(places[scores >= self.threshold])], "top": [best], "cells": [cells]})
+        slide, axis, band = key
+        cells: list[dict] = []
+        if axis == "row":  # columns hold the same cells
+            lines, along = places // LINE, places % LINE - ZERO
+            cells = [{"gx": x, "gy": y, "score": v} for x, y, v in zip(along.tolist(), lines.tolist(), scores.tolist(), strict=True)]
+        best = sorted(cells, key=lambda c: (-c["score"], c["gx"], c["gy"]))[: self.top]
+        yield pd.DataFrame({"slide_id": [slide], "axis": [axis], "band": [band], "version": [version], "longest": [longest_run(places[scores >= self.threshold])], "top": [best], "cells": [cells]})
 
     def close(self) -> None:
         pass
 
 
-def line_scores(tiles: DataFrame, extent: int, stride: int, threshold: float, top: int, score: str = "score") -> DataFrame:
-    """What each line (axis "row" or "column") that a batch of tiles touches comes to, with a version that
+def band_scores(tiles: DataFrame, extent: int, stride: int, threshold: float, top: int, score: str = "score") -> DataFrame:
+    """What each band (axis "row" or "column") that a batch of tiles touches comes to, with a version that
     grows; for append output. tiles: slide_id, x, y and a score, a stream or a batch."""
+    ship(tiles.sparkSession)
     scored = tiles.where(F.col(score).isNotNull() & ~F.isnan(score))
     cells = covered_cells(scored, extent, stride, [score])
-    both = F.explode(F.array(F.struct(F.lit("row").alias("axis"), F.col("gy").alias("line"), F.col("gx").alias("place")), F.struct(F.lit("column").alias("axis"), F.col("gx").alias("line"), F.col("gy").alias("place"))))
-    rows = cells.select("slide_id", F.col(score).cast("double").alias("total"), F.lit(1).cast("long").alias("n"), both.alias("c")).select("slide_id", "c.axis", "c.line", "c.place", "total", "n")
-    schema = TOLD.format(slide=dict(tiles.dtypes)["slide_id"])
-    return rows.groupBy("slide_id", "axis", "line").transformWithStateInPandas(Lines(threshold, top), schema, "Append", "None")
+
+    def entry(axis: str, line: str, along: str) -> Column:
+        place = F.col(line).cast("long") * LINE + F.col(along) + ZERO
+        return F.struct(F.lit(axis).alias("axis"), F.floor(F.col(line) / BAND).cast("int").alias("band"), place.alias("place"))
+
+    both = F.explode(F.array(entry("row", "gy", "gx"), entry("column", "gx", "gy")))
+    rows = cells.select("slide_id", F.col(score).cast("double").alias("total"), F.lit(1).cast("long").alias("n"), both.alias("c")).select("slide_id", "c.axis", "c.band", "c.place", "total", "n")
+    schema = f"slide_id {dict(tiles.dtypes)['slide_id']}, {TOLD}"
+    return rows.groupBy("slide_id", "axis", "band").transformWithStateInPandas(Bands(threshold, top), schema, "Append", "None")
 
 
-def last_told(lines: DataFrame) -> DataFrame:
-    """Of the versions of each line the last."""
+def last_told(bands: DataFrame) -> DataFrame:
+    """Of the versions of each band the last."""
     rest = F.struct("longest", "top", "cells")
-    return lines.groupBy("slide_id", "axis", "line").agg(F.max_by(rest, "version").alias("v")).select("slide_id", "axis", "line", "v.*")
+    return bands.groupBy("slide_id", "axis", "band").agg(F.max_by(rest, "version").alias("v")).select("slide_id", "axis", "band", "v.*")
 
 
 def span_scores(last: DataFrame, k: int) -> DataFrame:
-    """grid.slide_span from the last of each line: whether any line has a run of k."""
+    """grid.slide_span from the last of each band: whether any has a run of k."""
     return last.groupBy("slide_id").agg((F.max("longest") >= k).alias("prediction"))
 
 
 def top_scores(last: DataFrame, top: int) -> DataFrame:
-    """grid.slide_top_k of single cells: the largest of all rows' largest (each row must tell as many)."""
-    rows = last.where("axis = 'row'").select("slide_id", "line", F.explode("top").alias("c")).select("slide_id", "line", "c.*")
-    order = W.partitionBy("slide_id").orderBy(F.desc("score"), "place", "line")
+    """grid.slide_top_k of single cells: the largest of all bands' largest (each must tell as many)."""
+    rows = last.where("axis = 'row'").select("slide_id", F.explode("top").alias("c")).select("slide_id", "c.*")
+    order = W.partitionBy("slide_id").orderBy(F.desc("score"), "gx", "gy")
     return rows.withColumn("n", F.row_number().over(order)).where(F.col("n") <= top).groupBy("slide_id").agg(F.avg("score").alias("prediction"))
 
 
 def cells_so_far(last: DataFrame) -> DataFrame:
     """The whole heatmap, slide_id, gx, gy, score, for what pools over several lines."""
-    rows = last.where("axis = 'row'").select("slide_id", "line", F.explode("cells").alias("c"))
-    return rows.select("slide_id", F.col("c.place").alias("gx"), F.col("line").alias("gy"), F.col("c.score").alias("score"))
+    return last.where("axis = 'row'").select("slide_id", F.explode("cells").alias("c")).select("slide_id", "c.*")
 
 
-def run_to_the_end(lines: DataFrame, path: str, checkpoint: str) -> DataFrame:
-    """Write the stream of line_scores to Parquet files until its input is used up; what was told so
+def run_to_the_end(told: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """Write the stream of band_scores to Parquet files until its input is used up; what was told so
     far. Called again with the same folders it goes on where it stopped."""
-    spark: SparkSession = lines.sparkSession
+    spark: SparkSession = told.sparkSession
     key = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(key, None)
     spark.conf.set(key, STORE)
     try:
-        lines.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+        told.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination()
     finally:
         spark.conf.set(key, before) if before else spark.conf.unset(key)
-    return spark.read.schema(lines.schema).parquet(path)
+    return spark.read.schema(told.schema).parquet(path)

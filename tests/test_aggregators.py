@@ -27,11 +27,12 @@ def told(spark, tmp_path, batches, extent, stride, top=3):
     for n, rows in enumerate(batches):
         spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(f"{where}/in/batch={n}")
     stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{where}/in/*")
-    return a.run_to_the_end(a.line_scores(stream, extent, stride, 0.5, top), f"{where}/out", f"{where}/checkpoint")
+    return a.run_to_the_end(a.band_scores(stream, extent, stride, 0.5, top), f"{where}/out", f"{where}/checkpoint")
 
 
 @pytest.mark.parametrize("cuts", [[], [40], [5, 6, 100]])
-def test_any_split_gives_the_batch_scores(spark, tmp_path, cuts):
+def test_any_split_gives_the_batch_scores(spark, tmp_path, monkeypatch, cuts):
+    monkeypatch.setattr(a, "BAND", 1 + 3 * len(cuts))
     rows = made(len(cuts))
     random.Random(4).shuffle(rows)
     batches = [rows[i:j] for i, j in zip([0, *cuts], [*cuts, len(rows)], strict=True)]
@@ -42,7 +43,7 @@ def test_any_split_gives_the_batch_scores(spark, tmp_path, cuts):
     assert values(a.span_scores(last, 3)) == values(grid.slide_span(cells, 3, 0.5))
     assert values(a.top_scores(last, 3)) == values(grid.slide_top_k(cells, 1, 3))
     assert values(grid.slide_mean_pool_max(a.cells_so_far(last), 2)) == values(grid.slide_mean_pool_max(cells, 2))
-    versions = lines.groupBy("slide_id", "axis", "line").count().agg({"count": "max"}).first()[0]
+    versions = lines.groupBy("slide_id", "axis", "band").count().agg({"count": "max"}).first()[0]
     assert versions <= len(batches)
 
 
@@ -51,7 +52,7 @@ def test_a_later_run_goes_on_where_the_first_stopped(spark, tmp_path):
     told(spark, tmp_path, [rows[:50]], 1, 1)
     spark.createDataFrame(rows[50:], SCHEMA).coalesce(1).write.parquet(f"{tmp_path}/in/batch=9")
     stream = spark.readStream.schema(SCHEMA).parquet(f"{tmp_path}/in/*")
-    lines = a.run_to_the_end(a.line_scores(stream, 1, 1, 0.5, 3), f"{tmp_path}/out", f"{tmp_path}/checkpoint")
+    lines = a.run_to_the_end(a.band_scores(stream, 1, 1, 0.5, 3), f"{tmp_path}/out", f"{tmp_path}/checkpoint")
     cells = grid.heatmap(spark.createDataFrame(rows, SCHEMA), 1, 1)
     assert values(a.cells_so_far(a.last_told(lines))) == values(cells)
     assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") != a.STORE

@@ -177,8 +177,11 @@ def test_embeddings_by_place(spark):
     vecs = spark.createDataFrame([("s", 1, [1.0]), ("s", 2, [2.0]), ("t", 1, [3.0])], "slide_id string, pos int, embedding array<double>")
     got = joins.attach_embeddings(joins.positions(tiles, "slide_id", ["x"]), vecs).collect()
     assert sorted((r.slide_id, r.x, r.embedding[0]) for r in got) == [("s", 1, 1.0), ("s", 3, 2.0), ("t", 5, 3.0)]
-    with pytest.raises(ValueError, match="differ in number"):
-        joins.attach_embeddings(joins.positions(tiles, "slide_id", ["x"]), vecs.where("pos = 1"))
+    numbered = joins.positions(tiles, "slide_id", ["x"])
+    for t, v in ((numbered, vecs.where("pos = 1")), (numbered.where("slide_id = 's'"), vecs), (numbered, vecs.where("slide_id = 's'"))):
+        found = joins.attach_embeddings(t, v)
+        with pytest.raises(Exception, match="differ in number for"):
+            found.collect()
 
 
 def test_master_table(spark):
@@ -392,26 +395,41 @@ def test_missing_parameter_column(spark):
 # ranks, splits, statistics
 
 
-def test_ranks_and_running_sums(spark):
-    df = spark.createDataFrame([("a" if i % 3 else "b", i, float(i * i % 101) + i / 1000) for i in range(200)], "g string, i int, x double")
+@pytest.mark.parametrize("rows", [3, 30, 10_000])
+def test_ranks_and_running_sums(spark, monkeypatch, rows):
+    """All groups in many buckets, one of two, and all sorted whole."""
+    monkeypatch.setattr(ranks, "BUCKET_ROWS", rows)
+    df = spark.createDataFrame([("a" if i % 8 else "b", i, float(i * i % 101) + i / 1000) for i in range(200)], "g string, i int, x double")
     got = ranks.hash_rank(df, ["g"], ["i"], 1).collect()
     for g in "ab":
         assert sorted(r["rank"] for r in got if r.g == g) == list(range(1, sum(r.g == g for r in got) + 1))
-    for r in ranks.running_sums(df, ["g"], "x", ["i"], buckets=7).collect():
+    assert {r.i: r["rank"] for r in got if r.g == "b"} == {r.i: n + 1 for n, r in enumerate(df.where("g = 'b'").orderBy(ranks.hashed(1, "i")).collect())}
+    for r in ranks.running_sums(df, ["g"], "x", ["i"]).collect():
         above = sorted((y.x, y.i) for y in got if y.g == r.g)[::-1]
         at = above.index((r.x, r.i))
         assert r.cum_i == sum(i for _, i in above[: at + 1]) and r.all_i == sum(i for _, i in above)
         assert r.first == (at == 0) and r.next_i == (above[at + 1][1] if at + 1 < len(above) else None)
     for r in ranks.ordered_rank(df, ["g"], ["x"]).collect():
         assert r["rank"] == sum(y.x <= r.x for y in got if y.g == r.g)
+    assert [r["rank"] for r in ranks.ordered_rank(df, [], ["x"]).orderBy("x").collect()] == list(range(1, 201))
 
 
-def test_buckets_are_alike_however_keys_are_spread(spark):
-    """Keys below 0.02 and one of a billion; and keys close to 1."""
-    for keys in ([(i / 1e6,) for i in range(20_000)] + [(1e9,)], [(1 - 1 / (1 + i),) for i in range(20_000)]):
+def test_buckets_are_alike_however_keys_are_spread(spark, monkeypatch):
+    """Keys below 0.02 and one of a billion; and keys close to 1. They grow in number with the rows."""
+    monkeypatch.setattr(ranks, "BUCKET_ROWS", 200)
+    for keys in ([(i / 1e6,) for i in range(20_000)] + [(1e9,)], [(1 - 1 / (1 + i),) for i in range(20_000)], [(float(i),) for i in range(3000)]):
         df = spark.createDataFrame(keys, "x double")
         sizes = [r["count"] for r in ranks.bucketed(df, [], "x").groupBy("__bucket").count().collect()]
-        assert len(sizes) > 60 and max(sizes) < 2.5 * len(keys) / 64
+        assert len(sizes) > 0.9 * len(keys) / 200 and max(sizes) < 2.5 * 200
+
+
+def test_a_million_small_groups_need_no_sketch(spark):
+    """One large group among very many small ones: only the large one is cut."""
+    df = spark.range(1_000_000).select(F.when(F.col("id") < 40_000, -1).otherwise(F.col("id") % 900_000).alias("g"), F.col("id").cast("double").alias("x"))
+    assert ranks.large_groups(df, ["g"]).collect() == [(-1, 3)]
+    ranked = ranks.ordered_rank(df, ["g"], ["x"])
+    assert ranked.where("g = -1").agg(F.max("rank"), F.count_distinct("rank")).first() == (40_000, 40_000)
+    assert ranked.where("g >= 0").agg(F.max("rank"), F.count("*")).first() == (2, 960_000)
 
 
 def test_ranks_of_null_groups(spark):
