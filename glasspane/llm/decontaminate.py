@@ -15,13 +15,15 @@ first that few items of the block have, so that a common phrase makes no candida
 has others. Candidates are verified: shingles of the whole document, compared as words, are counted.
 
 Items are a query set: tasks normalise them and write them to the shared folder in blocks of
-bounded size; a task that searches documents loads one block after another and keeps the last few
-sketched. The driver sees only names of blocks; documents are read once and never shuffled.
+bounded size, and one task a block sketches it and stores the sketches, once. A task that searches documents
+loads one block's sketches after another and keeps the last few. The driver sees only names of blocks; documents
+are read once and never shuffled.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
 import re
 from collections import OrderedDict
 
@@ -31,7 +33,9 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import per_block, placed, release, stored, table, utf8, without
+from glasspane.sources.scratch import shared_dir
+
+from .common import per_block, placed, release, ship, stored, table, utf8, without
 
 WIDTH, CONTAINMENT = 5, 0.8
 #: Test items, and their characters, of a block, about: a sketched block takes 60 MB at most.
@@ -61,7 +65,7 @@ class WordHash:
         known = self.known
         if len(known) > self.most:
             known.clear()
-        for w in set(words) - known.keys():
+        for w in set(words).difference(known):
             known[w] = xxhash.xxh3_64_intdigest(w)
         return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
@@ -179,36 +183,62 @@ def item_blocks(items: DataFrame, size: int = ITEM_BLOCK) -> DataFrame:
     return out
 
 
-_LOADED: OrderedDict[tuple[str, float], list[Index]] = OrderedDict()
+def sketched(path: str, containment: float) -> list[Index]:
+    """The items of a stored block, sketched, a part of at most ITEM_CHARS characters (or one item) each."""
+    store, where = fs.FileSystem.from_uri(path)
+    parts, chars = [[]], 0
+    with store.open_input_file(where) as data:
+        for batch in pq.ParquetFile(data).iter_batches(2_000):
+            for item in zip(*(batch[c].to_pylist() for c in ("item_id", "words", "width")), strict=True):
+                if parts[-1] and chars + len(item[1]) > ITEM_CHARS:
+                    parts.append([])
+                    chars = 0
+                parts[-1].append(item)
+                chars += len(item[1])
+    return [Index(p, containment) for p in parts if p]
+
+
+def stored_sketches(blocks: DataFrame, containment: float) -> list[str]:
+    """A file of sketches for each file of item_blocks(), made by a task each; their names."""
+    spark, folder = blocks.sparkSession, blocks._glasspane_folder
+    ship(spark)
+    store, root = fs.FileSystem.from_uri(folder)
+    names = sorted(x.base_name for x in store.get_file_info(fs.FileSelector(root)) if x.base_name.endswith(".parquet"))
+    where = shared_dir(spark)
+    there, path = fs.FileSystem.from_uri(where)
+    there.create_dir(path, recursive=True)
+
+    def make(name: str) -> None:
+        out, own = fs.FileSystem.from_uri(where)
+        data = pickle.dumps(sketched(f"{folder}/{name}", containment), protocol=5)
+        with out.open_output_stream(f"{own}/{name}.sketches") as file:  # the same bytes if a task runs again
+            file.write(data)
+
+    if names:
+        spark.sparkContext.parallelize(names, len(names)).foreach(make)
+    return [f"{where}/{name}.sketches" for name in names]
 
 
-def loaded(path: str, containment: float) -> list[Index]:
-    """The sketches of a stored block, a part of at most ITEM_CHARS characters (or one item) each;
-    the last few blocks are kept by the worker."""
-    if (path, containment) not in _LOADED:
+_LOADED: OrderedDict[str, list[Index]] = OrderedDict()
+
+
+def loaded(path: str) -> list[Index]:
+    """A file of sketches; the last few are kept by the worker."""
+    if path not in _LOADED:
         while len(_LOADED) >= KEPT_BLOCKS:
             _LOADED.popitem(last=False)
         store, where = fs.FileSystem.from_uri(path)
-        parts, chars = [[]], 0
         with store.open_input_file(where) as data:
-            for batch in pq.ParquetFile(data).iter_batches(2_000):
-                for item in zip(*(batch[c].to_pylist() for c in ("item_id", "words", "width")), strict=True):
-                    if parts[-1] and chars + len(item[1]) > ITEM_CHARS:
-                        parts.append([])
-                        chars = 0
-                    parts[-1].append(item)
-                    chars += len(item[1])
-        _LOADED[path, containment] = [Index(p, containment) for p in parts if p]
-    _LOADED.move_to_end((path, containment))
-    return _LOADED[path, containment]
+            _LOADED[path] = pickle.loads(data.read())
+    _LOADED.move_to_end(path)
+    return _LOADED[path]
 
 
 def _search(docs: DataFrame, own: Column, kind: str, items: DataFrame, containment: float, block: int) -> DataFrame:
     """own (of SQL type kind) of the document rows, and what matches() returns."""
     blocks = item_blocks(items, block)
-    folder = blocks._glasspane_folder
-    store, root = fs.FileSystem.from_uri(folder)
-    paths = sorted(f"{folder}/{x.base_name}" for x in store.get_file_info(fs.FileSelector(root)) if x.base_name.endswith(".parquet"))
+    paths = stored_sketches(blocks, containment)
+    release(blocks)
     columns = ("own", "item_id", "shared", "item_shingles", "containment")
 
     def make():
@@ -219,7 +249,7 @@ def _search(docs: DataFrame, own: Column, kind: str, items: DataFrame, containme
             bounds = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
             hashes = hasher([w for t in texts for w in t])
             out = []
-            for index in (index for path in paths for index in loaded(path, containment)):
+            for index in (index for path in paths for index in loaded(path)):
                 for width in index.tables:
                     held: dict[int, set] = {}
                     for d, i in index.candidates(hashes, bounds, width):

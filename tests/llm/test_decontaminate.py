@@ -1,5 +1,9 @@
+import pickle
 import random
 import re
+import time
+
+import pytest
 
 from glasspane.llm import decontaminate as d
 
@@ -63,15 +67,28 @@ def test_blocks_are_bounded_and_loaded_in_turn(spark, monkeypatch):
     blocks = d.item_blocks(frames(spark, docs, items)[1], 4)
     files = [r.f for r in blocks.selectExpr("_metadata.file_path f").distinct().collect()]
     assert len(files) == 3 and blocks.count() == len(items)
-    for f in files:
-        assert sum(len(i.items) for i in d.loaded(f, 0.8)) == 4
+    sketches = d.stored_sketches(blocks, 0.8)
+    with monkeypatch.context() as no:  # sketched once, by the task that stored it
+        no.setattr(d.Index, "__init__", lambda *a: pytest.fail("a worker sketches items"))
+        for f in sketches:
+            assert sum(len(i.items) for i in d.loaded(f)) == 4
     assert len(d._LOADED) == d.KEPT_BLOCKS
     monkeypatch.setattr(d, "ITEM_CHARS", 100)
-    d._LOADED.clear()
-    parts = [i for f in files for i in d.loaded(f, 0.8)]
+    parts = [i for f in files for i in d.sketched(f, 0.8)]
     assert len(parts) > 3 and all(len(i.items) == 1 or sum(len(x[1]) for x in i.items) <= 100 for i in parts)
 
 
+def test_ten_thousand_items_are_sketched_in_seconds():
+    r = random.Random(2)
+    vocabulary = [f"w{i}" for i in range(30_000)]
+    items = [(i, " ".join(r.choice(vocabulary) for _ in range(60)), 5) for i in range(10_000)]
+    began = time.process_time()
+    index = d.Index(items, 0.8)
+    took = time.process_time() - began
+    again = pickle.loads(pickle.dumps(index))
+    assert took < 8 and again.items == items and (again.need == index.need).all()
+
+
 def test_sketch_sizes(spark):
     """k of a partition, and how many of its hashes a document at 80 % has at least."""
     texts = [" ".join(words(n + 4)) for n in (1, 4, 5, 9, 10, 31, 32, 63, 100)]
