@@ -146,10 +146,10 @@ def _with_weights(rows: DataFrame, weights: DataFrame, size: int) -> DataFrame:
     return rows.join(F.broadcast(weights) if size <= BROADCAST_TOKENS else weights, "token", "left")
 
 
-def url_scores(pages: DataFrame, seeds: tuple[str, ...] = SEEDS, training: Column | None = None) -> DataFrame:
-    """Distinct host and path with score, the log odds of being blocked by all words but the
-    seeds, and marked, whether the host holds a seed word. training: hosts (a condition on host)
-    that are learned from, by default all."""
+def url_scores(pages: DataFrame, seeds: tuple[str, ...] = SEEDS, training: Column | None = None, seed_features: bool = True) -> DataFrame:
+    """Distinct host and path with score, the log odds of being blocked, and marked, whether the host
+    holds a seed word and so is learned as blocked. training: hosts (a condition on host) that are
+    learned from, by default all. seed_features: whether seed words count in the score too."""
     host, path = host_and_path()
     pairs = stored(pages.select(host.alias("host"), path.alias("path")).groupBy("host", "path").agg(F.count("*").alias("n")))
     hosts = stored(pairs.groupBy("host").agg(F.sum("n").alias("n")))
@@ -157,7 +157,8 @@ def url_scores(pages: DataFrame, seeds: tuple[str, ...] = SEEDS, training: Colum
     vocabulary = stored(word_counts(pages))
     split = segmented(parts.select("part").distinct(), vocabulary)
     words = stored(parts.join(split, "part").select("host", F.explode("words").alias("word")))
-    seen = words.groupBy("host").agg(F.max(F.col("word").isin(*seeds)).alias("bad"), F.collect_list(F.when(~F.col("word").isin(*seeds), F.concat(F.lit("h:"), "word"))).alias("tokens"))
+    counted = F.lit(True) if seed_features else ~F.col("word").isin(*seeds)
+    seen = words.groupBy("host").agg(F.max(F.col("word").isin(*seeds)).alias("bad"), F.collect_list(F.when(counted, F.concat(F.lit("h:"), "word"))).alias("tokens"))
     marked = stored(hosts.join(seen, "host", "left").select("host", "n", F.coalesce("bad", F.lit(False)).alias("bad"), F.coalesce("tokens", F.array().cast("array<string>")).alias("tokens"), (F.lit(True) if training is None else training).alias("learned")))
 
     known = marked.where("learned")
@@ -185,7 +186,7 @@ def judged(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, seeds:
     host, path = host_and_path()
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), host.alias("host"), path.alias("path")).join(scored, ["host", "path"])
     rule, verdict = ruled(F.col("host"), F.col("path"), rules)
-    own = F.when(F.col("marked") | (F.col("score") > 0), "block").otherwise("allow")
+    own = F.when(F.col("score") > 0, "block").otherwise("allow")
     return rows.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, own).alias("verdict"), "score")
 
 

@@ -85,7 +85,19 @@ def test_verdicts(spark):
     got = {r.page_id: r for r in urls.judged(spark.createDataFrame(training_pages(), SCHEMA)).collect()}
     assert all((got[i].verdict == "block") == (i % 4 == 0) for i in range(400))
     assert got[400].score > got[401].score and got[402].verdict == "block"
-    assert got[0].score > 0 and got[1].score < 0  # without the seed words
+    assert got[0].score > 0 and got[1].score < 0
+    plain = {(r.host, r.path): r.score for r in urls.url_scores(spark.createDataFrame(training_pages(), SCHEMA), seed_features=False).collect()}
+    assert plain[got[0].host, got[0].path] > 0 > plain[got[1].host, got[1].path]  # without the seed words
+
+
+def test_the_classifier_decides_not_the_list(spark):
+    """A seed word in one host among many of the same words and paths that have none: it is allowed."""
+    rows = [(i, f"http://gardenworld{'www'[: i % 3]}.net/story/page", "garden world casino", "h", 1) for i in range(300)]
+    rows += [(300, "http://gardenworldcasino.net/story/page", "x", "h", 1)]
+    rows += [(i, f"http://gardenworld.net/casino{i}", "x", "h", 1) for i in range(301, 310)]
+    found = {r.page_id: r for r in urls.judged(spark.createDataFrame(rows, SCHEMA)).collect()}
+    marked = {(r.host, r.path): r.marked for r in urls.url_scores(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert marked[found[300].host, found[300].path] and (found[300].verdict == "block") == (found[300].score > 0)
 
 
 def test_held_out_hosts_without_their_seed_words(spark):
@@ -100,7 +112,7 @@ def test_held_out_hosts_without_their_seed_words(spark):
         pages.append((i, f"http://{name}{'www'[: i % 3]}.net/{r.choice(['offer', 'bonus']) if i % 4 == 0 else r.choice(['story', 'page'])}/{i}", " ".join([*good, *bad, "pills casino bets world news lovers"]), "h", 1))
     frame = spark.createDataFrame(pages, SCHEMA)
     out = F.crc32(F.col("host").cast("binary")) % 3 == 0
-    found = urls.url_scores(frame, training=~out).where(out).collect()
+    found = urls.url_scores(frame, training=~out, seed_features=False).where(out).collect()
     assert len({r.host for r in found}) > 5 and {r.marked for r in found} == {True, False}
     assert sum((r.score > 0) == r.marked for r in found) >= 0.98 * len(found)
 
@@ -127,7 +139,7 @@ def brute_verdicts(rows, seeds=urls.SEEDS):
     features, marked = {}, {}
     for i, (h, p) in places.items():
         marked[i] = any(w in seeds for w in words[h])
-        features[i] = ["h:" + w for w in words[h] if w not in seeds] + of_path(p)
+        features[i] = ["h:" + w for w in words[h]] + of_path(p)
     table = {}
     for i, tokens in features.items():
         for t in tokens:
@@ -146,10 +158,11 @@ def test_scores_and_verdicts_equal_brute_force(spark, sf):
     want = brute_verdicts(rows)
     got = {r.page_id: r for r in urls.judged(pages).collect()}
     assert got.keys() == want.keys()
-    for i, (score, bad) in want.items():
+    assert sum((score > 0) == bad for score, bad in want.values()) >= 0.98 * len(want)
+    for i, (score, _) in want.items():
         assert abs(got[i].score - score) < 1e-6
         says = brute_rule(got[i].host, got[i].path)[1]
-        assert got[i].verdict == (says or ("block" if bad or score > 0 else "allow"))
+        assert got[i].verdict == (says or ("block" if score > 0 else "allow"))
 
 
 def test_markup():
