@@ -47,6 +47,8 @@ UNIT_ROWS, HELD, BIN_BYTES, BIN_WINDOWS = 8192, 600_000, 1 << 24, 500_000
 #: Words longer than this are digested one by one: the rolling digest is weak for long periodic ones.
 LONG_WORD, HASH_BYTES = 256, 1 << 18
 LAST_ID = 2**63 - 1
+#: Bytes of text that a task works on at a time.
+RUN_BYTES = 1_000_000
 
 _U = np.uint64
 _BASE, _STEP = 0xD1342543DE82EF95, _U(0x9FB21C651E98DF25)
@@ -133,7 +135,7 @@ def _cells(words: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, list[bytes], pa.RecordBatch]]:
     """unit, ids and texts of blocks that lie in one unit, and the block."""
-    for block in blocks(batches, "text"):
+    for block in blocks(batches, "text", max_bytes=RUN_BYTES):
         unit = block.column("unit").to_numpy()
         ids, texts = block.column("id").to_numpy(), block.column("text").to_pylist()
         cuts = [0, *(np.flatnonzero(np.diff(unit)) + 1).tolist(), len(unit)]
@@ -254,8 +256,8 @@ def _suffixes(bins: int, counted: np.ndarray, several: Callable) -> Callable:
             group = mixed(digest)
             for i, cell in reversed(list(enumerate(_cells(words, at)))):
                 group = np.where(counted[i][cell] <= ROOM, mixed(((i << CELL_BITS) + cell).astype(_U) + _U(1)), group)
-            labels = (words >> _U(48)).astype(np.uint16)
-            return digest, ids[owner], (group % _U(bins)).astype(np.int64), labels[at[:, None] + np.arange(WINDOW)]
+            labels = np.lib.stride_tricks.sliding_window_view((words >> _U(48)).astype(np.uint16), WINDOW) if len(at) else np.zeros((0, WINDOW), np.uint16)
+            return digest, ids[owner], (group % _U(bins)).astype(np.int64), labels[at]
 
         def passed_on(unit, held):
             digest, ids, to, labels = (np.concatenate(x) for x in zip(*held, strict=True))
@@ -266,8 +268,9 @@ def _suffixes(bins: int, counted: np.ndarray, several: Callable) -> Callable:
             if not len(starts):
                 return
             first = order[starts]
-            rows = _by_bin(to[first], digest[starts], np.minimum.reduceat(ids, starts), np.maximum.reduceat(ids, starts), labels[first])
-            yield _batch(_SUFFIXES, [(b, unit, d.tobytes(), packed(low), packed(high - low), w.tobytes()) for b, (d, low, high, w) in rows])
+            low, high, digest = np.minimum.reduceat(ids, starts), np.maximum.reduceat(ids, starts), digest[starts]
+            rows = [(b, unit, digest[i].tobytes(), packed(low[i]), packed(high[i] - low[i]), labels[first[i]].tobytes()) for b, (i,) in _by_bin(to[first], np.arange(len(first)))]
+            yield _batch(_SUFFIXES, rows)
 
         yield from _per_unit(batches, part, passed_on)
 
