@@ -10,8 +10,11 @@ validates it. What is found for the first four kinds equals the leftmost non-ove
     card   [0-9]([ -]?[0-9])+, 13 to 19 digits that pass Luhn
     phone  \\+[0-9][ ().0-9-]+[0-9], 9 to 15 digits
 
-without those that fail their check. "account" adds values after a cue (a secret with a digit in
-it, or a valid IBAN) and user:password in a web address. Offsets are code points, end exclusive.
+without those that fail their check. "account" adds values after a cue and user:password in a web
+address, up to the last "@" of its authority. A cue counts in any case, in a compound (secret_key,
+authToken) and with a word like "number" after it; its value runs to a blank, a quote or the end of the line, less
+closing marks, and must have 8 characters, with a digit or of three kinds, or be a valid IBAN.
+Offsets are code points, end exclusive.
 Null text is empty and has no spans. Time is linear in the text.
 """
 
@@ -35,25 +38,28 @@ SCHEMES = ("http://", "https://", "ftp://")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-VALUE = re.compile(r"[\"']?[ \t]*[:=][ \t]*[\"']?([A-Za-z0-9+/_-]{8,})")
-IBAN = re.compile(r"[ \t]*(?:[:=][ \t]*)?([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{1,4}){3,8})(?![A-Za-z0-9])")
-LOGIN = re.compile(r"[A-Za-z0-9._%+-]+:[^\s/@:]+(?=@)")
+ASSIGNED = re.compile(r"(?:[_-][A-Za-z0-9_-]*)?(?:[ \t]+(?:number|num|no|nr|id|key|code|value|phrase)\b\.?)?[\"']?[ \t]*(?:=>|:=|[:=])[ \t]*([\"']?)", re.I)
+VALUES = {q: re.compile(p) for q, p in (("", r"[^\s\"'<>]+"), ("'", r"[^\s']+"), ('"', r'[^\s"]+'))}
+CLOSING, LEAST_VALUE = ".,;:!?)]}>\"'", 8
+EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+IBAN = re.compile(r"[ \t]*(?:(?:number|no|nr)\b\.?[ \t]*)?(?:[:=][ \t]*)?([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{1,4}){3,8})(?![A-Za-z0-9])", re.I)
+LOGIN = re.compile(r"[^\s/?#:@]+:[^\s/?#]+(?=@)")
+_ASCII_LOWER = {c: c + 32 for c in range(65, 91)}
 
 Span = tuple[str, int, int]
 
 
 def automaton() -> ahocorasick.Automaton:
+    """Of anchors in lower case."""
     found = ahocorasick.Automaton()
     for c in "0123456789":
         found.add_word(c, ("digit", 1))
     found.add_word("@", ("at", 1))
     found.add_word("+", ("plus", 1))
     for s in SCHEMES:
-        for form in {s, s.upper(), s.capitalize()}:
-            found.add_word(form, ("scheme", len(s)))
+        found.add_word(s, ("scheme", len(s)))
     for cue in CUES:
-        for form in {cue, cue.upper(), cue.capitalize()}:
-            found.add_word(form, ("iban" if cue == "iban" else "cue", len(cue)))
+        found.add_word(cue, ("iban" if cue == "iban" else "cue", len(cue)))
     found.make_automaton()
     return found
 
@@ -138,17 +144,29 @@ def _iban(text: str, at: int) -> tuple[int, int] | None:
     return (m.start(1), m.start(1) + len(value)) if value else None
 
 
+def _value(text: str, at: int) -> tuple[int, int] | None:
+    """The value that is assigned after a cue, if it looks like a secret or a number."""
+    if not (m := ASSIGNED.match(text, at)) or not (v := VALUES[m[1]].match(text, m.end())):
+        return None
+    value = v[0].rstrip(CLOSING)
+    kinds = (any(c.isdigit() for c in value), any(c.islower() for c in value), any(c.isupper() for c in value), any(not c.isalnum() for c in value))
+    if len(value) < LEAST_VALUE or "://" in value or not (kinds[0] or sum(kinds) >= 3) or EMAIL.fullmatch(value):
+        return None
+    return v.start(), v.start() + len(value)
+
+
 def _accounts(text: str, cues: list[tuple[str, int, int]]) -> list[Span]:
     found, free = [], 0
     for kind, start, end in cues:
-        if end < free or (kind != "scheme" and start and text[start - 1].isalnum()):
+        inside = start and text[start - 1].isalnum() and not (text[start].isupper() and text[start - 1].islower())
+        if end < free or (kind != "scheme" and inside):
             continue
         if kind == "scheme":
             span = (m.start(), m.end()) if (m := LOGIN.match(text, end)) else None
         elif kind == "iban":
             span = _iban(text, end)
         else:
-            span = m.span(1) if (m := VALUE.match(text, end)) and any(c in "0123456789" for c in m[1]) else None
+            span = _value(text, end)
         if span and span[0] >= free:
             found.append(("account", *span))
             free = span[1]
@@ -161,7 +179,10 @@ def find(text: str, machine: ahocorasick.Automaton) -> list[Span]:
     ats: list[int] = []
     pluses: list[int] = []
     cues: list[tuple[str, int, int]] = []
-    for last, (what, n) in machine.iter(text):
+    lower = text.lower()
+    if len(lower) != len(text):  # a letter that is two in lower case
+        lower = text.translate(_ASCII_LOWER)
+    for last, (what, n) in machine.iter(lower):
         if what == "digit":
             digits.append(last)
         elif what == "at":

@@ -56,6 +56,24 @@ def test_accounts():
     assert one("see https://joe:s3cret@example.com/x") == [("account", 12, 22)] and one("https://example.com/a:b@c") == []
 
 
+SECRETS = [
+    ("password: {}", "Hunter2!secretXY99"), ('api_key = "{}"', "abc1$def123456789"), ("secret: {}.", "s3cr3t#pass.word"), ("token={}", "eyJhbGciOiJI1.eyJzdWIiOiIx.SflKxwRJ"),
+    ("Secret_Key={}", "9fk30dkfl2"), ("passWord={}", "kd93kdl2"), ("(PassWord: {})", "kd93kdl2"), ("account number: {},", "12345678901"), ("my IBAN is not here, iban {} it is", "de89370400440532013000"),
+    ("see http://{}@host.org/x", "u:p:w1"), ("see https://{}@host.org", "joe:a@b@c"), ("{{\"client_secret_id\": \"{}\"}}", "a1-b2,c3;d4"), ("authToken := '{}'", 'q"w1e2r3t4'), ("İ TOKEN={}", "abcd1234"), ("secret = {}", "Correct+Horse!s"),
+]
+
+
+def test_secrets_are_found_whole_and_redacted():
+    for form, value in SECRETS:
+        text = form.format(value)
+        found = [text[a:b] for k, a, b in pii.find(text, pii.automaton()) if k == "account"]
+        assert found == [value], (text, found)
+        left = pii.redact(text, pii.find(text, pii.automaton()))
+        assert "<ACCOUNT>" in left and ("@" in text or left == form.format("<ACCOUNT>")) and not any(value[i : i + 4] in left for i in range(len(value) - 3)), left
+    for text in ("secret: nothing-to-see", "token: https://a.b/c12345678", "account: joe99@example.com", "the secretarial=12345678", "passport control 12345678", "password:", "token = <ACCOUNT>", "iban is de00123"):
+        assert not [s for s in pii.find(text, pii.automaton()) if s[0] == "account"], text
+
+
 def test_accounts_of_any_length_and_in_linear_time():
     import time
 
@@ -65,7 +83,7 @@ def test_accounts_of_any_length_and_in_linear_time():
     assert one(f"token{gap}={gap}abcd1234") == [("account", 10_006, 10_014)] and one(f"iban{gap}DE89370400440532013000") == [("account", 5004, 5026)]
     assert one("http://joe:" + "x" * 9000 + "@a.b") == [("account", 7, 9011)]
     began = time.perf_counter()
-    for part in ("http://a:b", "token = ", "token" + " " * 50, "iban ", "iban DE89 ", "http://" + "a" * 50, "secret=1 "):
+    for part in ("http://a:b", "token = ", "token" + " " * 50, "iban ", "iban DE89 ", "http://" + "a" * 50, "secret=1 ", "http://a:b@", "http:a:@", "secret-", "token number "):
         one(part * (1_000_000 // len(part)))
     assert time.perf_counter() - began < 60
 
