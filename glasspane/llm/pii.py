@@ -38,7 +38,8 @@ SCHEMES = ("http://", "https://", "ftp://")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-ASSIGNED = re.compile(r"(?:[_-][A-Za-z0-9_-]*)?(?:[ \t]+(?:number|num|no|nr|id|key|code|value|phrase)\b\.?)?[\"']?[ \t]*(?:=>|:=|[:=])[ \t]*([\"']?)", re.I)
+NAME, WEB = re.compile(r"[_-][A-Za-z0-9_-]*"), re.compile(r"[A-Za-z][A-Za-z0-9+.-]{0,20}://")
+ASSIGNED = re.compile(r"(?:[ \t]+(?:number|num|no|nr|id|key|code|value|phrase)\b\.?)?[\"']?[ \t]*(?:=>|:=|[:=])[ \t]*([\"']?)", re.I)
 VALUES = {q: re.compile(p) for q, p in (("", r"[^\s\"'<>]+"), ("'", r"[^\s']+"), ('"', r'[^\s"]+'))}
 CLOSING, LEAST_VALUE = ".,;:!?)]}>\"'", 8
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -144,29 +145,38 @@ def _iban(text: str, at: int) -> tuple[int, int] | None:
     return (m.start(1), m.start(1) + len(value)) if value else None
 
 
-def _value(text: str, at: int) -> tuple[int, int] | None:
-    """The value that is assigned after a cue, if it looks like a secret or a number."""
-    if not (m := ASSIGNED.match(text, at)) or not (v := VALUES[m[1]].match(text, m.end())):
+def _value(text: str, at: int) -> tuple[int, int, bool] | None:
+    """What is assigned after a name that ends at at, and whether it looks like a secret or a number."""
+    if not (m := ASSIGNED.match(text, at)) or WEB.match(text, m.end()) or not (v := VALUES[m[1]].match(text, m.end())):
         return None
     value = v[0].rstrip(CLOSING)
     kinds = (any(c.isdigit() for c in value), any(c.islower() for c in value), any(c.isupper() for c in value), any(not c.isalnum() for c in value))
-    if len(value) < LEAST_VALUE or "://" in value or not (kinds[0] or sum(kinds) >= 3) or EMAIL.fullmatch(value):
-        return None
-    return v.start(), v.start() + len(value)
+    return v.start(), v.start() + len(value), len(value) >= LEAST_VALUE and (kinds[0] or sum(kinds) >= 3) and not EMAIL.fullmatch(value)
 
 
 def _accounts(text: str, cues: list[tuple[str, int, int]]) -> list[Span]:
     found, free = [], 0
+    name, tried, dull = 0, -1, 0  # ends of the last compound, of the last name tried, and of values that aren't secrets
     for kind, start, end in cues:
         inside = start and text[start - 1].isalnum() and not (text[start].isupper() and text[start - 1].islower())
         if end < free or (kind != "scheme" and inside):
             continue
+        span = None
         if kind == "scheme":
             span = (m.start(), m.end()) if (m := LOGIN.match(text, end)) else None
         elif kind == "iban":
             span = _iban(text, end)
         else:
-            span = _value(text, end)
+            if text[end : end + 1] in ("_", "-"):
+                name = max(name, NAME.match(text, end).end()) if end >= name else name
+                end = name
+            # names of one compound end alike, and no end of a dull value is a secret
+            if end != tried and end >= dull:
+                tried = end
+                if value := _value(text, end):
+                    span = value[:2] if value[2] else None
+                    if not value[2] and text[value[1] : value[1] + 1] not in ("'", '"', "<", ">"):
+                        dull = max(dull, value[1])
         if span and span[0] >= free:
             found.append(("account", *span))
             free = span[1]

@@ -59,7 +59,7 @@ def test_accounts():
 SECRETS = [
     ("password: {}", "Hunter2!secretXY99"), ('api_key = "{}"', "abc1$def123456789"), ("secret: {}.", "s3cr3t#pass.word"), ("token={}", "eyJhbGciOiJI1.eyJzdWIiOiIx.SflKxwRJ"),
     ("Secret_Key={}", "9fk30dkfl2"), ("passWord={}", "kd93kdl2"), ("(PassWord: {})", "kd93kdl2"), ("account number: {},", "12345678901"), ("my IBAN is not here, iban {} it is", "de89370400440532013000"),
-    ("see http://{}@host.org/x", "u:p:w1"), ("see https://{}@host.org", "joe:a@b@c"), ("{{\"client_secret_id\": \"{}\"}}", "a1-b2,c3;d4"), ("authToken := '{}'", 'q"w1e2r3t4'), ("İ TOKEN={}", "abcd1234"), ("secret = {}", "Correct+Horse!s"),
+    ("see http://{}@host.org/x", "u:p:w1"), ("see https://{}@host.org", "joe:a@b@c"), ("{{\"client_secret_id\": \"{}\"}}", "a1-b2,c3;d4"), ("authToken := '{}'", 'q"w1e2r3t4'), ("İ TOKEN={}", "abcd1234"), ("secret = {}", "Correct+Horse!s"), ('password=token="{}"', "abcd1234"),
 ]
 
 
@@ -83,7 +83,7 @@ def test_accounts_of_any_length_and_in_linear_time():
     assert one(f"token{gap}={gap}abcd1234") == [("account", 10_006, 10_014)] and one(f"iban{gap}DE89370400440532013000") == [("account", 5004, 5026)]
     assert one("http://joe:" + "x" * 9000 + "@a.b") == [("account", 7, 9011)]
     began = time.perf_counter()
-    for part in ("http://a:b", "token = ", "token" + " " * 50, "iban ", "iban DE89 ", "http://" + "a" * 50, "secret=1 ", "http://a:b@", "http:a:@", "secret-", "token number "):
+    for part in ("http://a:b", "token = ", "token" + " " * 50, "iban ", "iban DE89 ", "http://" + "a" * 50, "secret=1 ", "http://a:b@", "http:a:@", "secret-", "token number ", "password=", "token=http://", "token=a@b.c"):
         one(part * (1_000_000 // len(part)))
     assert time.perf_counter() - began < 60
 
