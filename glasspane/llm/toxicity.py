@@ -26,7 +26,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import per_block, stored, table, utf8
+from .common import per_block, release, stored, table, utf8
 from .quality import labelled_sample, remainder
 
 #: Labelled rows that are learned from, at most, and the share that calibrates.
@@ -45,6 +45,7 @@ SECOND = ("you", "your", "yours", "yourself", "u", "ur", "du", "dich", "dir", "d
 UNMASK = bytes.maketrans(b"0134578@$!|", b"oieastbasil")
 SPACED = re.compile(r"(?<![a-z\x80-\xff])[a-z](?:[.\-*_ ][a-z]){3,}(?![a-z\x80-\xff])")
 WORD = re.compile(r"[^\W\d_]{3,}")
+BEYOND_ASCII = re.compile(r"[^\x00-\x7f]+")
 N_FEATURES = 14
 
 _joins = np.zeros(256, bool)
@@ -56,6 +57,15 @@ def _bytes_as_text(word: str) -> str:
     return word.encode().decode("latin-1")
 
 
+def lowered(raw: bytes) -> tuple[bytes, int]:
+    """A text with the letters of any script in lower case, and the bytes of capitals outside ASCII."""
+    if raw.isascii():
+        return raw.lower(), 0
+    text = raw.decode("utf-8", "replace")
+    others = "".join(BEYOND_ASCII.findall(text))
+    return text.lower().encode(), len("".join(filter(str.isupper, others)).encode())
+
+
 class Reader:
     """Features of texts, for one learned lexicon (word to weight)."""
 
@@ -82,7 +92,7 @@ class Reader:
         return out
 
     def features(self, raw: bytes) -> list[float]:
-        low = raw.lower()
+        low, more_capitals = lowered(raw)
         text = low.decode("latin-1")
         hits = self._hits(text)
         terms = [h for h in hits if h[2][2] or h[2][3]]
@@ -99,7 +109,7 @@ class Reader:
                 at += 1
             near += at < len(second) and second[at] <= h[1] + NEAR
         kinds = np.bincount(np.frombuffer(raw, np.uint8), minlength=256) if raw else np.zeros(256, np.int64)
-        capitals, small = int(kinds[65:91].sum()), int(kinds[97:123].sum()) + int(kinds[128:].sum())
+        capitals, small = int(kinds[65:91].sum()) + more_capitals, int(kinds[97:123].sum()) + int(kinds[128:].sum()) - more_capitals
         per_words = 100 / max(1, int(kinds[[32, 9, 10, 13]].sum()) + 1)
         size = max(1, len(raw))
         return [
@@ -148,11 +158,14 @@ def learned_lexicon(sample: DataFrame) -> dict[str, float]:
     texts = stored(per_block(sample, "text", make, "copy bigint, label int, words array<string>").dropDuplicates(["copy", "label"]))
     n = {r.label: r["count"] for r in texts.groupBy("label").count().collect()}
     if len(n) < 2:
+        release(texts)
         return {}
     counts = texts.select("label", F.explode("words").alias("word")).groupBy("word").agg(F.sum("label").alias("toxic"), F.sum(1 - F.col("label")).alias("clean"))
     ratio = (F.col("toxic") + 0.5) / (n[1] + 1) / ((F.col("clean") + 0.5) / (n[0] + 1))
     chosen = counts.where((F.col("toxic") >= max(3, SUPPORT * n[1])) & (ratio >= RATIO)).orderBy(F.desc("toxic"), "word").limit(LEARNED)
-    return {r.word: float(np.log(r.ratio)) for r in chosen.select("word", ratio.alias("ratio")).collect()}
+    found = {r.word: float(np.log(r.ratio)) for r in chosen.select("word", ratio.alias("ratio")).collect()}
+    release(texts)
+    return found
 
 
 class Model:
@@ -175,15 +188,19 @@ def fit(docs: DataFrame, labels: DataFrame, training: Column, label: str = "toxi
     """Lexicon, trees and calibration from at most `most` training rows."""
     sample = stored(labelled_sample(docs, labels, label, training, most))
     learned = learned_lexicon(sample)
-    rows = stored(features(sample, learned, "label int").select("doc_id", "label", vector_to_array("features").alias("dense"))).withColumn("features", array_to_vector("dense"))
+    kept = stored(features(sample, learned, "label int").select("doc_id", "label", vector_to_array("features").alias("dense")))
+    release(sample)
+    rows = kept.withColumn("features", array_to_vector("dense"))
     n = rows.agg(F.count("*").alias("n"), F.coalesce(F.avg("label"), F.lit(0.0)).alias("mean"), F.countDistinct("label").alias("kinds")).first()
     if n.kinds < 2:
+        release(kept)
         return Model(learned, None, None, n.mean)
     holds_back = F.pmod(F.xxhash64("doc_id", F.lit("calibration")), F.lit(1000)) < int(1000 * CALIBRATION)
     target = F.col("label").cast("double").alias("target")
     trees = GBTClassifier(featuresCol="features", labelCol="target", maxIter=20, maxDepth=3, stepSize=0.3, subsamplingRate=1.0, seed=7).fit(rows.where(~holds_back).select("features", target).coalesce(4))
     ranked = trees.transform(rows.where(holds_back).select("features", target)).select(vector_to_array("probability")[1].alias("p"), "target")
     isotonic = IsotonicRegression(featuresCol="p", labelCol="target", predictionCol="calibrated").fit(ranked) if not ranked.isEmpty() else None
+    release(kept)
     return Model(learned, trees, isotonic, n.mean)
 
 

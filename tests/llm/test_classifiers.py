@@ -110,7 +110,7 @@ def test_equal_texts_score_alike_wherever_they_stand():
 
 def plain_features(text, learned):
     """The toxicity features with regular expressions over bytes as characters."""
-    low = text.lower().decode("latin-1")
+    low = text.decode("utf-8", "replace").lower().encode().decode("latin-1")
     form = lambda w: w.encode().decode("latin-1")
     edge = r"0-9a-z\x80-\xff"
     find = lambda w, t: [m.start() for m in re.finditer(rf"(?<![{edge}]){re.escape(form(w))}(?![{edge}])", t)]
@@ -123,7 +123,8 @@ def plain_features(text, learned):
     spaced = sum(bool(hits(re.sub(r"[.\-*_ ]", "", m[0]))) for m in re.finditer(r"(?<![a-z\x80-\xff])[a-z](?:[.\-*_ ][a-z]){3,}(?![a-z\x80-\xff])", low))
     near = sum(any(at - 40 <= s <= at + len(form(w)) + 40 for s in second) for at, w in terms)
     per = 100 / (1 + sum(b in b" \t\n\r" for b in text))
-    upper, lower = sum(65 <= b < 91 for b in text), sum(97 <= b < 123 or b > 127 for b in text)
+    other = sum(len(c.encode()) for c in text.decode("utf-8", "replace") if c > "\x7f" and c.isupper())
+    upper, lower = sum(65 <= b < 91 for b in text) + other, sum(97 <= b < 123 or b > 127 for b in text) - other
     share = lambda marks: 100 * sum(b in marks for b in text) / max(1, len(text))
     seed, own = [w for _, w in terms if w in toxicity.SEEDS], [w for _, w in terms if learned.get(w, 0) > 0]
     peak = max([sum(at <= b < at + 200 for b, _ in terms) for at, _ in terms], default=0)
@@ -199,3 +200,14 @@ def test_toxicity_features():
     assert plain[0] > 0 and plain[5] == 0 and direct[5] == 25.0
     assert abs(read("un réêou ici".encode())[2] - 200 / 3) < 1e-9 and read(b"idiotic")[0] == 0 and read(b"")[0] == 0
     assert read(b"what an 1d10t")[11] > 0 and read(b"an i.d.i.o.t here")[12] > 0
+
+
+def test_capitals_of_any_script_count_and_hide_no_term():
+    from glasspane.llm.toxicity import Reader, lowered
+
+    reader = Reader({"écœurant": 2.0, "großmaul": 1.0})
+    small, large = ("voilà, c'est {} pour toi!".format(w).encode() for w in ("écœurant", "ÉCŒURANT"))
+    a, b = reader.features(small), reader.features(large)
+    assert a[2] > 0 and a[:8] == b[:8] and a[8] == 0 < b[8]
+    assert lowered("ÀÉ x ß Ж".encode()) == ("àé x ß ж".encode(), 6) and lowered(b"AbC") == (b"abc", 0)
+    assert lowered(b"\xff A")[1] == 0 and reader.features(b"") == Reader({}).features(b"")
