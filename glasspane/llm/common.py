@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import shutil
-import tempfile
 from collections.abc import Callable, Iterable, Iterator
-from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -17,20 +14,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glasspane.sources.scratch import shared_dir
+from glasspane.sources.workers import ship
 
 #: Rows and characters that one task holds in Python at a time.
 BLOCK_ROWS, BLOCK_CHARS = 2_000, 2_000_000
 
 
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once a Spark context, so that their Python workers
-    find it wherever they start. Where it was itself sent as an archive there is nothing to do."""
-    context, package = spark.sparkContext, Path(__file__).resolve().parents[1]
-    if package.is_dir() and not getattr(context, "_glasspane_shipped", False):
-        context.addPyFile(shutil.make_archive(f"{tempfile.mkdtemp(prefix='glasspane-')}/{package.name}", "zip", package.parent, package.name))
-        context._glasspane_shipped = True
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -63,18 +52,19 @@ def placed(docs: DataFrame) -> DataFrame:
 
 
 def without(rows: DataFrame, gone: DataFrame) -> DataFrame:
-    """placed() rows but those that gone (file, row) lists, in a narrow pass: the list is stored by
-    file, and a task looks up that of the file it reads. So texts are never shuffled, however long
-    the list is."""
+    """placed() rows but those that gone (file, row) lists, in a narrow pass: the list is stored in
+    order of files, some in a folder, and a task looks up that of the file it reads. So texts are never
+    shuffled, however long the list is, and there are as many folders however many files."""
     spark = rows.sparkSession
     ship(spark)
-    where = shared_dir(spark)
-    gone.select("file", "row").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "file").write.partitionBy("file").parquet(where)
+    where, folders = shared_dir(spark), 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    kept = gone.select("file", "row", F.expr(f"pmod(file, {folders})").cast("int").alias("folder"))
+    kept.repartition(folders, "folder").sortWithinPartitions("folder", "file", "row").write.partitionBy("folder").parquet(where)
 
     def listed(file: int) -> np.ndarray:
         store, root = fs.FileSystem.from_uri(where)
-        found = store.get_file_info(fs.FileSelector(f"{root}/file={file}", allow_not_found=True))
-        parts = [pq.read_table(store.open_input_file(x.path), columns=["row"])["row"].to_numpy() for x in found if x.base_name.endswith(".parquet")]
+        found = store.get_file_info(fs.FileSelector(f"{root}/folder={file % folders}", allow_not_found=True))
+        parts = [pq.read_table(x.path, filesystem=store, columns=["row"], filters=[("file", "==", file)], partitioning=None)["row"].to_numpy() for x in found if x.base_name.endswith(".parquet")]
         return np.concatenate(parts) if parts else np.zeros(0, np.int64)
 
     @F.pandas_udf("boolean")
@@ -84,7 +74,7 @@ def without(rows: DataFrame, gone: DataFrame) -> DataFrame:
             keep = np.ones(len(file), bool)
             for f in file.unique():
                 if f != now:
-                    now, gone = f, listed(f)
+                    now, gone = f, listed(int(f))
                 keep &= ~((file == f).to_numpy() & np.isin(row.to_numpy(), gone))
             yield pd.Series(keep)
 
