@@ -110,7 +110,7 @@ class Neighbours:
         for i in ids:
             seen[i] += 1
         used = np.flatnonzero(seen >= 2)
-        self.projection, self.vectors = np.zeros((TERMS, 0), np.float32), np.zeros((n, 0), np.float32)
+        self.projection, self.vectors = np.zeros((TERMS, 0)), np.zeros((n, 0))
         if not len(used):
             return
         rows = np.zeros((n, len(used)), np.float32)
@@ -124,9 +124,9 @@ class Neighbours:
         rows /= np.maximum(np.sqrt(np.einsum("ij,ij->i", rows, rows)), 1e-9)[:, None]
         lead = leading_directions(rows, RANK)
         # the length of the whole vector has no part in a cosine, so it needn't be known
-        self.projection = np.zeros((TERMS, lead.shape[1]), np.float32)
+        self.projection = np.zeros((TERMS, lead.shape[1]))
         self.projection[used] = idf[:, None] * lead
-        self.vectors = _unit(rows @ lead)
+        self.vectors = _unit((rows @ lead).astype(np.float64))
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
         out = np.full(len(texts), self.mean)
@@ -134,13 +134,14 @@ class Neighbours:
         if not self.vectors.size:
             return out
         k = min(NEIGHBOURS, n)
-        counts = np.zeros((BLOCK, TERMS), np.int64)  # always as large, so that equal texts have equal products
+        # doubles, always in as large a block: what a row's place does to its products is far below the digits that count
+        counts = np.zeros((BLOCK, TERMS), np.int64)
         for at in range(0, len(texts), BLOCK):
             part = texts[at : at + BLOCK]
             for i, t in enumerate(part):
                 counts[i] = term_counts(t)
             counts[len(part) :] = 0
-            near = np.rint(_unit(_shares(counts) @ self.projection) @ self.vectors.T * DIGITS).astype(np.int64)[: len(part)]
+            near = np.rint(_unit(_shares(counts).astype(np.float64) @ self.projection) @ self.vectors.T * DIGITS).astype(np.int64)[: len(part)]
             rank = near * n - np.arange(n)  # no two alike
             best = np.argpartition(-rank, k - 1, axis=1)[:, :k] if k < n else np.broadcast_to(np.arange(k), near.shape)
             weight = np.maximum(np.take_along_axis(near, best, 1) / DIGITS, 0) ** SHARPNESS
