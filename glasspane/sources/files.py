@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import fnmatch
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from typing import Any, BinaryIO
 
 from pyarrow import fs
@@ -24,7 +24,11 @@ def listed(uri: str, pattern: str) -> list[tuple[str, int]]:
     store, path = store_of(uri)
     own = store.get_file_info(path)
     found = [own] if own.is_file else store.get_file_info(fs.FileSelector(path, recursive=True))
-    return sorted((f.path, f.size) for f in found if f.is_file and fnmatch.fnmatch(f.base_name, pattern) and not f.base_name.startswith((".", "_")))
+    return sorted((f.path, f.size) for f in found if f.is_file and fits(f.base_name, pattern))
+
+
+def fits(name: str, pattern: str) -> bool:
+    return fnmatch.fnmatch(name, pattern) and not name.startswith((".", "_"))
 
 
 def opened(uri: str, path: str) -> BinaryIO:
@@ -34,9 +38,10 @@ def opened(uri: str, path: str) -> BinaryIO:
 
 @dataclass
 class Files(InputPartition):
-    """Paths of one task."""
+    """Paths of one task, and folders that it lists itself."""
 
     paths: list[str]
+    folders: list[str] = field(default_factory=list)
 
 
 @dataclass
@@ -47,20 +52,36 @@ class Written(WriterCommitMessage):
 
 
 class FileReader(DataSourceReader):
-    """Reads each file by itself, BATCH files a task; a subclass has rows_of."""
+    """Reads each file by itself; a subclass has rows_of.
+
+    The driver lists folders level by level only until there are WIDE of them at a level: those are listed by
+    the tasks, so that it never holds the names of a large tree. A task has BATCH files, or more where
+    there would be over MOST tasks.
+    """
 
-    PATTERN, BATCH = "*", 16
+    PATTERN, BATCH, WIDE, MOST = "*", 16, 64, 512
 
     def __init__(self, options: dict[str, str]) -> None:
         self.where, self.pattern = options["path"], options.get("pattern", self.PATTERN)
 
     def partitions(self) -> list[InputPartition]:
-        paths = [p for p, _ in listed(self.where, self.pattern)]
-        return [Files(paths[i : i + self.BATCH]) for i in range(0, len(paths), self.BATCH)]
+        store, path = store_of(self.where)
+        own = store.get_file_info(path)
+        paths, folders = ([path], []) if own.is_file and fits(own.base_name, self.pattern) else ([], [] if own.is_file else [path])
+        while folders and len(folders) < self.WIDE:
+            below = [f for folder in folders for f in store.get_file_info(fs.FileSelector(folder))]
+            paths += [f.path for f in below if f.is_file and fits(f.base_name, self.pattern)]
+            folders = [f.path for f in below if not f.is_file]
+        some = lambda names, least: [names[i : i + n] for n in [max(least, -(-len(names) // self.MOST))] for i in range(0, len(names), n)]
+        return [Files(p) for p in some(sorted(paths), self.BATCH)] + [Files([], f) for f in some(sorted(folders), 1)]
 
     def read(self, partition: Files) -> Iterator[tuple]:
+        store, _ = store_of(self.where)
+        for folder in partition.folders:
+            below = (f for f in store.get_file_info(fs.FileSelector(folder, recursive=True)) if f.is_file and fits(f.base_name, self.pattern))
+            yield from self.read(Files(sorted(f.path for f in below)))
         for path in partition.paths:
-            with opened(self.where, path) as source:
+            with store.open_input_file(path) as source:
                 yield from self.rows_of(path, source)
 
     def rows_of(self, path: str, source: BinaryIO) -> Iterator[tuple]:

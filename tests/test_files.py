@@ -60,6 +60,21 @@ def test_headers_of_a_folder_and_the_nearest_level(spark, tmp_path):
         assert found[name].mpp_x == pytest.approx(mpp * width / (width >> level), rel=1e-3)
 
 
+def test_large_folders_are_few_tasks_and_large_trees_are_listed_by_them(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(headers, "FOLDER_FILES", 5)
+    slides = spark.range(700).selectExpr("'s' || id AS id", "1000 width", "500 height", "CAST(0.5 AS DOUBLE) mpp", "1 levels")
+    headers.write_pyramids(slides, f"{tmp_path}/in")
+    assert len(list((tmp_path / "in").iterdir())) == 140
+    reader = headers.HeaderReader({"path": f"{tmp_path}/in"})
+    parts = reader.partitions()
+    assert not any(p.paths for p in parts) and sum(len(p.folders) for p in parts) == 140
+    assert len({r[0] for p in parts for r in reader.read(p)}) == 700
+    monkeypatch.setattr(headers.HeaderReader, "WIDE", 1000)
+    monkeypatch.setattr(headers.HeaderReader, "MOST", 7)
+    parts = reader.partitions()
+    assert [len(p.paths) for p in parts] == [100] * 7 and len({r[0] for p in parts for r in reader.read(p)}) == 700
+
+
 # tensor files
 
 
