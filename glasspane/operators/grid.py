@@ -48,48 +48,60 @@ def filled_mask(tiles: DataFrame, extent: int, stride: int) -> DataFrame:
     return covered_cells(tiles, extent, stride).distinct().withColumn("value", F.lit(255))
 
 
-def prefix_counts(cells: DataFrame, ends: DataFrame) -> DataFrame:
-    """slide_id, cls, cx, cy, n: the pixels of a class in all cells up to and with a cell, along both axes,
-    for every cell of the slide's bounding box (ends: lo_x, hi_x, lo_y, hi_y) in which the class occurs.
-
-    Two passes of running sums, along rows that have the class, then along columns.
-    """
-    line = cells.select("slide_id", "cls", "cy").distinct().join(ends, "slide_id")
-    dense = line.select("slide_id", "cls", "cy", F.explode(F.sequence("lo_x", "hi_x")).alias("cx"))
-    upto = lambda by, axis: W.partitionBy("slide_id", "cls", by).orderBy(axis).rowsBetween(W.unboundedPreceding, 0)
-    rows = dense.join(cells, ["slide_id", "cls", "cx", "cy"], "left").select("slide_id", "cls", "cx", "cy", F.sum(F.coalesce("n", F.lit(0))).over(upto("cy", "cx")).alias("n"))
-    column = cells.select("slide_id", "cls").distinct().join(ends, "slide_id")
-    places = column.select("slide_id", "cls", "lo_y", "hi_y", F.explode(F.sequence("lo_x", "hi_x")).alias("cx")).select("slide_id", "cls", "cx", F.explode(F.sequence("lo_y", "hi_y")).alias("cy"))
-    return places.join(rows, ["slide_id", "cls", "cx", "cy"], "left").select("slide_id", "cls", "cx", "cy", F.sum(F.coalesce("n", F.lit(0))).over(upto("cx", "cy")).alias("n"))
+def _strips(first: Column, size: Column, extent: int) -> Column:
+    """Array of (level, strip): the fewest strips, of 2^level lines from strip * 2^level on, that make up
+    size lines from the first; at most two of each level."""
+    found = []
+    for level in range(extent.bit_length()):
+        lo, hi = -F.shiftright(-first, level), F.shiftright(first + size, level)
+        odd = lo.bitwiseAND(F.lit(1))
+        found.append(F.when((odd == 1) & (lo < hi), F.struct(F.lit(level).alias("level"), lo.alias("strip"))))
+        found.append(F.when((hi.bitwiseAND(F.lit(1)) == 1) & (lo + odd < hi), F.struct(F.lit(level).alias("level"), (hi - 1).alias("strip"))))
+    return F.array_compact(F.array(*found))
 
 
-def overlap_fractions(tiles: DataFrame, mask: DataFrame, extent: int) -> DataFrame:
-    """slide_id, x, y and overlap, a map of class to its share of the tile's mask pixels.
+def overlap_maps(tiles: DataFrame, mask: DataFrame, extent: int) -> DataFrame:
+    """slide_id, x, y and overlap, a map of class to its share, of the tiles with a pixel, each once.
 
     mask: slide_id, mx, my, cls in tile coordinates. Pixels are counted once, in square cells whose side
-    is the greatest that divides every tile's place and size; what lies in a tile is then four sums of
-    all cells before its corners, however large it is and however many tiles lie over a pixel. Tiles without
-    a pixel have an empty map.
+    is the greatest that divides every tile's place and size. Lines of cells are added up in strips of 1, 2, 4, ...
+    lines, up to a tile's height; a tile is a few strips, and what lies in it of each is the difference of two
+    running sums along the strip. Only cells with a pixel and corners of tiles are rows: twice the cells and, for a class,
+    at most four of each level for a tile, however many tiles lie over a pixel.
     """
-    keyed = tiles.select("slide_id", "x", "y").distinct()
+    # sides of exploded tiles look small to the planner: what they are joined with is never a broadcast of them
     fits = (F.when(F.bool_and((F.col("x") % d == 0) & (F.col("y") % d == 0)), d) for d in range(1, extent + 1) if extent % d == 0)
-    grain = keyed.agg(F.greatest(F.lit(1), *fits).alias("grain"))
+    grain = tiles.agg(F.greatest(F.lit(1), *fits).alias("grain"))
     cell = lambda at: F.floor(F.col(at) / F.col("grain")).cast("int")
-    pixels = mask.join(keyed.select("slide_id").distinct(), "slide_id", "left_semi").crossJoin(grain)
+    pixels = mask.where("cls is not null").join(tiles.select("slide_id").distinct().hint("merge"), "slide_id", "left_semi").crossJoin(grain)
     cells = pixels.groupBy("slide_id", "cls", cell("mx").alias("cx"), cell("my").alias("cy")).agg(F.count("*").alias("n"))
-    ends = cells.groupBy("slide_id").agg(*(f("c" + a).alias(n + a) for a in "xy" for f, n in ((F.min, "lo_"), (F.max, "hi_"))))
-
-    # the last cells before a tile's left and upper side, and inside its right and lower side
-    before, last = (lambda at: cell(at) - 1), (lambda at: (F.floor((F.col(at) + extent) / F.col("grain")) - 1).cast("int"))
-    corner = lambda sign, cx, cy: F.struct(F.lit(sign).alias("sign"), cx.alias("cx"), cy.alias("cy"))
-    corners = F.array(corner(1, last("x"), last("y")), corner(-1, before("x"), last("y")), corner(-1, last("x"), before("y")), corner(1, before("x"), before("y")))
-    rows = keyed.crossJoin(grain).select("slide_id", "x", "y", F.explode(corners).alias("c")).select("slide_id", "x", "y", "c.*").join(ends, "slide_id").where("cx >= lo_x and cy >= lo_y")
-    rows = rows.select("slide_id", "x", "y", "sign", F.least("cx", "hi_x").alias("cx"), F.least("cy", "hi_y").alias("cy"))
-    counts = rows.join(prefix_counts(cells, ends), ["slide_id", "cx", "cy"]).groupBy("slide_id", "x", "y", "cls").agg(F.sum(F.col("sign") * F.col("n")).alias("n")).where("n > 0")
+    size = (F.lit(extent) / F.col("grain")).cast("int")
+    levels = F.explode(F.array(*(F.struct(F.lit(i).alias("level"), F.shiftright("cy", i).alias("strip")) for i in range(extent.bit_length()))))
+    lines = cells.crossJoin(grain).select("slide_id", "cls", "cx", "n", size.alias("size"), levels.alias("s")).where("shiftleft(1, s.level) <= size")
+    lines = lines.groupBy("slide_id", "cls", "s.level", "s.strip", "cx").agg(F.sum("n").alias("n"))
+
+    classes = cells.groupBy("slide_id").agg(F.collect_set("cls").alias("classes"))
+    over = tiles.select("slide_id", "x", "y").hint("merge").join(classes, "slide_id").dropDuplicates(["slide_id", "x", "y"]).crossJoin(grain)
+    ends = F.explode(F.array(F.struct(F.lit(-1).alias("sign"), (cell("x") - 1).alias("cx")), F.struct(F.lit(1).alias("sign"), (cell("x") + size - 1).alias("cx"))))
+    asked = over.select("slide_id", "x", "y", F.explode("classes").alias("cls"), cell("x").alias("__cx"), "grain").withColumn("s", F.explode(_strips(cell("y"), size, extent)))
+    asked = asked.select("slide_id", "cls", "s.level", "s.strip", "x", "y", ends.alias("e")).select("slide_id", "cls", "level", "strip", "e.cx", "x", "y", "e.sign", F.lit(0).cast("long").alias("n"))
+    held = lines.select("slide_id", "cls", "level", "strip", "cx", F.lit(None).cast("int").alias("x"), F.lit(None).cast("int").alias("y"), F.lit(0).alias("sign"), "n")
+    upto = W.partitionBy("slide_id", "cls", "level", "strip").orderBy("cx", F.col("sign") != 0).rowsBetween(W.unboundedPreceding, 0)
+    sums = held.unionByName(asked).withColumn("n", F.sum("n").over(upto)).where("sign != 0 and n > 0")
+    counts = sums.groupBy("slide_id", "x", "y", "cls").agg(F.sum(F.col("sign") * F.col("n")).alias("n")).where("n > 0")
     entry = F.struct(F.col("cls").cast("string").alias("key"), F.col("n").cast("double").alias("n"))
     maps = counts.groupBy("slide_id", "x", "y").agg(F.collect_list(entry).alias("e"), F.sum("n").alias("total"))
-    maps = maps.select("slide_id", "x", "y", F.map_from_entries(F.transform("e", lambda p: F.struct(p["key"], p["n"] / F.col("total")))).alias("overlap"))
-    return keyed.join(maps, ["slide_id", "x", "y"], "left").withColumn("overlap", F.coalesce("overlap", F.create_map().cast("map<string,double>")))
+    return maps.select("slide_id", "x", "y", F.map_from_entries(F.transform("e", lambda p: F.struct(p["key"], p["n"] / F.col("total")))).alias("overlap"))
+
+
+def with_overlap(tiles: DataFrame, maps: DataFrame) -> DataFrame:
+    """tiles with their map of overlap_maps, an empty one where they have none."""
+    return tiles.join(maps, ["slide_id", "x", "y"], "left").withColumn("overlap", F.coalesce("overlap", F.create_map().cast("map<string,double>")))
+
+
+def overlap_fractions(tiles: DataFrame, mask: DataFrame, extent: int) -> DataFrame:
+    """slide_id, x, y and overlap of every tile, each once; tiles without a pixel have an empty map."""
+    return with_overlap(tiles.select("slide_id", "x", "y").distinct(), overlap_maps(tiles, mask, extent))
 
 
 def pooled_sums(cells: DataFrame, kernels: list[int]) -> DataFrame:

@@ -256,6 +256,13 @@ def test_overlaps_of_any_size_equal_brute_force(spark, extent, stride):
         assert got[s, x, y] == {c: inside.count(c) / len(inside) for c in set(inside)}
 
 
+def test_overlaps_make_rows_of_cells_and_corners_only(spark):
+    """Two pixels far apart and one tile: no row for what lies between them."""
+    mask = spark.createDataFrame([(1, 0, 0, "a"), (1, 1 << 28, 1 << 28, "b")], "slide_id long, mx int, my int, cls string")
+    found = grid.overlap_fractions(spark.createDataFrame([(1, (1 << 28) - 1, (1 << 28) - 2)], "slide_id long, x int, y int"), mask, 3)
+    assert [r.overlap for r in found.collect()] == [{"b": 1.0}]
+
+
 def test_overlaps_without_tiles_or_mask(spark):
     tiles, mask = "slide_id long, x int, y int", "slide_id long, mx int, my int, cls string"
     assert grid.overlap_fractions(spark.createDataFrame([], tiles), spark.createDataFrame([(1, 2, 3, "a")], mask), 4).collect() == []
