@@ -72,22 +72,24 @@ def configured(specifications: Sequence[Mapping[str, object]], pixels: Mapping[s
     return masks
 
 
-def with_mask(tiles: DataFrame, mask: Mask, extent: int) -> DataFrame:
-    """tiles with the percentages of one mask."""
+def with_mask(tiles: DataFrame, mask: Mask, extent: int, of: DataFrame | None = None) -> DataFrame:
+    """tiles with the percentages of one mask, counted for the tiles `of` (among which they are) if given: a table that
+    is cheaper to make again than one with other masks joined."""
     box = overlap.region(F.lit(0), F.lit(0), extent, mask.centre)
     shift, side = (extent // 4, extent // 2) if mask.centre else (0, extent)
-    regions = tiles.select("slide_id", (F.col("x") + box["left"]).alias("x"), (F.col("y") + box["top"]).alias("y"))
-    found = grid.overlap_fractions(regions, mask.pixels, side)
+    regions = (tiles if of is None else of).select("slide_id", (F.col("x") + box["left"]).alias("x"), (F.col("y") + box["top"]).alias("y"))
+    found = grid.overlap_maps(regions, mask.pixels, side)
     found = found.select("slide_id", (F.col("x") - shift).alias("x"), (F.col("y") - shift).alias("y"), "overlap")
-    return tiles.join(found, ["slide_id", "x", "y"]).withColumns(mask.columns()).drop("overlap")
+    return grid.with_overlap(tiles, found).withColumns(mask.columns()).drop("overlap")
 
 
 def tile_table(slides: DataFrame, masks: Sequence[Mask], extent: int) -> DataFrame:
     """Tiles of all slides (whose tiles have that extent) with the percentages of all masks, in
     columns sorted by name; tiles without tissue are left out."""
-    tiles = grid.grid_tiles(slides)
+    # few slides are many tiles: they are spread before they are cut
+    tiles = cut = grid.grid_tiles(slides.repartition("id"))
     for mask in sorted(masks, key=lambda m: (m.kind != "hybrid" and filters.TISSUE not in m.name, m.name)):
-        tiles = with_mask(tiles, mask, extent)
+        tiles = with_mask(tiles, mask, extent, cut)
         if "tissue_roi_percentage" in mask.columns():
             tiles = filters.drop_empty_tissue(tiles)
     return tiles.select("slide_id", "x", "y", *sorted(c for c in tiles.columns if c.endswith("_percentage")))

@@ -263,6 +263,18 @@ def test_overlaps_make_rows_of_cells_and_corners_only(spark):
     assert [r.overlap for r in found.collect()] == [{"b": 1.0}]
 
 
+def test_exploded_tiles_are_never_broadcast(spark):
+    """Few slides look small to the planner, however many tiles they are cut into."""
+    from glasspane.operators import tiling
+
+    slides = spark.range(3).selectExpr("id", "40 extent_x", "40 extent_y", "10 tile_extent_x", "10 tile_extent_y", "5 stride_x", "5 stride_y")
+    mask = tiling.Mask("tissue_roi", spark.createDataFrame([(0, 3, 3, "0"), (1, 12, 3, "1")], "slide_id long, mx int, my int, cls string"))
+    found = tiling.tile_table(slides, [mask, tiling.Mask("blur", mask.pixels, centre=True)], 10)
+    text = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in text and "SortMergeJoin" in text
+    assert found.count() == 3 * 49 - 1
+
+
 def test_overlaps_without_tiles_or_mask(spark):
     tiles, mask = "slide_id long, x int, y int", "slide_id long, mx int, my int, cls string"
     assert grid.overlap_fractions(spark.createDataFrame([], tiles), spark.createDataFrame([(1, 2, 3, "a")], mask), 4).collect() == []
