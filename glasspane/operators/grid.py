@@ -12,6 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+#: Lines of windows that pooling takes as one group.
+BAND = 64
+
 
 def _starts(extent: Column, tile: Column, stride: Column, partial: bool) -> Column:
     last = extent - 1 if partial else extent - tile
@@ -105,40 +108,32 @@ def overlap_fractions(tiles: DataFrame, mask: DataFrame, extent: int) -> DataFra
 
 
 def pooled_sums(cells: DataFrame, kernels: list[int]) -> DataFrame:
-    """slide_id, kernel_size, wx, wy, score: means over windows of each size by their first cell, from
-    one pass along the rows of the heatmap and one along its columns.
+    """slide_id, kernel_size, wx, wy, score: means over windows of each size by their first cell.
 
-    The bounding grid of a slide is filled with its missing cells (0 in sum and number). A window's sum
-    along a line is the difference of two running sums, first along rows, then of those along columns;
-    so what is shuffled and sorted doesn't depend on the sizes. Single cells keep their scores as they
-    are. Windows without a cell have no row.
+    Cells are shuffled once for all sizes, to the bands of BAND lines of windows that they may be in (of a slide, so that
+    it spreads over tasks). A task adds them up to windows along rows, and these along columns. Only windows
+    with a cell are ever rows, and those of a slide that has few cells in a large box are few.
     """
     ends = cells.groupBy("slide_id").agg(*(f("g" + a).alias(n + a) for a in "xy" for f, n in ((F.min, "lo_"), (F.max, "hi_"))))
-    line = cells.select("slide_id", "gy").distinct().join(ends, "slide_id")
-    # rows of the grid without a cell add nothing along x; they are filled in between the two passes
-    dense = line.select("slide_id", "gy", "lo_x", "hi_x", F.explode(F.sequence("lo_x", "hi_x")).alias("gx"))
-    dense = dense.join(cells, ["slide_id", "gx", "gy"], "left").select("slide_id", "gx", "gy", "lo_x", "hi_x", F.coalesce("score", F.lit(0.0)).alias("s"), F.when(F.col("score").isNull(), 0).otherwise(1).alias("n"))
-
-    def along(rows: DataFrame, axis: str, line_key: str, sums: dict[str, tuple[Column, int]], keep: list[str]) -> DataFrame:
-        """Window sums of each column over its size along an axis, where a window ends."""
-        order = W.partitionBy("slide_id", line_key).orderBy(axis)
-        run = rows.withColumns({c: F.sum(v).over(order.rowsBetween(W.unboundedPreceding, 0)) if k > 1 else v for c, (v, k) in sums.items()})
-        return run.select(*keep, *((F.col(c) - F.lag(c, k, 0).over(order) if k > 1 else F.col(c)).alias(c) for c, (_, k) in sums.items()))
-
-    def ends_here(axis: str, k: int) -> Column:
-        """Whether a window of the size ends at a place: inside the grid, or once at its end where it is shorter."""
-        place, lo, hi = F.col(f"g{axis}"), F.col(f"lo_{axis}"), F.col(f"hi_{axis}")
-        return (place - lo >= k - 1) | ((hi - lo < k - 1) & (place == hi))
-
-    across = along(dense, "gx", "gy", {f"{c}{k}": (F.col(c), k) for k in kernels for c in "sn"}, ["slide_id", "gx", "gy", "lo_x", "hi_x"])
-    rows = ends.select("slide_id", "lo_y", "hi_y", F.explode(F.sequence("lo_y", "hi_y")).alias("gy"), "lo_x", "hi_x")
-    places = rows.select("slide_id", "lo_y", "hi_y", "gy", F.explode(F.sequence("lo_x", "hi_x")).alias("gx"), "lo_x", "hi_x")
-    filled = places.join(across.drop("lo_x", "hi_x"), ["slide_id", "gx", "gy"], "left")
-    keep = ["slide_id", "gx", "gy", *(f"{e}_{a}" for a in "xy" for e in ("lo", "hi"))]
-    down = along(filled, "gy", "gx", {f"{c}{k}": (F.coalesce(f"{c}{k}", F.lit(0)), k) for k in kernels for c in "sn"}, keep)
-    windows = F.explode(F.array(*(F.struct(F.lit(k).alias("kernel_size"), F.when(ends_here("x", k) & ends_here("y", k) & (F.col(f"n{k}") > 0), F.col(f"s{k}") / float(k * k)).alias("score")) for k in kernels)))
-    first = lambda a: F.greatest(F.col(f"g{a}") - (F.col("w.kernel_size") - 1), F.col(f"lo_{a}")).alias(f"w{a}")
-    return down.select(*keep, windows.alias("w")).where("w.score is not null").select("slide_id", "w.kernel_size", first("x"), first("y"), "w.score")
+
+    def windows(axis: str, k: Column) -> tuple[Column, Column]:
+        """The first and last place of a window of the size over a cell: inside the grid, or at its start where it is shorter."""
+        at, lo, hi = (F.col(f"{p}{axis}") for p in ("g", "lo_", "hi_"))
+        return F.greatest(at - (k - 1), lo), F.least(at, F.greatest(hi - (k - 1), lo))
+
+    top = F.greatest(F.col("gy") - (max(kernels) - 1), F.col("lo_y"))
+    bands = F.explode(F.sequence(F.floor(top / BAND).cast("int"), F.floor(F.col("gy") / BAND).cast("int")))
+    sides = cells.join(ends, "slide_id").select("slide_id", bands.alias("band"), "gx", "gy", "lo_x", "hi_x", "lo_y", "hi_y", "score")
+    # windows outnumber the cells that are shuffled, so tasks aren't merged by the size of these
+    tasks = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sizes = sides.repartition(tasks, "slide_id", "band").withColumn("kernel_size", F.explode(F.array(*map(F.lit, kernels))))
+    across = sizes.withColumn("wx", F.explode(F.sequence(*windows("x", F.col("kernel_size")))))
+    across = across.groupBy("slide_id", "band", "kernel_size", "gy", "wx").agg(F.sum("score").alias("s"), F.first("lo_y").alias("lo_y"), F.first("hi_y").alias("hi_y"))
+    first, last = windows("y", F.col("kernel_size"))
+    first, last = F.greatest(first, F.col("band") * BAND), F.least(last, F.col("band") * BAND + (BAND - 1))
+    down = across.where(first <= last).withColumn("wy", F.explode(F.sequence(first, last)))
+    down = down.groupBy("slide_id", "band", "kernel_size", "wx", "wy").agg(F.sum("s").alias("s"))
+    return down.select("slide_id", "kernel_size", "wx", "wy", (F.col("s") / (F.col("kernel_size") * F.col("kernel_size")).cast("double")).alias("score"))
 
 
 def pooled(cells: DataFrame, k: int) -> DataFrame:

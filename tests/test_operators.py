@@ -263,6 +263,12 @@ def test_overlaps_make_rows_of_cells_and_corners_only(spark):
     assert [r.overlap for r in found.collect()] == [{"b": 1.0}]
 
 
+def test_windows_of_far_cells_are_few(spark):
+    cells = spark.createDataFrame([(1, 0, 0, 0.5), (1, 1 << 28, 1 << 28, 0.25)], "slide_id long, gx int, gy int, score double")
+    assert grid.pooled_sums(cells, [2]).count() == 2
+    assert grid.slide_top_k(cells, 2, 3).first().prediction == (0.5 + 0.25) / 4 / 2
+
+
 def test_exploded_tiles_are_never_broadcast(spark):
     """Few slides look small to the planner, however many tiles they are cut into."""
     from glasspane.operators import tiling
