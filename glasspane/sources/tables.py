@@ -20,6 +20,8 @@ TILES = "slide_id string, x int, y int"
 METADATA = "slide_path string, carcinoma boolean, case_id string, patient_id string, isup_grade double, gleason_score string, case_carcinoma boolean, perineural_invasions boolean"
 #: Rows that write_json_split takes to the driver, at most: such files hold small result tables.
 MAX_JSON_ROWS = 1_000_000
+#: Files that a task of write_sharded writes, about, where rows a file are bounded.
+TASK_FILES = 100
 
 
 def read_csv(spark: SparkSession, path: str | list[str], schema: StructType | str | None = None) -> DataFrame:
@@ -51,9 +53,12 @@ def write_dataset(slides: DataFrame, tiles: DataFrame, path: str) -> None:
 
 
 def write_sharded(df: DataFrame, path: str, max_rows: int | None = None, min_rows: int | None = None) -> None:
-    """Files of at most max_rows rows, or of about min_rows or more."""
+    """Files of at most max_rows rows, or of about min_rows or more. Where max_rows makes many files, rows are
+    spread so that a task writes about TASK_FILES, however few tasks the table is read by."""
     if min_rows:
         df = df.repartition(max(1, math.floor(df.count() / min_rows)))
+    elif max_rows and (files := math.ceil(df.count() / max_rows)) > TASK_FILES:
+        df = df.repartition(math.ceil(files / TASK_FILES))
     writer = df.write.mode("overwrite")
     (writer.option("maxRecordsPerFile", max_rows) if max_rows else writer).parquet(path)
 

@@ -35,6 +35,15 @@ def test_datasets_and_shards(spark, tmp_path):
     assert tables.read_all(spark, [f"{tmp_path}/s", f"{tmp_path}/t"]).count() == 200
 
 
+def test_many_shards_are_written_by_many_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tables, "TASK_FILES", 5)
+    tables.write_sharded(spark.range(600).coalesce(1), f"{tmp_path}/s", max_rows=10)
+    files = list((tmp_path / "s").glob("part-*"))
+    assert len({f.name.split("-")[1] for f in files}) == 12
+    assert all(spark.read.parquet(str(f)).count() <= 10 for f in files[:5])
+    assert spark.read.parquet(f"{tmp_path}/s").distinct().count() == 600
+
+
 def test_stored_positions(spark, tmp_path):
     spark.createDataFrame([("s", x) for x in (9, 3, 7)], "slide_id string, x int").coalesce(1).write.parquet(f"{tmp_path}/p")
     got = joins.stored_positions(spark.read.parquet(f"{tmp_path}/p"), "slide_id").orderBy("pos").collect()
