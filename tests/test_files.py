@@ -6,6 +6,7 @@ import struct
 import zipfile
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -75,6 +76,28 @@ def test_large_folders_are_few_tasks_and_large_trees_are_listed_by_them(spark, t
     assert [len(p.paths) for p in parts] == [100] * 7 and len({r[0] for p in parts for r in reader.read(p)}) == 700
 
 
+def test_many_folders_are_written_by_few_tasks_and_read_as_batches(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(headers, "FOLDER_FILES", 5)
+    monkeypatch.setattr(headers, "WRITERS", 8)
+    slides = spark.range(700).selectExpr("'s' || id AS id", "1000 + CAST(id AS INT) AS width", "500 height", "CAST(0.5 AS DOUBLE) mpp", "2 levels")
+    context = spark.sparkContext
+    context.setJobGroup("pyramids", "")
+    headers.write_pyramids(slides, f"{tmp_path}/in")
+    jobs = [context.statusTracker().getJobInfo(j) for j in context.statusTracker().getJobIdsForGroup("pyramids")]
+    stages = [context.statusTracker().getStageInfo(s) for j in jobs for s in j.stageIds]
+    context.setLocalProperty("spark.jobGroup.id", None)
+    assert max(s.numTasks for s in stages if s) <= 16
+    found = sorted((tmp_path / "in").glob("*/*.tiff"))
+    assert len({f.parent for f in found}) > 100 and sorted(f.stem for f in found) == sorted(f"s{i}" for i in range(700))
+    source = headers.SlideHeaders({"path": f"{tmp_path}/in"})
+    reader = source.reader(None)
+    batches = [b for p in reader.partitions() for b in reader.read(p)]
+    assert all(isinstance(b, pa.RecordBatch) for b in batches) and sum(b.num_rows for b in batches) == 1400
+    rows = headers.read_headers(spark, f"{tmp_path}/in")
+    assert rows.dtypes == [tuple(f.split()) if f.split()[1] != "long" else (f.split()[0], "bigint") for f in headers.HEADER.split(", ")]
+    assert {(r.width, r.level) for r in rows.collect()} == {((1000 + i) >> level, level) for i in range(700) for level in (0, 1)}
+
+
 # tensor files
 
 
