@@ -192,13 +192,15 @@ r AS (SELECT slide_id, (min(score) OVER a >= CAST(0.05 AS DOUBLE) AND count(*) O
 SELECT slide_id, span, round(top, 9) AS top, round(largest, 9) AS largest FROM (SELECT slide_id, bool_or(hit) AS span FROM r GROUP BY 1) JOIN (SELECT slide_id, avg(score) AS top FROM t WHERE n <= 3 GROUP BY 1) USING (slide_id)
 JOIN (SELECT slide_id, max(score) AS largest FROM pooled GROUP BY 1) USING (slide_id)""")
 def incremental_scores(spark, sf_dir):
-    """Events as a stream of three batches; the scores of slides from what the bands' states told."""
+    """Events as a stream of three batches; the scores of slides from what the batches told of their bands."""
     where = shared_dir(spark)
     rows = scored_tiles(spark, sf_dir)
-    rows.withColumn("batch", F.pmod(F.hash("slide_id", "x", "y", "score"), F.lit(3))).repartition("batch").write.partitionBy("batch").parquet(f"{where}/in")
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{where}/in/*")
+    files = spark.sparkContext.defaultParallelism
+    rows.repartitionById(3 * files, F.pmod(F.hash("slide_id", "x", "y", "score"), F.lit(3 * files))).write.parquet(f"{where}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(f"{where}/in")
     told = aggregators.run_to_the_end(aggregators.band_scores(stream, 1, 1, 0.05, 3), f"{where}/out", f"{where}/checkpoint")
-    last = aggregators.last_told(told)
+    aggregators.last_told(told).write.parquet(f"{where}/last")
+    last = spark.read.parquet(f"{where}/last")
     span = aggregators.span_scores(last, 3).withColumnRenamed("prediction", "span")
     top = aggregators.top_scores(last, 3).withColumnRenamed("prediction", "top")
     largest = grid.slide_mean_pool_max(aggregators.cells_so_far(last), 2).withColumnRenamed("prediction", "largest")
